@@ -18,6 +18,7 @@ written to the checkpoint folder so lineage does not grow with the epochs.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.recommendation import ALS
@@ -297,11 +298,150 @@ class SVDResult:
 SVD_MAX_COLUMNS = 65535
 
 
-def truncated_svd(ratings: DataFrame, k: int, row: str = "user_id", col: str = "item_id") -> SVDResult:
-    """Truncated SVD of the sparse rating matrix with MLlib's distributed
-    ``IndexedRowMatrix.computeSVD``.  Row ids are kept (the matrix is keyed by
-    the id, rows of absent ids are empty).  V is derived distributed and keyed
-    by column id as A^T U / s, so it never passes through the driver."""
+def truncated_svd(
+    ratings: DataFrame,
+    k: int,
+    row: str = "user_id",
+    col: str = "item_id",
+    method: str = "auto",
+    oversample: int = 10,
+    power_iters: int = 4,
+    seed: int = 17,
+) -> SVDResult:
+    """Top-``k`` singular triplets of the sparse rating matrix (rows keyed by
+    ``row`` ids, columns by ``col`` ids; ids are kept, never positions).
+
+    ``method="krylov"`` (default): randomized block Krylov iteration (Musco &
+    Musco 2015; Halko, Martinsson & Tropp 2011) written as DataFrame joins and
+    aggregations.  Each multiplication by A or A^T is one join of the ratings
+    with an (id, l-vector) table plus a per-id ``sum`` of ``l`` products; the
+    Krylov blocks [A W, (A A^T) A W, ...] are orthonormalised with only small
+    Gram matrices on the driver (at most l * (power_iters + 1) square), then a
+    Rayleigh-Ritz step gives the top ``k`` triplets.  U and V stay distributed
+    and keyed by id, so neither the item count nor the user count is bounded by
+    driver memory.
+
+    ``method="mllib"``: ``IndexedRowMatrix.computeSVD`` (exact; the column
+    count is limited to 65535, which also bounds the n x k V that MLlib builds
+    on the driver).
+
+    ``method="auto"`` (default): "mllib" when the column count (max id + 1)
+    is within that limit, else "krylov".  Krylov is accurate when the
+    spectrum decays; for a nearly flat spectrum the trailing singular values
+    are approximate (more ``power_iters`` tighten them)."""
+    if method == "auto":
+        n_cols = ratings.agg(F.max(col)).first()[0]
+        method = "mllib" if n_cols is not None and int(n_cols) + 1 <= SVD_MAX_COLUMNS else "krylov"
+    if method == "mllib":
+        return _svd_mllib(ratings, k, row, col)
+    if method != "krylov":
+        raise ValueError(method)
+    a = materialize(ratings.select(F.col(row).cast("int").alias("i"), F.col(col).cast("int").alias("j"),
+                                   F.col("rating").cast("double").alias("v")))
+    dims = a.agg(F.countDistinct("i"), F.countDistinct("j")).first()
+    l = int(min(k + oversample, dims[0], dims[1]))
+    if l <= 0:
+        raise ValueError("empty matrix")
+    omega = a.select(F.col("j").alias("id")).distinct().select("id", _test_vector("id", l, seed).alias("x"))
+    blocks = [_orthonormalize(_times(a, omega, "i", "j", l), passes=1)]
+    for _ in range(power_iters):
+        z = _orthonormalize(_times(a, blocks[-1], "j", "i", blocks[-1].l), passes=1)
+        blocks.append(_orthonormalize(_times(a, z, "i", "j", z.l), passes=1))
+    krylov = blocks[0].df
+    for n, b in enumerate(blocks[1:]):
+        krylov = krylov.join(b.df.withColumnRenamed("x", f"_x{n}"), "id").select(
+            "id", F.concat("x", f"_x{n}").alias("x")
+        )
+    q = _orthonormalize(krylov, passes=2)
+    bt = materialize(_times(a, q, "j", "i", q.l))  # B^T = A^T Q, one vector per column id
+    lam, vecs = _eig_desc(_gram(bt, q.l))
+    keep = [i for i in range(min(k, len(lam))) if lam[i] > 0 and math.sqrt(lam[i]) > 1e-9 * math.sqrt(lam[0])]
+    s = [math.sqrt(lam[i]) for i in keep]
+    uhat = [[float(vecs[r][i]) for i in keep] for r in range(q.l)]
+    vmat = [[float(vecs[r][i]) / s[c] for c, i in enumerate(keep)] for r in range(q.l)]
+    U = q.df.select(F.col("id"), _matmul("x", uhat).alias("features"))
+    Vdf = bt.select(F.col("id"), _matmul("x", vmat).alias("features"))
+    return SVDResult(materialize(U), s, materialize(Vdf))
+
+
+@dataclass
+class _Basis:
+    df: DataFrame  # id, x array<double> of length l
+    l: int
+
+
+def _test_vector(id_col: str, l: int, seed: int):
+    """Deterministic pseudo-random entries in [-0.5, 0.5) per (id, position)."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(l - 1)),
+        lambda f: F.pmod(F.xxhash64(F.col(id_col), f, F.lit(seed)), F.lit(1000003)).cast("double") / F.lit(1000003.0)
+        - F.lit(0.5),
+    )
+
+
+def _times(a: DataFrame, x, out_key: str, in_key: str, l: int) -> DataFrame:
+    """A X (out_key = "i") or A^T X (out_key = "j"): join the entries with the
+    l-vectors of ``in_key`` ids and sum v * x per ``out_key`` id."""
+    xdf = x.df if isinstance(x, _Basis) else x
+    j = a.join(xdf.select(F.col("id").alias(in_key), F.col("x").alias("_x")), in_key).select(
+        out_key, F.transform("_x", lambda e: e * F.col("v")).alias("_c")
+    )
+    agg = j.groupBy(out_key).agg(*[F.sum(F.col("_c")[f]).alias(f"_s{f}") for f in range(l)])
+    return agg.select(F.col(out_key).alias("id"), F.array(*[F.col(f"_s{f}") for f in range(l)]).alias("x"))
+
+
+def _gram(x: DataFrame, l: int):
+    """X^T X as an l x l list of lists: one row per position a, l sums each."""
+    rows = (
+        x.select(F.posexplode("x").alias("a", "xa"), "x")
+        .select("a", F.transform("x", lambda e: e * F.col("xa")).alias("_r"))
+        .groupBy("a")
+        .agg(*[F.sum(F.col("_r")[b]).alias(f"_g{b}") for b in range(l)])
+        .collect()
+    )
+    g = [[0.0] * l for _ in range(l)]
+    for r in rows:
+        g[int(r["a"])] = [float(r[f"_g{b}"]) for b in range(l)]
+    return g
+
+
+def _eig_desc(g):
+    import numpy as np
+
+    m = np.array(g, dtype=float)
+    m = (m + m.T) / 2.0
+    w, v = np.linalg.eigh(m)
+    order = np.argsort(w)[::-1]
+    return [float(x) for x in w[order]], v[:, order].tolist()
+
+
+def _matmul(arr_col: str, m):
+    """Row vector times an l_in x l_out literal matrix."""
+    cols = F.array(*[F.array(*[F.lit(float(m[r][c])) for r in range(len(m))]) for c in range(len(m[0]))])
+    return F.transform(
+        cols, lambda mc: F.aggregate(F.zip_with(F.col(arr_col), mc, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+    )
+
+
+def _orthonormalize(x: DataFrame, passes: int = 1) -> _Basis:
+    """Orthonormal basis of the column space of X by the eigen-decomposition
+    of its Gram matrix (directions with a negligible eigenvalue are dropped);
+    a second pass restores orthogonality to rounding level (like CholeskyQR2)."""
+    cur = x.persist()
+    l = int(cur.select(F.size("x")).first()[0])
+    for p in range(passes):
+        lam, vecs = _eig_desc(_gram(cur, l))
+        keep = [i for i in range(l) if lam[i] > 1e-12 * max(lam[0], 1e-300)]
+        m = [[float(vecs[r][i]) / math.sqrt(lam[i]) for i in keep] for r in range(l)]
+        nxt = materialize(cur.select("id", _matmul("x", m).alias("x")))
+        if p == 0:
+            cur.unpersist()
+        cur = nxt
+        l = len(keep)
+    return _Basis(cur, l)
+
+
+def _svd_mllib(ratings: DataFrame, k: int, row: str, col: str) -> SVDResult:
     from pyspark.mllib.linalg.distributed import CoordinateMatrix
 
     spark = ratings.sparkSession
@@ -309,7 +449,7 @@ def truncated_svd(ratings: DataFrame, k: int, row: str = "user_id", col: str = "
     dims = r.agg(F.max("i"), F.max("j")).first()
     n_rows, n_cols = int(dims[0]) + 1, int(dims[1]) + 1
     if n_cols > SVD_MAX_COLUMNS:
-        raise ValueError(f"SVD needs at most {SVD_MAX_COLUMNS} columns, got {n_cols}")
+        raise ValueError(f"MLlib SVD needs at most {SVD_MAX_COLUMNS} columns, got {n_cols}")
     entries = r.rdd.map(lambda t: (int(t[0]), int(t[1]), float(t[2])))
     svd = CoordinateMatrix(entries, n_rows, n_cols).toIndexedRowMatrix().computeSVD(k, computeU=True)
     s = [float(x) for x in svd.s.toArray()]
@@ -319,13 +459,8 @@ def truncated_svd(ratings: DataFrame, k: int, row: str = "user_id", col: str = "
         svd.U.rows.map(lambda ir: (int(ir.index), [float(x) for x in ir.vector.toArray()])), schema
     )
     U = materialize(U)
-    kk = len(s)
-    inv = F.array(*[F.lit(1.0 / x) for x in s])
-    prod = r.join(U.select(F.col("id").alias("i"), F.col("features").alias("_u")), "i").select(
-        "j", F.transform("_u", lambda x: x * F.col("v")).alias("_c")
-    )
-    Vdf = prod.groupBy("j").agg(*[F.sum(F.col("_c")[f]).alias(f"_s{f}") for f in range(kk)]).select(
-        F.col("j").cast("int").alias("id"),
-        F.zip_with(F.array(*[F.col(f"_s{f}") for f in range(kk)]), inv, lambda a, b: a * b).alias("features"),
-    )
-    return SVDResult(U, s, Vdf)
+    # V keyed by column id, derived distributed as A^T U / s.
+    inv = [[1.0 / x if i == c else 0.0 for c in range(len(s))] for i, x in enumerate(s)]
+    vt = _times(r, U.select("id", F.col("features").alias("x")), "j", "i", len(s))
+    Vdf = vt.select(F.col("id").cast("int").alias("id"), _matmul("x", inv).alias("features"))
+    return SVDResult(U, s, materialize(Vdf))

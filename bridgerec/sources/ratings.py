@@ -7,6 +7,7 @@ columns (``domain``, ``split``) ride along where useful.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,35 +29,21 @@ def read_ratings(spark: SparkSession, path: str, sep: str = "\t", strict: bool =
 
     ``strict=False`` keeps the first three fields and ignores the rest (the
     MovieLens files carry a timestamp); ``strict=True`` demands exactly three
-    fields.  A bad number fails the job (FAILFAST) rather than turning into
-    null, as the reference's ``toInt``/``toDouble`` would throw.
+    fields.  Fields are cast with ANSI casts, so a bad number or a short line
+    fails the job instead of turning into null, as the reference's
+    ``toInt``/``toDouble`` would throw.
     """
-    if strict:
-        df = (
-            spark.read.schema(RATING_SCHEMA.add("_extra", T.StringType(), True))
-            .option("sep", sep)
-            .option("mode", "FAILFAST")
-            .csv(path)
-        )
-        bad = F.col("_extra").isNotNull()
-        return df.select(
-            F.when(bad, F.raise_error(F.lit("rating line has more than 3 fields")))
-            .otherwise(F.col("user_id"))
-            .cast("int")
-            .alias("user_id"),
-            "item_id",
-            "rating",
-        )
-    schema = T.StructType(
-        [
-            T.StructField("user_id", T.IntegerType(), True),
-            T.StructField("item_id", T.IntegerType(), True),
-            T.StructField("rating", T.DoubleType(), True),
-            T.StructField("_rest", T.StringType(), True),
-        ]
+    parts = F.split(F.col("value"), re.escape(sep))
+    n = F.size(parts)
+    ok = (n == 3) if strict else (n >= 3)
+    msg = "rating line must have exactly 3 fields" if strict else "rating line has fewer than 3 fields"
+    checked = F.when(ok, parts).otherwise(F.raise_error(F.lit(msg)))
+    lines = spark.read.text(path).select(checked.alias("_f"))
+    return lines.select(
+        F.trim(F.col("_f")[0]).cast("int").alias("user_id"),
+        F.trim(F.col("_f")[1]).cast("int").alias("item_id"),
+        F.trim(F.col("_f")[2]).cast("double").alias("rating"),
     )
-    df = spark.read.schema(schema).option("sep", sep).option("mode", "FAILFAST").csv(path)
-    return df.select("user_id", "item_id", "rating")
 
 
 def read_ratings_parquet(spark: SparkSession, path: str) -> DataFrame:
