@@ -21,6 +21,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -343,25 +345,29 @@ def truncated_svd(
     if l <= 0:
         raise ValueError("empty matrix")
     omega = a.select(F.col("j").alias("id")).distinct().select("id", _test_vector("id", l, seed).alias("x"))
-    blocks = [_orthonormalize(_times(a, omega, "i", "j", l), passes=1)]
+    held: list[DataFrame] = []
+    blocks = [_orthonormalize(_times(a, omega, "i", "j", l), l, 1, held)]
     for _ in range(power_iters):
-        z = _orthonormalize(_times(a, blocks[-1], "j", "i", blocks[-1].l), passes=1)
-        blocks.append(_orthonormalize(_times(a, z, "i", "j", z.l), passes=1))
-    krylov = blocks[0].df
+        z = _orthonormalize(_times(a, blocks[-1], "j", "i", blocks[-1].l), blocks[-1].l, 1, held)
+        blocks.append(_orthonormalize(_times(a, z, "i", "j", z.l), z.l, 1, held))
+    krylov, width = blocks[0].df, blocks[0].l
     for n, b in enumerate(blocks[1:]):
         krylov = krylov.join(b.df.withColumnRenamed("x", f"_x{n}"), "id").select(
             "id", F.concat("x", f"_x{n}").alias("x")
         )
-    q = _orthonormalize(krylov, passes=2)
+        width += b.l
+    q = _orthonormalize(krylov, width, 2, held)
+    q = _Basis(materialize(q.df), q.l)
     bt = materialize(_times(a, q, "j", "i", q.l))  # B^T = A^T Q, one vector per column id
     lam, vecs = _eig_desc(_gram(bt, q.l))
     keep = [i for i in range(min(k, len(lam))) if lam[i] > 0 and math.sqrt(lam[i]) > 1e-9 * math.sqrt(lam[0])]
     s = [math.sqrt(lam[i]) for i in keep]
-    uhat = [[float(vecs[r][i]) for i in keep] for r in range(q.l)]
-    vmat = [[float(vecs[r][i]) / s[c] for c, i in enumerate(keep)] for r in range(q.l)]
-    U = q.df.select(F.col("id"), _matmul("x", uhat).alias("features"))
-    Vdf = bt.select(F.col("id"), _matmul("x", vmat).alias("features"))
-    return SVDResult(materialize(U), s, materialize(Vdf))
+    uhat = vecs[:, keep]
+    U = materialize(_rows_times(q.df, uhat).withColumnRenamed("x", "features"))
+    Vdf = materialize(_rows_times(bt, uhat / np.array(s)).withColumnRenamed("x", "features"))
+    for h in held:
+        h.unpersist()
+    return SVDResult(U, s, Vdf)
 
 
 @dataclass
@@ -391,7 +397,8 @@ def _times(a: DataFrame, x, out_key: str, in_key: str, l: int) -> DataFrame:
 
 
 def _gram(x: DataFrame, l: int):
-    """X^T X as an l x l list of lists: one row per position a, l sums each."""
+    """X^T X (l x l): one row per position a with l sums each, so the
+    aggregation combines per task before its small shuffle."""
     rows = (
         x.select(F.posexplode("x").alias("a", "xa"), "x")
         .select("a", F.transform("x", lambda e: e * F.col("xa")).alias("_r"))
@@ -399,20 +406,23 @@ def _gram(x: DataFrame, l: int):
         .agg(*[F.sum(F.col("_r")[b]).alias(f"_g{b}") for b in range(l)])
         .collect()
     )
-    g = [[0.0] * l for _ in range(l)]
+    g = np.zeros((l, l))
     for r in rows:
         g[int(r["a"])] = [float(r[f"_g{b}"]) for b in range(l)]
     return g
 
 
 def _eig_desc(g):
-    import numpy as np
-
-    m = np.array(g, dtype=float)
+    m = np.asarray(g, dtype=float)
     m = (m + m.T) / 2.0
     w, v = np.linalg.eigh(m)
     order = np.argsort(w)[::-1]
-    return [float(x) for x in w[order]], v[:, order].tolist()
+    return w[order], v[:, order]
+
+
+def _rows_times(x: DataFrame, m) -> DataFrame:
+    """Each row vector times the small literal matrix ``m`` (JVM-side)."""
+    return x.select(F.col("id").cast("int").alias("id"), _matmul("x", np.asarray(m, dtype=float).tolist()).alias("x"))
 
 
 def _matmul(arr_col: str, m):
@@ -423,20 +433,19 @@ def _matmul(arr_col: str, m):
     )
 
 
-def _orthonormalize(x: DataFrame, passes: int = 1) -> _Basis:
+def _orthonormalize(x: DataFrame, l: int, passes: int, held: list) -> _Basis:
     """Orthonormal basis of the column space of X by the eigen-decomposition
-    of its Gram matrix (directions with a negligible eigenvalue are dropped);
-    a second pass restores orthogonality to rounding level (like CholeskyQR2)."""
+    of its l x l Gram matrix (directions with a negligible eigenvalue are
+    dropped); a second pass restores orthogonality to rounding level (like
+    CholeskyQR2).  X is cached for its two reads; every basis is written to
+    the checkpoint folder, so the lineage stays one step deep."""
     cur = x.persist()
-    l = int(cur.select(F.size("x")).first()[0])
-    for p in range(passes):
+    held.append(cur)
+    for _ in range(passes):
         lam, vecs = _eig_desc(_gram(cur, l))
         keep = [i for i in range(l) if lam[i] > 1e-12 * max(lam[0], 1e-300)]
-        m = [[float(vecs[r][i]) / math.sqrt(lam[i]) for i in keep] for r in range(l)]
-        nxt = materialize(cur.select("id", _matmul("x", m).alias("x")))
-        if p == 0:
-            cur.unpersist()
-        cur = nxt
+        m = vecs[:, keep] / np.sqrt(lam[keep])
+        cur = materialize(_rows_times(cur, m))
         l = len(keep)
     return _Basis(cur, l)
 
