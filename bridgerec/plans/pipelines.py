@@ -26,15 +26,10 @@ KEYS = ["user_id", "item_id"]
 
 
 def load(spark: SparkSession, sf_dir: str) -> R.CrossDomainData:
-    d = R.load_cross_domain(spark, sf_dir)
-    allr = materialize(d.all)
-    tri = ["user_id", "item_id", "rating"]
-    return R.CrossDomainData(
-        all=allr,
-        source=allr.where(F.col("domain") == "source").select(*tri),
-        target_train=allr.where((F.col("domain") == "target") & (F.col("split") == "train")).select(*tri),
-        target_test=allr.where((F.col("domain") == "target") & (F.col("split") == "test")).select(*tri),
-    )
+    """Derived rating tables, written once to the checkpoint folder."""
+    from bridgerec.plans.queries import load_materialized
+
+    return load_materialized(spark, sf_dir)
 
 
 def _report(pred: DataFrame, test: DataFrame, denominator: str) -> DataFrame:

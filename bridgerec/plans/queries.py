@@ -17,6 +17,7 @@ from bridgerec.operators import cluster as C
 from bridgerec.operators import factorize as FZ
 from bridgerec.operators import metrics as M
 from bridgerec.operators import transfer as TR
+from bridgerec.session import materialize
 from bridgerec.sources import ratings as R
 
 KEYS = ["user_id", "item_id"]
@@ -36,10 +37,28 @@ EPOCH_ALPHA, EPOCH_LAMBDA, EPOCH_DECAY = 0.01, 0.01, 0.9
 BUCKETS = 5  # rating-level clusters (floor of the mean rating, 1..5)
 
 
-def _data(spark: SparkSession, sf_dir: str) -> R.CrossDomainData:
+def _data(spark: SparkSession, sf_dir: str, reuse: bool = True) -> R.CrossDomainData:
+    """Rating tables of ``sf_dir``.  With ``reuse`` the orders x lineitem
+    derivation runs once and is written to the checkpoint folder, and every
+    branch of the query (train, test, coverage variants) reads that table
+    instead of joining the two largest tables again."""
+    if reuse:
+        return load_materialized(spark, sf_dir)
     return R.load_cross_domain(spark, sf_dir)
 
 
+def load_materialized(spark: SparkSession, sf_dir: str) -> R.CrossDomainData:
+    d = R.load_cross_domain(spark, sf_dir)
+    allr = materialize(d.all)
+    tri = ["user_id", "item_id", "rating"]
+    return R.CrossDomainData(
+        all=allr,
+        source=allr.where(F.col("domain") == "source").select(*tri),
+        target_train=allr.where((F.col("domain") == "target") & (F.col("split") == "train")).select(*tri),
+        target_test=allr.where((F.col("domain") == "target") & (F.col("split") == "test")).select(*tri),
+    )
+
+
 def _long(df: DataFrame, side: str, col: str = "features") -> DataFrame:
     return df.select(F.lit(side).alias("side"), "id", F.posexplode(col).alias("f", "value")).select(
         "side", "id", "f", r6("value").alias("value")
@@ -50,12 +69,12 @@ def _long(df: DataFrame, side: str, col: str = "features") -> DataFrame:
 
 
 def ratings_dedupe(spark, sf_dir):
-    d = _data(spark, sf_dir)
+    d = _data(spark, sf_dir, reuse=False)
     return d.all.select(*KEYS, r6("rating").alias("rating"), "domain", "split")
 
 
 def split_counts(spark, sf_dir):
-    d = _data(spark, sf_dir)
+    d = _data(spark, sf_dir, reuse=False)
     return d.all.groupBy("domain", "split").agg(
         F.count(F.lit(1)).alias("n_ratings"),
         F.countDistinct("user_id").alias("n_users"),
@@ -189,13 +208,13 @@ def _quantized_items(train: DataFrame) -> DataFrame:
 
 
 def one_hot_argmax(spark, sf_dir):
-    d = _data(spark, sf_dir)
+    d = _data(spark, sf_dir, reuse=False)
     users = FZ.init_factors(d.target_train, RANK).users
     return _long(users.select("id", V.one_hot_argmax("features").alias("features")), "user")
 
 
 def one_hot_blockmax(spark, sf_dir):
-    d = _data(spark, sf_dir)
+    d = _data(spark, sf_dir, reuse=False)
     items = _quantized_items(d.target_train)
     return _long(items.select("id", V.one_hot_blockmax("features").alias("features")), "item")
 
@@ -237,13 +256,13 @@ def mae_test_n(spark, sf_dir):
 
 
 def top_n_items(spark, sf_dir):
-    d = _data(spark, sf_dir)
+    d = _data(spark, sf_dir, reuse=False)
     t = M.top_n(d.target_train, TOP_N, "rating")
     return t.select(*KEYS, "rank", r6("rating").alias("rating"))
 
 
 def user_item_counts(spark, sf_dir):
-    d = _data(spark, sf_dir)
+    d = _data(spark, sf_dir, reuse=False)
     return M.user_item_counts(d.target_test)
 
 

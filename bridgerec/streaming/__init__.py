@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference is batch-only (every program builds a plain SparkContext and
+reads whole files); it has no watermark, window, state or late-data
+semantics, so there is nothing to re-express with Structured Streaming.
+"""
