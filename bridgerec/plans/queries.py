@@ -243,6 +243,10 @@ def _metrics(spark, sf_dir):
     return M.error_metrics(_biased_predictions(d), d.target_test)
 
 
+def error_report(spark, sf_dir):
+    return _metrics(spark, sf_dir)
+
+
 def rmse_joined(spark, sf_dir):
     return _metrics(spark, sf_dir).select(r6("rmse_joined").alias("rmse"), "n_joined")
 

@@ -40,4 +40,5 @@ def test_rows_only_queries_run(spark, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) == 1 and set(df.columns) == {"rmse", "mae_test_n", "n_joined", "n_test"}
+    assert len(rows) == 1 and rows[0]["n_test"] > 0
+    assert set(df.columns) == {"rmse_joined", "rmse_test_n", "mae_test_n", "mae_joined", "n_joined", "n_test"}
