@@ -57,7 +57,8 @@ def als_fit(
     rating_col: str = "rating",
 ) -> FactorModel:
     """Spark ML ALS; factors come back as ``array<double>``.  ALS checkpoints
-    its own factor RDDs every 10 iterations into the session's checkpoint folder."""
+    its own factor RDDs every 10 iterations into the session's checkpoint
+    folder; the user/item block count follows the default parallelism."""
     ensure_checkpoint_dir(ratings.sparkSession)
     als = ALS(
         rank=rank,
@@ -70,8 +71,9 @@ def als_fit(
         coldStartStrategy="drop",
         checkpointInterval=10,
     )
-    if num_blocks:
-        als = als.setNumBlocks(num_blocks)
+    # ALS's fixed default of 10 blocks caps its parallelism; follow the cluster's.
+    blocks = num_blocks or max(10, ratings.sparkSession.sparkContext.defaultParallelism)
+    als = als.setNumBlocks(blocks)
     model = als.fit(ratings)
     arr = T.ArrayType(T.DoubleType())
     users = model.userFactors.select(F.col("id").cast("int").alias("id"), F.col("features").cast(arr).alias("features"))

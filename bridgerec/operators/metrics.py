@@ -85,6 +85,16 @@ def top_n(ratings: DataFrame, n: int, score_col: str = "rating", exclude: DataFr
     )
 
 
+def distinct_pairs(ratings: DataFrame) -> DataFrame:
+    """One row: the number of distinct (user, item) pairs (a map's size)."""
+    return ratings.agg(F.count_distinct("user_id", "item_id").alias("n_pairs"))
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` rows, for inspection only."""
+    return df.limit(n)
+
+
 def user_item_counts(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_items"))
 

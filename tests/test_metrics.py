@@ -81,3 +81,9 @@ def test_metrics_one_job_plan_has_no_cartesian(spark):
     plan = M.error_metrics(pred, test)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert F is not None
+
+
+def test_distinct_pairs_and_preview(spark):
+    df = ratings_df(spark, [(1, 1, 1.0), (1, 1, 2.0), (2, 1, 1.0)])
+    assert M.distinct_pairs(df).first()["n_pairs"] == 2
+    assert M.preview(df, 2).count() == 2
