@@ -38,6 +38,7 @@ class FactorModel:
     items: DataFrame
     mu: float | None = None  # global mean of the biased model
     rank: int | None = None
+    als_model: object | None = None  # the fitted ALSModel, when ALS produced the factors
 
     @property
     def biased(self) -> bool:
@@ -78,7 +79,24 @@ def als_fit(
     arr = T.ArrayType(T.DoubleType())
     users = model.userFactors.select(F.col("id").cast("int").alias("id"), F.col("features").cast(arr).alias("features"))
     items = model.itemFactors.select(F.col("id").cast("int").alias("id"), F.col("features").cast(arr).alias("features"))
-    return FactorModel(users, items, rank=rank)
+    return FactorModel(users, items, rank=rank, als_model=model)
+
+
+def recommend_top_n(model: FactorModel, n: int) -> DataFrame:
+    """Top-``n`` items of every user over the full item set (the reference's
+    all-pairs prediction followed by a per-user sort), using ALS's built-in
+    blocked top-k: per block of users and items only the running top-n
+    survive, so the users x items product is never materialised.
+    Output ``user_id, item_id, rank, prediction`` (ties: Spark's order)."""
+    if model.als_model is None:
+        raise ValueError("recommend_top_n needs a model fitted by als_fit")
+    recs = model.als_model.recommendForAllUsers(n)
+    return recs.select(F.col("user_id"), F.posexplode("recommendations").alias("pos", "r")).select(
+        "user_id",
+        F.col("r.item_id").alias("item_id"),
+        (F.col("pos") + 1).alias("rank"),
+        F.col("r.rating").cast("double").alias("prediction"),
+    )
 
 
 # ------------------------------------------------------- initial factors

@@ -249,6 +249,11 @@ def als_predict(spark, sf_dir):
     return FZ.predict_pairs(d.target_test, FZ.als_fit(d.target_train, 10, 5, 0.1))
 
 
+def als_recommend(spark, sf_dir):
+    d = load(spark, sf_dir)
+    return FZ.recommend_top_n(FZ.als_fit(d.target_train, 10, 5, 0.1), 5)
+
+
 def kmeans_assign(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features")
@@ -269,6 +274,7 @@ def registered():
     return {
         "als_factors": als_factors,
         "als_predict": als_predict,
+        "als_recommend": als_recommend,
         "kmeans_assign": kmeans_assign,
         "svd_factors": svd_factors,
         "q_lfm": q_lfm,

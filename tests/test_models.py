@@ -118,3 +118,15 @@ def test_mean_step_stays_bounded_for_a_hot_user(spark):
     m = FZ.fit_gradient(df, 4, 3, alpha=0.5, lam=0.01, step="mean")
     mx = m.users.select(F.max(F.array_max(F.transform("features", lambda x: F.abs(x))))).first()[0]
     assert mx < 10
+
+
+def test_recommend_top_n_matches_brute_force(spark):
+    df = ratings_df(spark, _lowrank(seed=4, users=12, items=9))
+    m = FZ.als_fit(df, 3, 5, 0.1)
+    recs = FZ.recommend_top_n(m, 3).toPandas()
+    u = {r["id"]: np.array(r["features"]) for r in m.users.collect()}
+    i = {r["id"]: np.array(r["features"]) for r in m.items.collect()}
+    for uid, vec in u.items():
+        scores = sorted(((float(vec @ q), iid) for iid, q in i.items()), reverse=True)[:3]
+        got = recs[recs.user_id == uid].sort_values("rank")
+        assert list(got.prediction) == pytest.approx([s for s, _ in scores], rel=1e-5)

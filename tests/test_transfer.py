@@ -140,3 +140,30 @@ def test_planted_svd_pipelines_run(spark):
     assert P.diag_codebook(d, k=3, rank=3, als_max_iter=5).first()["n_test"] == d.target_test.count()
     assert P.diag_codebook(d, k=3, rank=3, als_max_iter=5, refine_iters=2).first()["n_test"] > 0
     assert P.svd_transfer(d, k=3).first()["n_joined"] > 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similarity_plan_is_an_equi_join(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 40)], "id int, features array<double>")
+    plan = _plan(TR.user_similarity(df, block_size=8))
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "_bl" in plan and "_br" in plan
+
+
+def test_nearest_centre_plan_has_no_join(spark):
+    from bridgerec.operators import cluster as C
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "id int, features array<double>")
+    plan = _plan(C.assign(df, C.Centres([(0, [0.0, 0.0]), (1, [5.0, 1.0])])))
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_reference_flags(spark):
+    d = _planted(spark)
+    r1 = P.svd_transfer(d, k=3, target_matrix="source").first()
+    assert r1["n_test"] == d.target_test.count()
+    r2 = P.pool_mix(d, rank=3, als_rank=3, k=4, als_max_iter=5, item_assign="user").first()
+    assert r2["n_joined"] > 0
