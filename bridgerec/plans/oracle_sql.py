@@ -277,6 +277,10 @@ def build() -> dict[str, str]:
         f"SELECT user_id, item_id, {r6('rating')} AS rating FROM tte"
         " WHERE user_id IN (SELECT user_id FROM ttr_pc) AND item_id IN (SELECT item_id FROM ttr_pc)"
     )
+    s["covered_pair_count"] = with_base() + (
+        "SELECT COUNT(*) AS n_pairs FROM (SELECT DISTINCT user_id, item_id FROM tte"
+        " WHERE user_id IN (SELECT user_id FROM ttr_pc) AND item_id IN (SELECT item_id FROM ttr_pc))"
+    )
     s["pred_dot"] = with_base(*pred_ctes()) + f"SELECT user_id, item_id, {r6('prediction')} AS prediction FROM PD"
     s["pred_biased"] = with_base(*pred_ctes()) + f"SELECT user_id, item_id, {r6('prediction')} AS prediction FROM PB"
     diag = arr(Q.DIAG)

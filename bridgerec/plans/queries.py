@@ -141,6 +141,11 @@ def coverage_pairs(spark, sf_dir):
     return M.covered_pairs(d.target_test, d.partial_coverage_train()).select(*KEYS, r6("rating").alias("rating"))
 
 
+def covered_pair_count(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    return M.distinct_pairs(M.covered_pairs(d.target_test, d.partial_coverage_train()))
+
+
 # ------------------------------------------------------ predictions
 
 
