@@ -1,0 +1,54 @@
+"""The linear automaton against naive greedy longest match."""
+
+import random
+
+from bridgerec.llm.token_counts import LongestMatch, load_pieces, token_counts
+from bridgerec.llm.queries import vocabulary
+
+
+def greedy(word: bytes, pieces: set[bytes], longest: int) -> int:
+    """Pieces of naive longest match, 0 if the word can't be covered."""
+    at = n = 0
+    while at < len(word):
+        for size in range(min(longest, len(word) - at), 0, -1):
+            if word[at : at + size] in pieces:
+                at += size
+                n += 1
+                break
+        else:
+            return 0
+    return n
+
+
+def test_small_vocabularies_random_words():
+    rng = random.Random(1)
+    for _ in range(60):
+        pieces = {bytes(rng.choices(b"abc", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 12))}
+        words = [bytes(rng.choices(b"abc", k=rng.randint(1, 90 if i % 9 == 0 else 12))) for i in range(80)]
+        got = LongestMatch(pieces).lengths(words).tolist()
+        assert got == [greedy(w, pieces, 5) for w in words]
+
+
+def test_no_pieces():
+    assert LongestMatch([]).lengths([b"a"]).tolist() == [0]
+
+
+def test_texts_against_brute_force(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    pieces = set(load_pieces(path))
+    longest = max(map(len, pieces))
+    texts = [
+        None, "", "   ", "The cat's pyjamas", "naïve ÇA\tx\n\ny", "a" * 5000, "\x00 \x85x 中文 word " * 3, "dup", "dup",
+        "Supercalifragilistic!!! 1234567890 | ### | " * 50,
+    ]
+    rows = [(i if i != 4 else None, t, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    got = sorted(token_counts(docs, path).collect(), key=lambda r: (r[0] is None, r[0]))
+    want = []
+    for i, t, _ in rows:
+        words = (t or "").encode().split()
+        sizes = [greedy(b" " + w, pieces, longest) for w in words]
+        want.append((i, len(words), sum(n or 1 for n in sizes), sizes.count(0)))
+    want.sort(key=lambda r: (r[0] is None, r[0]))
+    assert [tuple(r) for r in got] == want
+    assert token_counts(docs.limit(0), path).count() == 0
