@@ -11,8 +11,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bridgerec.llm.ngram_jaccard import ngram_jaccard_join
 from bridgerec.llm.sentencepiece_codec import sentencepiece_codec
 from bridgerec.llm.staging import Stage
+from bridgerec.llm.suffix_dedup import repeated_passages
 from bridgerec.llm.token_counts import token_counts
 from bridgerec.llm.token_files import as_uri, read_token_files, write_token_files
 
@@ -27,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Stage(spark, "ngram-jaccard")
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), stage).select(
+        "doc_id", "n_shingles", "component_id", "class_id"
+    )
+
+
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_codec(docs, vocabulary("piece_bpe_32k.model"), ids=False, decoded=False, digests=True)
@@ -41,3 +50,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = write_token_files(docs, folder, vocabulary("word_bpe_49k.json"), end_id=1)
     return read_token_files(manifest, ids=False)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"), Stage(spark, "suffix-dedup"))
+    return found.select("doc_id", F.explode("repeated").alias("s"), "later").select(
+        "doc_id",
+        F.col("s.start").alias("start_word"),
+        F.col("s.end").alias("end_word"),
+        F.exists("later", lambda x: (x.start < F.col("s.end")) & (x.end > F.col("s.start"))).alias("is_later"),
+    )

@@ -10,9 +10,11 @@ from bridgerec.llm import queries as q
 from bridgerec.llm import oracle
 
 NAMES = [
+    "op1_ngram_jaccard",
     "op2_sentencepiece_codec",
     "op3_token_counts",
     "op4_token_files",
+    "op9_suffix_dedup",
 ]
 
 
