@@ -11,6 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bridgerec.llm.decontaminate import contamination
 from bridgerec.llm.ngram_jaccard import ngram_jaccard_join
 from bridgerec.llm.sentencepiece_codec import sentencepiece_codec
 from bridgerec.llm.staging import Stage
@@ -52,6 +53,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, ids=False)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = contamination(docs, items, Stage(spark, "decontaminate"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"), Stage(spark, "suffix-dedup"))
     return found.select("doc_id", F.explode("repeated").alias("s"), "later").select(

@@ -14,6 +14,7 @@ NAMES = [
     "op2_sentencepiece_codec",
     "op3_token_counts",
     "op4_token_files",
+    "op5_decontaminate",
     "op9_suffix_dedup",
 ]
 
