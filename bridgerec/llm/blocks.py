@@ -30,9 +30,30 @@ def row_blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[i
         a = min(b, n)
 
 
-def texts(column: pa.Array) -> Iterator[bytes]:
-    """The UTF-8 bytes of each row; null is an empty text."""
+def text_blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Blocks of texts as UTF-8 bytes, each with its first row; null is an empty text."""
     data, offsets = text_bytes(column)
-    view = data.tobytes()
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        yield view[a:b]
+    for a, b in row_blocks(offsets):
+        block, start = data[offsets[a] : offsets[b]].tobytes(), int(offsets[a])
+        cuts = (offsets[a : b + 1] - start).tolist()
+        yield a, [block[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and the borders of the groups, from batches sorted by
+    their first ``keys`` columns (integers without nulls).  A group is held until its
+    end, so the caller bounds the size of groups."""
+    kept = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        table = now if kept is None else pa.concat_tables([kept, now]).combine_chunks()
+        if not table.num_rows:
+            continue
+        values = np.stack([table.column(i).to_numpy().astype(np.int64) for i in range(keys)])
+        cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield table.slice(0, last), np.append(0, cuts)
+        kept = table.slice(last).combine_chunks()
+    if kept is not None and kept.num_rows:
+        yield kept, np.array([0, kept.num_rows])

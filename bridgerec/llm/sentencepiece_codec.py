@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,13 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bridgerec.llm.blocks import texts
+from bridgerec.llm.blocks import text_blocks
+from bridgerec.llm.chunk_table import ChunkTable
 
 MARK = "▁"
-#: Entries of a task's chunk table; a full table is emptied, which costs only repeated segmentation.
-TABLE_ENTRIES = 400_000
-#: Longer chunks are segmented without being kept.
-KEPT_BYTES = 48
 #: For texts with runs of spaces: a run of spaces and the word that follows.
 _CHUNK = re.compile(rb" +[^ ]*")
 #: Strings on which a normalising model would differ from one that leaves its input alone.
@@ -52,36 +50,29 @@ class ChunkCodec:
         kept = all(self.sp.decode(self.sp.encode(x)) == x for x in _PROBES)
         self.by_chunk = kept and not crossing
         self.mark_id = self.sp.piece_to_id(MARK)
-        self.table: dict[bytes, bytes] = {}
+        self.table = ChunkTable(self._segment)
         self.begin, self.end = (np.uint32(x()).tobytes() for x in (self.sp.bos_id, self.sp.eos_id))
 
     def _segment(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of chunks without their first marker, which the library adds."""
         ids = self.sp.encode([c.decode() for c in chunks], num_threads=1)
         # the library adds no marker to an empty text, so a lone marker is looked up
-        return [np.array(i if c else [self.mark_id], "<u4").tobytes() for i, c in zip(ids, chunks, strict=True)]
+        return [array("I", i if c else [self.mark_id]).tobytes() for i, c in zip(ids, chunks, strict=True)]
 
-    def encode(self, text: bytes) -> bytes:
-        """All ids with begin and end, as little-endian unsigned 32-bit integers."""
-        if not self.by_chunk:
-            return self.begin + np.array(self.sp.encode(text.decode()), "<u4").tobytes() + self.end
-        if not text:
-            return self.begin + self.end
+    def _chunks(self, text: bytes) -> list[bytes]:
         text = text.replace(MARK.encode(), b" ")
         if b"  " in text or text[:1] == b" " or text[-1:] == b" ":
-            chunks = [c[1:] for c in _CHUNK.findall(b" " + text)]
-        else:
-            chunks = text.split(b" ")
-        table = self.table
-        if new := [c for c in dict.fromkeys(chunks) if c not in table]:
-            if len(table) + len(new) > TABLE_ENTRIES:
-                table.clear()
-                new = list(dict.fromkeys(chunks))
-            found = dict(zip(new, self._segment(new), strict=True))
-            table.update((c, i) for c, i in found.items() if len(c) <= KEPT_BYTES)
-            look = found.get
-            return self.begin + b"".join([table.get(c) or look(c) for c in chunks]) + self.end
-        return self.begin + b"".join([table[c] for c in chunks]) + self.end
+            return [c[1:] for c in _CHUNK.findall(b" " + text)]
+        return text.split(b" ") if text else []
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """All ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
+        if not self.by_chunk:
+            found = [array("I", i).tobytes() for i in self.sp.encode([t.decode() for t in texts], num_threads=1)]
+            return [self.begin + i + self.end for i in found]
+        rows = [self._chunks(t) for t in texts]
+        ids = self.table.covering(rows).__getitem__
+        return [b"".join([self.begin, *map(ids, row), self.end]) for row in rows]
 
     def decode(self, ids: bytes) -> str:
         return self.sp.decode(np.frombuffer(ids, "<u4").tolist())
@@ -117,8 +108,7 @@ def sentencepiece_codec(
         c = codec(model_file)
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in fields[1:]}
-            for text in texts(batch.column(1)):
-                coded = c.encode(text)
+            for coded in (x for _, block in text_blocks(batch.column(1)) for x in c.encode(block)):
                 out["n_tokens"].append(len(coded) // 4)
                 if ids:
                     out["ids"].append(np.frombuffer(coded, "<u4").astype(np.int32))

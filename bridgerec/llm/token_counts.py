@@ -23,7 +23,6 @@ import json
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bridgerec.llm.blocks import row_blocks, text_bytes
+from bridgerec.llm.blocks import text_blocks
+from bridgerec.llm.chunk_table import ChunkTable
 
-#: Entries of a task's table of lengths; a full table is emptied.
-TABLE_ENTRIES = 1_000_000
 #: Longer words are stepped alone, so that no matrix of words is wider.
 WIDE = 64
 
@@ -145,7 +143,10 @@ def automaton(path: str) -> LongestMatch:
     return LongestMatch(load_pieces(path))
 
 
-_tables: dict[str, dict[bytes, int]] = {}
+@lru_cache(maxsize=2)
+def lengths_table(path: str) -> ChunkTable:
+    matcher = automaton(path)
+    return ChunkTable(lambda words: matcher.lengths([b" " + w for w in words]).tolist())
 
 
 def token_counts(
@@ -161,26 +162,16 @@ def token_counts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = automaton(vocab_file)
-        table = _tables.setdefault(vocab_file, {})
+        table = lengths_table(vocab_file)
         for batch in batches:
             rows = []
-            data, offsets = text_bytes(batch.column(1))
-            data = data.tobytes()
-            for a, b in row_blocks(offsets):
-                words = [data[offsets[i] : offsets[i + 1]].split() for i in range(a, b)]
-                if new := [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in table]:
-                    if len(table) + len(new) > TABLE_ENTRIES:
-                        table.clear()
-                        new = list(dict.fromkeys(chain.from_iterable(words)))
-                    table.update(zip(new, matcher.lengths([b" " + w for w in new]).tolist(), strict=True))
+            for _, block in text_blocks(batch.column(1)):
+                words = [t.split() for t in block]
+                length = table.covering(words).__getitem__
                 for one in words:
-                    found = [table[w] for w in one]
+                    found = list(map(length, one))
                     unknown = found.count(0)
                     rows.append((len(one), sum(found) + unknown, unknown))
-                for w in new:
-                    if len(w) > WIDE:
-                        del table[w]
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=schema.names)
 

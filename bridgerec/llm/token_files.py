@@ -28,6 +28,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bridgerec.llm.blocks import texts
+from bridgerec.llm.blocks import text_blocks
+from bridgerec.llm.chunk_table import ChunkTable
 from bridgerec.llm.staging import shuffle_partitions
 
 # Fixed values of the seekable zstandard layout.
@@ -51,11 +53,6 @@ _SKIP = struct.Struct("<II")
 _INDEX = struct.Struct("<BxxxII")
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 
-#: Entries of a task's chunk table; a full table is emptied.
-TABLE_ENTRIES = 400_000
-#: Longer chunks are encoded without being kept.
-KEPT_BYTES = 48
-
 MANIFEST = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -67,6 +64,10 @@ MANIFEST = T.StructType(
 )
 
 
+#: Letters on which the shortcuts of an encoder are tried.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 class ChunkEncoder:
     """Ids of texts through a table of distinct chunks between white space."""
 
@@ -76,31 +77,48 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         # chunks are independent only if white space is dropped; if not, texts are encoded whole
-        probe = self.tokenizer.encode("ab  cd\n e", add_special_tokens=False).ids
-        apart = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ab", "cd", "e")]
-        self.by_chunk = probe == sum(apart, []) and not self.tokenizer.encode(" \n\t", add_special_tokens=False).ids
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.table: dict[bytes, bytes] = {}
+        apart = sum(map(self._ids, ("ab", "cd", "e")), [])
+        self.by_chunk = self._ids("ab  cd\n e") == apart and not self._ids(" \n\t")
+        self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
+        # further shortcuts, each taken only if the tokenizer shows that it changes nothing
+        self.lower = self._ids(ALPHABET) == self._ids(ALPHABET.lower())
+        apart = all(self._ids(f"{c}{m}") == self._ids(c) + self._ids(m) for c in ALPHABET for m in ".,")
+        self.marks = {m.encode(): array(self.code, self._ids(m)).tobytes() for m in ".,"} if apart else {}
+        self.specials = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.table = ChunkTable(self._encode_new)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(x.ids, f"<u{self.width}").tobytes() for x in found]
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian integers of ``width`` bytes."""
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        return [array(self.code, x.ids).tobytes() for x in found]
+
+    def _encode_new(self, chunks: list[bytes]) -> list[bytes]:
+        """A letter and a stop or comma that ends the chunk are never in one piece,
+        so the word before the mark is looked up or encoded by itself."""
+        if not self.marks:
+            return self._encode(chunks)
+        stems = {c[:-1] if c[-1:] in self.marks and c[-2:-1].isalpha() else c for c in chunks}
+        have = {c: x for c in stems if (x := self.table.get(c)) is not None}
+        new = [c for c in stems if c not in have]
+        have.update(zip(new, self._encode(new), strict=True))
+        return [have[c] if c in have else have[c[:-1]] + self.marks[c[-1:]] for c in chunks]
+
+    def _plain(self, text: bytes) -> bytes:
+        """Lower case where that cannot touch a composition or make a special token."""
+        if not (self.lower and text.isascii()):
+            return text
+        low = text.lower()
+        return text if any(x in low for x in self.specials) else low
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian integers of ``width`` bytes."""
         if not self.by_chunk:
-            return self._encode([text])[0]
-        chunks, table = text.split(), self.table
-        if new := [c for c in dict.fromkeys(chunks) if c not in table]:
-            if len(table) + len(new) > TABLE_ENTRIES:
-                table.clear()
-                new = list(dict.fromkeys(chunks))
-            table.update(zip(new, self._encode(new), strict=True))
-        ids = b"".join([table[c] for c in chunks])
-        for c in new:
-            if len(c) > KEPT_BYTES:
-                del table[c]
-        return ids
+            return self._encode(texts)
+        rows = [self._plain(t).split() for t in texts]
+        ids = self.table.covering(rows).__getitem__
+        return [b"".join(map(ids, row)) for row in rows]
 
 
 @lru_cache(maxsize=2)
@@ -213,8 +231,10 @@ def write_token_files(
         for batch in batches:
             if writer is None and batch.num_rows:
                 writer = ShardWriter(folder, TaskContext.get().partitionId(), enc.width, level)
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                writer.add(doc_id, enc.encode(text) + end)
+            ids = batch.column(0).to_pylist()
+            for a, block in text_blocks(batch.column(1)):
+                for doc_id, coded in zip(ids[a : a + len(block)], enc.encode(block), strict=True):
+                    writer.add(doc_id, coded + end)
         if writer is not None:
             yield pa.RecordBatch.from_pylist([writer.close()], schema=to_arrow)
 

@@ -30,16 +30,16 @@ def test_encode_is_the_librarys(sp):
     rng = random.Random(2)
     more = ["".join(rng.choices("ab ▁é\n.T", k=rng.randint(1, 40))) for _ in range(500)]
     for text in TEXTS + more:
-        ids = np.frombuffer(codec.encode(text.encode()), "<u4").tolist()
+        ids = np.frombuffer(codec.encode([text.encode()])[0], "<u4").tolist()
         assert ids == [sp.bos_id(), *sp.encode(text), sp.eos_id()], repr(text)
-        assert codec.decode(codec.encode(text.encode())) == sp.decode(ids)
+        assert codec.decode(codec.encode([text.encode()])[0]) == sp.decode(ids)
 
 
-def test_small_table_is_emptied_without_change(sp, monkeypatch):
-    monkeypatch.setattr("bridgerec.llm.sentencepiece_codec.TABLE_ENTRIES", 3)
+def test_small_table_drops_entries_without_change(sp):
     codec = ChunkCodec(MODEL)
-    for text in ["a b c d e f g", "a b x", "q r s t a"]:
-        assert np.frombuffer(codec.encode(text.encode()), "<u4").tolist()[1:-1] == sp.encode(text)
+    codec.table.entries = 3
+    for text in ["a b c d e f g", "a b x", "q r s t a", "a b c d e f g", "w" * 300 + " a"] * 2:
+        assert np.frombuffer(codec.encode([text.encode()])[0], "<u4").tolist()[1:-1] == sp.encode(text)
 
 
 def test_frame(spark, sp):

@@ -15,22 +15,22 @@ from bridgerec.llm.token_files import ChunkEncoder, ShardReader, read_token_file
 FILE = vocabulary("word_bpe_49k.json")
 TEXTS = [
     "The cat's  CAT", None, "", " \n", "naïve ÇA\tx 中文", "<|endoftext|> x<|startoftext|>y", "\x1c \x85a b ΣΑΣ é",
-    "word " * 3000, "z" * 4000, "same", "same", "ǅ İ I'll don'T 1234 ½",
+    "word " * 3000, "z" * 4000, "same", "same", "ǅ İ I'll don'T 1234 ½", "J̌ẖ H̱ İ", "x<|EndOfText|>.", "A.B. c., d.. e,f. it's.",
 ]
 
 
 def test_encode_is_the_librarys():
     enc, lib = ChunkEncoder(FILE), Tokenizer.from_file(FILE)
     assert enc.by_chunk and enc.width == 2
-    for t in TEXTS:
-        got = np.frombuffer(enc.encode((t or "").encode()), "<u2").tolist()
+    for t, coded in zip(TEXTS, enc.encode([(t or "").encode() for t in TEXTS]), strict=True):
+        got = np.frombuffer(coded, "<u2").tolist()
         assert got == lib.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
 @pytest.fixture(scope="module")
 def written(spark, tmp_path_factory):
     folder = "file://" + str(tmp_path_factory.mktemp("tokens"))
-    ids = [5, 3, 9, None, 12, 7, 1, 30, 22, 40, 40, 2]
+    ids = [5, 3, 9, None, 12, 7, 1, 30, 22, 40, 40, 2, 50, 51, 52]
     docs = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, TEXTS)], "doc_id long, text string, path string")
     return folder, docs, write_token_files(docs, folder, FILE, end_id=1)
 
