@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bridgerec.llm.decontaminate import contamination
+from bridgerec.llm.embed_dedup import embedding_near_dups
 from bridgerec.llm.ngram_jaccard import ngram_jaccard_join
+from bridgerec.llm.quality import fit_quality, quality_scores
 from bridgerec.llm.sentencepiece_codec import sentencepiece_codec
 from bridgerec.llm.staging import Stage
 from bridgerec.llm.suffix_dedup import repeated_passages
 from bridgerec.llm.token_counts import token_counts
 from bridgerec.llm.token_files import as_uri, read_token_files, write_token_files
+from bridgerec.llm.toxicity import fit_toxicity, toxicity_scores
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -60,6 +63,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), Stage(spark, "toxicity"))
+    return toxicity_scores(docs, model)
+
+
+def op8_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dups(table(spark, sf_dir, "embeddings"), Stage(spark, "embed-dedup"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"), Stage(spark, "suffix-dedup"))
     return found.select("doc_id", F.explode("repeated").alias("s"), "later").select(
@@ -68,3 +81,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s.end").alias("end_word"),
         F.exists("later", lambda x: (x.start < F.col("s.end")) & (x.end > F.col("s.start"))).alias("is_later"),
     )
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), Stage(spark, "quality"))
+    return quality_scores(docs, model)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from bridgerec.llm import queries as q
 from bridgerec.llm import oracle
+from bridgerec.llm.staging import ship_package
 
 NAMES = [
     "op1_ngram_jaccard",
@@ -15,12 +17,24 @@ NAMES = [
     "op3_token_counts",
     "op4_token_files",
     "op5_decontaminate",
+    "op7_toxicity",
+    "op8_embedding_near_dups",
     "op9_suffix_dedup",
+    "op10_quality",
 ]
 
 
+def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: getattr(q, n) for n in NAMES}
+    return {n: _with_package(getattr(q, n)) for n in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,5 +53,23 @@ class Stage:
                 _delete(self.spark, self.root)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once an application; Spark serves the file."""
+    import bridgerec
+
+    if (application := spark.sparkContext.applicationId) in _shipped:
+        return
+    _shipped.add(application)
+    top = Path(bridgerec.__file__).parent
+    packed = f"{tempfile.mkdtemp(prefix='bridgerec-')}/bridgerec.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(packed)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
