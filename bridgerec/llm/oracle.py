@@ -30,6 +30,13 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+# op6: what the files must give back, and the records that were damaged on purpose.
+WARC_AUDIT = """
+SELECT page_id, sha256(coalesce(html, '')) AS payload_sha256, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT)
+       AS n_bytes, coalesce(page_id % 97 = 13, false) AS damaged
+FROM pages
+"""
+
 
 def build() -> dict[str, str]:
-    return {"op5_decontaminate": DECONTAMINATE}
+    return {"op5_decontaminate": DECONTAMINATE, "op6_warc_audit": WARC_AUDIT}

@@ -21,6 +21,7 @@ from bridgerec.llm.suffix_dedup import repeated_passages
 from bridgerec.llm.token_counts import token_counts
 from bridgerec.llm.token_files import as_uri, read_token_files, write_token_files
 from bridgerec.llm.toxicity import fit_toxicity, toxicity_scores
+from bridgerec.llm.warc import audit, copy_replica, merkle_levels, read_warc, write_warc
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -63,6 +64,21 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op6_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC files and copied to a second folder, where the copy of
+    every page whose id leaves 13 when divided by 97 is damaged on purpose; the audit of
+    the two must find these records and no others."""
+    stage = Stage(spark, "warc")
+    first, second = (as_uri(stage.path(x)) for x in ("first", "second"))
+    index = write_warc(table(spark, sf_dir, "pages"), first, stage)
+    copy_replica(index, first, second, flip=F.col("page_id") % 97 == 13)
+    bad = audit(merkle_levels(index, first, stage, "ours"), merkle_levels(index, second, stage, "theirs"))
+    damaged = index.join(bad.select("file", F.col("node").alias("place")), ["file", "place"]).groupBy("page_id").count()
+    damaged = damaged.select(F.col("page_id").alias("bad_id"), F.lit(True).alias("hit"))
+    read = read_warc(index, first).join(damaged, F.col("page_id").eqNullSafe(F.col("bad_id")), "left")
+    return read.select("page_id", "payload_sha256", "n_bytes", F.coalesce("hit", F.lit(False)).alias("damaged"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), Stage(spark, "toxicity"))

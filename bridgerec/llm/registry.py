@@ -17,6 +17,7 @@ NAMES = [
     "op3_token_counts",
     "op4_token_files",
     "op5_decontaminate",
+    "op6_warc_audit",
     "op7_toxicity",
     "op8_embedding_near_dups",
     "op9_suffix_dedup",
