@@ -3,31 +3,30 @@
 A passage is ``min_words`` or more consecutive words that also stand somewhere
 else, in another text or the same one.
 
-1. Of every window of ``min_words`` words the smallest of its 16-word grams is
-   retained as a suffix position.  Equal windows retain the same position, so a
-   repeat is never missed, and about one position in eighteen remains.
-2. Suffixes whose first 16 words stand nowhere else are dropped after a
-   pre-aggregated count.  The others get the words that follow and precede them,
-   as far as a window can reach.
-3. Suffixes are sorted by their words and neighbours compared; the length of the
-   common prefix of neighbours gives, for every depth, the runs of suffixes that
-   agree so far to the right.  Each match is extended to the left: for each
-   division of ``min_words`` into words left and right of the position, members of
-   a run that also agree on the left hold the same window.
-4. A 16-word start that more than ``GROUP`` positions share is not sorted in one
-   task: its windows are counted by fingerprint instead, which adds up inside
-   tasks before the shuffle, and gives the same windows.
-5. Windows are merged into the maximal passages of each text.
+1. Of every window of ``min_words`` words the position of its smallest 16-word
+   gram (the leftmost, if some are equal) is retained as a suffix.  Equal windows
+   retain the same position, so no repeat is missed, and about one position in
+   eighteen remains.
+2. Grams are counted, adding up inside tasks before the shuffle.  Suffixes whose
+   gram stands nowhere else are dropped; a Bloom filter of bounded size carries the
+   repeated grams to the texts, and what it lets through wrongly only costs time.
+3. A retained suffix is extended to the left and right by the windows that retain
+   it.  Suffixes are sorted by gram, the windows of equal grams by hash and by place,
+   and neighbours are compared: equal neighbours are a match, and the first of them
+   is the first occurrence.
+4. A gram that more than ``GROUP`` suffixes share is not sorted in one task: its
+   windows are counted by hash, again adding up inside tasks first.
+5. Matched windows are merged into the maximal passages of each text.
 
 Words are runs of bytes other than space and 0x09-0x0D, compared without the case
 of A-Z.  The first occurrence of a window is the one with the smallest id (null
 ids last), then text, then position.
 
 Defined cases: null texts and texts of fewer than ``min_words`` words hold no
-passage; rows that agree in id and text are one document; equal ids with
-different texts are different documents; an empty table gives an empty table;
-only the named columns are read, and ``drop_repeats`` returns every other column
-as it was.
+passage; rows that agree in id and text repeat each other, share one result and
+neither is later; equal ids with different texts are different documents; an empty
+table gives an empty table; only the named columns are read, and ``drop_repeats``
+returns every other column as it was.
 """
 
 from __future__ import annotations
@@ -36,200 +35,189 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgerec.llm.blocks import row_blocks, text_bytes
-from bridgerec.llm.staging import Stage, shuffle_partitions
-from bridgerec.llm.word_hash import SPACED, mix, window_hashes, words_of
+from bridgerec.llm.blocks import row_blocks, text_bytes, whole_groups
+from bridgerec.llm.staging import Stage, fresh_name, maybe_broadcast, row_key, shuffle_partitions
+from bridgerec.llm.word_hash import SPACED, window_hashes, words_of
 
 #: Words of a gram whose hash selects positions.
 GRAM = 16
 #: Positions of one gram that are sorted together.
-GROUP = 4096
+GROUP = 1 << 15
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the Bloom filter for each repeated gram, and its largest size.
+BITS_EACH, MOST_BITS = 16, 1 << 29
 
 
-def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
-    """op over x[i:i + width] for each i that has them all."""
-    have, span = x, 1
+def owners(words: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of ``counts`` words, one after another in ``words``: the starts of
+    all windows, the position each retains, and the hash of the gram there."""
+    if len(words) < min_words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    grams = window_hashes(words, GRAM)
+    width, span = min_words - GRAM + 1, 1
+    least, value = np.arange(len(grams)), grams
+
+    def smaller(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(y < x, b, a), np.minimum(x, y)
+
     while span * 2 <= width:
-        have = op(have[:-span], have[span:])
+        least, value = smaller(least[:-span], least[span:], value[:-span], value[span:])
         span *= 2
-    return op(have[: len(x) - width + 1], have[width - span : len(x) - span + 1])
+    n, skip = len(grams) - width + 1, width - span
+    least, value = smaller(least[:n], least[skip : skip + n], value[:n], value[skip : skip + n])
+    starts = np.arange(n)
+    starts = starts[starts + min_words <= np.repeat(np.cumsum(counts), counts)[:n]]  # inside its own text
+    return starts, least[starts], value[starts]
 
 
-def retained(words: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``words`` (texts of ``counts`` words, one after another) that
-    are kept, and the hashes of the grams that start there."""
-    if len(words) < min_words:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = window_hashes(words, GRAM)
-    width = min_words - GRAM + 1
-    least = _sliding(grams, width, np.minimum)  # by the start of a window
-    ends = np.cumsum(counts)
-    start = np.arange(len(least))
-    end_of = np.repeat(ends, counts)[: len(least)]
-    least = np.where(start + min_words <= end_of, least, 0)  # a window ends in its own text
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    at = np.flatnonzero((_sliding(padded, width, np.maximum)[: len(grams)] == grams) & (grams != 0))
-    return at, grams[at]
+def _cells(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return grams & np.uint64(bits - 1), (grams >> np.uint64(29)) & np.uint64(bits - 1)
+
+
+def _bloom(grams: DataFrame) -> np.ndarray:
+    """A Bloom filter, packed to bytes, of ``grams(gram)``."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * max(1, grams.count()) - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for c in _cells(batch.column(0).to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(cells, (c >> np.uint64(3)).astype(np.int64), (1 << (c & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()])], names=["cells"])
+
+    parts = grams.mapInArrow(run, "cells binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint8))
+    return parts.treeReduce(np.bitwise_or, depth=3)
+
+
+def _held(bloom: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    out = np.ones(len(grams), bool)
+    for c in _cells(grams, len(bloom) * 8):
+        out &= (bloom[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, doc): doc stands for the row in all later tables."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("doc", F.xxhash64("id", "text"))
+    return rows.withColumn("doc", row_key("id", "text"))
 
 
-def _anchors(rows: DataFrame, min_words: int) -> DataFrame:
-    """(gram, id, doc, pos) of the retained positions."""
+def _grams(rows: DataFrame, min_words: int) -> DataFrame:
+    """(gram) of every retained position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, docs = batch.column(0), batch.column(2)
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(0))
             for a, b in row_blocks(offsets):
                 words, _, _, counts = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACED)
-                at, grams = retained(words, counts, min_words)
-                begins = np.cumsum(counts) - counts
-                row = np.repeat(np.arange(a, b), counts)[at]
-                cols = [
-                    pa.array(grams.view(np.int64)),
-                    ids.take(pa.array(row)),
-                    docs.take(pa.array(row)),
-                    pa.array((at - begins[row - a]).astype(np.int32)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["gram", "id", "doc", "pos"])
+                _, owner, gram = owners(words, counts, min_words)
+                first = np.ones(len(owner), bool)
+                first[1:] = owner[1:] != owner[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64))], names=["gram"])
 
-    return rows.mapInArrow(run, "gram long, id long, doc long, pos int")
+    return rows.select("text").mapInArrow(run, "gram long")
 
 
-def _contexts(rows: DataFrame, repeated: DataFrame, min_words: int) -> DataFrame:
-    """The repeated positions with their words: (gram, m, id, doc, pos, right,
-    left, n_right, n_left).  ``right`` holds the words after the gram and ``left``
-    those before it, nearest first, 32 bits of each hash in big-endian order."""
-    reach = min_words - GRAM
-    by_doc = repeated.groupBy("doc").agg(F.collect_list(F.struct("pos", "gram", "m")).alias("at"))
-    joined = rows.join(by_doc, "doc").select("id", "text", "doc", "at.pos", "at.gram", "at.m")
-    names = ["gram", "m", "id", "doc", "pos", "right", "left", "n_right", "n_left"]
+def _suffixes(rows: DataFrame, min_words: int, repeated: Broadcast, hot: Broadcast) -> DataFrame:
+    """(gram, hot, id, doc, start, windows): the suffixes whose gram is repeated, with
+    the hashes of the windows that retain them, which start at ``start`` and after."""
+    names = ["gram", "hot", "id", "doc", "start", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, docs = batch.column(0), batch.column(2)
             data, offsets = text_bytes(batch.column(1))
-            for k in range(batch.num_rows):
-                words, _, _, _ = words_of(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]), SPACED)
-                pos, gram, m = (batch.column(c)[k].values.to_numpy() for c in (3, 4, 5))
-                pos = pos.astype(np.int64)
-                short = np.zeros(len(words) + 2 * reach, ">u4")
-                short[reach : reach + len(words)] = words >> np.uint64(32)
-                # reach words before a position stand at [pos, pos + reach) of the padded array
-                left = short[pos[:, None] + np.arange(reach - 1, -1, -1)]
-                right = short[pos[:, None] + reach + GRAM + np.arange(reach)]
-                n_left, n_right = np.minimum(pos, reach), np.minimum(len(words) - pos - GRAM, reach)
-                size = pa.binary(4 * reach)
-                packed = [pa.FixedSizeBinaryArray.from_buffers(size, len(pos), [None, pa.py_buffer(x.tobytes())]) for x in (right, left)]
+            for a, b in row_blocks(offsets):
+                words, _, _, counts = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACED)
+                starts, owner, gram = owners(words, counts, min_words)
+                keep = _held(repeated.value, gram)
+                starts, owner, gram = starts[keep], owner[keep], gram[keep]
+                if not len(starts):
+                    continue
+                first = np.ones(len(owner), bool)
+                first[1:] = owner[1:] != owner[:-1]
+                cuts = np.append(np.flatnonzero(first), len(owner))
+                gram, begins = gram[first], np.cumsum(counts) - counts
+                row = np.repeat(np.arange(a, b), counts)[owner[first]]
+                keys = window_hashes(words, min_words)[starts]
+                packed = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(gram), [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(keys)]
+                )
                 cols = [
-                    pa.array(gram),
-                    pa.array(m),
-                    pa.array([batch.column(0)[k].as_py()] * len(pos), pa.int64()),
-                    pa.array(np.full(len(pos), batch.column(2)[k].as_py(), np.int64)),
-                    pa.array(pos.astype(np.int32)),
-                    *(p.cast(pa.binary()) for p in packed),
-                    pa.array(n_right.astype(np.int32)),
-                    pa.array(n_left.astype(np.int32)),
+                    pa.array(gram.view(np.int64)),
+                    pa.array(_held(hot.value, gram)),
+                    ids.take(pa.array(row)),
+                    docs.take(pa.array(row)),
+                    pa.array((starts[first] - begins[row - a]).astype(np.int32)),
+                    packed,
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(
-        run, "gram long, m long, id long, doc long, pos int, right binary, left binary, n_right int, n_left int"
-    )
+    return rows.mapInArrow(run, "gram long, hot boolean, id long, doc long, start int, windows binary")
 
 
-def _matrix(column: pa.Array, reach: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, reach).astype(np.uint64)
+def _matches(suffixes: DataFrame) -> DataFrame:
+    """(id, doc, start, found, later): bit i of ``found`` tells that the window at
+    start + i stands elsewhere too, of ``later`` that its first occurrence is elsewhere."""
+    schema = "id long, doc long, start int, found long, later long"
 
-
-def _hashes(matrix: np.ndarray) -> np.ndarray:
-    """Column k: a hash of the first k words of each row."""
-    out = np.zeros((len(matrix), matrix.shape[1] + 1), np.uint64)
-    for k in range(matrix.shape[1]):
-        out[:, k + 1] = mix((out[:, k] + matrix[:, k] + np.uint64(1)) * _MULTIPLIER)
-    return out
-
-
-def _matches(contexts: DataFrame, min_words: int) -> DataFrame:
-    """(id, doc, start, later): the windows that stand elsewhere too; ``later``
-    if this is not their first occurrence."""
-    reach = min_words - GRAM
-    names = ["id", "doc", "start", "later"]
-    schema = "id long, doc long, start int, later boolean"
+    def flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of all windows, the row of each and its place in the row."""
+        windows = table.column("windows").combine_chunks()
+        size = pc.binary_length(windows).to_numpy().astype(np.int64) // 8
+        keys = np.frombuffer(b"".join(windows.to_pylist()), np.uint64)
+        return keys, np.repeat(np.arange(len(size)), size), np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            table = now if kept is None else pa.concat_tables([kept, now]).combine_chunks()
-            gram = table.column(0).to_numpy()
-            cuts = np.flatnonzero(gram[1:] != gram[:-1]) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            if last:
-                yield from compare(table.slice(0, last))
-            kept = table.slice(last)
-        if kept is not None and kept.num_rows:
-            yield from compare(kept)
-
-    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram, doc, pos, n_right, n_left = (table.column(c).to_numpy() for c in ("gram", "doc", "pos", "n_right", "n_left"))
-        ids = table.column("id").combine_chunks()
-        id_key = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-        right = _matrix(table.column("right"), reach)
-        same = gram[1:] == gram[:-1]
-        equal = right[1:] == right[:-1]
-        common = np.where(equal.all(axis=1), reach, equal.argmin(axis=1))  # words shared with the row before
-        common = np.where(same, common, -1)
-        left = _hashes(_matrix(table.column("left"), reach))
-        rank = np.empty(len(gram), np.int64)
-        rank[np.lexsort((pos, doc, id_key))] = np.arange(len(gram))
-        for before in range(reach + 1):
-            after = reach - before
-            fits = np.flatnonzero((n_left >= before) & (n_right >= after))
-            run = np.concatenate([[0], np.cumsum(common < after)]).astype(np.uint64)
-            agree = mix(run[fits] * _MULTIPLIER + left[fits, before])
-            order = np.lexsort((rank[fits], agree))
-            ranked = agree[order]
-            begins = np.ones(len(order), bool)
-            begins[1:] = ranked[1:] != ranked[:-1]
-            alone = begins.copy()
-            alone[:-1] &= begins[1:]
-            hit = fits[order[~alone]]
-            # equal rows are one document, so a run may hold the same occurrence only once
-            cols = [ids.take(pa.array(hit)), pa.array(doc[hit]), pa.array((pos[hit] - before).astype(np.int32)), pa.array(~begins[~alone])]
-            if len(hit):
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        for table, _ in whole_groups(batches, 1):
+            yield compare(table)
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        by_place = [("id", "ascending"), ("doc", "ascending"), ("start", "ascending")]  # null ids go last
+        table = table.take(pc.sort_indices(table, by_place)).combine_chunks()
+        keys, row, at = flat(table)
+        order = np.argsort(keys, kind="stable")  # equal windows stay in the order of their places
+        same = keys[order][1:] == keys[order][:-1]
+        found, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        found[order[1:]] |= same
+        found[order[:-1]] |= same
+        doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy()
+        head = order[np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(order))))]
+        later[order] = (doc[row[order]] != doc[row[head]]) | ((start[row] + at)[order] != (start[row] + at)[head])
+        bit = np.uint64(1) << at.astype(np.uint64)
+        masks = []
+        for on in (found, later & found):
+            mask = np.zeros(table.num_rows, np.uint64)
+            np.bitwise_or.at(mask, row[on], bit[on])
+            masks.append(mask)
+        hit = pa.array(masks[0] != 0)
+        cols = [table.column(c).combine_chunks() for c in ("id", "doc", "start")]
+        cols += [pa.array(m.view(np.int64)) for m in masks]
+        return pa.RecordBatch.from_arrays(cols, names=["id", "doc", "start", "found", "later"]).filter(hit)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            gram, pos, n_right, n_left = (t.column(c).to_numpy() for c in ("gram", "pos", "n_right", "n_left"))
-            left, right = (_hashes(_matrix(t.column(c), reach)) for c in ("left", "right"))
-            for before in range(reach + 1):
-                fits = np.flatnonzero((n_left >= before) & (n_right >= reach - before))
-                window = mix(mix(left[fits, before] * _MULTIPLIER + right[fits, reach - before]) + gram[fits].view(np.uint64) + np.uint64(before))
-                cols = [batch.column(i).take(pa.array(fits)) for i in (2, 3)]
-                cols += [pa.array((pos[fits] - before).astype(np.int32)), pa.array(window.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "doc", "start", "window"])
-
-    order = ["gram", "right"]
-    parts = shuffle_partitions(contexts.sparkSession)
-    few = contexts.filter(F.col("m") <= GROUP).repartition(parts, "gram").sortWithinPartitions(*order)
-    sorted_ = few.mapInArrow(neighbours, schema)
-    many = contexts.filter(F.col("m") > GROUP).mapInArrow(windows, "id long, doc long, start int, window long")
+            table = pa.Table.from_batches([batch])
+            keys, row, at = flat(table)
+            cols = [batch.column(i).take(pa.array(row)) for i in (2, 3)]
+            cols += [pa.array((table.column("start").to_numpy()[row] + at).astype(np.int32)), pa.array(keys.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "doc", "start", "window"])
+
+    parts = shuffle_partitions(suffixes.sparkSession)
+    few = suffixes.filter("not hot").repartition(parts, "gram").sortWithinPartitions("gram")
+    many = suffixes.filter("hot").mapInArrow(windows, "id long, doc long, start int, window long")
     here = F.struct(F.coalesce("id", F.lit(np.iinfo(np.int64).max)).alias("id"), "doc", "start")
     counted = many.groupBy("window").agg(F.count("*").alias("n"), F.min(here).alias("first")).filter("n > 1")
-    counted = many.join(counted, "window").select("id", "doc", "start", (here != F.col("first")).alias("later"))
-    return sorted_.unionAll(counted)
+    one = F.lit(1).cast("long")
+    counted = many.join(counted, "window").select(
+        "id", "doc", "start", one.alias("found"), F.when(here != F.col("first"), one).otherwise(0).alias("later")
+    )
+    return few.mapInArrow(neighbours, schema).unionAll(counted)
 
 
 def repeated_passages(
@@ -241,16 +229,16 @@ def repeated_passages(
     runs covered by windows that stand elsewhere too, and by windows whose first
     occurrence is elsewhere.  ``doc`` stands for the row (see :func:`drop_repeats`).
     """
-    if not GRAM <= min_words:
-        raise ValueError(f"min_words must be at least {GRAM}")
+    if not GRAM <= min_words < GRAM + 64:  # a suffix's windows are the bits of a mask
+        raise ValueError(f"min_words must be from {GRAM} to {GRAM + 63}")
     rows = _documents(docs, id_col, text_col)
-    anchors = stage.write(_anchors(rows, min_words).dropDuplicates(["doc", "pos"]), "anchors")
-    counts = anchors.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
-    repeated = anchors.join(counts, "gram").select("doc", "pos", "gram", "m")
-    contexts = stage.write(_contexts(rows.dropDuplicates(["doc"]), repeated, min_words), "contexts")
-    found = _matches(contexts, min_words)
+    spark = docs.sparkSession
+    counts = _grams(rows, min_words).groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
+    counts = stage.write(counts, "grams")
+    filters = [spark.sparkContext.broadcast(_bloom(c.select("gram"))) for c in (counts, counts.filter(F.col("m") > GROUP))]
+    found = _matches(_suffixes(rows, min_words, *filters))
     by_doc = found.groupBy("doc").agg(
-        F.min("id").alias("id"), F.collect_list(F.struct("start", "later")).alias("windows")
+        F.min("id").alias("id"), F.collect_list(F.struct("start", "found", "later")).alias("at")
     )
     spans = "array<struct<start: int, end: int>>"
 
@@ -263,15 +251,21 @@ def repeated_passages(
             return [{"start": int(p[0]), "end": int(p[-1]) + min_words} for p in np.split(starts, cut)]
 
         arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        bits = np.arange(min_words - GRAM + 1, dtype=np.uint64)
         for batch in batches:
             both: list[tuple] = []
-            for start, later in zip(batch.column(2), batch.column(3), strict=True):
-                start, later = start.values.to_numpy(), later.values.to_numpy(zero_copy_only=False)
-                both.append((runs(start), runs(start[later])))
+            for start, *masks in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
+                start = start.values.to_numpy().astype(np.int64)
+                row = []
+                for mask in masks:
+                    on = (mask.values.to_numpy().view(np.uint64)[:, None] >> bits) & np.uint64(1) == 1
+                    which, at = np.nonzero(on)
+                    row.append(runs(start[which] + at))
+                both.append(tuple(row))
             cols = [pa.array([x[k] for x in both], arrow) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc", id_col, "repeated", "later"])
 
-    flat = by_doc.select("doc", "id", "windows.start", "windows.later")
+    flat = by_doc.select("doc", "id", "at.start", "at.found", "at.later")
     return flat.mapInArrow(merge, f"doc long, {id_col} long, repeated {spans}, later {spans}")
 
 
@@ -281,9 +275,11 @@ def drop_repeats(
     """``docs`` with every passage cut out of the texts where it is not the first
     occurrence.  The white space after a cut goes with it; all rows stay."""
     spans = stage.write(repeated_passages(docs, stage, min_words, id_col, text_col), "spans")
-    spans = spans.filter(F.size("later") > 0).select(F.col("doc").alias("_doc"), "later")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_doc", F.xxhash64(F.col(id_col).cast("long"), text)).join(spans, "_doc", "left").drop("_doc")
+    key, cuts = fresh_name(docs, "doc_key"), fresh_name(docs, "doc_cuts")
+    spans = maybe_broadcast(spans.filter(F.size("later") > 0), "1 + size(later)").select(
+        F.col("doc").alias(key), F.col("later").alias(cuts)
+    )
+    keyed = docs.withColumn(key, row_key(id_col, text_col)).join(spans, key, "left").drop(key)
     at = keyed.columns.index(text_col)
     out = docs.schema
 

@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=3)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
     up[0] = down[0] = 1
@@ -73,7 +73,12 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each ``size`` consecutive words; one for each start that has that many after it."""
     if len(words) < size:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(words) - size + 1, np.uint64)
-    for i in range(size):
-        out = out * _M3 + words[i : i + len(out)]
-    return mix(out + np.uint64(size))
+    if size <= 8:
+        out = np.zeros(len(words) - size + 1, np.uint64)
+        for i in range(size):
+            out = out * _M3 + words[i : i + len(out)]
+        return mix(out + np.uint64(size))
+    up, down = _powers(1 << max(16, len(words).bit_length()))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down[: len(words) - size + 1] + np.uint64(size))
