@@ -144,11 +144,6 @@ def mix(a, b, weight: float = 1.0, shift: float = 0.0) -> Column:
     return F.lit(float(weight)) * _col(a) + F.lit(1.0 - float(weight)) * (_col(b) + F.lit(float(shift)))
 
 
-def add_scaled(p, g, alpha: float) -> Column:
-    """p + alpha * g element-wise (a gradient step)."""
-    return F.zip_with(_col(p), _col(g), lambda x, y: x + F.lit(float(alpha)) * y)
-
-
 def to_vector(a) -> Column:
     return array_to_vector(_col(a))
 

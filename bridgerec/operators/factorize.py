@@ -5,23 +5,24 @@ Factor tables are DataFrames ``id int, features array<double>`` (plus
 ``bias double`` for the biased model), the shape of ``ALSModel.userFactors``.
 
 Gradient epoch (data-parallel form of the reference's SGD sweep): every
-rating is joined to its user and item factors, the error ``e = r - p.q`` is
-computed once per rating, and the increments are summed per user and per item
-with one ``groupBy`` each.  The per-factor sums are ``rank`` plain ``sum``
-aggregates, so Spark combines them map-side before the shuffle: a user with a
-third of all ratings still ships one row per task.  All increments use the
-epoch-start factors.  ``step="sum"`` adds the summed increment (the first-order
-equivalent of one SGD pass); ``step="mean"`` divides it by the id's rating
+rating is joined to its user and item factors, the error ``e = r - p.q`` and both
+increments are computed once per rating, and one ``groupBy`` of (side, id) sums them
+for users and items alike.  The item join is salted (``SALTS`` copies of the item
+table), so the ratings of a hot item spread over as many tasks; the sums combine
+inside tasks before their shuffle, so a hot id ships one row a task.  All increments
+use the epoch-start factors.  ``step="sum"`` adds the summed increment (the
+first-order equivalent of one SGD pass); ``step="mean"`` divides it by the id's rating
 count, which stays bounded for ids with very many ratings.  Each epoch is
 written to the checkpoint folder so lineage does not grow with the epochs.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
@@ -29,7 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bridgerec.functions import vectors as V
-from bridgerec.session import ensure_checkpoint_dir, materialize
+from bridgerec.session import ensure_checkpoint_dir, materialize, ship_package
+
+
+#: User and item blocks of ALS: so many, or more if a block would have more ratings than
+#: this.  The factors depend on the number, so it follows from the data and never from
+#: the cluster: one seed gives one model on a cluster of any size.
+ALS_BLOCKS, BLOCK_RATINGS = 16, 2_000_000
+#: ALS iterations: what the reference gives its own ALS fits.
+ALS_ITERS = 20
+#: Parts of an item's ratings in a gradient epoch.
+SALTS = 16
 
 
 @dataclass
@@ -38,7 +49,6 @@ class FactorModel:
     items: DataFrame
     mu: float | None = None  # global mean of the biased model
     rank: int | None = None
-    als_model: object | None = None  # the fitted ALSModel, when ALS produced the factors
 
     @property
     def biased(self) -> bool:
@@ -51,7 +61,7 @@ class FactorModel:
 def als_fit(
     ratings: DataFrame,
     rank: int,
-    max_iter: int = 10,
+    max_iter: int = ALS_ITERS,
     reg: float = 0.1,
     seed: int = 42,
     num_blocks: int | None = None,
@@ -59,7 +69,7 @@ def als_fit(
 ) -> FactorModel:
     """Spark ML ALS; factors come back as ``array<double>``.  ALS checkpoints
     its own factor RDDs every 10 iterations into the session's checkpoint
-    folder; the user/item block count follows the default parallelism."""
+    folder."""
     ensure_checkpoint_dir(ratings.sparkSession)
     als = ALS(
         rank=rank,
@@ -72,31 +82,15 @@ def als_fit(
         coldStartStrategy="drop",
         checkpointInterval=10,
     )
-    # ALS's fixed default of 10 blocks caps its parallelism; follow the cluster's.
-    blocks = num_blocks or max(10, ratings.sparkSession.sparkContext.defaultParallelism)
-    als = als.setNumBlocks(blocks)
+    num_blocks = num_blocks or max(ALS_BLOCKS, -(-ratings.count() // BLOCK_RATINGS))
+    als = als.setNumBlocks(num_blocks)
+    # rows in a fixed order in fixed parts, for sums in a fixed order
+    ratings = ratings.repartition(num_blocks, "user_id", "item_id").sortWithinPartitions("user_id", "item_id")
     model = als.fit(ratings)
     arr = T.ArrayType(T.DoubleType())
     users = model.userFactors.select(F.col("id").cast("int").alias("id"), F.col("features").cast(arr).alias("features"))
     items = model.itemFactors.select(F.col("id").cast("int").alias("id"), F.col("features").cast(arr).alias("features"))
-    return FactorModel(users, items, rank=rank, als_model=model)
-
-
-def recommend_top_n(model: FactorModel, n: int) -> DataFrame:
-    """Top-``n`` items of every user over the full item set (the reference's
-    all-pairs prediction followed by a per-user sort), using ALS's built-in
-    blocked top-k: per block of users and items only the running top-n
-    survive, so the users x items product is never materialised.
-    Output ``user_id, item_id, rank, prediction`` (ties: Spark's order)."""
-    if model.als_model is None:
-        raise ValueError("recommend_top_n needs a model fitted by als_fit")
-    recs = model.als_model.recommendForAllUsers(n)
-    return recs.select(F.col("user_id"), F.posexplode("recommendations").alias("pos", "r")).select(
-        "user_id",
-        F.col("r.item_id").alias("item_id"),
-        (F.col("pos") + 1).alias("rank"),
-        F.col("r.rating").cast("double").alias("prediction"),
-    )
+    return FactorModel(users, items, rank=rank)
 
 
 # ------------------------------------------------------- initial factors
@@ -118,20 +112,18 @@ def init_factors(ratings: DataFrame, rank: int, bias: bool = False) -> FactorMod
 # ------------------------------------------------------ gradient epochs
 
 
-def _side_sums(j: DataFrame, key: str, grad_col: str, rank: int, bias_col: str | None) -> DataFrame:
-    aggs = [F.sum(F.col(grad_col)[f]).alias(f"_g{f}") for f in range(rank)]
-    if bias_col is not None:
-        aggs.append(F.sum(bias_col).alias("_gb"))
-    aggs.append(F.count(F.lit(1)).alias("_n"))
-    out = j.groupBy(key).agg(*aggs)
-    cols = [F.col(key).alias("id"), F.array(*[F.col(f"_g{f}") for f in range(rank)]).alias("_grad"), "_n"]
-    if bias_col is not None:
-        cols.append("_gb")
-    return out.select(*cols)
+def _sums(g: DataFrame, rank: int, bias: bool) -> DataFrame:
+    """``side, id, _grad, _n[, _gb]``: the summed increments of users and items."""
+    aggs = [F.sum(F.col("_g")[f]).alias(f"_g{f}") for f in range(rank)] + [F.count(F.lit(1)).alias("_n")]
+    if bias:
+        aggs.append(F.sum("_b").alias("_gb"))
+    out = g.groupBy("side", "id").agg(*aggs)
+    grad = F.array(*[F.col(f"_g{f}") for f in range(rank)]).alias("_grad")
+    return out.select("side", "id", grad, "_n", *(["_gb"] if bias else []))
 
 
 def _apply(side: DataFrame, sums: DataFrame, alpha: float, step: str, bias: bool) -> DataFrame:
-    joined = side.join(sums, "id", "left")
+    joined = side.join(sums.drop("side"), "id", "left")
     scale = F.lit(float(alpha)) if step == "sum" else F.lit(float(alpha)) / F.col("_n").cast("double")
     feats = F.when(F.col("_grad").isNull(), F.col("features")).otherwise(
         F.zip_with(F.col("features"), F.col("_grad"), lambda p, g: p + scale * g)
@@ -150,8 +142,9 @@ def gradient_epoch(
     alpha: float,
     lam: float,
     step: str = "mean",
+    checkpoint: bool = True,
 ) -> FactorModel:
-    """One full-batch epoch; returns new (lazy) factor tables."""
+    """One full-batch epoch; the sums are written once and feed both factor tables."""
     if step not in ("sum", "mean"):
         raise ValueError("step must be 'sum' or 'mean'")
     rank = _rank_of(model)
@@ -160,11 +153,9 @@ def gradient_epoch(
     if model.biased:
         ucols.append(F.col("bias").alias("_bu"))
         icols.append(F.col("bias").alias("_bi"))
-    j = (
-        ratings.select("user_id", "item_id", "rating")
-        .join(model.users.select(*ucols), "user_id")
-        .join(model.items.select(*icols), "item_id")
-    )
+    items = model.items.select(*icols, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rated = ratings.select("user_id", "item_id", "rating", F.pmod(F.xxhash64("user_id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    j = rated.join(model.users.select(*ucols), "user_id").join(items, ["item_id", "_salt"])
     if model.biased:
         pred = V.biased_dot(model.mu, "_bu", "_bi", "_p", "_q")
     else:
@@ -172,20 +163,18 @@ def gradient_epoch(
     j = j.withColumn("_e", F.col("rating") - pred)
     lam_c = F.lit(float(lam))
     e = F.col("_e")
-    cols = [
-        "user_id",
-        "item_id",
-        F.zip_with("_q", "_p", lambda q, p: q * e - lam_c * p).alias("_gu"),
-        F.zip_with("_p", "_q", lambda p, q: p * e - lam_c * q).alias("_gi"),
-    ]
-    if model.biased:
-        cols += [(e - lam_c * F.col("_bu")).alias("_ebu"), (e - lam_c * F.col("_bi")).alias("_ebi")]
-    g = j.select(*cols)
-    usum = _side_sums(g, "user_id", "_gu", rank, "_ebu" if model.biased else None)
-    isum = _side_sums(g, "item_id", "_gi", rank, "_ebi" if model.biased else None)
-    users = _apply(model.users, usum, alpha, step, model.biased)
-    items = _apply(model.items, isum, alpha, step, model.biased)
-    return FactorModel(users, items, model.mu, rank)
+    gu = F.zip_with("_q", "_p", lambda q, p: q * e - lam_c * p)
+    gi = F.zip_with("_p", "_q", lambda p, q: p * e - lam_c * q)
+    bu, bi = ((e - lam_c * F.col(c)) if model.biased else F.lit(0.0) for c in ("_bu", "_bi"))
+    sides = F.array(
+        F.struct(F.lit("user").alias("side"), F.col("user_id").alias("id"), gu.alias("_g"), bu.alias("_b")),
+        F.struct(F.lit("item").alias("side"), F.col("item_id").alias("id"), gi.alias("_g"), bi.alias("_b")),
+    )
+    sums = _sums(j.select(F.explode(sides).alias("s")).select("s.*"), rank, model.biased)
+    sums = materialize(sums) if checkpoint else sums
+    users = _apply(model.users, sums.where("side = 'user'"), alpha, step, model.biased)
+    new_items = _apply(model.items, sums.where("side = 'item'"), alpha, step, model.biased)
+    return FactorModel(users, new_items, model.mu, rank)
 
 
 def _rank_of(model: FactorModel) -> int:
@@ -215,7 +204,7 @@ def fit_gradient(
     model = FactorModel(model.users, model.items, mu if bias else None, rank)
     a = alpha
     for _ in range(iters):
-        model = gradient_epoch(ratings, model, a, lam, step)
+        model = gradient_epoch(ratings, model, a, lam, step, checkpoint)
         if checkpoint:
             model = FactorModel(materialize(model.users), materialize(model.items), model.mu, rank)
         a *= decay
@@ -238,7 +227,7 @@ def fit_bias_baseline(ratings: DataFrame, reg: float = 10.0) -> tuple[float, Dat
 
 
 def fit_biased_als(
-    ratings: DataFrame, rank: int, max_iter: int = 10, reg: float = 0.1, seed: int = 42, bias_reg: float = 10.0
+    ratings: DataFrame, rank: int, max_iter: int = ALS_ITERS, reg: float = 0.1, seed: int = 42, bias_reg: float = 10.0
 ) -> FactorModel:
     """Biased model at scale: bias baseline first, then ALS on the residual
     r - mu - b_u - b_i (same objective family as the biased gradient model)."""
@@ -257,20 +246,21 @@ def fit_biased_als(
 
 
 def fit_lfm(ratings: DataFrame, rank: int, iters: int, lam: float, solver: str = "als", alpha: float = 0.01,
-            decay: float = 0.9, step: str = "mean", als_max_iter: int = 10, seed: int = 42) -> FactorModel:
-    """Plain factorisation by ``solver``: "als" (default at scale) or "gradient"."""
+            decay: float = 0.9, step: str = "mean", als_iters: int = ALS_ITERS, seed: int = 42) -> FactorModel:
+    """Plain factorisation by ``solver``: "als" (default at scale, ``als_iters``
+    iterations) or "gradient" (``iters`` epochs)."""
     if solver == "als":
-        return als_fit(ratings, rank, als_max_iter, lam, seed)
+        return als_fit(ratings, rank, als_iters, lam, seed)
     if solver == "gradient":
         return fit_gradient(ratings, rank, iters, alpha, lam, decay, step)
     raise ValueError(solver)
 
 
 def fit_biased(ratings: DataFrame, rank: int, iters: int, lam: float, solver: str = "als", alpha: float = 0.01,
-               decay: float = 0.9, step: str = "mean", mu: float | None = None, als_max_iter: int = 10,
+               decay: float = 0.9, step: str = "mean", mu: float | None = None, als_iters: int = ALS_ITERS,
                seed: int = 42) -> FactorModel:
     if solver == "als":
-        return fit_biased_als(ratings, rank, als_max_iter, lam, seed)
+        return fit_biased_als(ratings, rank, als_iters, lam, seed)
     if solver == "gradient":
         return fit_gradient(ratings, rank, iters, alpha, lam, decay, step, bias=True, mu=mu)
     raise ValueError(solver)
@@ -279,8 +269,9 @@ def fit_biased(ratings: DataFrame, rank: int, iters: int, lam: float, solver: st
 # ------------------------------------------------------------ predict
 
 
-def predict_pairs(pairs: DataFrame, model: FactorModel, out: str = "prediction") -> DataFrame:
-    """Score only the given (user, item) pairs; pairs without both factors drop."""
+def predict_pairs(pairs: DataFrame, model: FactorModel, out: str = "prediction", clamp: tuple[float, float] | None = None) -> DataFrame:
+    """Score only the given (user, item) pairs; pairs without both factors drop.
+    ``clamp`` = (low, high) limits the predictions, which the reference does not do."""
     ucols = [F.col("id").alias("user_id"), F.col("features").alias("_p")]
     icols = [F.col("id").alias("item_id"), F.col("features").alias("_q")]
     if model.biased:
@@ -290,6 +281,8 @@ def predict_pairs(pairs: DataFrame, model: FactorModel, out: str = "prediction")
         model.items.select(*icols), "item_id"
     )
     pred = V.biased_dot(model.mu, "_bu", "_bi", "_p", "_q") if model.biased else V.dot("_p", "_q")
+    if clamp is not None:
+        pred = F.greatest(F.least(pred, F.lit(float(clamp[1]))), F.lit(float(clamp[0])))
     return j.select("user_id", "item_id", pred.alias(out))
 
 
@@ -316,84 +309,70 @@ class SVDResult:
     V: DataFrame  # id int, features array<double>  (column ids kept)
 
 
-# RowMatrix builds a Gramian of the column dimension; MLlib refuses more columns.
-SVD_MAX_COLUMNS = 65535
-
-
 def truncated_svd(
     ratings: DataFrame,
     k: int,
     row: str = "user_id",
     col: str = "item_id",
-    method: str = "auto",
-    oversample: int = 10,
-    power_iters: int = 4,
+    tol: float = 1e-7,
+    max_iters: int = 60,
+    block: int = 24,
     seed: int = 17,
 ) -> SVDResult:
     """Top-``k`` singular triplets of the sparse rating matrix (rows keyed by
-    ``row`` ids, columns by ``col`` ids; ids are kept, never positions).
-
-    ``method="krylov"`` (default): randomized block Krylov iteration (Musco &
-    Musco 2015; Halko, Martinsson & Tropp 2011) written as DataFrame joins and
-    aggregations.  Each multiplication by A or A^T is one join of the ratings
-    with an (id, l-vector) table plus a per-id ``sum`` of ``l`` products; the
-    Krylov blocks [A W, (A A^T) A W, ...] are orthonormalised with only small
-    Gram matrices on the driver (at most l * (power_iters + 1) square), then a
-    Rayleigh-Ritz step gives the top ``k`` triplets.  U and V stay distributed
-    and keyed by id, so neither the item count nor the user count is bounded by
-    driver memory.
-
-    ``method="mllib"``: ``IndexedRowMatrix.computeSVD`` (exact; the column
-    count is limited to 65535, which also bounds the n x k V that MLlib builds
-    on the driver).
-
-    ``method="auto"`` (default): "mllib" when the column count (max id + 1)
-    is within that limit, else "krylov".  Krylov is accurate when the
-    spectrum decays; for a nearly flat spectrum the trailing singular values
-    are approximate (more ``power_iters`` tighten them)."""
-    if method == "auto":
-        n_cols = ratings.agg(F.max(col)).first()[0]
-        method = "mllib" if n_cols is not None and int(n_cols) + 1 <= SVD_MAX_COLUMNS else "krylov"
-    if method == "mllib":
-        return _svd_mllib(ratings, k, row, col)
-    if method != "krylov":
-        raise ValueError(method)
+    ``row`` ids, columns by ``col`` ids; ids are kept, never positions; repeated
+    pairs add up).
+
+    One method at every size: block Lanczos on A^T A with full orthogonalisation
+    (Golub and Underwood 1977).  The basis is a DataFrame keyed by column id; a step
+    multiplies the newest ``block`` columns by A and A^T (a join and a per-id sum each),
+    and the small matrices that steer it (basis width x block) are sums of numpy
+    products over Arrow batches.  Steps go on until every triplet's residual
+    |A^T u - s v| is at most ``tol`` times the largest singular value, or the basis
+    spans all columns; ``ValueError`` if ``max_iters`` steps don't get there or the
+    matrix has fewer than ``k`` non-zero singular values.
+    """
+    ship_package(ratings.sparkSession)
     a = materialize(ratings.select(F.col(row).cast("int").alias("i"), F.col(col).cast("int").alias("j"),
                                    F.col("rating").cast("double").alias("v")))
-    dims = a.agg(F.countDistinct("i"), F.countDistinct("j")).first()
-    l = int(min(k + oversample, dims[0], dims[1]))
-    if l <= 0:
-        raise ValueError("empty matrix")
-    omega = a.select(F.col("j").alias("id")).distinct().select("id", _test_vector("id", l, seed).alias("x"))
-    held: list[DataFrame] = []
-    blocks = [_orthonormalize(_times(a, omega, "i", "j", l), l, 1, held)]
-    for _ in range(power_iters):
-        z = _orthonormalize(_times(a, blocks[-1], "j", "i", blocks[-1].l), blocks[-1].l, 1, held)
-        blocks.append(_orthonormalize(_times(a, z, "i", "j", z.l), z.l, 1, held))
-    krylov, width = blocks[0].df, blocks[0].l
-    for n, b in enumerate(blocks[1:]):
-        krylov = krylov.join(b.df.withColumnRenamed("x", f"_x{n}"), "id").select(
-            "id", F.concat("x", f"_x{n}").alias("x")
-        )
-        width += b.l
-    q = _orthonormalize(krylov, width, 2, held)
-    q = _Basis(materialize(q.df), q.l)
-    bt = materialize(_times(a, q, "j", "i", q.l))  # B^T = A^T Q, one vector per column id
-    lam, vecs = _eig_desc(_gram(bt, q.l))
-    keep = [i for i in range(min(k, len(lam))) if lam[i] > 0 and math.sqrt(lam[i]) > 1e-9 * math.sqrt(lam[0])]
-    s = [math.sqrt(lam[i]) for i in keep]
-    uhat = vecs[:, keep]
-    U = materialize(_rows_times(q.df, uhat).withColumnRenamed("x", "features"))
-    Vdf = materialize(_rows_times(bt, uhat / np.array(s)).withColumnRenamed("x", "features"))
-    for h in held:
-        h.unpersist()
-    return SVDResult(U, s, Vdf)
-
-
-@dataclass
-class _Basis:
-    df: DataFrame  # id, x array<double> of length l
-    l: int
+    ids = a.select(F.col("j").alias("id")).distinct()
+    n = ids.count()
+    if not 0 < k <= n:
+        raise ValueError(f"{k} singular triplets asked for, {n} columns")
+    start = ids.select("id", _test_vector("id", min(block, n), seed).alias("z"), F.array().cast("array<double>").alias("x"))
+    basis, widths = _extended(start, np.zeros((0, min(block, n))), 0)
+    h = np.zeros((0, 0))
+    for _ in range(max_iters):
+        m, b = sum(widths), widths[-1]
+        newest = basis.select("id", F.slice("x", m - b + 1, b).alias("x"))
+        z = _times(a, _times(a, newest, "i", "j", b), "j", "i", b)
+        both = materialize(basis.join(z.select("id", F.col("x").alias("z")), "id"))
+        c, zz = _products(both, m, b)
+        grown = np.zeros((m, m))
+        grown[: m - b, : m - b] = h
+        grown[:, m - b :], grown[m - b :, :] = c, c.T
+        grown[m - b :, m - b :] = (c[m - b :] + c[m - b :].T) / 2
+        h = grown
+        theta, y = _eig_desc(h)
+        left = zz - c.T @ c  # Gram matrix of what the basis does not yet explain
+        s = np.sqrt(np.maximum(theta[:k], 0))
+        last = y[m - b :, :k]
+        off = np.sqrt(np.maximum(np.einsum("ia,ij,ja->a", last, left, last), 0))
+        done = m >= k and bool((off <= tol * s[0] * np.maximum(s, tol * s[0])).all())
+        if done or m >= n:
+            break
+        basis, added = _extended(both, c, m)
+        if not added:
+            break
+        widths += added
+    else:
+        raise ValueError(f"no convergence to {tol} in {max_iters} steps")
+    if len(s) < k or not (s > 1e-7 * s[0]).all():  # smaller ones are lost in the rounding of A^T A
+        raise ValueError(f"the matrix has fewer than {k} non-zero singular values")
+    v = materialize(_rows_times(basis, y[:, :k], "x"))
+    u = _rows_times(_times(a, v, "i", "j", k), np.diag(1 / s), "x")
+    rename = [F.col("id").cast("int").alias("id"), F.col("x").alias("features")]
+    return SVDResult(materialize(u.select(*rename)), s.tolist(), v.select(*rename))
 
 
 def _test_vector(id_col: str, l: int, seed: int):
@@ -405,91 +384,76 @@ def _test_vector(id_col: str, l: int, seed: int):
     )
 
 
-def _times(a: DataFrame, x, out_key: str, in_key: str, l: int) -> DataFrame:
+def _times(a: DataFrame, x: DataFrame, out_key: str, in_key: str, l: int) -> DataFrame:
     """A X (out_key = "i") or A^T X (out_key = "j"): join the entries with the
     l-vectors of ``in_key`` ids and sum v * x per ``out_key`` id."""
-    xdf = x.df if isinstance(x, _Basis) else x
-    j = a.join(xdf.select(F.col("id").alias(in_key), F.col("x").alias("_x")), in_key).select(
+    j = a.join(x.select(F.col("id").alias(in_key), F.col("x").alias("_x")), in_key).select(
         out_key, F.transform("_x", lambda e: e * F.col("v")).alias("_c")
     )
     agg = j.groupBy(out_key).agg(*[F.sum(F.col("_c")[f]).alias(f"_s{f}") for f in range(l)])
     return agg.select(F.col(out_key).alias("id"), F.array(*[F.col(f"_s{f}") for f in range(l)]).alias("x"))
 
 
-def _gram(x: DataFrame, l: int):
-    """X^T X (l x l): one row per position a with l sums each, so the
-    aggregation combines per task before its small shuffle."""
-    rows = (
-        x.select(F.posexplode("x").alias("a", "xa"), "x")
-        .select("a", F.transform("x", lambda e: e * F.col("xa")).alias("_r"))
-        .groupBy("a")
-        .agg(*[F.sum(F.col("_r")[b]).alias(f"_g{b}") for b in range(l)])
-        .collect()
-    )
-    g = np.zeros((l, l))
-    for r in rows:
-        g[int(r["a"])] = [float(r[f"_g{b}"]) for b in range(l)]
-    return g
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), width)
 
 
-def _eig_desc(g):
-    m = np.asarray(g, dtype=float)
-    m = (m + m.T) / 2.0
-    w, v = np.linalg.eigh(m)
-    order = np.argsort(w)[::-1]
-    return w[order], v[:, order]
+def _products(both: DataFrame, m: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """X^T Z (m x b) and Z^T Z (b x b) over rows (x, z), added up in a tree."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((m + b, b))
+        for batch in batches:
+            x, z = _matrix(batch.column(0), m), _matrix(batch.column(1), b)
+            total[:m] += x.T @ z
+            total[m:] += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
 
-def _rows_times(x: DataFrame, m) -> DataFrame:
-    """Each row vector times the small literal matrix ``m`` (JVM-side)."""
-    return x.select(F.col("id").cast("int").alias("id"), _matmul("x", np.asarray(m, dtype=float).tolist()).alias("x"))
+    parts = both.select("x", "z").mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(r[0]))
+    total = parts.treeReduce(np.add, depth=3).reshape(m + b, b)
+    return total[:m], total[m:]
 
 
-def _matmul(arr_col: str, m):
-    """Row vector times an l_in x l_out literal matrix."""
-    cols = F.array(*[F.array(*[F.lit(float(m[r][c])) for r in range(len(m))]) for c in range(len(m[0]))])
-    return F.transform(
-        cols, lambda mc: F.aggregate(F.zip_with(F.col(arr_col), mc, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    )
+def _extended(both: DataFrame, c: np.ndarray, m: int) -> tuple[DataFrame, list[int]]:
+    """The basis with the part of Z that it does not explain, made orthonormal in two
+    passes (like CholeskyQR2); directions that vanish are dropped.  Returns the new
+    basis and the width that was added, as a list."""
+    rest = _mapped(both, lambda x, z: (x, z - x @ c))
+    width = c.shape[1]
+    for _ in range(2):
+        rest = materialize(rest)
+        cross, gram = _products(rest, m, width)
+        lam, vecs = _eig_desc(gram - cross.T @ cross)
+        keep = lam > 1e-12 * max(lam[0], 1e-300)
+        if not keep.any() or lam[0] <= 0:
+            return both.select("id", "x"), []
+        turn, width = vecs[:, keep] / np.sqrt(lam[keep]), int(keep.sum())
+        rest = _mapped(rest, lambda x, z, cross=cross, turn=turn: (x, (z - x @ cross) @ turn))
+    joined = _mapped(rest, lambda x, z: (np.hstack([x, z]), z[:, :0]))
+    return materialize(joined.select("id", "x")), [width]
 
 
-def _orthonormalize(x: DataFrame, l: int, passes: int, held: list) -> _Basis:
-    """Orthonormal basis of the column space of X by the eigen-decomposition
-    of its l x l Gram matrix (directions with a negligible eigenvalue are
-    dropped); a second pass restores orthogonality to rounding level (like
-    CholeskyQR2).  X is cached for its two reads; every basis is written to
-    the checkpoint folder, so the lineage stays one step deep."""
-    cur = x.persist()
-    held.append(cur)
-    for _ in range(passes):
-        lam, vecs = _eig_desc(_gram(cur, l))
-        keep = [i for i in range(l) if lam[i] > 1e-12 * max(lam[0], 1e-300)]
-        m = vecs[:, keep] / np.sqrt(lam[keep])
-        cur = materialize(_rows_times(cur, m))
-        l = len(keep)
-    return _Basis(cur, l)
-
-
-def _svd_mllib(ratings: DataFrame, k: int, row: str, col: str) -> SVDResult:
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix
-
-    spark = ratings.sparkSession
-    r = ratings.select(F.col(row).alias("i"), F.col(col).alias("j"), F.col("rating").alias("v"))
-    dims = r.agg(F.max("i"), F.max("j")).first()
-    n_rows, n_cols = int(dims[0]) + 1, int(dims[1]) + 1
-    if n_cols > SVD_MAX_COLUMNS:
-        raise ValueError(f"MLlib SVD needs at most {SVD_MAX_COLUMNS} columns, got {n_cols}")
-    entries = r.rdd.map(lambda t: (int(t[0]), int(t[1]), float(t[2])))
-    svd = CoordinateMatrix(entries, n_rows, n_cols).toIndexedRowMatrix().computeSVD(k, computeU=True)
-    s = [float(x) for x in svd.s.toArray()]
-    arr = T.ArrayType(T.DoubleType())
-    schema = T.StructType([T.StructField("id", T.IntegerType(), False), T.StructField("features", arr, False)])
-    U = spark.createDataFrame(
-        svd.U.rows.map(lambda ir: (int(ir.index), [float(x) for x in ir.vector.toArray()])), schema
-    )
-    U = materialize(U)
-    # V keyed by column id, derived distributed as A^T U / s.
-    inv = [[1.0 / x if i == c else 0.0 for c in range(len(s))] for i, x in enumerate(s)]
-    vt = _times(r, U.select("id", F.col("features").alias("x")), "j", "i", len(s))
-    Vdf = vt.select(F.col("id").cast("int").alias("id"), _matmul("x", inv).alias("features"))
-    return SVDResult(U, s, materialize(Vdf))
+def _mapped(both: DataFrame, step) -> DataFrame:
+    """(id, x, z) with ``step`` applied to the rows of x and z of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x, z = step(*(batch.column(k).flatten().to_numpy().reshape(n, -1) for k in (1, 2)))
+            cols = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * y.shape[1], y.ravel()) for y in (x, z)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "x", "z"])
+
+    return both.select("id", "x", "z").mapInArrow(run, "id int, x array<double>, z array<double>")
+
+
+def _rows_times(df: DataFrame, m: np.ndarray, name: str) -> DataFrame:
+    """(id, x): each row vector times the small matrix ``m``."""
+    empty = F.array().cast("array<double>").alias("z")
+    return _mapped(df.select("id", F.col(name).alias("x"), empty), lambda x, z: (x @ m, z)).select("id", "x")
+
+
+def _eig_desc(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w, v = np.linalg.eigh((g + g.T) / 2.0)
+    return w[::-1], v[:, ::-1]

@@ -16,8 +16,8 @@ KEYS = ["user_id", "item_id"]
 
 def covered_pairs(test: DataFrame, train: DataFrame) -> DataFrame:
     """Test rows whose user and item both occur in ``train`` (two semi joins)."""
-    users = train.select("user_id")
-    items = train.select("item_id")
+    users = train.select("user_id").distinct()
+    items = train.select("item_id").distinct()
     return test.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi")
 
 
@@ -64,11 +64,6 @@ def rmse(pred: DataFrame, test: DataFrame, denominator: str = "joined", pred_col
     return error_metrics(pred, test, pred_col).select(F.col(col).alias("rmse"))
 
 
-def mae(pred: DataFrame, test: DataFrame, denominator: str = "test", pred_col: str = "prediction") -> DataFrame:
-    col = {"joined": "mae_joined", "test": "mae_test_n"}[denominator]
-    return error_metrics(pred, test, pred_col).select(F.col(col).alias("mae"))
-
-
 def top_n(ratings: DataFrame, n: int, score_col: str = "rating", exclude: DataFrame | None = None) -> DataFrame:
     """The ``n`` highest-scored items of every user, ties by smaller item id.
 
@@ -90,25 +85,33 @@ def distinct_pairs(ratings: DataFrame) -> DataFrame:
     return ratings.agg(F.count_distinct("user_id", "item_id").alias("n_pairs"))
 
 
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` rows, for inspection only."""
-    return df.limit(n)
+def preview(ratings: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` rows by user and item, for inspection."""
+    return ratings.orderBy(*KEYS).limit(n)
+
+
+def extremes(pred: DataFrame, pred_col: str = "prediction") -> DataFrame:
+    """One row: the smallest and the largest prediction and their number."""
+    return pred.agg(F.min(pred_col).alias("lowest"), F.max(pred_col).alias("highest"), F.count(F.lit(1)).alias("n"))
 
 
 def user_item_counts(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def precision_recall(pred: DataFrame, test: DataFrame, n: int, pred_col: str = "prediction") -> DataFrame:
+def precision_recall(
+    pred: DataFrame, test: DataFrame, n: int, pred_col: str = "prediction", exclude_seen: DataFrame | None = None
+) -> DataFrame:
     """Micro-averaged precision and recall at ``n`` over users present in both.
 
     hit = sum over users of |topN(pred) & topN(test)|; recall = hit / sum of
     the users' test item counts; precision = hit / (n * users), also for users
-    with fewer than ``n`` predictions."""
+    with fewer than ``n`` predictions.  ``exclude_seen`` (e.g. the training pairs)
+    takes items a user has already rated out of the predicted lists."""
     pred_users = pred.select("user_id").distinct()
     test_both = test.join(pred_users, "user_id", "left_semi")
     test_users = test.select("user_id").distinct()
-    p_top = top_n(pred.join(test_users, "user_id", "left_semi").withColumnRenamed(pred_col, "_s"), n, "_s")
+    p_top = top_n(pred.join(test_users, "user_id", "left_semi").withColumnRenamed(pred_col, "_s"), n, "_s", exclude_seen)
     t_top = top_n(test_both, n, "rating")
     hits = p_top.select(*KEYS).join(t_top.select(*KEYS), KEYS)
     per_user = test_both.groupBy("user_id").agg(F.count(F.lit(1)).alias("cnt"))

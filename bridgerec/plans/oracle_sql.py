@@ -75,14 +75,14 @@ def bias_ctes(table: str) -> list[str]:
     ]
 
 
-def pred_ctes() -> list[str]:
-    """PD: plain dot predictions, PB: biased predictions for covered test pairs."""
+def pred_ctes(train: str = "ttr", pairs: str = "tte") -> list[str]:
+    """PD: plain dot predictions, PB: biased predictions of the ``pairs`` that ``train`` covers."""
     return (
-        factors("F", "ttr_pc")
-        + bias_ctes("ttr_pc")
+        factors("F", train)
+        + bias_ctes(train)
         + [
             "PD AS (SELECT t.user_id, t.item_id, " + dot("U.p", "I.q") + " AS prediction,"
-            " U.p AS p, I.q AS q FROM tte t JOIN FU U ON t.user_id = U.id JOIN FI I ON t.item_id = I.id)",
+            f" U.p AS p, I.q AS q FROM {pairs} t JOIN FU U ON t.user_id = U.id JOIN FI I ON t.item_id = I.id)",
             "PB AS (SELECT PD.user_id, PD.item_id, "
             + dot("PD.p", "PD.q", "(COALESCE(BU.bias, 0) + COALESCE(BI.bias, 0) + (SELECT mu FROM MU))")
             + " AS prediction FROM PD LEFT JOIN BU ON PD.user_id = BU.id LEFT JOIN BI ON PD.item_id = BI.id)",
@@ -227,16 +227,20 @@ def _clamp(x: str) -> str:
 
 
 def _cos_ctes() -> list[str]:
-    return [
-        "EV AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
-        "EN AS (SELECT id, v, SQRT(list_reduce(list_transform(v, lambda x: x * x), lambda acc, x: acc + x, CAST(0 AS DOUBLE))) AS n FROM EV)",
-        "SIM AS (SELECT a.id AS u1, b.id AS u2, " + dot("a.v", "b.v") + " / (a.n * b.n) AS sim"
-        " FROM EN a JOIN EN b ON a.id <> b.id WHERE a.n > 0 AND b.n > 0)",
+    """SIM: each vector against the centre of its label (sign 1) and its opposite (sign -1)."""
+    norm = "SQRT(list_reduce(list_transform({0}, lambda x: x * x), lambda acc, x: acc + x, CAST(0 AS DOUBLE)))"
+    faced = "list_transform(CM.c, lambda x: x * CAST(sg AS DOUBLE))"
+    return _emb_ctes() + [
+        f"PR AS (SELECT EM.vec_id AS u1, CM.cluster AS u2, CAST(sg AS INT) AS sign, EM.v AS a, {faced} AS b"
+        " FROM EM JOIN CM ON EM.label = CM.cluster CROSS JOIN (VALUES (1), (-1)) AS sgs(sg))",
+        "SIM AS (SELECT u1, u2, sign, " + dot("a", "b") + f" / ({norm.format('a')} * {norm.format('b')}) AS sim FROM PR"
+        f" WHERE {norm.format('a')} > 0 AND {norm.format('b')} > 0)",
+        "SPREAD AS (SELECT u1, u2, sign, SIGN(sim) * SQRT(ABS(sim)) AS sim FROM SIM)",
     ]
 
 
 def _bin(x: str) -> str:
-    lo, hi = "(SELECT MIN(sim) FROM SIM)", "(SELECT MAX(sim) FROM SIM)"
+    lo, hi = "(SELECT MIN(sim) FROM SPREAD)", "(SELECT MAX(sim) FROM SPREAD)"
     iv = f"(({hi} + CAST(1 AS DOUBLE) - {lo}) / CAST(5 AS DOUBLE))"
     cases = " ".join(
         f"WHEN {x} >= {lo} + CAST({b - 1} AS DOUBLE) * {iv} AND {x} < {lo} + CAST({b} AS DOUBLE) * {iv} THEN CAST({b} AS DOUBLE)"
@@ -259,9 +263,13 @@ def build() -> dict[str, str]:
         "SELECT '{name}' AS table_name, MAX(user_id) + 1 AS n_rows, MAX(item_id) + 1 AS n_cols,"
         " COUNT(DISTINCT user_id) AS n_users, COUNT(DISTINCT item_id) AS n_items FROM {t}"
     )
+    s["preview_ratings"] = with_base() + f"SELECT user_id, item_id, {r6('rating')} AS rating FROM tte ORDER BY user_id, item_id LIMIT 5"
+    for name, t in (("parse_tab", "ttr"), ("parse_comma", "src"), ("parse_strict", "tte")):
+        s[name] = with_base() + f"SELECT user_id, item_id, {r6('rating')} AS rating FROM {t}"
     s["pool_distinct"] = with_base() + (
         f"SELECT user_id, item_id, {r6('rating')} AS rating FROM"
-        " (SELECT user_id, item_id, rating FROM src UNION SELECT user_id, item_id, rating FROM ttr)"
+        " (SELECT user_id, item_id, rating FROM src UNION"
+        " SELECT user_id, item_id, rating FROM r_all WHERE split = 'train')"
     )
     s["pool_all"] = with_base() + (
         f"SELECT 'source' AS domain, user_id, item_id, {r6('rating')} AS rating FROM src UNION ALL"
@@ -270,7 +278,7 @@ def build() -> dict[str, str]:
     s["user_overlap"] = with_base() + (
         "SELECT CASE WHEN s = 1 AND t = 1 THEN 'shared' WHEN s = 1 THEN 'source_only' ELSE 'target_only' END AS category,"
         " COUNT(*) AS n_users FROM (SELECT user_id, MAX(in_s) AS s, MAX(in_t) AS t FROM"
-        " (SELECT user_id, 1 AS in_s, 0 AS in_t FROM src_po UNION ALL SELECT user_id, 0, 1 FROM ttr) GROUP BY user_id)"
+        " (SELECT user_id, 1 AS in_s, 0 AS in_t FROM src_po UNION ALL SELECT user_id, 0, 1 FROM ttr_pc) GROUP BY user_id)"
         " GROUP BY 1"
     )
     s["coverage_pairs"] = with_base() + (
@@ -289,10 +297,17 @@ def build() -> dict[str, str]:
         " lambda acc, x: acc + x, CAST(0 AS DOUBLE))"
     )
     s["pred_diag_scaled"] = with_base(*pred_ctes()) + f"SELECT user_id, item_id, {r6(diag_dot)} AS prediction FROM PD"
-    capped = f"CASE WHEN ({diag_dot}) / CAST(100 AS DOUBLE) > CAST(5 AS DOUBLE) THEN CAST(5 AS DOUBLE) ELSE ({diag_dot}) / CAST(100 AS DOUBLE) END"
+    scaled = f"(({diag_dot}) / {_d(Q.CAP_SCALE)})"
+    capped = f"CASE WHEN {scaled} > CAST(5 AS DOUBLE) THEN CAST(5 AS DOUBLE) ELSE {scaled} END"
     s["pred_scaled_cap"] = with_base(*pred_ctes()) + f"SELECT user_id, item_id, {r6(capped)} AS prediction FROM PD"
-    raw = "(CAST(8 AS DOUBLE) * prediction - CAST(1 AS DOUBLE))"
+    raw = f"({_d(Q.CLAMP_SCALE)} * prediction - {_d(Q.CLAMP_SHIFT)})"
     s["pred_clamp"] = with_base(*pred_ctes()) + f"SELECT user_id, item_id, {r6(_clamp(raw))} AS prediction FROM PD"
+    s["pred_extremes"] = with_base(*pred_ctes(), f"CL AS (SELECT {_clamp(raw)} AS c FROM PD)") + (
+        f"SELECT {r6('MIN(c)')} AS lowest, {r6('MAX(c)')} AS highest, COUNT(*) AS n FROM CL"
+    )
+    s["pred_limited"] = with_base(*pred_ctes()) + (
+        f"SELECT user_id, item_id, {r6('GREATEST(LEAST(prediction, ' + _d(3.3) + '), ' + _d(2.9) + ')')} AS prediction FROM PB"
+    )
     sd = arr(Q.SIGNED_DIAG)
     fold = (
         f"list_reduce(list_transform(range(1, len(p) + 1), lambda ix: p[ix] * {sd}[ix] * q[ix]),"
@@ -320,7 +335,7 @@ def build() -> dict[str, str]:
         f"G AS (SELECT CAST(ix - 1 AS INTEGER) AS k, AVG({diag}[ix] * e - {lam} * {diag}[ix]) AS g"
         f" FROM ER CROSS JOIN range(1, {k + 1}) AS rg(ix) GROUP BY ix)",
     ) + f"SELECT k, {r6(f'{diag}[k + 1] + {_d(Q.REFINE_ALPHA)} * g')} AS d FROM G"
-    mctes = pred_ctes() + [
+    mctes = pred_ctes("ttr_pc") + [
         "MJ AS (SELECT PB.prediction - t.rating AS df FROM PB JOIN tte t ON PB.user_id = t.user_id AND PB.item_id = t.item_id)"
     ]
     s["rmse_joined"] = with_base(*mctes) + f"SELECT {r6('SQRT(SUM(df * df) / COUNT(*))')} AS rmse, COUNT(*) AS n_joined FROM MJ"
@@ -337,20 +352,23 @@ def build() -> dict[str, str]:
     )
     s["user_item_counts"] = with_base() + "SELECT user_id, COUNT(*) AS n_items FROM tte GROUP BY user_id"
     n = Q.TOP_N
-    s["precision_recall"] = with_base(
-        *pred_ctes(),
-        "PU AS (SELECT DISTINCT user_id FROM PB)",
-        "TB AS (SELECT * FROM tte WHERE user_id IN (SELECT user_id FROM PU))",
-        "PT AS (SELECT user_id, item_id FROM (SELECT user_id, item_id, ROW_NUMBER() OVER (PARTITION BY user_id"
-        f" ORDER BY prediction DESC, item_id) AS rn FROM PB WHERE user_id IN (SELECT user_id FROM tte)) WHERE rn <= {n})",
-        "TT AS (SELECT user_id, item_id FROM (SELECT user_id, item_id, ROW_NUMBER() OVER (PARTITION BY user_id"
-        f" ORDER BY rating DESC, item_id) AS rn FROM TB) WHERE rn <= {n})",
-        "H AS (SELECT COUNT(*) AS hits FROM PT JOIN TT ON PT.user_id = TT.user_id AND PT.item_id = TT.item_id)",
-        "S AS (SELECT COUNT(*) AS n_recall, COUNT(DISTINCT user_id) AS n_users FROM TB)",
-    ) + (
-        f"SELECT {r6(f'CAST(hits AS DOUBLE) / CAST(n_users * {n} AS DOUBLE)')} AS precision,"
-        f" {r6('CAST(hits AS DOUBLE) / CAST(n_recall AS DOUBLE)')} AS recall, hits, n_users, n_recall FROM H, S"
-    )
+    seen = "WHERE NOT EXISTS (SELECT 1 FROM ttr x WHERE x.user_id = PB.user_id AND x.item_id = PB.item_id) AND"
+    for name, pairs, only in (("precision_recall", "tte", "WHERE"), ("precision_recall_unseen", "both_pairs", seen)):
+        s[name] = with_base(
+            "both_pairs AS (SELECT user_id, item_id FROM tte UNION ALL SELECT user_id, item_id FROM ttr)",
+            *pred_ctes("ttr", pairs),
+            "PU AS (SELECT DISTINCT user_id FROM PB)",
+            "TB AS (SELECT * FROM tte WHERE user_id IN (SELECT user_id FROM PU))",
+            "PT AS (SELECT user_id, item_id FROM (SELECT user_id, item_id, ROW_NUMBER() OVER (PARTITION BY user_id"
+            f" ORDER BY prediction DESC, item_id) AS rn FROM PB {only} user_id IN (SELECT user_id FROM tte)) WHERE rn <= {n})",
+            "TT AS (SELECT user_id, item_id FROM (SELECT user_id, item_id, ROW_NUMBER() OVER (PARTITION BY user_id"
+            f" ORDER BY rating DESC, item_id) AS rn FROM TB) WHERE rn <= {n})",
+            "H AS (SELECT COUNT(*) AS hits FROM PT JOIN TT ON PT.user_id = TT.user_id AND PT.item_id = TT.item_id)",
+            "S AS (SELECT COUNT(*) AS n_recall, COUNT(DISTINCT user_id) AS n_users FROM TB)",
+        ) + (
+            f"SELECT {r6(f'CAST(hits AS DOUBLE) / CAST(n_users * {n} AS DOUBLE)')} AS precision,"
+            f" {r6('CAST(hits AS DOUBLE) / CAST(n_recall AS DOUBLE)')} AS recall, hits, n_users, n_recall FROM H, S"
+        )
     s["mf_epoch_1"] = epochs_sql(1, "sum", False)
     s["mf_epoch_2"] = epochs_sql(2, "mean", False)
     s["bias_epoch_1"] = epochs_sql(1, "sum", True)
@@ -369,8 +387,8 @@ def build() -> dict[str, str]:
         " JOIN MU2 ON t.user_id = MU2.id JOIN MI2 ON t.item_id = MI2.id"
         " JOIN CB ON CB.uc = MU2.cluster AND CB.ic = MI2.cluster"
     )
-    s["user_cosine"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, {r6('sim')} AS sim FROM SIM"
-    s["user_cosine_binned"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, {_bin('sim')} AS sim FROM SIM"
+    s["centre_cosine"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, sign, {r6('sim')} AS sim FROM SIM"
+    s["centre_cosine_binned"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, sign, {_bin('sim')} AS sim FROM SPREAD"
     a = Q.BLEND_A
     s["factor_blend"] = with_base(
         f"SB AS (SELECT user_id AS id, {det('user_id', Q.RANK, USER_A, USER_C)} AS s FROM (SELECT DISTINCT user_id FROM src_po))",

@@ -26,10 +26,9 @@ KEYS = ["user_id", "item_id"]
 
 
 def load(spark: SparkSession, sf_dir: str) -> R.CrossDomainData:
-    """Derived rating tables, written once to the checkpoint folder."""
-    from bridgerec.plans.queries import load_materialized
-
-    return load_materialized(spark, sf_dir)
+    """Derived rating tables, written once to the checkpoint folder: a pipeline runs
+    many jobs over them."""
+    return R.split_tables(materialize(R.load_cross_domain(spark, sf_dir).all))
 
 
 def _report(pred: DataFrame, test: DataFrame, denominator: str) -> DataFrame:
@@ -41,15 +40,15 @@ def _report(pred: DataFrame, test: DataFrame, denominator: str) -> DataFrame:
 # ----------------------------------------------------------- Q1, Q2
 
 
-def lfm(d: R.CrossDomainData, rank=30, iters=20, lam=0.01, alpha=0.01, solver="als", als_max_iter=10) -> DataFrame:
+def lfm(d: R.CrossDomainData, rank=30, iters=20, lam=0.01, alpha=0.01, solver="als", als_iters=FZ.ALS_ITERS) -> DataFrame:
     """Single-domain latent-factor model; RMSE over joined rows."""
-    m = FZ.fit_lfm(d.target_train, rank, iters, lam, solver, alpha, als_max_iter=als_max_iter)
+    m = FZ.fit_lfm(d.target_train, rank, iters, lam, solver, alpha, als_iters=als_iters)
     return _report(FZ.predict_pairs(d.target_test, m), d.target_test, "joined")
 
 
-def biassvd(d: R.CrossDomainData, rank=50, iters=50, lam=0.01, alpha=0.01, solver="als", als_max_iter=10) -> DataFrame:
+def biassvd(d: R.CrossDomainData, rank=50, iters=50, lam=0.01, alpha=0.01, solver="als", als_iters=FZ.ALS_ITERS) -> DataFrame:
     """Biased model mu + b_u + b_i + p.q; RMSE over joined rows, MAE over test rows."""
-    m = FZ.fit_biased(d.target_train, rank, iters, lam, solver, alpha, als_max_iter=als_max_iter)
+    m = FZ.fit_biased(d.target_train, rank, iters, lam, solver, alpha, als_iters=als_iters)
     return _report(FZ.predict_pairs(d.target_test, m), d.target_test, "joined")
 
 
@@ -57,7 +56,7 @@ def biassvd(d: R.CrossDomainData, rank=50, iters=50, lam=0.01, alpha=0.01, solve
 
 
 def _cluster_branch(pooled: DataFrame, test: DataFrame, rank: int, k: int, iters: int = 20,
-                    als_iters: int = 20, als_reg: float = 0.1, item_assign: str = "item", seed: int = 42) -> DataFrame:
+                    als_iters: int = FZ.ALS_ITERS, als_reg: float = 0.1, item_assign: str = "item", seed: int = 42) -> DataFrame:
     """ALS on the pooled ratings, KMeans on user and item factors, codebook of
     centre products, codebook value for every test pair with both clusters."""
     als = FZ.als_fit(pooled, rank, als_iters, als_reg, seed)
@@ -67,16 +66,16 @@ def _cluster_branch(pooled: DataFrame, test: DataFrame, rank: int, k: int, iters
     ki = C.kmeans_fit(items, k, iters, seed)
     ucl = C.kmeans_assign(users, ku)
     icl = C.kmeans_assign(items, ki if item_assign == "item" else ku)
-    codebook = C.cluster_ratings(pooled.sparkSession, ku.centres, ki.centres)
+    codebook = C.cluster_ratings(ku.centres, ki.centres)
     return TR.cluster_lookup(test, ucl, icl, codebook, clamp=False)
 
 
 def pool_mix(d: R.CrossDomainData, rank=30, iters=100, lam=0.001, alpha=0.01, als_rank=30, k=35,
-             weight=1.0, shift=0.0, solver="als", als_max_iter=10, item_assign="item") -> DataFrame:
+             weight=1.0, shift=0.0, solver="als", als_iters=FZ.ALS_ITERS, item_assign="item") -> DataFrame:
     """Pool source and target, factorise; mix with the cluster-codebook
     prediction; RMSE over the mixed (joined) rows."""
     pooled = materialize(R.pool(d.source, d.target_train, distinct=True))
-    m = FZ.fit_lfm(pooled, rank, iters, lam, solver, alpha, als_max_iter=als_max_iter)
+    m = FZ.fit_lfm(pooled, rank, iters, lam, solver, alpha, als_iters=als_iters)
     p1 = FZ.predict_pairs(d.target_test, m)
     p2 = _cluster_branch(pooled, d.target_test, als_rank, k, item_assign=item_assign)
     mixed = TR.mix_predictions(p1, p2, weight, shift)
@@ -84,11 +83,11 @@ def pool_mix(d: R.CrossDomainData, rank=30, iters=100, lam=0.001, alpha=0.01, al
 
 
 def blend(d: R.CrossDomainData, rank=15, iters=100, lam=0.001, alpha=0.01, a=0.5, k=30,
-          weight=1.0, shift=1.2, solver="als", als_max_iter=10, item_assign="item") -> DataFrame:
+          weight=1.0, shift=1.2, solver="als", als_iters=FZ.ALS_ITERS, item_assign="item") -> DataFrame:
     """Factorise each domain, blend shared users' factors into the target,
     predict; mix with the pooled cluster branch."""
-    ms = FZ.fit_lfm(d.source, rank, iters, lam, solver, alpha, als_max_iter=als_max_iter)
-    mt = FZ.fit_lfm(d.target_train, rank, iters, lam, solver, alpha, als_max_iter=als_max_iter)
+    ms = FZ.fit_lfm(d.source, rank, iters, lam, solver, alpha, als_iters=als_iters)
+    mt = FZ.fit_lfm(d.target_train, rank, iters, lam, solver, alpha, als_iters=als_iters)
     users = TR.blend_factors(ms.users, mt.users, a)
     p1 = FZ.predict_pairs(d.target_test, FZ.FactorModel(users, mt.items, rank=rank))
     pooled = materialize(R.pool(d.source, d.target_train, distinct=True))
@@ -100,7 +99,7 @@ def blend(d: R.CrossDomainData, rank=15, iters=100, lam=0.001, alpha=0.01, a=0.5
 
 
 def diag_codebook(d: R.CrossDomainData, k=10, rank=10, iters=100, lam=0.001, alpha=0.01, refine_iters=0,
-                  solver="als", als_max_iter=10) -> DataFrame:
+                  solver="als", als_iters=FZ.ALS_ITERS) -> DataFrame:
     """Truncated SVD of the source; its singular values (optionally refined
     against one-hot memberships) rescale the target factors; prediction
     sum_k p_k d_k q_k / 100 capped at 5; RMSE over all test rows."""
@@ -110,10 +109,10 @@ def diag_codebook(d: R.CrossDomainData, k=10, rank=10, iters=100, lam=0.001, alp
         u1 = svd.U.select("id", V.one_hot_argmax("features").alias("features"))
         v1 = svd.V.select("id", V.one_hot_blockmax("features").alias("features"))
         diag = TR.diag_refine(d.source, u1, v1, diag, refine_iters)
-    if len(diag) < rank:
-        diag = diag + [0.0] * (rank - len(diag))
-    m = FZ.fit_lfm(d.target_train, rank, iters, lam, solver, alpha, als_max_iter=als_max_iter)
-    p = TR.diag_predict(d.target_test, m.users, m.items, diag[:rank])
+    if len(diag) != rank:
+        raise ValueError(f"k = {len(diag)} singular values can't scale factors of rank {rank}")
+    m = FZ.fit_lfm(d.target_train, rank, iters, lam, solver, alpha, als_iters=als_iters)
+    p = TR.diag_predict(d.target_test, m.users, m.items, diag)
     p = p.select(*KEYS, V.scale_cap("prediction", 100.0, 5.0).alias("prediction"))
     return _report(p, d.target_test, "test")
 
@@ -124,53 +123,34 @@ def svd_transfer(d: R.CrossDomainData, k=30, target_matrix="target") -> DataFram
     reproduces the reference, which decomposes the source matrix twice."""
     src = FZ.truncated_svd(d.source, k)
     tgt = FZ.truncated_svd(d.target_train if target_matrix == "target" else d.source, k)
-    kk = min(len(src.s), len(tgt.s))
-    s = F.array(*[F.lit(x) for x in tgt.s[:kk]])
-    u = src.U.select(F.col("id").alias("user_id"), F.slice("features", 1, kk).alias("_p"))
-    v = tgt.V.select(F.col("id").alias("item_id"), F.slice("features", 1, kk).alias("_q"))
+    s = F.array(*[F.lit(x) for x in tgt.s])
+    u = src.U.select(F.col("id").alias("user_id"), F.col("features").alias("_p"))
+    v = tgt.V.select(F.col("id").alias("item_id"), F.col("features").alias("_q"))
     j = d.target_test.select(*KEYS).join(u, "user_id").join(v, "item_id")
     p = j.select(*KEYS, V.running_clamp(V.scaled_terms("_p", s, "_q")).alias("prediction"))
     return _report(p, d.target_test, "test")
 
 
-# --------------------------------------------------------- similarity
-
-
-def similarity_transfer(d: R.CrossDomainData, rank=100, iters=70, lam=0.0001, sim_iters=5, alpha=0.01,
-                        solver="als", als_max_iter=10, block_size=512) -> DataFrame:
-    """Source user factors -> binned cosine similarity of all user pairs ->
-    factorise the similarity table -> user factors combined with the target's
-    item factors; RMSE over all test rows."""
-    ms = FZ.fit_lfm(d.source, rank, iters, lam, solver, alpha, als_max_iter=als_max_iter)
-    sims = TR.binned_user_similarity(materialize(ms.users), 5, block_size)
-    sim_ratings = sims.select(F.col("u1").alias("user_id"), F.col("u2").alias("item_id"), F.col("sim").alias("rating"))
-    msim = FZ.fit_lfm(sim_ratings, rank, sim_iters, lam, solver, alpha, als_max_iter=min(als_max_iter, sim_iters))
-    mt = FZ.fit_lfm(d.target_train, rank, iters, lam, solver, alpha, als_max_iter=als_max_iter)
-    p = FZ.predict_pairs(d.target_test, FZ.FactorModel(msim.users, mt.items, rank=rank))
-    return _report(p, d.target_test, "test")
-
-
 # ------------------------------------------------------ cluster merge
 
 
-def cluster_merge(d: R.CrossDomainData, rank=30, als_iters=20, als_reg=0.001, k_source=150, k_target=75,
+def cluster_merge(d: R.CrossDomainData, rank=30, als_iters=FZ.ALS_ITERS, als_reg=0.001, k_source=150, k_target=75,
                   km_iters=20, cluster_rank=30, cluster_iters=70, cluster_lam=0.001, alpha=0.01,
-                  solver="als", als_max_iter=10, item_assign="item", seed=42) -> DataFrame:
+                  solver="als", item_assign="item", seed=42) -> DataFrame:
     """Cluster each domain's ALS factors, merge the two codebooks (target ids
     moved by k_source), factorise the merged codebook with the biased model,
     and predict each test pair from its user and item cluster; asymmetric
     clamp; RMSE over joined rows."""
-    spark = d.all.sparkSession
     fits = {}
     for name, ratings, k in (("s", d.source, k_source), ("t", d.target_train, k_target)):
         m = FZ.als_fit(ratings, rank, als_iters, als_reg, seed)
         users, items = materialize(m.users), materialize(m.items)
         ku, ki = C.kmeans_fit(users, k, km_iters, seed), C.kmeans_fit(items, k, km_iters, seed)
         fits[name] = (users, items, ku, ki)
-    cbs = {n: C.cluster_ratings(spark, f[2].centres, f[3].centres) for n, f in fits.items()}
+    cbs = {n: C.cluster_ratings(f[2].centres, f[3].centres) for n, f in fits.items()}
     codebook = materialize(TR.merge_codebooks(cbs["s"], cbs["t"], k_source))
     cb_ratings = codebook.select(F.col("uc").alias("user_id"), F.col("ic").alias("item_id"), "rating")
-    cm = FZ.fit_biased(cb_ratings, cluster_rank, cluster_iters, cluster_lam, solver, alpha, als_max_iter=als_max_iter)
+    cm = FZ.fit_biased(cb_ratings, cluster_rank, cluster_iters, cluster_lam, solver, alpha, als_iters=als_iters)
 
     def members(name, side):
         users, items, ku, ki = fits[name]
@@ -196,7 +176,7 @@ def cluster_merge(d: R.CrossDomainData, rank=30, als_iters=20, als_reg=0.001, k_
 
 def eval_demo(d: R.CrossDomainData, n=5, rank=10, lam=0.1) -> DataFrame:
     """Precision/recall at n of an ALS model's scores on the test pairs."""
-    m = FZ.als_fit(d.target_train, rank, 10, lam)
+    m = FZ.als_fit(d.target_train, rank, reg=lam)
     return M.precision_recall(FZ.predict_pairs(d.target_test, m), d.target_test, n)
 
 
@@ -227,10 +207,6 @@ def q_svd_transfer(spark, sf_dir):
     return svd_transfer(load(spark, sf_dir))
 
 
-def q_similarity_transfer(spark, sf_dir):
-    return similarity_transfer(load(spark, sf_dir))
-
-
 def q_cluster_merge(spark, sf_dir):
     return cluster_merge(load(spark, sf_dir))
 
@@ -241,17 +217,12 @@ def q_eval_demo(spark, sf_dir):
 
 def als_factors(spark, sf_dir):
     d = load(spark, sf_dir)
-    return FZ.long_factors(FZ.als_fit(d.target_train, 10, 5, 0.1))
+    return FZ.long_factors(FZ.als_fit(d.target_train, 10))
 
 
 def als_predict(spark, sf_dir):
     d = load(spark, sf_dir)
-    return FZ.predict_pairs(d.target_test, FZ.als_fit(d.target_train, 10, 5, 0.1))
-
-
-def als_recommend(spark, sf_dir):
-    d = load(spark, sf_dir)
-    return FZ.recommend_top_n(FZ.als_fit(d.target_train, 10, 5, 0.1), 5)
+    return FZ.predict_pairs(d.target_test, FZ.als_fit(d.target_train, 10))
 
 
 def kmeans_assign(spark, sf_dir):
@@ -274,7 +245,6 @@ def registered():
     return {
         "als_factors": als_factors,
         "als_predict": als_predict,
-        "als_recommend": als_recommend,
         "kmeans_assign": kmeans_assign,
         "svd_factors": svd_factors,
         "q_lfm": q_lfm,
@@ -283,7 +253,6 @@ def registered():
         "q_blend": q_blend,
         "q_diag_codebook": q_diag_codebook,
         "q_svd_transfer": q_svd_transfer,
-        "q_similarity_transfer": q_similarity_transfer,
         "q_cluster_merge": q_cluster_merge,
         "q_eval_demo": q_eval_demo,
     }

@@ -17,7 +17,6 @@ from bridgerec.operators import cluster as C
 from bridgerec.operators import factorize as FZ
 from bridgerec.operators import metrics as M
 from bridgerec.operators import transfer as TR
-from bridgerec.session import materialize
 from bridgerec.sources import ratings as R
 
 KEYS = ["user_id", "item_id"]
@@ -28,6 +27,8 @@ RANK = 8  # deterministic factor length for prediction queries
 EPOCH_RANK = 4  # factor length for the gradient-epoch queries
 BIAS_REG = 10.0  # shrinkage of the bias baseline
 DIAG = [600.0, 500.0, 400.0, 300.0, 200.0, 100.0, 50.0, 25.0]  # diagonal of P5/P6
+CAP_SCALE = 28.0  # divisor at which some predictions pass the cap and some do not
+CLAMP_SCALE, CLAMP_SHIFT = 12.0, 2.0  # reaches below 0, 0..1, 1..5 and above 5
 SIGNED_DIAG = [30.0, -25.0, 20.0, -15.0, 10.0, -5.0, 3.0, -1.0]  # terms of the running clamp
 TOP_N = 5
 BLEND_A = 0.5
@@ -38,25 +39,11 @@ BUCKETS = 5  # rating-level clusters (floor of the mean rating, 1..5)
 
 
 def _data(spark: SparkSession, sf_dir: str, reuse: bool = True) -> R.CrossDomainData:
-    """Rating tables of ``sf_dir``.  With ``reuse`` the orders x lineitem
-    derivation runs once and is written to the checkpoint folder, and every
-    branch of the query (train, test, coverage variants) reads that table
-    instead of joining the two largest tables again."""
-    if reuse:
-        return load_materialized(spark, sf_dir)
-    return R.load_cross_domain(spark, sf_dir)
-
-
-def load_materialized(spark: SparkSession, sf_dir: str) -> R.CrossDomainData:
+    """Rating tables of ``sf_dir``.  With ``reuse`` the branches of the query (train,
+    test, coverage variants) share one lazy cache of the orders x lineitem derivation;
+    building a query runs nothing."""
     d = R.load_cross_domain(spark, sf_dir)
-    allr = materialize(d.all)
-    tri = ["user_id", "item_id", "rating"]
-    return R.CrossDomainData(
-        all=allr,
-        source=allr.where(F.col("domain") == "source").select(*tri),
-        target_train=allr.where((F.col("domain") == "target") & (F.col("split") == "train")).select(*tri),
-        target_test=allr.where((F.col("domain") == "target") & (F.col("split") == "test")).select(*tri),
-    )
+    return R.reused(d) if reuse else d
 
 
 def _long(df: DataFrame, side: str, col: str = "features") -> DataFrame:
@@ -83,37 +70,52 @@ def split_counts(spark, sf_dir):
     )
 
 
-def _named_tables(d: R.CrossDomainData):
-    return [("source", d.source), ("target_train", d.target_train), ("target_test", d.target_test)]
-
-
 def global_mean(spark, sf_dir):
-    d = _data(spark, sf_dir)
-    out = None
-    for name, t in _named_tables(d):
-        a = t.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), r6(F.avg("rating")).alias("mu"))
-        out = a if out is None else out.unionByName(a)
-    return out
+    t = R.named_table(_data(spark, sf_dir, reuse=False).all)
+    return t.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("rating")).alias("mu"))
 
 
 def matrix_dims(spark, sf_dir):
-    d = _data(spark, sf_dir)
-    out = None
-    for name, t in _named_tables(d):
-        a = t.agg(
-            F.lit(name).alias("table_name"),
-            (F.max("user_id") + 1).alias("n_rows"),
-            (F.max("item_id") + 1).alias("n_cols"),
-            F.countDistinct("user_id").alias("n_users"),
-            F.countDistinct("item_id").alias("n_items"),
-        )
-        out = a if out is None else out.unionByName(a)
-    return out
+    t = R.named_table(_data(spark, sf_dir, reuse=False).all)
+    return t.groupBy("table_name").agg(
+        (F.max("user_id") + 1).alias("n_rows"),
+        (F.max("item_id") + 1).alias("n_cols"),
+        F.countDistinct("user_id").alias("n_users"),
+        F.countDistinct("item_id").alias("n_items"),
+    )
+
+
+def preview_ratings(spark, sf_dir):
+    d = _data(spark, sf_dir, reuse=False)
+    return M.preview(d.target_test).select(*KEYS, r6("rating").alias("rating"))
+
+
+def _lines(ratings: DataFrame, sep: str, *more: str) -> DataFrame:
+    fields = [F.col(c).cast("string") for c in (*KEYS, "rating")] + [F.lit(x) for x in more]
+    return ratings.select(F.concat_ws(sep, *fields).alias("value"))
+
+
+def parse_tab(spark, sf_dir):
+    """The target ratings written as tab lines with a fourth field and parsed again."""
+    d = _data(spark, sf_dir, reuse=False)
+    return R.parse_ratings(_lines(d.target_train, "\t", "881250949"), "\t").select(*KEYS, r6("rating").alias("rating"))
+
+
+def parse_comma(spark, sf_dir):
+    d = _data(spark, sf_dir, reuse=False)
+    return R.parse_ratings(_lines(d.source, ",", "x", "y"), ",").select(*KEYS, r6("rating").alias("rating"))
+
+
+def parse_strict(spark, sf_dir):
+    d = _data(spark, sf_dir, reuse=False)
+    return R.parse_ratings(_lines(d.target_test, ","), ",", strict=True).select(*KEYS, r6("rating").alias("rating"))
 
 
 def pool_distinct(spark, sf_dir):
+    """Source ratings pooled with all train ratings: the source's train part is in both."""
     d = _data(spark, sf_dir)
-    return R.pool(d.source, d.target_train, distinct=True).select(*KEYS, r6("rating").alias("rating"))
+    train = d.all.where(F.col("split") == "train")
+    return R.pool(d.source, train, distinct=True).select(*KEYS, r6("rating").alias("rating"))
 
 
 def pool_all(spark, sf_dir):
@@ -126,7 +128,7 @@ def pool_all(spark, sf_dir):
 def user_overlap(spark, sf_dir):
     d = _data(spark, sf_dir)
     s = d.partial_overlap_source().select("user_id", F.lit(1).alias("in_s"), F.lit(0).alias("in_t"))
-    t = d.target_train.select("user_id", F.lit(0).alias("in_s"), F.lit(1).alias("in_t"))
+    t = d.partial_coverage_train().select("user_id", F.lit(0).alias("in_s"), F.lit(1).alias("in_t"))
     flags = s.unionByName(t).groupBy("user_id").agg(F.max("in_s").alias("s"), F.max("in_t").alias("t"))
     cat = (
         F.when((F.col("s") == 1) & (F.col("t") == 1), F.lit("shared"))
@@ -159,23 +161,23 @@ def _det_model(train: DataFrame, rank: int = RANK, bias: bool = False) -> FZ.Fac
     return FZ.FactorModel(users, items, mu, rank)
 
 
-def _biased_predictions(d: R.CrossDomainData) -> DataFrame:
-    return FZ.predict_pairs(d.target_test, _det_model(d.partial_coverage_train(), bias=True))
+def _biased_predictions(d: R.CrossDomainData, train: DataFrame) -> DataFrame:
+    return FZ.predict_pairs(d.target_test, _det_model(train, bias=True))
 
 
 def pred_dot(spark, sf_dir):
     d = _data(spark, sf_dir)
-    p = FZ.predict_pairs(d.target_test, _det_model(d.partial_coverage_train()))
+    p = FZ.predict_pairs(d.target_test, _det_model(d.target_train))
     return p.select(*KEYS, r6("prediction").alias("prediction"))
 
 
 def pred_biased(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return _biased_predictions(d).select(*KEYS, r6("prediction").alias("prediction"))
+    return _biased_predictions(d, d.target_train).select(*KEYS, r6("prediction").alias("prediction"))
 
 
 def _diag_pred(d: R.CrossDomainData, diag) -> DataFrame:
-    m = _det_model(d.partial_coverage_train())
+    m = _det_model(d.target_train)
     return TR.diag_predict(d.target_test, m.users, m.items, diag)
 
 
@@ -186,19 +188,32 @@ def pred_diag_scaled(spark, sf_dir):
 
 def pred_scaled_cap(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return _diag_pred(d, DIAG).select(*KEYS, r6(V.scale_cap("prediction", 100.0, 5.0)).alias("prediction"))
+    return _diag_pred(d, DIAG).select(*KEYS, r6(V.scale_cap("prediction", CAP_SCALE, 5.0)).alias("prediction"))
 
 
 def pred_clamp(spark, sf_dir):
     d = _data(spark, sf_dir)
-    p = FZ.predict_pairs(d.target_test, _det_model(d.partial_coverage_train()))
-    raw = F.lit(8.0) * F.col("prediction") - F.lit(1.0)
+    p = FZ.predict_pairs(d.target_test, _det_model(d.target_train))
+    raw = F.lit(CLAMP_SCALE) * F.col("prediction") - F.lit(CLAMP_SHIFT)
     return p.select(*KEYS, r6(V.clamp_asym(raw)).alias("prediction"))
 
 
+def pred_extremes(spark, sf_dir):
+    """Smallest and largest clamped prediction."""
+    e = M.extremes(pred_clamp(spark, sf_dir))
+    return e.select(r6("lowest").alias("lowest"), r6("highest").alias("highest"), "n")
+
+
+def pred_limited(spark, sf_dir):
+    """Biased predictions with the optional clamp to 2.9..3.3."""
+    d = _data(spark, sf_dir)
+    p = FZ.predict_pairs(d.target_test, _det_model(d.target_train, bias=True), clamp=(2.9, 3.3))
+    return p.select(*KEYS, r6("prediction").alias("prediction"))
+
+
 def pred_running_clamp(spark, sf_dir):
     d = _data(spark, sf_dir)
-    m = _det_model(d.partial_coverage_train())
+    m = _det_model(d.target_train)
     sd = F.array(*[F.lit(x) for x in SIGNED_DIAG])
     j = d.target_test.select(*KEYS).join(
         m.users.select(F.col("id").alias("user_id"), F.col("features").alias("_p")), "user_id"
@@ -245,7 +260,7 @@ def diag_refine_step(spark, sf_dir):
 
 def _metrics(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return M.error_metrics(_biased_predictions(d), d.target_test)
+    return M.error_metrics(_biased_predictions(d, d.partial_coverage_train()), d.target_test)
 
 
 def error_report(spark, sf_dir):
@@ -277,7 +292,18 @@ def user_item_counts(spark, sf_dir):
 
 def precision_recall(spark, sf_dir):
     d = _data(spark, sf_dir)
-    pr = M.precision_recall(_biased_predictions(d), d.target_test, TOP_N)
+    return _rounded_pr(M.precision_recall(_biased_predictions(d, d.target_train), d.target_test, TOP_N))
+
+
+def precision_recall_unseen(spark, sf_dir):
+    """Scores of the train and test pairs together, with the train pairs taken out of the lists."""
+    d = _data(spark, sf_dir)
+    pairs = d.target_test.unionByName(d.target_train)
+    pred = FZ.predict_pairs(pairs, _det_model(d.target_train, bias=True))
+    return _rounded_pr(M.precision_recall(pred, d.target_test, TOP_N, exclude_seen=d.target_train))
+
+
+def _rounded_pr(pr: DataFrame) -> DataFrame:
     return pr.select(r6("precision").alias("precision"), r6("recall").alias("recall"), "hits", "n_users", "n_recall")
 
 
@@ -312,38 +338,26 @@ def _embeddings(spark, sf_dir) -> DataFrame:
     return e.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("features"), "label")
 
 
-def _label_centres(spark, sf_dir) -> C.Centres:
-    e = _embeddings(spark, sf_dir)
-    return C.collect_centres(C.mean_centres(e, "label", "features", 64))
+def _label_centres(spark, sf_dir) -> DataFrame:
+    return C.mean_centres(_embeddings(spark, sf_dir), "label", "features", 64)
 
 
 def nearest_center(spark, sf_dir):
-    e = _embeddings(spark, sf_dir)
-    centres = _label_centres(spark, sf_dir)
-    return e.select("vec_id", C.nearest_centre("features", centres).alias("cluster"))
+    a = C.assign(_embeddings(spark, sf_dir), _label_centres(spark, sf_dir), "vec_id")
+    return a.select(F.col("id").alias("vec_id"), "cluster")
 
 
 def center_cross(spark, sf_dir):
     centres = _label_centres(spark, sf_dir)
-    u = centres.to_df(spark)
-    cells = u.select(
-        F.col("cluster").alias("uc"),
-        F.explode(
-            F.transform(
-                centres.literal(),
-                lambda c: F.struct(c["cluster"].alias("ic"), V.dot(F.col("features"), c["features"]).alias("rating")),
-            )
-        ).alias("c"),
-    )
-    return cells.select("uc", F.col("c.ic").alias("ic"), r6("c.rating").alias("rating"))
+    return C.centre_products(centres, centres).select("uc", "ic", r6("rating").alias("rating"))
 
 
-def _bucket_centres(ratings: DataFrame, side: str, factors: DataFrame) -> C.Centres:
+def _bucket_centres(ratings: DataFrame, side: str, factors: DataFrame) -> DataFrame:
     """Centres = mean factor of the ids whose mean rating has the same floor."""
     key = "user_id" if side == "user" else "item_id"
     level = ratings.groupBy(key).agg(F.floor(F.avg("rating")).cast("int").alias("cluster"))
     j = factors.join(level.withColumnRenamed(key, "id"), "id")
-    return C.collect_centres(C.mean_centres(j, "cluster", "features", RANK))
+    return C.mean_centres(j, "cluster", "features", RANK)
 
 
 def _domain_clusters(spark, ratings: DataFrame):
@@ -356,13 +370,13 @@ def _domain_clusters(spark, ratings: DataFrame):
 def cluster_ratings(spark, sf_dir):
     d = _data(spark, sf_dir)
     _, uc, ic = _domain_clusters(spark, d.target_train)
-    return C.cluster_ratings(spark, uc, ic).select("uc", "ic", r6("rating").alias("rating"))
+    return C.cluster_ratings(uc, ic).select("uc", "ic", r6("rating").alias("rating"))
 
 
 def _merged(spark, d: R.CrossDomainData):
     ms, ucs, ics = _domain_clusters(spark, d.source)
     mt, uct, ict = _domain_clusters(spark, d.target_train)
-    codebook = TR.merge_codebooks(C.cluster_ratings(spark, ucs, ics), C.cluster_ratings(spark, uct, ict), BUCKETS)
+    codebook = TR.merge_codebooks(C.cluster_ratings(ucs, ics), C.cluster_ratings(uct, ict), BUCKETS)
     users = TR.merge_memberships(
         C.assign(ms.users, ucs), TR.offset_clusters(C.assign(mt.users, uct), BUCKETS, cols=("cluster",))
     )
@@ -388,14 +402,26 @@ def cluster_lookup_predict(spark, sf_dir):
 # -------------------------------------------------------- similarity
 
 
-def user_cosine(spark, sf_dir):
-    e = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "features")
-    return TR.user_similarity(e).select("u1", "u2", r6("sim").alias("sim"))
+def _centre_pairs(spark, sf_dir) -> DataFrame:
+    """Each vector against the centre of its label, and against the centre's opposite:
+    two pairs a vector, with cosines on both sides of 0."""
+    e = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("u1"), F.col("label").cast("int").alias("u2"), F.col("features").alias("_a"))
+    c = _label_centres(spark, sf_dir).select(F.col("cluster").alias("u2"), F.col("features").alias("_b"))
+    signs = F.explode(F.array(F.lit(1), F.lit(-1)))
+    j = e.join(c, "u2").where((V.norm2("_a") > 0) & (V.norm2("_b") > 0)).withColumn("sign", signs)
+    facing = F.transform("_b", lambda x: x * F.col("sign"))
+    return j.select("u1", "u2", "sign", V.cosine("_a", facing).alias("sim"))
+
+
+def centre_cosine(spark, sf_dir):
+    return _centre_pairs(spark, sf_dir).select("u1", "u2", "sign", r6("sim").alias("sim"))
 
 
-def user_cosine_binned(spark, sf_dir):
-    e = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "features")
-    return TR.binned_user_similarity(e)
+def centre_cosine_binned(spark, sf_dir):
+    """Cosines stretched to the whole of -1..1 (their sign times the root of their size), then
+    binned, so that every bin a cosine can reach is reached."""
+    pairs = _centre_pairs(spark, sf_dir).withColumn("sim", F.signum("sim") * F.sqrt(F.abs("sim")))
+    return TR.bin_similarity(pairs, BUCKETS)
 
 
 # ------------------------------------------------------------- blend, mix
@@ -412,6 +438,6 @@ def factor_blend(spark, sf_dir):
 
 def prediction_mix(spark, sf_dir):
     d = _data(spark, sf_dir)
-    a = _biased_predictions(d)
-    b = FZ.predict_pairs(d.target_test, _det_model(d.partial_coverage_train()))
+    a = _biased_predictions(d, d.target_train)
+    b = FZ.predict_pairs(d.target_test, _det_model(d.target_train))
     return TR.mix_predictions(a, b, MIX_W, MIX_SHIFT).select(*KEYS, r6("prediction").alias("prediction"))

@@ -1,15 +1,21 @@
 """Session helpers: building a session for local runs and cutting lineage.
 
 Lineage is cut with ``DataFrame.checkpoint()`` into the folder the cluster
-names in ``spark.checkpoint.dir``.  A private folder is only created when that
-setting is unset *and* the master is local (tests, bench); on a cluster an
+names in ``spark.checkpoint.dir``, which all machines must see (a ``file:`` path is
+fine where it is a shared mount).  A private folder is only created when that
+setting is unset *and* the master is one local JVM (tests, bench); on a cluster an
 unset checkpoint folder is an error, never a silent machine-local fallback.
+Checkpoint files of frames that are no longer referenced go when Spark cleans up
+(``spark.cleaner.referenceTracking.cleanCheckpoints``, set for local sessions).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +25,7 @@ def build_session(
     app_name: str = "bridgerec",
     shuffle_partitions: int | None = None,
     extra_conf: dict | None = None,
+    driver_memory: str = "8g",
 ) -> SparkSession:
     """Session for local runs; on a cluster use the cluster's own session."""
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -35,8 +42,9 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in (extra_conf or {}).items():
         b = b.config(k, v)
@@ -59,7 +67,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if sc.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", sc.master):
         folder = tempfile.mkdtemp(prefix="bridgerec-ckpt-")
         sc.setCheckpointDir(folder)
         return sc.getCheckpointDir() or folder
@@ -74,3 +82,21 @@ def materialize(df: DataFrame) -> DataFrame:
     DataFrame whose lineage starts there (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once an application; Spark serves the file."""
+    import bridgerec
+
+    if (application := spark.sparkContext.applicationId) in _shipped:
+        return
+    _shipped.add(application)
+    top = Path(bridgerec.__file__).parent
+    packed = f"{tempfile.mkdtemp(prefix='bridgerec-')}/bridgerec.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(packed)

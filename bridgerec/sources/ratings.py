@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,32 +25,44 @@ RATING_SCHEMA = T.StructType(
 KEYS = ["user_id", "item_id"]
 
 
-def read_ratings(spark: SparkSession, path: str, sep: str = "\t", strict: bool = False) -> DataFrame:
-    """Read ``user<sep>item<sep>rating[<sep>...]`` text files.
+def _number(field, kind: str):
+    """A cast that fails on a field that is no such number, whatever the ANSI setting."""
+    value = F.trim(field).try_cast(kind)
+    return F.when(value.isNull(), F.raise_error(F.concat(F.lit(f"not a {kind}: "), field)).cast(kind)).otherwise(value)
+
+
+def checked_int(c) -> Column:
+    """An id as int; a null or one outside the int range fails the job."""
+    value = c.try_cast("int")
+    shown = F.coalesce(c.cast("string"), F.lit("null"))
+    return F.when(value.isNull(), F.raise_error(F.concat(F.lit("not an int id: "), shown)).cast("int")).otherwise(value)
+
+
+def parse_ratings(lines: DataFrame, sep: str = "\t", strict: bool = False) -> DataFrame:
+    """Rating triples of text lines (column ``value``) ``user<sep>item<sep>rating[<sep>...]``.
 
     ``strict=False`` keeps the first three fields and ignores the rest (the
     MovieLens files carry a timestamp); ``strict=True`` demands exactly three
-    fields.  Fields are cast with ANSI casts, so a bad number or a short line
-    fails the job instead of turning into null, as the reference's
-    ``toInt``/``toDouble`` would throw.
+    fields.  A bad number or a short line fails the job, as the reference's
+    ``toInt``/``toDouble`` would throw; the checks are explicit and do not depend
+    on ANSI mode.
     """
     parts = F.split(F.col("value"), re.escape(sep))
     n = F.size(parts)
     ok = (n == 3) if strict else (n >= 3)
     msg = "rating line must have exactly 3 fields" if strict else "rating line has fewer than 3 fields"
     checked = F.when(ok, parts).otherwise(F.raise_error(F.lit(msg)))
-    lines = spark.read.text(path).select(checked.alias("_f"))
-    return lines.select(
-        F.trim(F.col("_f")[0]).cast("int").alias("user_id"),
-        F.trim(F.col("_f")[1]).cast("int").alias("item_id"),
-        F.trim(F.col("_f")[2]).cast("double").alias("rating"),
+    fields = lines.select(checked.alias("_f"))
+    return fields.select(
+        _number(F.col("_f")[0], "int").alias("user_id"),
+        _number(F.col("_f")[1], "int").alias("item_id"),
+        _number(F.col("_f")[2], "double").alias("rating"),
     )
 
 
-def read_ratings_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(
-        F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.col("rating").cast("double")
-    )
+def read_ratings(spark: SparkSession, path: str, sep: str = "\t", strict: bool = False) -> DataFrame:
+    """:func:`parse_ratings` of a text file."""
+    return parse_ratings(spark.read.text(path), sep, strict)
 
 
 def dedupe_pairs(ratings: DataFrame) -> DataFrame:
@@ -57,10 +70,6 @@ def dedupe_pairs(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy(*KEYS).agg(F.avg("rating").alias("rating"))
 
 
-def distinct_triples(ratings: DataFrame) -> DataFrame:
-    return ratings.select(*KEYS, "rating").distinct()
-
-
 def pool(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
     """Union of two rating tables; ``distinct`` drops equal triples only."""
     u = a.select(*KEYS, "rating").unionByName(b.select(*KEYS, "rating"))
@@ -72,8 +81,8 @@ def derive_ratings(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
     user = customer, item = part, rating = mean of 1 + quantity % 5 over all
     line items of that pair; even parts form the source domain, and a pair is
-    a test pair when (user + item) % 5 = 0.  The two casts to int are ANSI
-    checked: an id outside the int range fails the job.
+    a test pair when (user + item) % 5 = 0.  An id that is null or outside the int
+    range fails the job.
     """
     li = lineitem.select("l_orderkey", "l_partkey", "l_quantity")
     od = orders.select("o_orderkey", "o_custkey")
@@ -82,8 +91,8 @@ def derive_ratings(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.avg((F.lit(1) + F.col("l_quantity").cast("bigint") % F.lit(5)).cast("double")).alias("rating")
     )
     return agg.select(
-        F.col("o_custkey").cast("int").alias("user_id"),
-        F.col("l_partkey").cast("int").alias("item_id"),
+        checked_int(F.col("o_custkey")).alias("user_id"),
+        checked_int(F.col("l_partkey")).alias("item_id"),
         F.col("rating"),
         F.when(F.col("l_partkey") % 2 == 0, F.lit("source")).otherwise(F.lit("target")).alias("domain"),
         F.when((F.col("o_custkey") + F.col("l_partkey")) % 5 == 0, F.lit("test"))
@@ -113,10 +122,7 @@ class CrossDomainData:
         return self.source.where(F.col("user_id") % 3 != 0)
 
 
-def load_cross_domain(spark: SparkSession, sf_dir: str) -> CrossDomainData:
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    allr = derive_ratings(lineitem, orders)
+def split_tables(allr: DataFrame) -> CrossDomainData:
     tri = ["user_id", "item_id", "rating"]
     return CrossDomainData(
         all=allr,
@@ -124,3 +130,22 @@ def load_cross_domain(spark: SparkSession, sf_dir: str) -> CrossDomainData:
         target_train=allr.where((F.col("domain") == "target") & (F.col("split") == "train")).select(*tri),
         target_test=allr.where((F.col("domain") == "target") & (F.col("split") == "test")).select(*tri),
     )
+
+
+def load_cross_domain(spark: SparkSession, sf_dir: str) -> CrossDomainData:
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return split_tables(derive_ratings(lineitem, orders))
+
+
+def reused(d: CrossDomainData) -> CrossDomainData:
+    """The same tables over one disk-backed cache of the derived ratings: nothing runs
+    until a query does, a branch reads only its columns, and what a lost executor
+    held is derived again."""
+    return split_tables(d.all.persist(StorageLevel.DISK_ONLY))
+
+
+def named_table(all_: DataFrame) -> DataFrame:
+    """``all_`` with ``table_name``: source, target_train or target_test."""
+    name = F.when(F.col("domain") == "source", F.lit("source")).otherwise(F.concat(F.lit("target_"), F.col("split")))
+    return all_.withColumn("table_name", name)

@@ -86,4 +86,13 @@ def test_metrics_one_job_plan_has_no_cartesian(spark):
 def test_distinct_pairs_and_preview(spark):
     df = ratings_df(spark, [(1, 1, 1.0), (1, 1, 2.0), (2, 1, 1.0)])
     assert M.distinct_pairs(df).first()["n_pairs"] == 2
-    assert M.preview(df, 2).count() == 2
+    assert [r["user_id"] for r in M.preview(df, 2).collect()] == [1, 1]
+    low = M.extremes(df, "rating").first()
+    assert (low["lowest"], low["highest"], low["n"]) == (1.0, 2.0, 3)
+
+
+def test_precision_without_seen_items(spark):
+    pred = pred_df(spark, [(1, 1, 5), (1, 2, 4)])
+    test, seen = ratings_df(spark, [(1, 2, 5)]), ratings_df(spark, [(1, 1, 5)])
+    assert M.precision_recall(pred, test, 1).first()["hits"] == 0
+    assert M.precision_recall(pred, test, 1, exclude_seen=seen).first()["hits"] == 1

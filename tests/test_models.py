@@ -28,44 +28,71 @@ def test_als_same_seed_repeats(spark):
     assert [r["features"] for r in a] == [r["features"] for r in b]
 
 
-@pytest.mark.parametrize("method", ["mllib", "krylov"])
-def test_svd_properties(spark, method):
-    rows = _lowrank(users=30, items=25, rank=4, density=0.6)
+def _dense(df, res, rows, cols):
+    a, u, v = np.zeros((rows, cols)), np.zeros((rows, len(res.s))), np.zeros((cols, len(res.s)))
+    for r in df.collect():
+        a[r["user_id"], r["item_id"]] += r["rating"]
+    for r in res.U.collect():
+        u[r["id"]] = r["features"]
+    for r in res.V.collect():
+        v[r["id"]] = r["features"]
+    return a, u, np.array(res.s), v
+
+
+def _check_svd(df, k, rows, cols, **options):
+    res = FZ.truncated_svd(df, k, **options)
+    a, u, s, v = _dense(df, res, rows, cols)
+    assert s == pytest.approx(np.linalg.svd(a, compute_uv=False)[:k], rel=1e-6)
+    assert np.abs(u.T @ u - np.eye(k)).max() < 1e-6 and np.abs(v.T @ v - np.eye(k)).max() < 1e-8
+    assert np.abs(a @ v - u * s).max() < 1e-6 * s[0] and np.abs(a.T @ u - v * s).max() < 1e-6 * s[0]
+    return res
+
+
+def test_svd_of_a_low_rank_matrix(spark):
+    df = ratings_df(spark, _lowrank(users=30, items=25, rank=4, density=0.6))
+    _check_svd(df, 4, 31, 26)
+
+
+def test_svd_of_a_flat_spectrum_needs_several_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(u, i, float(rng.integers(1, 6))) for u in range(150) for i in range(120) if rng.random() < 0.3]
     df = ratings_df(spark, rows)
-    res = FZ.truncated_svd(df, 4, method=method)
-    a = np.zeros((31, 26))
-    for u, i, r in rows:
-        a[u, i] = r
-    exact = np.linalg.svd(a, compute_uv=False)[:4]
-    s = np.array(res.s)
-    assert np.all(np.diff(s) <= 1e-9)  # descending
-    assert s == pytest.approx(exact, rel=1e-6)
-    u = res.U.orderBy("id").toPandas()
-    um = np.array(u.features.tolist())
-    assert np.abs(um.T @ um - np.eye(len(s))).max() < 1e-8
-    v = res.V.orderBy("id").toPandas()
-    vm = np.array(v.features.tolist())
-    assert np.abs(vm.T @ vm - np.eye(len(s))).max() < 1e-8
-    # A v_k = s_k u_k with the ids as keys
-    ufull = np.zeros((31, len(s)))
-    ufull[u.id.values] = um
-    vfull = np.zeros((26, len(s)))
-    vfull[v.id.values] = vm
-    assert np.abs(a @ vfull - ufull * s).max() < 1e-6
-
-
-@pytest.mark.parametrize("method", ["mllib", "krylov"])
-def test_svd_keeps_sparse_ids(spark, method):
-    rows = [(1, 1, 2.0), (3, 2, 1.0), (4, 1, 3.0), (7, 3, 4.0), (7, 1, 1.0)]
-    res = FZ.truncated_svd(ratings_df(spark, rows), 2, method=method)
+    one = _check_svd(df, 6, 150, 120, block=8)
+    two = FZ.truncated_svd(df.repartition(7), 6, block=8)
+    assert two.s == pytest.approx(one.s, rel=1e-9)
+
+
+def test_svd_raises_instead_of_returning_less(spark):
+    df = ratings_df(spark, [(1, 1, 1.0), (2, 1, 2.0), (1, 2, 2.0), (2, 2, 4.0)])  # rank 1
+    assert len(FZ.truncated_svd(df, 1).s) == 1
+    for k in (2, 3):
+        with pytest.raises(ValueError):
+            FZ.truncated_svd(df, k)
+    rng = np.random.default_rng(8)
+    rows = [(u, i, float(rng.normal())) for u in range(80) for i in range(60)]
+    with pytest.raises(ValueError, match="convergence"):
+        FZ.truncated_svd(ratings_df(spark, rows), 3, block=4, max_iters=2)
+
+
+def test_svd_keeps_sparse_ids_and_adds_repeated_pairs(spark):
+    rows = [(1, 1, 2.0), (3, 2, 1.0), (4, 1, 3.0), (7, 3, 4.0), (7, 1, 0.5), (7, 1, 0.5)]
+    res = _check_svd(ratings_df(spark, rows), 2, 8, 4)
     assert sorted(r["id"] for r in res.U.collect()) == [1, 3, 4, 7]
     assert sorted(r["id"] for r in res.V.collect()) == [1, 2, 3]
 
 
+def test_als_does_not_depend_on_the_partitions(spark):
+    df = ratings_df(spark, _lowrank(seed=3))
+    one, two = (
+        {r["id"]: r["features"] for r in FZ.als_fit(df.repartition(n), 3, 8, 0.1, seed=7).users.collect()} for n in (2, 9)
+    )
+    assert one.keys() == two.keys() and all(np.allclose(one[k], two[k], atol=1e-6) for k in one)
+
+
 def test_kmeans_few_distinct_points(spark):
     df = spark.createDataFrame([(i, [0.0, 0.0] if i % 2 else [1.0, 1.0]) for i in range(10)], "id int, features array<double>")
     fit = C.kmeans_fit(df, 9, 10)
-    assert len(fit.centres.rows) <= 9
+    assert fit.centres.count() <= 9
     a = {r["id"]: r["cluster"] for r in C.kmeans_assign(df, fit).collect()}
     assert len({a[i] for i in range(0, 10, 2)}) == 1 and len({a[i] for i in range(1, 10, 2)}) == 1
     assert a[0] != a[1]
@@ -76,7 +103,7 @@ def test_nearest_centre_matches_brute_force(spark):
     pts = rng.normal(size=(50, 4))
     cen = rng.normal(size=(6, 4))
     df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id int, features array<double>")
-    centres = C.Centres([(c, [float(x) for x in cen[c]]) for c in range(6)])
+    centres = spark.createDataFrame([(c, [float(x) for x in cen[c]]) for c in range(6)], C.CENTRE_SCHEMA)
     got = {r["id"]: r["cluster"] for r in C.assign(df, centres).collect()}
     want = {i: int(np.argmin(((cen - p) ** 2).sum(axis=1))) for i, p in enumerate(pts)}
     assert got == want
@@ -84,10 +111,44 @@ def test_nearest_centre_matches_brute_force(spark):
 
 def test_nearest_centre_tie_goes_to_smaller_id(spark):
     df = spark.createDataFrame([(0, [0.0])], "id int, features array<double>")
-    centres = C.Centres([(4, [1.0]), (2, [-1.0])])
+    centres = spark.createDataFrame([(4, [1.0]), (2, [-1.0])], C.CENTRE_SCHEMA)
     assert C.assign(df, centres).first()["cluster"] == 2
 
 
+def test_many_centres_are_packed_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(C, "PACK", 2)
+    monkeypatch.setattr(C, "BROADCAST_PACKS", 1)
+    test_nearest_centre_matches_brute_force(spark)
+    test_nearest_centre_tie_goes_to_smaller_id(spark)
+
+
+def test_cluster_ratings_of_equal_centres(spark):
+    c = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])], C.CENTRE_SCHEMA)
+    got = {(r["uc"], r["ic"]): r["rating"] for r in C.cluster_ratings(c, c).collect()}
+    assert got == {(0, 0): 1.0, (0, 2): 0.0, (2, 0): 0.0, (2, 2): 4.0}
+
+
+def test_hot_item_is_split_and_sums_stay_right(spark):
+    rows = [(u, 1, float(u % 5 + 1)) for u in range(1, 300)] + [(u, u % 9 + 2, 3.0) for u in range(1, 300)]
+    df = ratings_df(spark, rows)
+    model = FZ.init_factors(df, 2)
+    got = FZ.gradient_epoch(df, model, 0.01, 0.1, "sum")
+    p = {r["id"]: np.array(r["features"]) for r in model.users.collect()}
+    q = {r["id"]: np.array(r["features"]) for r in model.items.collect()}
+    step = sum((r - p[u] @ q[i]) * p[u] - 0.1 * q[i] for u, i, r in rows if i == 1)
+    new = {r["id"]: np.array(r["features"]) for r in got.items.collect()}
+    assert np.allclose(new[1], q[1] + 0.01 * step)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lazy = FZ.gradient_epoch(df, model, 0.01, 0.1, "sum", checkpoint=False)
+        plan = lazy.items._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [k for k in range(len(plan)) if plan.startswith("Join [item_id", k) or plan.startswith("Join [_salt", k)]
+    assert "_salt" in plan and "hashpartitioning(side" in plan
+    assert plan.index("hashpartitioning(side") < plan.index("_salt"), joins  # an exchange between the join and the sums
+
+
 def test_gradient_training_error_falls(spark):
     df = ratings_df(spark, _lowrank(seed=1))
 
@@ -105,7 +166,7 @@ def test_gradient_training_error_falls(spark):
 def test_biased_gradient_and_als_models(spark):
     df = ratings_df(spark, _lowrank(seed=2))
     mg = FZ.fit_biased(df, 3, 3, 0.01, solver="gradient", step="mean")
-    ma = FZ.fit_biased(df, 3, 3, 0.1, solver="als", als_max_iter=5)
+    ma = FZ.fit_biased(df, 3, 3, 0.1, solver="als", als_iters=5)
     for m in (mg, ma):
         assert m.biased and set(m.users.columns) == {"id", "features", "bias"}
         assert FZ.predict_pairs(df, m).count() == df.count()
@@ -120,13 +181,9 @@ def test_mean_step_stays_bounded_for_a_hot_user(spark):
     assert mx < 10
 
 
-def test_recommend_top_n_matches_brute_force(spark):
-    df = ratings_df(spark, _lowrank(seed=4, users=12, items=9))
-    m = FZ.als_fit(df, 3, 5, 0.1)
-    recs = FZ.recommend_top_n(m, 3).toPandas()
-    u = {r["id"]: np.array(r["features"]) for r in m.users.collect()}
-    i = {r["id"]: np.array(r["features"]) for r in m.items.collect()}
-    for uid, vec in u.items():
-        scores = sorted(((float(vec @ q), iid) for iid, q in i.items()), reverse=True)[:3]
-        got = recs[recs.user_id == uid].sort_values("rank")
-        assert list(got.prediction) == pytest.approx([s for s, _ in scores], rel=1e-5)
+def test_predictions_can_be_limited(spark):
+    df = ratings_df(spark, [(1, 1, 5.0), (2, 1, 1.0)])
+    users = spark.createDataFrame([(1, [4.0]), (2, [-1.0])], "id int, features array<double>")
+    items = spark.createDataFrame([(1, [2.0])], "id int, features array<double>")
+    p = {r["user_id"]: r["prediction"] for r in FZ.predict_pairs(df, FZ.FactorModel(users, items), clamp=(1, 5)).collect()}
+    assert p == {1: 5.0, 2: 1.0}

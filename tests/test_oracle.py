@@ -37,6 +37,31 @@ def test_rows_only_queries_run(spark, name):
     assert df.count() > 0
 
 
+def test_checked_queries_take_every_branch(con):
+    def values(name, col):
+        return [r[0] for r in con.execute(f"SELECT {col} FROM ({ORACLES[name]})").fetchall()]
+
+    capped = values("pred_scaled_cap", "prediction")
+    assert max(capped) == 5 and min(capped) < 5 and capped.count(5.0) > 5
+    clamped = values("pred_clamp", "prediction")
+    for low, high in ((0, 0.999), (1, 1), (1.001, 4.999), (5, 5)):  # between 0 and 1, raised, kept, lowered
+        assert any(low <= x <= high for x in clamped), (low, high)
+    limited = values("pred_limited", "prediction")
+    assert 2.9 in limited and 3.3 in limited and any(2.9 < x < 3.3 for x in limited)
+    assert set(values("user_overlap", "category")) == {"shared", "source_only", "target_only"}
+    assert set(values("centre_cosine_binned", "sim")) == {1.0, 2.0, 3.0, 4.0}  # a cosine can't reach 5
+    assert len(values("pool_distinct", "rating")) < len(values("pool_all", "rating")) + len(values("parse_comma", "rating"))
+
+
+def test_building_a_query_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    for name in ("pred_biased", "precision_recall", "global_mean"):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        QUERIES[name](spark, SF_SMALL)
+        assert len(tracker.getJobIdsForGroup(f"build-{name}")) <= (1 if name != "global_mean" else 0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()

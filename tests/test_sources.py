@@ -34,10 +34,23 @@ def test_strict_rejects_extra_field(spark):
         R.read_ratings(spark, p, ",", strict=True).collect()
 
 
-def test_bad_number_fails(spark):
-    p = _write("1\tx\t4\n")
-    with pytest.raises(Exception):
-        R.read_ratings(spark, p, "\t").collect()
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_bad_input_fails_in_both_modes(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for line in ("1\tx\t4", "1\t2\tfour", "1\t2", "\t2\t3", "99999999999\t1\t2", "1.5\t1\t2"):
+            lines = spark.createDataFrame([(line,)], "value string")
+            with pytest.raises(Exception):
+                R.parse_ratings(lines).collect()
+        good = spark.createDataFrame([(" 7\t8 \t1e0\tx",)], "value string")
+        assert [tuple(r) for r in R.parse_ratings(good).collect()] == [(7, 8, 1.0)]
+        orders = spark.createDataFrame([(1, 3_000_000_000)], "o_orderkey long, o_custkey long")
+        lines = spark.createDataFrame([(1, 5, 2.0)], "l_orderkey long, l_partkey long, l_quantity double")
+        with pytest.raises(Exception):
+            R.derive_ratings(lines, orders).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def test_pool_distinct_drops_equal_triples_only(spark):
