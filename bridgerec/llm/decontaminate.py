@@ -30,7 +30,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bridgerec.llm.staging import Stage
+from bridgerec.llm.staging import Stage, fresh_name, maybe_broadcast, row_key
 
 #: Windows (or their words) that one broadcast may hold.
 BLOCK = 100_000
@@ -99,8 +99,7 @@ def contamination(
     stands for the row (a hash of id and text).
     """
     num, den = share
-    identity = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    texts = docs.select(F.col(id_col).alias("id"), identity.alias("doc"), _words(F.col(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("doc"), _words(F.col(text_col)).alias("words"))
     windows = stage.write(item_windows(items, window, item_id_col, item_text_col), "windows")
     counts = _frequencies(texts, windows)
     # an even deal of the few windows into blocks of bounded size
@@ -162,9 +161,11 @@ def contamination(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
     """``docs`` without its contaminated rows, all columns as they were."""
     bad = contamination(docs, items, stage, id_col=id_col, text_col=text_col, **options)
-    bad = bad.filter("contaminated").select(F.col("doc").alias("_doc")).distinct()
-    identity = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.withColumn("_doc", identity).join(bad, "_doc", "left_anti").drop("_doc")
+    key = fresh_name(docs, "doc_key")
+    bad = stage.write(bad.filter("contaminated").select(F.col("doc").alias(key)).distinct(), "bad")
+    return docs.withColumn(key, row_key(id_col, text_col)).join(maybe_broadcast(bad), key, "left_anti").drop(key)

@@ -122,9 +122,11 @@ def _compared(signed: DataFrame, threshold: float) -> DataFrame:
                 np.fill_diagonal(linked, False)
                 if i[a] != j[a]:  # pairs inside a block have a tile of their own
                     linked &= own[a:b, None] != own[None, a:b]
-                for x1, x2 in np.argwhere(np.triu(linked)):
-                    if (buckets[a + x1, : t[a]] == buckets[a + x2, : t[a]]).any():  # met before
-                        linked[x1, x2] = linked[x2, x1] = False
+                one, two = np.nonzero(np.triu(linked))
+                for k in range(0, len(one), 1 << 16):
+                    x1, x2 = one[k : k + (1 << 16)], two[k : k + (1 << 16)]
+                    before = (buckets[a + x1, : t[a]] == buckets[a + x2, : t[a]]).any(axis=1)  # met in an earlier table
+                    linked[x1[before], x2[before]] = linked[x2[before], x1[before]] = False
                 hit = np.flatnonzero(linked.any(axis=1))
                 if len(hit):
                     part = linked[np.ix_(hit, hit)]

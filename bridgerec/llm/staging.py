@@ -10,14 +10,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bridgerec.session import ensure_checkpoint_dir
+from bridgerec.session import ensure_checkpoint_dir, ship_package  # noqa: F401
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -53,22 +51,28 @@ class Stage:
                 _delete(self.spark, self.root)
 
 
-_shipped: set[str] = set()
+#: Rows of a few narrow columns that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, once an application; Spark serves the file."""
-    import bridgerec
+def maybe_broadcast(narrow: DataFrame, weight: str = "1") -> DataFrame:
+    """``narrow`` with a broadcast hint if the sum of ``weight`` over it is at most
+    ``BROADCAST_ROWS``; else as it is, for Spark to join by a shuffle."""
+    total = narrow.selectExpr(f"sum({weight})").first()[0] or 0
+    return F.broadcast(narrow) if total <= BROADCAST_ROWS else narrow
 
-    if (application := spark.sparkContext.applicationId) in _shipped:
-        return
-    _shipped.add(application)
-    top = Path(bridgerec.__file__).parent
-    packed = f"{tempfile.mkdtemp(prefix='bridgerec-')}/bridgerec.zip"
-    with zipfile.ZipFile(packed, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(packed)
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash that stands for a document: rows that agree in id and text share it."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
