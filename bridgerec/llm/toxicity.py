@@ -6,14 +6,19 @@ letters, each weighted by ``DECAY`` to the power of the letters it spans, so let
 that are inserted into an insult, or replaced, lower the value but do not remove it.
 
 Landmarks are strings of 4 to 8 letters that begin words of toxic texts far more
-often than of others.  A text's value for a landmark is the largest normalised
-kernel between the landmark and a stretch of a word that is one letter longer; a run
+often than of others.  A word's value for a landmark is the largest normalised
+kernel between the landmark and a stretch of the word as long or one letter longer; a run
 of single letters counts as a word, and what is neither letter nor digit is dropped,
-so spelled-out words are met too.  The values are whitened by the inverse root of the
-landmarks' own kernel matrix (Nyström) and a squared-hinge linear machine is fitted on
-a bounded sample of labelled texts; its margin is turned into a probability by a
-logistic fit.  A word and a landmark that have too few letter pairs in common count
-as 0, which is part of the definition and holds in training and scoring alike.
+so spelled-out words are met too.  A word and a landmark that have too few letter
+pairs in common count as 0, and only a word's nearest landmark counts, which is part of the definition and holds in training and
+scoring alike.  The values are whitened by the inverse root of the landmarks' own kernel
+matrix (Nyström) and a squared-hinge linear machine is fitted to words.
+
+A text is as toxic as its worst word, so one insult in a long text counts as in a
+short one.  Only texts have labels: training alternates between picking the worst word
+of each toxic text, and the worst words of clean ones, and fitting the machine to them
+(multiple-instance learning, Andrews et al., 2002); the landmarks, and the landmarks with a letter
+inserted, are further toxic examples.  The margin is turned into a probability by a logistic fit.
 
 Defined cases: null, empty and wordless texts have all values 0 and get the score of
 such a text; without labels of both classes the score is the share of toxic labels (0
@@ -39,14 +44,22 @@ from bridgerec.llm.chunk_table import ChunkTable
 from bridgerec.llm.labels import held_out, labelled_sample
 from bridgerec.llm.staging import Stage, shuffle_partitions
 
-ORDER, DECAY = 3, 0.7
+#: Letters of a subsequence, weight of a spanned letter, and the power of the normalised
+#: kernel that is a word's value (a power of a kernel is one, and far likeness counts less).
+ORDER, DECAY, POWER = 3, 0.7, 2
 #: Letters of a landmark.
 SHORTEST, LONGEST = 4, 8
-LANDMARKS = 96
+LANDMARKS = 48
 #: Labelled texts of each class that the model is fitted on, at most.
 PER_CLASS = 4000
 #: Landmarks begin words in at least so many toxic texts of the sample, and in this share of them.
-LEAST_TEXTS, LEAST_SHARE = 3, 0.01
+LEAST_TEXTS, LEAST_SHARE = 3, 0.02
+#: Words of a sample text that training looks at (the ones most like a landmark), rounds,
+#: and the weights, against that of all toxic texts, of the landmarks themselves and of
+#: landmarks with an inserted letter; the weight of clean texts where scores are fitted.
+WORDS, ROUNDS, EXACT, SPOILED, CAUTION = 6, 6, 1.0, 0.5, 50.0
+#: Hashes by which near copies in the sample are told.
+HASHES = 6
 #: Longer words are cut into stretches of this size that overlap by half.
 WIDE = 32
 
@@ -96,7 +109,6 @@ class Landmarks:
         self.points = [_points([x], len(x)) for x in strings]
         self.own = [float(kernel(p, p)[0]) for p in self.points]
         self.masks = [_pairs(p)[0] for p in self.points]
-        self.table = ChunkTable(lambda chunks: self.values([plain(c) for c in chunks]))
 
     def matrix(self) -> np.ndarray:
         """The normalised kernel between the landmarks."""
@@ -106,11 +118,11 @@ class Landmarks:
         k[i, j] = kernel(pts[i], pts[j])
         k = np.maximum(k, k.T)
         d = np.sqrt(np.diag(k))
-        return k / d[:, None] / d[None, :]
+        return (k / d[:, None] / d[None, :]) ** POWER
 
-    def values(self, words: list[str]) -> list[tuple[tuple[int, float], ...]]:
-        """(landmark, value) of each word where the value is not 0."""
-        found: list[list] = [[] for _ in words]
+    def values(self, words: list[str]) -> np.ndarray:
+        """The value of each word for each landmark."""
+        found = np.zeros((len(words), len(self.strings)))
         pieces, row = [], []
         for k, w in enumerate(words):
             if len(w) <= WIDE:
@@ -121,7 +133,7 @@ class Landmarks:
                 pieces += [w[i : i + WIDE] for i in step]
                 row += [k] * len(step)
         if not pieces:
-            return []
+            return found
         points, row = _points(pieces, WIDE), np.array(row)
         sizes = (points != 0).sum(axis=1)
         masks = _pairs(points)
@@ -130,32 +142,17 @@ class Landmarks:
             near = np.flatnonzero((np.bitwise_count(masks & mask) >= least) & (sizes >= ORDER))
             if not len(near):
                 continue
-            width = target.shape[1] + 1
-            starts = np.maximum(sizes[near] - width, 0) + 1
-            which = np.repeat(near, starts)
-            at = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
-            padded = np.concatenate([points, np.zeros((len(points), width), np.uint32)], axis=1)[which]
-            cut = np.take_along_axis(padded, at[:, None] + np.arange(width), axis=1)
-            norm = np.sqrt(own * kernel(cut, cut))
-            value = kernel(cut, np.repeat(target, len(cut), axis=0)) / np.where(norm > 0, norm, 1)
-            best = np.zeros(len(words))
-            np.maximum.at(best, row[which], value)
-            for k in np.unique(row[near]).tolist():
-                if best[k] > 0:
-                    found[k].append((j, float(best[k])))
-        return [tuple(x) for x in found]
-
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        """The largest value of each text's words for each landmark."""
-        out = np.zeros((len(texts), len(self.strings)))
-        chunks = [words_of(t) for t in texts]
-        value = self.table.covering(chunks).__getitem__
-        for row, one in zip(out, chunks, strict=True):
-            for hits in filter(None, map(value, one)):
-                for j, v in hits:
-                    if v > row[j]:
-                        row[j] = v
-        return out
+            for width in (target.shape[1], target.shape[1] + 1):
+                starts = np.maximum(sizes[near] - width, 0) + 1
+                which = np.repeat(near, starts)
+                at = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
+                padded = np.concatenate([points, np.zeros((len(points), width), np.uint32)], axis=1)
+                cut = np.take_along_axis(padded[which], at[:, None] + np.arange(width), axis=1)
+                norm = np.sqrt(own * kernel(cut, cut))
+                value = kernel(cut, np.repeat(target, len(cut), axis=0)) / np.where(norm > 0, norm, 1)
+                np.maximum.at(found[:, j], row[which], value**POWER)
+        nearest = found == found.max(axis=1, keepdims=True)  # small likeness to several landmarks does not add up
+        return np.where(nearest, found, 0)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -187,8 +184,8 @@ def landmarks_of(strings: tuple[str, ...]) -> Landmarks:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """A text's margin is ``weights`` . values + ``bias``; its score the logistic
-    function of slope * margin + shift."""
+    """A word's margin is ``weights`` . values + ``bias``, a text's the largest of its
+    words; the score is the logistic function of slope * margin + shift."""
 
     strings: tuple[str, ...]
     weights: tuple[float, ...]
@@ -196,25 +193,34 @@ class ToxicityModel:
     slope: float
     shift: float
 
+    def margins(self, words: list[str]) -> np.ndarray:
+        return landmarks_of(self.strings).values(words) @ np.array(self.weights) + self.bias
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         margin = np.full(len(texts), self.bias)
         if self.strings:
-            margin = landmarks_of(self.strings).features(texts) @ np.array(self.weights) + self.bias
+            margin = np.array([max(found, default=self.bias) for found in _table(self).values([words_of(t) for t in texts])])
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
+@lru_cache(maxsize=2)
+def _table(model: ToxicityModel) -> ChunkTable:
+    return ChunkTable(lambda chunks: model.margins([plain(c) for c in chunks]).tolist())
+
+
 def _unlike(sample: DataFrame) -> DataFrame:
     """The sample without most near copies, which would make the words they share look
     telling: of texts of a label with the same smallest hash of three words in a row, by
-    either of two hashes, one stays."""
+    any of some hashes, one stays."""
     words = F.split(F.lower("text"), r"\s+")
     threes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.slice("words", i, 3))
-    hashed = sample.withColumn("words", words).withColumn("threes", threes)
-    for seed in (1, 2):
-        least = F.array_min(F.transform("threes", lambda x, k=seed: F.xxhash64(x, F.lit(k))))
-        hashed = hashed.withColumn(f"h{seed}", least)
-    kept = hashed.groupBy("label", "h1").agg(F.min(F.struct("text", "h2")).alias("one"))
-    return kept.groupBy("label", "one.h2").agg(F.min("one.text").alias("text")).select("text", "label")
+    hashed = sample.withColumn("words", words).withColumn("threes", threes).select(
+        "label", "text", *(F.array_min(F.transform("threes", lambda x, k=k: F.xxhash64(x, F.lit(k)))).alias(f"h{k}") for k in range(HASHES))
+    )
+    for k in range(HASHES):
+        rest = [c for c in hashed.columns if c not in ("label", f"h{k}")]
+        hashed = hashed.groupBy("label", f"h{k}").agg(F.min(F.struct(*rest)).alias("one")).select("label", "one.*")
+    return hashed.select("text", "label")
 
 
 def _candidates(sample: DataFrame) -> DataFrame:
@@ -300,21 +306,53 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, stage: Stage, id_col: str =
         marks = landmarks_of(strings)
         for batch in batches:
             for a, block in text_blocks(batch.column(0)):
-                packed = [x.astype(np.float32).tobytes() for x in marks.features(block)]
+                packed = []
+                for text in block:
+                    values = marks.values(sorted(set(map(plain, words_of(text)))))
+                    most = np.argsort(-values.max(axis=1, initial=0), kind="stable")[:WORDS]
+                    packed.append(np.unique(values[most], axis=0).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(packed, pa.binary()), batch.column(1).slice(a, len(block))], names=["values", "label"]
                 )
 
     got = parts.mapInArrow(run, "values binary, label int").collect()  # 2 * PER_CLASS rows at most
     got.sort(key=lambda r: (r[1], bytes(r[0])))
-    x = np.array([np.frombuffer(r[0], np.float32) for r in got], np.float64)
-    y = np.array([1.0 if r[1] else -1.0 for r in got])
-    weight = np.where(y > 0, 0.5 / pos, 0.5 / neg) * len(y)
-    vals, vecs = np.linalg.eigh(landmarks_of(strings).matrix())
+    bags = [np.frombuffer(r[0], np.float32).reshape(-1, len(strings)).astype(np.float64) for r in got]
+    bags = [b if len(b) else np.zeros((1, len(strings))) for b in bags]
+    return _fit_bags(strings, bags, np.array([r[1] for r in got]))
+
+
+def _fit_bags(strings: tuple[str, ...], bags: list[np.ndarray], label: np.ndarray) -> ToxicityModel:
+    """The machine from the words' values of each text."""
+    marks = landmarks_of(strings)
+    vals, vecs = np.linalg.eigh(marks.matrix())
     root = vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 0.05))) @ vecs.T
-    w = _machine(x @ root, y, weight)
-    direct = root @ w[:-1]
-    slope, shift = _logistic(x @ direct + w[-1], y, weight)
+    exact = marks.values(list(strings))
+    spoiled = marks.values([x[:i] + "x" + x[i:] for x in strings for i in range(1, len(x))])
+    bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    words = np.concatenate(bags)
+    margin, chosen = words.max(axis=1), np.zeros(len(words), bool)
+
+    def worst(margin: np.ndarray) -> np.ndarray:
+        """The row of each text's largest margin."""
+        order = np.lexsort((-margin, bag))
+        return order[np.append(True, bag[order][1:] != bag[order][:-1])]
+
+    for _ in range(ROUNDS):
+        top = worst(margin)
+        toxic = top[label == 1]
+        chosen[top[label == 0]] = True  # clean words stay once they were picked
+        clean = np.flatnonzero(chosen)
+        groups = [(words[toxic], 1.0), (exact, EXACT), (spoiled, SPOILED), (words[clean], -1.0)]
+        x = np.concatenate([g for g, _ in groups])
+        y = np.concatenate([np.full(len(g), np.sign(k)) for g, k in groups])
+        weight = np.concatenate([np.full(len(g), abs(k) / max(1, len(g))) for g, k in groups])
+        w = _machine(x @ root, y, weight * len(x) / 2)
+        direct = root @ w[:-1]
+        margin = words @ direct + w[-1]
+    # the score's middle leans to the toxic side: each clean text counts as CAUTION toxic ones
+    weight = np.where(y > 0, weight / weight[y > 0].sum(), CAUTION * weight / weight[y < 0].sum())
+    slope, shift = _logistic(x @ direct + w[-1], y, weight * len(x))
     return ToxicityModel(strings, tuple(direct.tolist()), float(w[-1]), slope, shift)
 
 
