@@ -12,8 +12,10 @@ one class from the start.  The rest is exact:
 3. In lists that still hold several components, size-banded tiles are compared
    in full: for two classes of different components, the bit count of the
    exclusive or of two hashed parity bitmaps is at most the number of shingles that
-   only one has, which bounds their overlap from above.  Lists over ``TILE``
-   classes are split into pairs of blocks that go to different tasks.
+   only one has, which bounds their overlap from above.  First the closest pair of
+   a class and another component is tried, which joins what belongs together; then
+   every pair of what is still apart.  Lists over ``TILE`` classes are split into
+   pairs of blocks that go to different tasks.
 4. What the bound leaves is verified by exact intersection of the sorted arrays.
 
 A pair inside one component needs no test, so a large group of near copies costs
@@ -33,23 +35,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bridgerec.llm.blocks import row_blocks, text_bytes
+from bridgerec.llm.blocks import row_blocks, text_bytes, whole_groups
 from bridgerec.llm.components import connected_components
-from bridgerec.llm.staging import Stage, shuffle_partitions
+from bridgerec.llm.staging import Stage, fresh_name, maybe_broadcast, row_key, shuffle_partitions
 from bridgerec.llm.word_hash import SPACED, mix, window_hashes, words_of
 
 #: Counters of the frequency sketch (32-bit; one sketch a task, summed in a tree).
-SKETCH_BITS = 18
-#: Bits of a parity bitmap.
-BITMAP_BITS = 1024
+SKETCH_BITS = 20
+#: A class's parity bitmap has twice as many bits as shingles, rounded up to a power of
+#: two, and at least these; tiles compare bitmaps of a quarter of the bits, within limits.
+LEAST_BITS, TILE_BITS = 1024, (512, 4096)
 #: Classes of a list that are compared in one group.
 TILE = 2048
-#: Documents to fetch for verification by a broadcast of their ids; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -75,40 +77,57 @@ def fingerprint(shingles: np.ndarray) -> np.uint64:
     return mix(np.array([mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64))[0]
 
 
-def bitmap(shingles: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
+def bitmap(shingles: np.ndarray) -> bytes:
     """Bit i tells whether an odd number of shingles hash to i."""
+    bits = max(LEAST_BITS, 2 << (len(shingles) - 1).bit_length() if len(shingles) else 0)
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def tile_bitmap(whole: bytes) -> bytes:
+    """A class's bitmap folded to what tiles compare."""
+    bits = min(max(len(whole) * 2, TILE_BITS[0]), TILE_BITS[1], len(whole) * 8)
+    return folded(np.frombuffer(whole, np.uint64)[None], bits // 64).tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps as ``words`` 64-bit words each: the bitmaps of so many fewer bits."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, class) of each row and one sketch row for each task."""
+    """(doc, id, n, class, bitmap) of each row and one sketch row for each task."""
     schema = T.StructType(
         [
+            T.StructField("doc", T.LongType()),
             T.StructField("id", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("class", T.LongType()),
+            T.StructField("bitmap", T.BinaryType()),
+            T.StructField("small", T.BinaryType()),
             T.StructField("sketch", T.BinaryType()),
         ]
     )
-    types = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary())])
+    types = pa.schema([(c, pa.int64()) for c in ("doc", "id", "n", "class")] + [(c, pa.binary()) for c in ("bitmap", "small", "sketch")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            sizes, classes, cells, seen = [], [], [], set()
+            sizes, classes, maps, cells, seen = [], [], [], [], set()
             for s in shingle_sets(*text_bytes(batch.column(1)), n):
                 sizes.append(len(s))
                 classes.append(fingerprint(s))
+                maps.append(bitmap(s))
                 if classes[-1] not in seen:  # a copy adds nothing to how rare a shingle is
                     seen.add(classes[-1])
                     cells.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
             sketch += np.bincount(np.concatenate([np.empty(0, np.int32), *cells]), minlength=len(sketch))
-            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(classes, np.uint64).view(np.int64))]
+            cols = [batch.column(2), batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(classes, np.uint64).view(np.int64))]
+            cols += [pa.array(maps, pa.binary()), pa.array(map(tile_bitmap, maps), pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(batch.num_rows, pa.binary())], schema=types)
         yield pa.RecordBatch.from_pylist([{"sketch": sketch.astype("<u4").tobytes()}], schema=types)
 
@@ -120,12 +139,13 @@ def _levels(sets: DataFrame) -> np.ndarray:
     sketches = sets.filter("sketch is not null").select("sketch").rdd
     total = sketches.map(lambda r: np.frombuffer(r[0], "<u4").astype(np.int64)).treeReduce(np.add, depth=3)
     share = total / max(1.0, total.mean())
-    return np.floor(np.log2(np.maximum(share, 1))).astype(np.uint64)
+    return np.floor(np.log2(np.maximum(share, 1))).astype(np.uint8)
 
 
 def _postings(docs: DataFrame, n: int, levels: np.ndarray, num: int, den: int) -> DataFrame:
-    """(token, class, n) for the prefix of every class, once for each batch that has it."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "class")] + [T.StructField("n", T.IntegerType())])
+    """(token, class, place) for the prefix of every class, once for each batch that has
+    it; ``place`` is n << 32 plus the token's position in the order by rarity."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "class", "place")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +155,7 @@ def _postings(docs: DataFrame, n: int, levels: np.ndarray, num: int, den: int) -
                 if not len(s) or (c := fingerprint(s)) in seen:
                     continue
                 seen.add(c)
-                order = (levels[s >> np.uint64(64 - SKETCH_BITS)] << np.uint64(58)) | (s >> np.uint64(6))
+                order = (levels[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 tokens.append(s[np.argsort(order, kind="stable")[: prefix_length(len(s), num, den)]])
                 classes.append(c)
                 sizes.append(len(s))
@@ -144,7 +164,7 @@ def _postings(docs: DataFrame, n: int, levels: np.ndarray, num: int, den: int) -
                 cols = [
                     np.concatenate(tokens).view(np.int64),
                     np.repeat(np.array(classes, np.uint64).view(np.int64), each),
-                    np.repeat(np.array(sizes, np.int32), each),
+                    (np.repeat(np.array(sizes), each) << 32) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema.names)
 
@@ -155,132 +175,208 @@ def _shared(postings: DataFrame, num: int, den: int) -> DataFrame:
     """The postings of shingles that two or more classes have, in size order, each
     with the class before it and the first class of its size band."""
     # sets of different bands can link only if the bands are neighbours
-    band = F.floor(F.log("n") / math.log(den / num) + 1e-9)
-    rows = postings.withColumn("band", band)
+    n = F.shiftright("place", 32)
+    rows = postings.withColumn("n", n).withColumn("band", F.floor(F.log("n") / math.log(den / num) + 1e-9))
     by_token = Window.partitionBy("token").orderBy("band", "n", "class")
     by_band = Window.partitionBy("token", "band").orderBy("n", "class")
     near = rows.select(
-        "*",
+        "token",
+        "class",
+        "place",
+        "n",
         F.lag("class").over(by_token).alias("before"),
         F.lead("class").over(by_token).alias("after"),
+        F.lag("n").over(by_token).alias("n_before"),
+        F.lead("n").over(by_token).alias("n_after"),
         F.first("class").over(by_band.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
     )
-    return near.filter("before != class or after != class").drop("after")
+    # sizes ascend, so a class that neither neighbour's size allows to link has no partner in the list
+    fits_before = (F.col("before") != F.col("class")) & (den * F.col("n_before") >= num * F.col("n"))
+    fits_after = (F.col("after") != F.col("class")) & (den * F.col("n") >= num * F.col("n_after"))
+    return near.filter(fits_before | fits_after).select("token", "class", "place", "before", "first")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(class, n, bitmap, hashes) of the documents whose ids are in ``wanted(row)``."""
-    types = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("hashes", pa.binary())])
+    """(class, hashes) of the documents whose ids are in ``wanted(row)``."""
+    types = pa.schema([("class", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for s in shingle_sets(*text_bytes(batch.column(1)), n) if len(s)]
-            rows = [(int(fingerprint(s).view(np.int64)), len(s), bitmap(s), s.tobytes()) for s in sets]
-            cols = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(cols, schema=types)
+            rows = [(int(fingerprint(s).view(np.int64)), s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(types)], schema=types)
 
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = wanted.toDF("wanted")
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("row").eqNullSafe(F.col("wanted")), "left_semi")
-    return texts.mapInArrow(run, "class long, n long, bitmap binary, hashes binary").dropDuplicates(["class"])
+    wanted = maybe_broadcast(wanted.toDF("wanted"))
+    texts = docs.join(wanted, F.col("row").eqNullSafe(F.col("wanted")), "left_semi")
+    return texts.mapInArrow(run, "class long, hashes binary").dropDuplicates(["class"])
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: bitmaps first, then exact intersections."""
+def _bounded(pairs: DataFrame, light: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that neither sizes nor bitmaps rule out."""
     types = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    total = num + den
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(a), -1) for i in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            # overlap <= (na + nb - apart) / 2 and a link needs den * overlap >= num * union
-            keep = total * (na + nb - apart) >= 2 * num * (na + nb)
+            sizes = np.stack([pc.binary_length(batch.column(i)).to_numpy() // 8 for i in (4, 5)], axis=1)
+            keep = np.zeros(len(a), bool)
+            for pair in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == pair).all(axis=1))
+                maps = [batch.column(i).take(pa.array(at)).to_pylist() for i in (4, 5)]
+                x, y = (np.frombuffer(b"".join(m), np.uint64).reshape(len(at), -1) for m in maps)
+                least = int(pair.min())
+                keep[at] = _may_link(folded(x, least) ^ folded(y, least), na[at] + nb[at], num, den)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], schema=types)
 
+    left, right = (light.select("class", "n", "bitmap").toDF(side, f"n_{side}", f"m_{side}") for side in "ab")
+    sized = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "m_a", "m_b")
+    return sized.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").mapInArrow(run, "a long, b long")
+
+
+def _may_link(differing: np.ndarray, total: np.ndarray, num: int, den: int) -> np.ndarray:
+    """At least as many shingles are in one set alone as bits differ, so the overlap is
+    at most (total - bits) / 2; a link needs den * overlap >= num * (total - overlap)."""
+    apart = np.bitwise_count(differing).sum(axis=1, dtype=np.int64)
+    return (num + den) * (total - apart) >= 2 * num * total
+
+
+def _verified(near: DataFrame, docs: DataFrame, members: DataFrame, stage: Stage, name: str, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, by intersection of the sorted arrays."""
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = np.sort(np.concatenate([x, y]))
-                keep.append(total * int((both[1:] == both[:-1]).sum()) >= num * len(both))
+                keep.append((num + den) * int((both[1:] == both[:-1]).sum()) >= num * len(both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    light = arrays.select("class", "n", "bitmap")
-    left, right = (light.toDF(side, f"n_{side}", f"m_{side}") for side in "ab")
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "m_a", "m_b")
-    sized = sized.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
-    near = sized.mapInArrow(bound, "a long, b long")
+    near = stage.write(near, f"near-{name}")
+    classes = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    # ids need not be unique: the classes of the fetched texts are computed again from the texts
+    wanted = members.select("class", "row").join(classes, "class").select("row").distinct()
+    arrays = stage.write(_arrays(docs, wanted, n), f"arrays-{name}")
     left, right = (arrays.select(F.col("class").alias(s), F.col("hashes").alias(f"h_{s}")) for s in "ab")
-    return near.join(left, "a").join(right, "b").select("a", "b", "h_a", "h_b").mapInArrow(exact, "a long, b long")
+    both = near.join(left, "a").join(right, "b").select("a", "b", "h_a", "h_b")
+    links = stage.write(both.mapInArrow(exact, "a long, b long"), f"links-{name}")
+    stage.drop(f"near-{name}", f"arrays-{name}")
+    return links
 
 
-def _tiles(lists: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
+def _tiles(lists: DataFrame, light: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
     """Distinct pairs of classes of different components that share a prefix shingle
-    and that neither sizes nor bitmaps rule out.
-
-    ``lists(token, class, n, component)``.  A long list falls into k blocks by a
-    hash of the class; a tile is a pair of blocks, and a class goes to its k tiles.
+    and that sizes, places and bitmaps do not rule out; with ``closest`` only the pair
+    with the fewest differing bits for a class and another component in a tile, and a row
+    ``(null, null, token)`` for a list where that left pairs out.
+
+    ``lists(token, class, place, component)``.  If a link's first common shingle is in
+    place i of a set of n, at most n - i are common, which must be enough for the link
+    in both sets; a pair that fails this here is met under an earlier shingle or not
+    linked.  Of lists with the same members the one with the earliest shingle is
+    compared.  A long list falls into k blocks by a hash of the class; a tile is a
+    pair of blocks, and a class goes to its k tiles.
     """
-    total = num + den
-    sizes = lists.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = sizes.filter("lo != hi").select("token", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
-    rows = lists.join(mixed, "token").join(arrays.select("class", "bitmap"), "class")
+    whole = lists.groupBy("token").agg(
+        F.count("*").alias("m"),
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.bit_xor(F.xxhash64("class")).alias("x"),
+        F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"),
+        F.sum(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))).alias("places"),
+    )
+    mixed = whole.filter("lo != hi").groupBy("m", "x", "y").agg(F.min(F.struct("places", "token"))["token"].alias("token"))
+    mixed = mixed.select("token", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
+    rows = lists.join(mixed, "token").join(light.select("class", "small"), "class")
     block = F.pmod(F.xxhash64("class"), F.col("k")).cast("int")
     rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "class", "component", "bitmap")
+    rows = rows.select(
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "own", "place", "class", "component", "small",
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
-            keys = np.stack([table.column(i).to_numpy() for i in range(3)])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            if last:
-                yield from compare(table.slice(0, last), np.concatenate([[0], cuts]))
-            kept = table.slice(last).combine_chunks()
-        if kept is not None and kept.num_rows:
-            yield from compare(kept, np.array([0, kept.num_rows]))
+        for table, cuts in whole_groups(batches, 3):
+            yield from compare(table, cuts)
 
     def compare(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j, own, n, cls, comp = (table.column(k).to_numpy() for k in range(1, 7))
-        maps = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint64).reshape(len(n), -1)
+        token, i, j, own, place, cls, comp = (table.column(k).to_numpy() for k in range(7))
+        n = place >> 32
+        room = n - (place & 0xFFFFFFFF)
+        packed = table.column(7).to_pylist()
+        words = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
         found: list[np.ndarray] = []
+        more: list[int] = []
+        held = 0
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a < 2:
-                continue
-            order = a + np.argsort(n[a:b], kind="stable")
-            size = n[order].astype(np.int64)
-            hi = np.searchsorted(size, size * den // num, side="right")
+            order = a + np.lexsort((words[a:b], n[a:b]))
+            ends = np.searchsorted(n[order], n[order] * den // num, side="right")
+            maps = Folds(packed, order, words[order])
             for at, row in enumerate(order):
-                to = order[at + 1 : hi[at]]
-                to = to[comp[to] != comp[row]]
+                k = np.arange(at + 1, ends[at])
+                k = k[comp[order[k]] != comp[row]]
                 if i[a] != j[a]:
-                    to = to[own[to] != own[row]]
+                    k = k[own[order[k]] != own[row]]
+                to = order[k]
+                least = -(-num * (n[to] + n[row]) // (num + den))  # common shingles of a link
+                fits = (room[to] >= least) & (room[row] >= least)
+                k, to = k[fits], to[fits]
                 if not len(to):
                     continue
-                apart = np.bitwise_count(maps[to] ^ maps[row]).sum(axis=1, dtype=np.int64)
-                both = n[to].astype(np.int64) + int(n[row])
-                to = to[total * (both - apart) >= 2 * num * both]
-                if len(to):
-                    one = np.full(len(to), cls[row])
-                    found.append(np.stack([np.minimum(one, cls[to]), np.maximum(one, cls[to])]))
-                if sum(x.shape[1] for x in found[-64:]) > 1 << 16:
-                    yield _pairs(found)
-                    found = []
-        yield _pairs(found)
-
-    def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+                differing = maps.differing(at, k)
+                near = _may_link(differing, n[to] + n[row], num, den)
+                to = to[near]
+                if closest and len(to) > 1:
+                    apart = np.bitwise_count(differing[near]).sum(axis=1, dtype=np.int64)
+                    by = np.lexsort((cls[to], apart, comp[to]))
+                    first = np.ones(len(by), bool)
+                    first[1:] = comp[to][by][1:] != comp[to][by][:-1]
+                    if not first.all():
+                        more.append(int(token[a]))
+                    to = to[by[first]]
+                one = np.full(len(to), cls[row])
+                found.append(np.stack([np.minimum(one, cls[to]), np.maximum(one, cls[to])]))
+                held += len(to)
+                if held > 1 << 18:
+                    yield distinct(found, more)
+                    found, more, held = [], [], 0
+        yield distinct(found, more)
+
+    def distinct(found: list[np.ndarray], more: list[int]) -> pa.RecordBatch:
         both = np.unique(np.concatenate([np.empty((2, 0), np.int64), *found], axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        again = sorted(set(more))
+        cols = [pa.concat_arrays([pa.array(x), pa.nulls(len(again), pa.int64())]) for x in both]
+        cols.append(pa.concat_arrays([pa.nulls(both.shape[1], pa.int64()), pa.array(again, pa.int64())]))
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "token"])
 
     order = ["token", "i", "j"]
     parts = shuffle_partitions(lists.sparkSession)
-    tiles = rows.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
-    return tiles.dropDuplicates(["a", "b"])
+    tiles = rows.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, token long")
+    return tiles.dropDuplicates()
+
+
+class Folds:
+    """Bitmaps of rows in the order of their sizes, folded to the bits of the smaller of two."""
+
+    def __init__(self, packed: list[bytes], order: np.ndarray, words: np.ndarray):
+        self.packed, self.order, self.words = packed, order, words
+        self.by_words: dict[int, tuple[int, np.ndarray]] = {}
+
+    def of(self, words: int) -> tuple[int, np.ndarray]:
+        """The first row that has so many words, and it and all later rows folded to them."""
+        if words not in self.by_words:
+            first = int(np.searchsorted(self.words, words))
+            parts = [np.empty((0, words), np.uint64)]
+            for w in np.unique(self.words[first:]).tolist():
+                rows = self.order[first:][self.words[first:] == w]
+                parts.append(folded(np.frombuffer(b"".join([self.packed[r] for r in rows]), np.uint64).reshape(len(rows), w), words))
+            self.by_words[words] = first, np.concatenate(parts)
+        return self.by_words[words]
+
+    def differing(self, at: int, others: np.ndarray) -> np.ndarray:
+        """The bits in which row ``at`` and each of the later rows ``others`` differ."""
+        first, maps = self.of(int(self.words[at]))
+        return maps[others - first] ^ maps[at - first]
 
 
 def ngram_jaccard_join(
@@ -291,44 +387,79 @@ def ngram_jaccard_join(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(doc_id, n_shingles, class_id, component_id)`` for each row of ``docs``.
+    """``(doc_id, n_shingles, class_id, component_id, group, doc)`` for each row of ``docs``.
 
     Documents link when intersection / union >= num / den of ``threshold``.
     ``class_id`` is the smallest id with the same set, ``component_id`` the
-    smallest id that links lead to, the document included.
+    smallest id that links lead to, the document included.  ``group`` tells components
+    apart whatever their ids (null for empty sets); ``doc`` stands for the row, see
+    :func:`~bridgerec.llm.staging.row_key`.
     """
     num, den = threshold
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("row"), text.alias("text"))
-    sets = stage.write(_sets(rows, n), "sets")
+    sets = stage.write(_sets(rows.withColumn("doc", row_key("row", "text")), n), "sets")
     levels = _levels(sets)
-    sets = sets.filter("sketch is null").select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    sets = sets.filter("sketch is null").withColumn("class", F.when(F.col("n") > 0, F.col("class")))
     lists = stage.write(_shared(_postings(rows, n, levels, num, den), num, den), "lists")
+    members = sets.filter("n > 0").groupBy("class").agg(
+        F.min("id").alias("row"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("small").alias("small")
+    )
+    members = stage.write(members, "members")
+    light = members.drop("row")
 
     star = lists.select("class", F.explode(F.array("before", "first")).alias("to")).filter("class != to")
     star = star.select(F.least("class", "to").alias("a"), F.greatest("class", "to").alias("b")).dropDuplicates()
-    members = sets.filter("class is not null").groupBy("class").agg(F.min("id").alias("row"))
-    # ids need not be unique: the classes of the fetched texts are computed again from the texts
-    wanted = members.join(lists.select("class").distinct(), "class").select("row").distinct()
-    arrays = stage.write(_arrays(rows, wanted, n), "arrays")
-    links = stage.write(_verified(star, arrays, num, den), "links-1")
-    found = stage.write(connected_components(links, stage, "cc-1"), "found-1")
-
-    lists = lists.select("token", "class", "n").dropDuplicates(["token", "class"])
-    labelled = lists.join(found.toDF("class", "component"), "class", "left")
-    labelled = labelled.select("token", "class", "n", F.coalesce("component", "class").alias("component"))
-    pairs = _tiles(labelled, arrays, num, den)
-    more = stage.write(_verified(pairs, arrays, num, den), "links-2")
-    found = connected_components(links.unionAll(more), stage, "cc-2")
+    links = _verified(_bounded(star, light, num, den), rows, members, stage, "star", n, num, den)
+    found = connected_components(links, stage, "cc-star")
+    again = None
+    for name in ("closest", "rest"):
+        found = stage.write(found, f"found-{name}")
+        rows_of = lists.select("token", "class", "place")
+        rows_of = rows_of if again is None else rows_of.join(again, "token", "left_semi")
+        labelled = rows_of.join(found.toDF("class", "component"), "class", "left")
+        labelled = labelled.withColumn("component", F.coalesce("component", "class"))
+        pairs = stage.write(_tiles(labelled, light, num, den, name == "closest"), f"pairs-{name}")
+        again = pairs.filter("token is not null").select("token")
+        near = _bounded(pairs.filter("token is null").select("a", "b"), light, num, den)
+        links = links.unionAll(_verified(near, rows, members, stage, name, n, num, den))
+        found = connected_components(links, stage, f"cc-{name}")
 
     named = sets.join(found.toDF("class", "linked"), "class", "left")
     named = named.withColumn("linked", F.coalesce("linked", "class"))
     classes = named.filter("class is not null").groupBy("class", "linked").agg(F.min("id").alias("class_id"))
     least = classes.groupBy("linked").agg(F.min("class_id").alias("component_id"))
-    names = classes.join(least, "linked").select("class", "class_id", "component_id")
+    names = classes.join(least, "linked").select("class", "class_id", "component_id", F.col("linked").alias("group"))
     return sets.join(names, "class", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("component_id", "id").alias("component_id"),
+        "group",
+        "doc",
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    stage: Stage,
+    n: int = 5,
+    threshold: tuple[int, int] = (3, 4),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with one row of each group of linked documents, the one with the smallest
+    id (null ids last); documents without words all stay."""
+    found = stage.write(ngram_jaccard_join(docs, stage, n, threshold, id_col, text_col), "joined").filter("group is not null")
+    last = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    stay = found.groupBy("group").agg(F.min(F.struct(last.alias("id"), "doc")).alias("one")).select("group", F.col("one.doc").alias("doc"))
+    key = fresh_name(docs, "doc_key")
+    go = found.select("group", "doc").distinct().join(stay, ["group", "doc"], "left_anti").select(F.col("doc").alias(key))
+    twice = found.groupBy("doc").count().filter("count > 1").select(F.col("doc").alias(key))
+    kept = docs.withColumn(key, row_key(id_col, text_col)).join(maybe_broadcast(go), key, "left_anti")
+    twice = stage.write(twice, "twice")
+    if not twice.isEmpty():  # rows that agree in id and text are told apart by nothing: one of them stays
+        few = maybe_broadcast(twice)
+        one = kept.join(few, key, "left_semi").dropDuplicates([key])
+        kept = kept.join(few, key, "left_anti").unionByName(one)
+    return kept.drop(key)
