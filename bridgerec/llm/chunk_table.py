@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 #: Entries of the younger generation of a table; the older one has about as many.
-ENTRIES = 300_000
+ENTRIES = 400_000
 #: Longer chunks are computed without being kept.
 KEPT_BYTES = 48
 
@@ -20,26 +20,28 @@ class ChunkTable:
         self.compute, self.entries = compute, entries
         self.young: dict = {}
         self.old: dict = {}
-        self.long: list[bytes] = []
 
     def get(self, chunk: bytes):
         """What is known of a chunk, else None."""
         found = self.young.get(chunk)
         return self.old.get(chunk) if found is None else found
 
-    def covering(self, rows: list[list[bytes]]) -> dict:
-        """A mapping that holds every chunk of ``rows``; valid until the next call."""
-        for c in self.long:
-            del self.young[c]
+    def values(self, rows: list[list[bytes]]) -> Iterator[list]:
+        """What is computed for the chunks of each row."""
         if len(self.young) > self.entries:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for c in set(chain.from_iterable(rows)).difference(young):
-            if c in old:
-                young[c] = old[c]
-            else:
-                new.append(c)
-        if new:
-            young.update(zip(new, self.compute(new), strict=True))
-        self.long = [c for c in new if len(c) > KEPT_BYTES]
-        return young
+        chunks = list(chain.from_iterable(rows))
+        found = list(map(self.young.get, chunks))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if gaps:
+            missing = {chunks[i] for i in gaps}
+            here = {c: v for c in missing if (v := self.old.get(c)) is not None}
+            new = [c for c in missing if c not in here]
+            here.update(zip(new, self.compute(new), strict=True))
+            self.young.update((c, v) for c, v in here.items() if len(c) <= KEPT_BYTES)
+            for i in gaps:
+                found[i] = here[chunks[i]]
+        at = 0
+        for row in rows:
+            yield found[at : at + len(row)]
+            at += len(row)

@@ -71,8 +71,7 @@ class ChunkCodec:
             found = [array("I", i).tobytes() for i in self.sp.encode([t.decode() for t in texts], num_threads=1)]
             return [self.begin + i + self.end for i in found]
         rows = [self._chunks(t) for t in texts]
-        ids = self.table.covering(rows).__getitem__
-        return [b"".join([self.begin, *map(ids, row), self.end]) for row in rows]
+        return [b"".join([self.begin, *ids, self.end]) for ids in self.table.values(rows)]
 
     def decode(self, ids: bytes) -> str:
         return self.sp.decode(np.frombuffer(ids, "<u4").tolist())

@@ -24,6 +24,7 @@ table gives no shard and an empty manifest; only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -84,6 +85,10 @@ class ChunkEncoder:
         self.lower = self._ids(ALPHABET) == self._ids(ALPHABET.lower())
         apart = all(self._ids(f"{c}{m}") == self._ids(c) + self._ids(m) for c in ALPHABET for m in ".,")
         self.marks = {m.encode(): array(self.code, self._ids(m)).tobytes() for m in ".,"} if apart else {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
         self.specials = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = ChunkTable(self._encode_new)
 
@@ -94,6 +99,20 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
 
+    def _encode_words(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters alone are one run of pieces whose last ends a word, so many
+        are encoded at once and cut apart after these pieces."""
+        words = [c for c in chunks if c.decode().isalpha()] if self.ends.any() else []
+        ids = np.array(self._ids(b" ".join(words).decode()), f"<u{self.width}")
+        cuts = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
+        if len(cuts) != len(words):  # some letters are split otherwise
+            words, cuts = [], []
+        packed, bounds = ids.tobytes(), [0, *(self.width * np.asarray(cuts, int)).tolist()]
+        have = {w: packed[a:b] for w, a, b in zip(words, bounds[:-1], bounds[1:], strict=True)}
+        rest = [c for c in chunks if c not in have]
+        have.update(zip(rest, self._encode(rest), strict=True))
+        return have
+
     def _encode_new(self, chunks: list[bytes]) -> list[bytes]:
         """A letter and a stop or comma that ends the chunk are never in one piece,
         so the word before the mark is looked up or encoded by itself."""
@@ -101,8 +120,7 @@ class ChunkEncoder:
             return self._encode(chunks)
         stems = {c[:-1] if c[-1:] in self.marks and c[-2:-1].isalpha() else c for c in chunks}
         have = {c: x for c in stems if (x := self.table.get(c)) is not None}
-        new = [c for c in stems if c not in have]
-        have.update(zip(new, self._encode(new), strict=True))
+        have.update(self._encode_words([c for c in stems if c not in have]))
         return [have[c] if c in have else have[c[:-1]] + self.marks[c[-1:]] for c in chunks]
 
     def _plain(self, text: bytes) -> bytes:
@@ -117,8 +135,7 @@ class ChunkEncoder:
         if not self.by_chunk:
             return self._encode(texts)
         rows = [self._plain(t).split() for t in texts]
-        ids = self.table.covering(rows).__getitem__
-        return [b"".join(map(ids, row)) for row in rows]
+        return [b"".join(ids) for ids in self.table.values(rows)]
 
 
 @lru_cache(maxsize=2)
