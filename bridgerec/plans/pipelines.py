@@ -241,12 +241,68 @@ def svd_factors(spark, sf_dir):
     return u.unionByName(v).unionByName(s)
 
 
+def svd_invariants(spark, sf_dir):
+    """One row a triplet: whether u and v have length 1 and A v = s u, to 1e-6."""
+    k = 8
+    d = load(spark, sf_dir)
+    svd = FZ.truncated_svd(d.target_train, k)
+    entries = d.target_train.select(F.col("user_id").alias("i"), F.col("item_id").alias("j"), F.col("rating").alias("v"))
+    av = FZ._times(entries, svd.V.select("id", F.col("features").alias("x")), "i", "j", k)
+    both = svd.U.join(av, "id")
+    off = [F.sum(F.pow(F.col("x")[f] - F.lit(svd.s[f]) * F.col("features")[f], 2)).alias(f"o{f}") for f in range(k)]
+    size = [F.sum(F.pow(F.col("features")[f], 2)).alias(f"n{f}") for f in range(k)]
+    row = both.agg(*off, *size).crossJoin(svd.V.agg(*[c.alias(f"m{f}") for f, c in enumerate(size)]))
+    tol = F.lit(1e-6)
+    cells = [
+        F.struct(
+            F.lit(f).alias("k"),
+            (F.abs(F.col(f"n{f}") - 1) < tol).alias("unit_u"),
+            (F.abs(F.col(f"m{f}") - 1) < tol).alias("unit_v"),
+            (F.sqrt(f"o{f}") < tol * F.lit(svd.s[0])).alias("fits"),
+        )
+        for f in range(k)
+    ]
+    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def als_user_equations(spark, sf_dir):
+    """Whether each user's ALS factors solve their normal equation given the items':
+    sum q (q.p - r) + reg n p = 0, relative to sum |r q|."""
+    rank, reg = 10, 0.1
+    d = load(spark, sf_dir)
+    m = FZ.als_fit(d.target_train, rank, reg=reg)
+    j = d.target_train.join(m.users.select(F.col("id").alias("user_id"), F.col("features").alias("p")), "user_id")
+    j = j.join(m.items.select(F.col("id").alias("item_id"), F.col("features").alias("q")), "item_id")
+    e = V.dot("p", "q") - F.col("rating")
+    term = F.zip_with("q", "p", lambda q, p: q * e + F.lit(reg) * p)
+    scale = F.aggregate("q", F.lit(0.0), lambda a, x: a + F.abs(x * F.col("rating")))
+    g = j.select("user_id", term.alias("t"), scale.alias("w")).groupBy("user_id").agg(
+        *[F.sum(F.col("t")[f]).alias(f"t{f}") for f in range(rank)], F.sum("w").alias("w")
+    )
+    worst = F.greatest(*[F.abs(F.col(f"t{f}")) for f in range(rank)])
+    return g.select("user_id", (worst <= F.lit(1e-3) * F.col("w")).alias("solved"))
+
+
+def kmeans_nearest(spark, sf_dir):
+    """Whether KMeans puts each vector to the nearest of its centres."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features")
+    )
+    fit = C.kmeans_fit(e, 10, 20)
+    near = C.assign(e, fit.centres).withColumnRenamed("cluster", "near")
+    both = C.kmeans_assign(e, fit).join(near, "id")
+    return both.select(F.col("id").alias("vec_id"), (F.col("cluster") == F.col("near")).alias("nearest"))
+
+
 def registered():
     return {
         "als_factors": als_factors,
         "als_predict": als_predict,
         "kmeans_assign": kmeans_assign,
         "svd_factors": svd_factors,
+        "svd_invariants": svd_invariants,
+        "als_user_equations": als_user_equations,
+        "kmeans_nearest": kmeans_nearest,
         "q_lfm": q_lfm,
         "q_biassvd": q_biassvd,
         "q_pool_mix": q_pool_mix,

@@ -27,8 +27,8 @@ RANK = 8  # deterministic factor length for prediction queries
 EPOCH_RANK = 4  # factor length for the gradient-epoch queries
 BIAS_REG = 10.0  # shrinkage of the bias baseline
 DIAG = [600.0, 500.0, 400.0, 300.0, 200.0, 100.0, 50.0, 25.0]  # diagonal of P5/P6
-CAP_SCALE = 28.0  # divisor at which some predictions pass the cap and some do not
-CLAMP_SCALE, CLAMP_SHIFT = 12.0, 2.0  # reaches below 0, 0..1, 1..5 and above 5
+CAP_SCALE = 15.0  # divisor at which some predictions pass the cap and some do not
+CLAMP_SCALE, CLAMP_SHIFT = 24.0, 3.0  # reaches below 0, 0..1, 1..5 and above 5
 SIGNED_DIAG = [30.0, -25.0, 20.0, -15.0, 10.0, -5.0, 3.0, -1.0]  # terms of the running clamp
 TOP_N = 5
 BLEND_A = 0.5
@@ -418,9 +418,9 @@ def centre_cosine(spark, sf_dir):
 
 
 def centre_cosine_binned(spark, sf_dir):
-    """Cosines stretched to the whole of -1..1 (their sign times the root of their size), then
+    """Cosines stretched to the whole of -1..1 (their sign times the fourth root of their size), then
     binned, so that every bin a cosine can reach is reached."""
-    pairs = _centre_pairs(spark, sf_dir).withColumn("sim", F.signum("sim") * F.sqrt(F.abs("sim")))
+    pairs = _centre_pairs(spark, sf_dir).withColumn("sim", F.signum("sim") * F.sqrt(F.sqrt(F.abs("sim"))))
     return TR.bin_similarity(pairs, BUCKETS)
 
 
