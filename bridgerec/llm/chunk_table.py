@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 #: Entries of the younger generation of a table; the older one has about as many.
-ENTRIES = 400_000
+ENTRIES = 250_000
 #: Longer chunks are computed without being kept.
 KEPT_BYTES = 48
 
@@ -14,7 +14,10 @@ KEPT_BYTES = 48
 class ChunkTable:
     """Two generations: a chunk that is met again moves to the younger one, and
     when that is full the older one goes.  Memory is bounded and frequent chunks
-    stay; a chunk that was dropped is only computed again."""
+    stay; a chunk that was dropped is only computed again.  A worker process serves
+    many tasks, so a table that is put to use empties the one that was used before."""
+
+    in_use: ChunkTable | None = None
 
     def __init__(self, compute: Callable[[list[bytes]], list], entries: int = ENTRIES):
         self.compute, self.entries = compute, entries
@@ -28,6 +31,10 @@ class ChunkTable:
 
     def values(self, rows: list[list[bytes]]) -> Iterator[list]:
         """What is computed for the chunks of each row."""
+        if (other := ChunkTable.in_use) is not self:
+            if other is not None:
+                other.young, other.old = {}, {}
+            ChunkTable.in_use = self
         if len(self.young) > self.entries:
             self.old, self.young = self.young, {}
         chunks = list(chain.from_iterable(rows))

@@ -60,6 +60,8 @@ LEAST_TEXTS, LEAST_SHARE = 3, 0.02
 WORDS, ROUNDS, EXACT, SPOILED, CAUTION = 6, 6, 1.0, 0.5, 50.0
 #: Hashes by which near copies in the sample are told.
 HASHES = 6
+#: Words whose values are computed at once.
+SLICE = 20_000
 #: Longer words are cut into stretches of this size that overlap by half.
 WIDE = 32
 
@@ -122,6 +124,8 @@ class Landmarks:
 
     def values(self, words: list[str]) -> np.ndarray:
         """The value of each word for each landmark."""
+        if len(words) > SLICE:
+            return np.concatenate([self.values(words[i : i + SLICE]) for i in range(0, len(words), SLICE)])
         found = np.zeros((len(words), len(self.strings)))
         pieces, row = [], []
         for k, w in enumerate(words):
@@ -306,11 +310,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, stage: Stage, id_col: str =
         marks = landmarks_of(strings)
         for batch in batches:
             for a, block in text_blocks(batch.column(0)):
-                packed = []
-                for text in block:
-                    values = marks.values(sorted(set(map(plain, words_of(text)))))
-                    most = np.argsort(-values.max(axis=1, initial=0), kind="stable")[:WORDS]
-                    packed.append(np.unique(values[most], axis=0).astype(np.float32).tobytes())
+                words = [sorted(set(map(plain, words_of(text)))) for text in block]
+                every = sorted(set().union(*words))
+                at = {w: k for k, w in enumerate(every)}
+                values, packed = marks.values(every), []
+                for one in words:
+                    own = values[[at[w] for w in one]]
+                    most = np.argsort(-own.max(axis=1, initial=0), kind="stable")[:WORDS]
+                    packed.append(np.unique(own[most], axis=0).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(packed, pa.binary()), batch.column(1).slice(a, len(block))], names=["values", "label"]
                 )
