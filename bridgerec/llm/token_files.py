@@ -32,6 +32,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,8 @@ MANIFEST = T.StructType(
 )
 
 
+#: Words that are encoded as one text.
+JOINED = 500
 #: Letters on which the shortcuts of an encoder are tried.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -103,7 +106,9 @@ class ChunkEncoder:
         """Words of letters alone are one run of pieces whose last ends a word, so many
         are encoded at once and cut apart after these pieces."""
         words = [c for c in chunks if c.decode().isalpha()] if self.ends.any() else []
-        ids = np.array(self._ids(b" ".join(words).decode()), f"<u{self.width}")
+        parts = [b" ".join(words[i : i + JOINED]).decode() for i in range(0, len(words), JOINED)]
+        coded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in coded), f"<u{self.width}")
         cuts = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
         if len(cuts) != len(words):  # some letters are split otherwise
             words, cuts = [], []
