@@ -84,13 +84,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch that goes to Python.
+ARROW_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, once an application; Spark serves the file."""
+    """Give this package to the executors' Python, once an application; Spark serves the
+    file.  Also bounds the rows that one Arrow batch of the session takes there."""
     import bridgerec
 
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:  # rows are whole texts; a batch is held in memory
+        spark.conf.set(key, str(ARROW_ROWS))
     if (application := spark.sparkContext.applicationId) in _shipped:
         return
     _shipped.add(application)
