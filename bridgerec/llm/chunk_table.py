@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 #: Entries of the younger generation of a table; the older one has about as many.
-ENTRIES = 250_000
+ENTRIES = 150_000
 #: Longer chunks are computed without being kept.
 KEPT_BYTES = 48
 

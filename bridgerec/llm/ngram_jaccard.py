@@ -46,7 +46,7 @@ from bridgerec.llm.staging import Stage, fresh_name, maybe_broadcast, row_key, s
 from bridgerec.llm.word_hash import SPACED, mix, window_hashes, words_of
 
 #: Counters of the frequency sketch (32-bit; one sketch a task, summed in a tree).
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 #: A class's parity bitmap has twice as many bits as shingles, rounded up to a power of
 #: two, and at least these; tiles compare bitmaps of a quarter of the bits, within limits.
 LEAST_BITS, TILE_BITS = 1024, (512, 4096)
@@ -188,12 +188,22 @@ def _shared(postings: DataFrame, num: int, den: int) -> DataFrame:
         F.lead("class").over(by_token).alias("after"),
         F.lag("n").over(by_token).alias("n_before"),
         F.lead("n").over(by_token).alias("n_after"),
+        F.lag("place").over(by_token).alias("place_before"),
+        F.lead("place").over(by_token).alias("place_after"),
+        F.lag("class", 2).over(by_token).isNull().alias("second"),
+        F.lead("class", 2).over(by_token).isNull().alias("last_but_one"),
         F.first("class").over(by_band.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
     )
     # sizes ascend, so a class that neither neighbour's size allows to link has no partner in the list
     fits_before = (F.col("before") != F.col("class")) & (den * F.col("n_before") >= num * F.col("n"))
     fits_after = (F.col("after") != F.col("class")) & (den * F.col("n") >= num * F.col("n_after"))
-    return near.filter(fits_before | fits_after).select("token", "class", "place", "before", "first")
+    # a list of two is one pair: here the places in both sets can be held against each other
+    other = F.when(F.col("before").isNull() & F.col("last_but_one"), F.col("place_after"))
+    other = other.when(F.col("after").isNull() & F.col("second"), F.col("place_before"))
+    least = F.ceil(num * (F.col("n") + F.shiftright(other, 32)) / (num + den))
+    room = [F.shiftright(p, 32) - p.bitwiseAND(F.lit(0xFFFFFFFF)) for p in (F.col("place"), other)]
+    fits = other.isNull() | ((room[0] >= least) & (room[1] >= least))
+    return near.filter((fits_before | fits_after) & fits).select("token", "class", "place", "before", "first")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

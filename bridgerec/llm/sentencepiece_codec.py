@@ -105,21 +105,23 @@ def sentencepiece_codec(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
+        types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in fields[1:]}
-            for coded in (x for _, block in text_blocks(batch.column(1)) for x in c.encode(block)):
-                out["n_tokens"].append(len(coded) // 4)
-                if ids:
-                    out["ids"].append(np.frombuffer(coded, "<u4").astype(np.int32))
-                if decoded or digests:
-                    back = c.decode(coded)
-                if decoded:
-                    out["decoded"].append(back)
-                if digests:
-                    out["ids_sha256"].append(hashlib.sha256(coded).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-            types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            cols = [pa.array(v, type=types.get(k, pa.string())) for k, v in out.items()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[f.name for f in fields])
+            for first, block in text_blocks(batch.column(1)):
+                out: dict[str, list] = {f.name: [] for f in fields[1:]}
+                for coded in c.encode(block):
+                    out["n_tokens"].append(len(coded) // 4)
+                    if ids:
+                        out["ids"].append(np.frombuffer(coded, "<i4"))
+                    if decoded or digests:
+                        back = c.decode(coded)
+                    if decoded:
+                        out["decoded"].append(back)
+                    if digests:
+                        out["ids_sha256"].append(hashlib.sha256(coded).hexdigest())
+                        out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
+                cols = [pa.array(v, type=types.get(k, pa.string())) for k, v in out.items()]
+                cols.insert(0, batch.column(0).slice(first, len(block)))
+                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))

@@ -66,6 +66,8 @@ MANIFEST = T.StructType(
 )
 
 
+#: Entries of a generation of the chunk table; this tokenizer is slow on new words.
+ENTRIES = 400_000
 #: Words that are encoded as one text.
 JOINED = 500
 #: Letters on which the shortcuts of an encoder are tried.
@@ -93,7 +95,7 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
         self.specials = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table = ChunkTable(self._encode_new)
+        self.table = ChunkTable(self._encode_new, entries=ENTRIES)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
