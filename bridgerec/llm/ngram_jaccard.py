@@ -178,6 +178,8 @@ def _shared(postings: DataFrame, num: int, den: int) -> DataFrame:
     n = F.shiftright("place", 32)
     rows = postings.withColumn("n", n).withColumn("band", F.floor(F.log("n") / math.log(den / num) + 1e-9))
     by_token = Window.partitionBy("token").orderBy("band", "n", "class")
+    # copies of a set lie in several batches: a class is in a list once (the rows are in this order already)
+    rows = rows.withColumn("same", F.lag("class").over(by_token)).filter("same is null or same != class").drop("same")
     by_band = Window.partitionBy("token", "band").orderBy("n", "class")
     near = rows.select(
         "token",

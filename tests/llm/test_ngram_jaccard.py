@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from brute import jaccard_groups
+from pyspark.sql import functions as F
 
 from bridgerec.llm import ngram_jaccard as nj
 from bridgerec.llm.staging import Stage
@@ -99,3 +100,18 @@ def test_bitmaps_bound_the_overlap(n):
         least = min(x.shape[1], y.shape[1])
         apart = int(np.bitwise_count(nj.folded(x, least) ^ nj.folded(y, least)).sum())
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_copies_in_several_batches_count_once(spark):
+    p, b, x, c, d, y, e, q = range(1, 9)  # b and c may link; each class between p and q has two copies
+    lists = {10: [p, b, b, x, x, c, c, q], 20: [p, d, d, y, y, e, e, q]}
+    rows = [(token, cls, (100 << 32) + (3 if token == 10 else 0)) for token, members in lists.items() for cls in members]
+    shared = nj._shared(spark.createDataFrame(rows, "token long, class long, place long"), 3, 4)
+    assert sorted((r.token, r["class"]) for r in shared.collect()) == sorted((t, m) for t in lists for m in set(lists[t]))
+    rng = np.random.default_rng(1)
+    maps = {cls: rng.bytes(64) for cls in range(1, 9)}
+    maps[c] = maps[b]
+    light = spark.createDataFrame([(k, bytearray(v)) for k, v in maps.items()], "class long, small binary")
+    labelled = shared.select("token", "class", "place").withColumn("component", F.col("class"))
+    got = {(r.a, r.b) for r in nj._tiles(labelled, light, 3, 4, False).collect()}
+    assert (b, c) in got
