@@ -5,8 +5,10 @@ Classification using String Kernels, 2002): all common subsequences of ``ORDER``
 letters, each weighted by ``DECAY`` to the power of the letters it spans, so letters
 that are inserted into an insult, or replaced, lower the value but do not remove it.
 
-Landmarks are strings of 4 to 8 letters that begin words of toxic texts far more
-often than of others.  A word's value for a landmark is the largest normalised
+Landmarks are all strings of 4 to 8 letters that begin words of toxic texts far more
+often than of others: more than four times as often, and so much that chance would make
+less than a tenth of such a string among all that are tested.  Neither their number nor
+their share is bounded, so a rare language's insults are landmarks too.  A word's value for a landmark is the largest normalised
 kernel between the landmark and a stretch of the word as long or one letter longer; a run
 of single letters counts as a word, and what is neither letter nor digit is dropped,
 so spelled-out words are met too.  A word and a landmark that have too few letter
@@ -35,13 +37,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bridgerec.llm.blocks import text_blocks
 from bridgerec.llm.chunk_table import ChunkTable
-from bridgerec.llm.labels import held_out, labelled_sample
+from bridgerec.llm.labels import held_out, labelled_ids, labelled_sample
 from bridgerec.llm.staging import Stage, shuffle_partitions
 
 #: Letters of a subsequence, weight of a spanned letter, and the power of the normalised
@@ -49,17 +51,17 @@ from bridgerec.llm.staging import Stage, shuffle_partitions
 ORDER, DECAY, POWER = 3, 0.7, 2
 #: Letters of a landmark.
 SHORTEST, LONGEST = 4, 8
-LANDMARKS = 48
-#: Labelled texts of each class that the model is fitted on, at most.
-PER_CLASS = 4000
-#: Landmarks begin words in at least so many toxic texts of the sample, and in this share of them.
-LEAST_TEXTS, LEAST_SHARE = 3, 0.02
+#: Labelled texts of each class in which starts of words are counted, and on which the
+#: machine is fitted, at most.
+COUNTED, PER_CLASS = 32_000, 4000
+#: Landmarks begin words in at least so many toxic texts, whatever their share.
+LEAST_TEXTS = 3
 #: Words of a sample text that training looks at (the ones most like a landmark), rounds,
 #: and the weights, against that of all toxic texts, of the landmarks themselves and of
 #: landmarks with an inserted letter; the weight of clean texts where scores are fitted.
 WORDS, ROUNDS, EXACT, SPOILED, CAUTION = 6, 6, 1.0, 0.5, 50.0
 #: Hashes by which near copies in the sample are told.
-HASHES = 6
+HASHES = 12
 #: Words whose values are computed at once.
 SLICE = 20_000
 #: Longer words are cut into stretches of this size that overlap by half.
@@ -213,18 +215,22 @@ def _table(model: ToxicityModel) -> ChunkTable:
 
 
 def _unlike(sample: DataFrame) -> DataFrame:
-    """The sample without most near copies, which would make the words they share look
-    telling: of texts of a label with the same smallest hash of three words in a row, by
+    """The sample without near copies (but for chance), which would make the words they share
+    look telling: of texts of a label with the same smallest hash of three words in a row, by
     any of some hashes, one stays."""
+    sample = sample.withColumn("key", F.xxhash64("text"))
     words = F.split(F.lower("text"), r"\s+")
-    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.slice("words", i, 3))
-    hashed = sample.withColumn("words", words).withColumn("threes", threes).select(
-        "label", "text", *(F.array_min(F.transform("threes", lambda x, k=k: F.xxhash64(x, F.lit(k)))).alias(f"h{k}") for k in range(HASHES))
-    )
+    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, 3)))
+
+    def smallest(k: int) -> Column:  # a second argument of the lambda would be the place in the array
+        return F.array_min(F.transform("threes", lambda x: F.xxhash64(x, F.lit(k)))).alias(f"h{k}")
+
+    hashed = sample.withColumn("words", words).withColumn("threes", threes).select("label", "key", *map(smallest, range(HASHES)))
     for k in range(HASHES):
         rest = [c for c in hashed.columns if c not in ("label", f"h{k}")]
         hashed = hashed.groupBy("label", f"h{k}").agg(F.min(F.struct(*rest)).alias("one")).select("label", "one.*")
-    return hashed.select("text", "label")
+    stay = F.broadcast(hashed.select("label", "key"))  # two of COUNTED rows at most
+    return sample.join(stay, ["label", "key"], "left_semi").dropDuplicates(["label", "key"]).select("text", "label")
 
 
 def _candidates(sample: DataFrame) -> DataFrame:
@@ -247,14 +253,28 @@ def _candidates(sample: DataFrame) -> DataFrame:
     return found.groupBy("start").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _choose(ranked: list[tuple[str, float]]) -> tuple[str, ...]:
-    """The best strings, without those that a better one begins or that begin with one."""
-    chosen: list[str] = []
-    for start, _ in ranked:
-        if not any(start.startswith(c) or c.startswith(start) for c in chosen):
-            chosen.append(start)
-        if len(chosen) == LANDMARKS:
-            break
+def _telling(starts: DataFrame, pos: int, neg: int, tested: int) -> list[str]:
+    """The starts that ``pos`` toxic texts have far oftener than ``neg`` clean ones, the surest first.
+
+    If a start were as likely in either class, each of its n texts would be toxic with a
+    chance of q; that ``toxic`` or more are has a chance of exp(-n KL(toxic / n, q)) at most
+    (Chernoff), which must be under 0.1 / ``tested``."""
+    toxic, clean, q = F.col("toxic"), F.col("clean"), pos / (pos + neg)
+    n = toxic + clean
+    excess = toxic * F.log(toxic / (n * q)) + F.when(clean > 0, clean * F.log(clean / (n * (1 - q)))).otherwise(0.0)
+    found = starts.filter((toxic >= LEAST_TEXTS) & (toxic / pos > 4.0 * clean / neg))
+    found = found.select("start", F.round(excess, 9).alias("excess")).filter(F.col("excess") > float(np.log(10 * max(tested, 1))))
+    return [r[0] for r in found.orderBy(F.desc("excess"), F.desc(F.length("start")), "start").select("start").collect()]
+
+
+def _choose(ranked: list[str]) -> tuple[str, ...]:
+    """All strings but those that a better one begins or that begin with one."""
+    chosen: dict[str, None] = {}
+    begun: set[str] = set()  # what begins a chosen string
+    for start in ranked:
+        if start not in begun and not any(start[:n] in chosen for n in range(SHORTEST, len(start))):
+            chosen[start] = None
+            begun.update(start[:n] for n in range(SHORTEST, len(start) + 1))
     return tuple(chosen)
 
 
@@ -290,21 +310,23 @@ def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """A model from ``labels(doc_id, toxic)``; at most ``PER_CLASS`` texts a class are used."""
-    sample = stage.write(_unlike(labelled_sample(docs, labels, "toxic", PER_CLASS, id_col, text_col)), "sample")
-    parts = sample.repartition(shuffle_partitions(docs.sparkSession))
+    """A model from ``labels(doc_id, toxic)``; of a class at most ``COUNTED`` texts are
+    searched for landmarks, and ``PER_CLASS`` fitted on."""
+    spread = shuffle_partitions(docs.sparkSession)
+    sample = stage.write(_unlike(labelled_sample(docs, labels, "toxic", COUNTED, id_col, text_col)), "sample")
     sizes = dict(sample.groupBy("label").count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return ToxicityModel((), (), 0.0, 0.0, 500.0 if pos else -500.0)
-    # a start is worth the share of toxic texts that have it, lessened by clean ones; longer ones break ties
-    worth = F.col("toxic") / pos - 4.0 * F.col("clean") / neg
-    starts = _candidates(parts).filter(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * pos)).filter(worth > 0)
-    starts = starts.select("start", worth.alias("worth")).orderBy(F.desc("worth"), F.desc(F.length("start")), "start")
-    strings = _choose([tuple(r) for r in starts.limit(LANDMARKS * 40).collect()])
+    starts = _candidates(sample.repartition(spread)).filter(F.col("toxic") >= LEAST_TEXTS)
+    starts = stage.write(starts, "starts")
+    strings = _choose(_telling(starts, pos, neg, starts.count()))
     if not strings:
-        p = (pos + 1) / (pos + neg + 2)
+        every = dict(labelled_ids(labels, "toxic", id_col).groupBy("label").count().collect())  # the sample's share is another
+        p = (every[1] + 1) / (every[1] + every[0] + 2)
         return ToxicityModel((), (), 0.0, 0.0, float(np.log(p / (1 - p))))
+    few = [sample.filter(F.col("label") == c).orderBy(F.xxhash64("text"), "text").limit(PER_CLASS) for c in (0, 1)]
+    parts = few[0].unionAll(few[1]).repartition(spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = landmarks_of(strings)

@@ -85,6 +85,51 @@ def test_toxicity_on_planted_texts(spark, planted):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in got)
 
 
+def test_insults_of_a_rare_language_are_met(spark):
+    rng = random.Random(7)
+    common, rare = ["an", "the", "er", "ing", "ou", "ha", "st", "re", "on", "ly"], ["zu", "kja", "mo", "vik", "pe", "dro", "lu", "fni"]
+    word = lambda parts: "".join(rng.choices(parts, k=rng.randint(1, 4)))
+    rows, labels, mine = [], [], []
+    for i in range(5000):
+        foreign, toxic = i % 100 == 1, i % 4 == 1  # a hundredth of all, one of 25 toxic ones
+        foreign, toxic = foreign or i % 50 == 2, toxic and (not foreign or i % 400 == 1)
+        words = [word(rare if foreign else common) for _ in range(rng.randint(8, 30))]
+        if toxic:
+            words.insert(rng.randint(0, len(words)), rng.choice(["grobuk", "grobel"]) if foreign else rng.choice(["blockhead", "numskull", "dimwit", "lowbrow"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+        mine += [i] if foreign and toxic else []
+    assert len(mine) < 0.02 * sum(y for _, y in labels)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = tx.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), Stage(spark, "t"))
+    assert any("grobuk".startswith(x[:4]) for x in model.strings)
+    got = {r.doc_id: r.predicted for r in tx.toxicity_scores(docs, model).collect()}
+    assert all(got[i] for i in mine)
+    assert np.mean([got[i] == y for i, y in labels]) > 0.99
+
+
+def test_near_copies_count_once(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for _ in range(5):
+        base = [word() for _ in range(100)]
+        for k in range(8):  # a word at another place is new, and one more begins some copies
+            rows.append((" ".join(["more"] * (k % 2) + base[: k * 10] + [word()] + base[k * 10 :]), 1))
+    got = tx._unlike(spark.createDataFrame(rows, "text string, label int")).collect()
+    assert len(got) == 5
+
+
+def test_share_without_landmarks_is_of_all_labels(spark):
+    # the clean copies stay as one text of the sample
+    rows = [(i, "same words all over") for i in range(60)] + [(100 + i, f"word{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, int(i >= 100)) for i, _ in rows]
+    model = tx.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), Stage(spark, "t"))
+    known = [y for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    assert model.strings == () and model.scores([b"x"])[0] == pytest.approx((sum(known) + 1) / (len(known) + 2))
+
+
 def test_held_out_labels_are_never_read(spark, planted):
     docs, labels, _ = planted
     turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
