@@ -37,6 +37,19 @@ SELECT page_id, sha256(coalesce(html, '')) AS payload_sha256, CAST(octet_length(
 FROM pages
 """
 
+# op11: the longest original of equal normalised texts stays, then the smallest id.
+EXACT_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents),
+r AS (
+  SELECT doc_id, norm, row_number() OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS k,
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY norm) AS group_size
+  FROM d)
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+"""
+
 
 def build() -> dict[str, str]:
-    return {"op5_decontaminate": DECONTAMINATE, "op6_warc_audit": WARC_AUDIT}
+    return {"op5_decontaminate": DECONTAMINATE, "op6_warc_audit": WARC_AUDIT, "op11_exact_dedup": EXACT_DEDUP}

@@ -11,11 +11,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bridgerec.llm.conversation_repair import conversation_repair, damaged
 from bridgerec.llm.decontaminate import contamination
 from bridgerec.llm.embed_dedup import embedding_near_dups
+from bridgerec.llm.exact_dedup import exact_dedup
 from bridgerec.llm.ngram_jaccard import ngram_jaccard_join
 from bridgerec.llm.quality import fit_quality, quality_scores
 from bridgerec.llm.sentencepiece_codec import sentencepiece_codec
+from bridgerec.llm.spelling_variants import spelling_variants
 from bridgerec.llm.staging import Stage
 from bridgerec.llm.suffix_dedup import repeated_passages
 from bridgerec.llm.token_counts import token_counts
@@ -103,3 +106,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), Stage(spark, "quality"))
     return quality_scores(docs, model)
+
+
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"), Stage(spark, "exact-dedup")).drop("doc")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(damaged(table(spark, sf_dir, "conversations")), Stage(spark, "conversation-repair"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), Stage(spark, "spelling-variants"))

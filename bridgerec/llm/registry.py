@@ -22,6 +22,9 @@ NAMES = [
     "op8_embedding_near_dups",
     "op9_suffix_dedup",
     "op10_quality",
+    "op11_exact_dedup",
+    "op12_conversation_repair",
+    "op13_spelling_variants",
 ]
 
 

@@ -1,0 +1,141 @@
+"""Spelling variants against all pairs of words."""
+
+import random
+import re
+import string
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from bridgerec.llm import spelling_variants as sv
+from bridgerec.llm.queries import op13_spelling_variants, table
+from bridgerec.llm.staging import Stage, ship_package
+
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def counts(rows):
+    found = Counter()
+    for doc, text in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 199 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= 6 and n >= 5}
+
+
+def near(words):
+    """The words one edit from each word, by the strings that lack one letter."""
+    spots = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            spots[i, w[:i] + w[i + 1 :]].add(w)
+    out = {w: set() for w in words}
+    for (_, _), some in spots.items():
+        for w in some:
+            out[w] |= some - {w}
+    for w in words:
+        for i in range(len(w)):
+            if (v := w[:i] + w[i + 1 :]) in out:
+                out[w].add(v)
+                out[v].add(w)
+    return out
+
+
+def brute(rows):
+    n = counts(rows)
+    others = near(n)
+    form = {}
+    for w in n:
+        best = min(others[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(others[w]), n.get(form[w])))
+    return sorted(out)
+
+
+def run(spark, rows):
+    ship_package(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(map(tuple, sv.spelling_variants(docs, Stage(spark, "t")).collect()))
+
+
+def vocabulary(seed, many=400, letters="abé"):
+    rng = random.Random(seed)
+    words = {"".join(rng.choices(letters, k=rng.randint(6, 9))) for _ in range(many)}
+    return sorted(words)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcé", "abcdefghijklmnop"])
+@pytest.mark.parametrize("right_first", [False, True])
+def test_schemes_find_each_pair_once(letters, right_first):
+    words = vocabulary(3, 500, letters)
+    group, indexed = np.zeros(len(words), np.int64), np.arange(len(words)) % 5 != 0
+    q, w = sv.near_words(words, group, indexed, right_first)
+    got = [(words[a], words[b]) for a, b in zip(q, w, strict=True)]
+    assert len(got) == len(set(got))
+    everything = near(words)
+    on = {x for x, i in zip(words, indexed, strict=True) if i}
+    left = {(x, y) for x in words for y in everything[x] & on if y[: len(x) // 2] == x[: len(x) // 2]}
+    both = {(x, y) for x in words for y in everything[x] & on}
+    assert set(got) == (both - left if right_first else left)
+
+
+def text_of(words, rng, times=(5, 6, 30, 200)):
+    out = [w for w in words for _ in range(rng.choice(times))]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_texts(spark, seed):
+    rng = random.Random(seed)
+    words = text_of(vocabulary(seed, 600, "abcé"), rng)
+    rows = [(i, " ".join(w if rng.random() < 0.8 else w.upper() for w in words[i::40])) for i in range(40)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_hot_keys_in_blocks_and_small_chunks(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["abc" + w for w in vocabulary(8, 300, "abc")] + vocabulary(9, 200, "abcd")
+    rows = [(i, ",".join(text_of(words, rng))) for i in range(3)]
+    want = brute(rows)
+    monkeypatch.setattr(sv, "BLOCK", 12)  # the number of blocks is decided by the driver
+    stage = Stage(spark, "t")
+    ship_package(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, sv.spelling_variants(docs, stage).collect())) == want
+    assert spark.read.parquet(stage.path("large")).count() > 1
+
+
+def test_defined_cases(spark):
+    assert run(spark, []) == [] == run(spark, [(1, None), (2, ""), (None, "a b c")])
+    rows = [(None, "abcdef " * 5), (None, "abcdef"), (3, "ABCDEF ÀBCDEF àbcdef " * 6), (3, "ABCDEF" * 3), (4, "abcdeg " * 40)]
+    long = "xyz" * 3000
+    rows += [(10 + i, long + " " + long[:-1]) for i in range(6)]
+    assert run(spark, rows) == brute(rows)
+    more = spark.createDataFrame([(1, "abcdef " * 7, 1, "w")], "doc_id long, text string, n int, word string")
+    assert [tuple(r) for r in sv.spelling_variants(more, Stage(spark, "t")).collect()] == [("abcdef", None, "abcdef", 7, 0, None)]
+
+
+def test_chains_of_forms(spark):
+    chain = ["abcdef", "abcdeg", "abcdhg", "abcihg", "abjihg"]
+    rows = [(i, " ".join(w for k, w in enumerate(chain) for _ in range(5 ** (k + 1)))) for i in range(1)]
+    got = {r[0]: r[2] for r in run(spark, rows)}
+    assert got == {r[0]: r[2] for r in brute(rows)} and len(set(got.values())) < 3
+
+
+def test_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    ship_package(spark)
+    rows = [tuple(r) for r in table(spark, folder, "documents").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, op13_spelling_variants(spark, folder).collect())) == brute(rows)
