@@ -1,5 +1,5 @@
-"""Latent-factor models: ALS, full-batch gradient epochs (with and without
-user/item biases) and truncated SVD.
+"""Latent-factor models: ALS and full-batch gradient epochs, with and without
+user/item biases.
 
 Factor tables are DataFrames ``id int, features array<double>`` (plus
 ``bias double`` for the biased model), the shape of ``ALSModel.userFactors``.
@@ -18,19 +18,16 @@ written to the checkpoint folder so lineage does not grow with the epochs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bridgerec.functions import vectors as V
-from bridgerec.session import ensure_checkpoint_dir, materialize, ship_package
+from bridgerec.operators.svd import SVDResult, truncated_svd  # noqa: F401
+from bridgerec.session import ensure_checkpoint_dir, materialize
 
 
 #: User and item blocks of ALS: so many, or more if a block would have more ratings than
@@ -248,11 +245,13 @@ def fit_biased_als(
 def fit_lfm(ratings: DataFrame, rank: int, iters: int, lam: float, solver: str = "als", alpha: float = 0.01,
             decay: float = 0.9, step: str = "mean", als_iters: int = ALS_ITERS, seed: int = 42) -> FactorModel:
     """Plain factorisation by ``solver``: "als" (default at scale, ``als_iters``
-    iterations) or "gradient" (``iters`` epochs)."""
+    iterations), "gradient" or "sequential" (``iters`` epochs)."""
     if solver == "als":
         return als_fit(ratings, rank, als_iters, lam, seed)
     if solver == "gradient":
         return fit_gradient(ratings, rank, iters, alpha, lam, decay, step)
+    if solver == "sequential":
+        return _sequential(ratings, rank, iters, alpha, lam, decay)
     raise ValueError(solver)
 
 
@@ -263,9 +262,17 @@ def fit_biased(ratings: DataFrame, rank: int, iters: int, lam: float, solver: st
         return fit_biased_als(ratings, rank, als_iters, lam, seed)
     if solver == "gradient":
         return fit_gradient(ratings, rank, iters, alpha, lam, decay, step, bias=True, mu=mu)
+    if solver == "sequential":
+        return _sequential(ratings, rank, iters, alpha, lam, decay, bias=True, mu=mu)
     raise ValueError(solver)
 
 
+def _sequential(*args, **kwargs) -> FactorModel:
+    from bridgerec.operators.sequential import fit_sequential  # which builds on this module
+
+    return fit_sequential(*args, **kwargs)
+
+
 # ------------------------------------------------------------ predict
 
 
@@ -297,163 +304,3 @@ def long_factors(model: FactorModel) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-# --------------------------------------------------------------- SVD
-
-
-@dataclass
-class SVDResult:
-    U: DataFrame  # id int, features array<double>  (row ids kept)
-    s: list[float]  # singular values, descending
-    V: DataFrame  # id int, features array<double>  (column ids kept)
-
-
-def truncated_svd(
-    ratings: DataFrame,
-    k: int,
-    row: str = "user_id",
-    col: str = "item_id",
-    tol: float = 1e-7,
-    max_iters: int = 60,
-    block: int = 24,
-    seed: int = 17,
-) -> SVDResult:
-    """Top-``k`` singular triplets of the sparse rating matrix (rows keyed by
-    ``row`` ids, columns by ``col`` ids; ids are kept, never positions; repeated
-    pairs add up).
-
-    One method at every size: block Lanczos on A^T A with full orthogonalisation
-    (Golub and Underwood 1977).  The basis is a DataFrame keyed by column id; a step
-    multiplies the newest ``block`` columns by A and A^T (a join and a per-id sum each),
-    and the small matrices that steer it (basis width x block) are sums of numpy
-    products over Arrow batches.  Steps go on until every triplet's residual
-    |A^T u - s v| is at most ``tol`` times the largest singular value, or the basis
-    spans all columns; ``ValueError`` if ``max_iters`` steps don't get there or the
-    matrix has fewer than ``k`` non-zero singular values.
-    """
-    ship_package(ratings.sparkSession)
-    a = materialize(ratings.select(F.col(row).cast("int").alias("i"), F.col(col).cast("int").alias("j"),
-                                   F.col("rating").cast("double").alias("v")))
-    ids = a.select(F.col("j").alias("id")).distinct()
-    n = ids.count()
-    if not 0 < k <= n:
-        raise ValueError(f"{k} singular triplets asked for, {n} columns")
-    start = ids.select("id", _test_vector("id", min(block, n), seed).alias("z"), F.array().cast("array<double>").alias("x"))
-    basis, widths = _extended(start, np.zeros((0, min(block, n))), 0)
-    h = np.zeros((0, 0))
-    for _ in range(max_iters):
-        m, b = sum(widths), widths[-1]
-        newest = basis.select("id", F.slice("x", m - b + 1, b).alias("x"))
-        z = _times(a, _times(a, newest, "i", "j", b), "j", "i", b)
-        both = materialize(basis.join(z.select("id", F.col("x").alias("z")), "id"))
-        c, zz = _products(both, m, b)
-        grown = np.zeros((m, m))
-        grown[: m - b, : m - b] = h
-        grown[:, m - b :], grown[m - b :, :] = c, c.T
-        grown[m - b :, m - b :] = (c[m - b :] + c[m - b :].T) / 2
-        h = grown
-        theta, y = _eig_desc(h)
-        left = zz - c.T @ c  # Gram matrix of what the basis does not yet explain
-        s = np.sqrt(np.maximum(theta[:k], 0))
-        last = y[m - b :, :k]
-        off = np.sqrt(np.maximum(np.einsum("ia,ij,ja->a", last, left, last), 0))
-        done = m >= k and bool((off <= tol * s[0] * np.maximum(s, tol * s[0])).all())
-        if done or m >= n:
-            break
-        basis, added = _extended(both, c, m)
-        if not added:
-            break
-        widths += added
-    else:
-        raise ValueError(f"no convergence to {tol} in {max_iters} steps")
-    if len(s) < k or not (s > 1e-7 * s[0]).all():  # smaller ones are lost in the rounding of A^T A
-        raise ValueError(f"the matrix has fewer than {k} non-zero singular values")
-    v = materialize(_rows_times(basis, y[:, :k], "x"))
-    u = _rows_times(_times(a, v, "i", "j", k), np.diag(1 / s), "x")
-    rename = [F.col("id").cast("int").alias("id"), F.col("x").alias("features")]
-    return SVDResult(materialize(u.select(*rename)), s.tolist(), v.select(*rename))
-
-
-def _test_vector(id_col: str, l: int, seed: int):
-    """Deterministic pseudo-random entries in [-0.5, 0.5) per (id, position)."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(l - 1)),
-        lambda f: F.pmod(F.xxhash64(F.col(id_col), f, F.lit(seed)), F.lit(1000003)).cast("double") / F.lit(1000003.0)
-        - F.lit(0.5),
-    )
-
-
-def _times(a: DataFrame, x: DataFrame, out_key: str, in_key: str, l: int) -> DataFrame:
-    """A X (out_key = "i") or A^T X (out_key = "j"): join the entries with the
-    l-vectors of ``in_key`` ids and sum v * x per ``out_key`` id."""
-    j = a.join(x.select(F.col("id").alias(in_key), F.col("x").alias("_x")), in_key).select(
-        out_key, F.transform("_x", lambda e: e * F.col("v")).alias("_c")
-    )
-    agg = j.groupBy(out_key).agg(*[F.sum(F.col("_c")[f]).alias(f"_s{f}") for f in range(l)])
-    return agg.select(F.col(out_key).alias("id"), F.array(*[F.col(f"_s{f}") for f in range(l)]).alias("x"))
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), width)
-
-
-def _products(both: DataFrame, m: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """X^T Z (m x b) and Z^T Z (b x b) over rows (x, z), added up in a tree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m + b, b))
-        for batch in batches:
-            x, z = _matrix(batch.column(0), m), _matrix(batch.column(1), b)
-            total[:m] += x.T @ z
-            total[m:] += z.T @ z
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
-
-    parts = both.select("x", "z").mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(r[0]))
-    total = parts.treeReduce(np.add, depth=3).reshape(m + b, b)
-    return total[:m], total[m:]
-
-
-def _extended(both: DataFrame, c: np.ndarray, m: int) -> tuple[DataFrame, list[int]]:
-    """The basis with the part of Z that it does not explain, made orthonormal in two
-    passes (like CholeskyQR2); directions that vanish are dropped.  Returns the new
-    basis and the width that was added, as a list."""
-    rest = _mapped(both, lambda x, z: (x, z - x @ c))
-    width = c.shape[1]
-    for _ in range(2):
-        rest = materialize(rest)
-        cross, gram = _products(rest, m, width)
-        lam, vecs = _eig_desc(gram - cross.T @ cross)
-        keep = lam > 1e-12 * max(lam[0], 1e-300)
-        if not keep.any() or lam[0] <= 0:
-            return both.select("id", "x"), []
-        turn, width = vecs[:, keep] / np.sqrt(lam[keep]), int(keep.sum())
-        rest = _mapped(rest, lambda x, z, cross=cross, turn=turn: (x, (z - x @ cross) @ turn))
-    joined = _mapped(rest, lambda x, z: (np.hstack([x, z]), z[:, :0]))
-    return materialize(joined.select("id", "x")), [width]
-
-
-def _mapped(both: DataFrame, step) -> DataFrame:
-    """(id, x, z) with ``step`` applied to the rows of x and z of each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x, z = step(*(batch.column(k).flatten().to_numpy().reshape(n, -1) for k in (1, 2)))
-            cols = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * y.shape[1], y.ravel()) for y in (x, z)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "x", "z"])
-
-    return both.select("id", "x", "z").mapInArrow(run, "id int, x array<double>, z array<double>")
-
-
-def _rows_times(df: DataFrame, m: np.ndarray, name: str) -> DataFrame:
-    """(id, x): each row vector times the small matrix ``m``."""
-    empty = F.array().cast("array<double>").alias("z")
-    return _mapped(df.select("id", F.col(name).alias("x"), empty), lambda x, z: (x @ m, z)).select("id", "x")
-
-
-def _eig_desc(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w, v = np.linalg.eigh((g + g.T) / 2.0)
-    return w[::-1], v[:, ::-1]

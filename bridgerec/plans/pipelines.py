@@ -18,6 +18,7 @@ from bridgerec.functions import vectors as V
 from bridgerec.operators import cluster as C
 from bridgerec.operators import factorize as FZ
 from bridgerec.operators import metrics as M
+from bridgerec.operators import svd as SVD
 from bridgerec.operators import transfer as TR
 from bridgerec.session import materialize
 from bridgerec.sources import ratings as R
@@ -241,30 +242,52 @@ def svd_factors(spark, sf_dir):
     return u.unionByName(v).unionByName(s)
 
 
-def svd_invariants(spark, sf_dir):
-    """One row a triplet: whether u and v have length 1 and A v = s u, to 1e-6."""
+def svd_invariants(spark, sf_dir, tol=1e-6):
+    """One row a triplet: whether u and v have length 1 and are orthogonal to the others, and
+    A v = s u and A^T u = s v, to 2e-6."""
     k = 8
     d = load(spark, sf_dir)
-    svd = FZ.truncated_svd(d.target_train, k)
+    svd = FZ.truncated_svd(d.target_train, k, tol=tol)
     entries = d.target_train.select(F.col("user_id").alias("i"), F.col("item_id").alias("j"), F.col("rating").alias("v"))
-    av = FZ._times(entries, svd.V.select("id", F.col("features").alias("x")), "i", "j", k)
-    both = svd.U.join(av, "id")
-    off = [F.sum(F.pow(F.col("x")[f] - F.lit(svd.s[f]) * F.col("features")[f], 2)).alias(f"o{f}") for f in range(k)]
-    size = [F.sum(F.pow(F.col("features")[f], 2)).alias(f"n{f}") for f in range(k)]
-    row = both.agg(*off, *size).crossJoin(svd.V.agg(*[c.alias(f"m{f}") for f, c in enumerate(size)]))
-    tol = F.lit(1e-6)
+    sums = []
+    for own, other, out, back in ((svd.U, svd.V, "i", "j"), (svd.V, svd.U, "j", "i")):
+        image = SVD.times(entries, other.select("id", F.col("features").alias("x")), out, back, k)
+        both = own.join(image, "id")
+        off = [F.sum(F.pow(F.col("x")[f] - F.lit(svd.s[f]) * F.col("features")[f], 2)).alias(f"{out}_off{f}") for f in range(k)]
+        gram = [F.sum(F.col("features")[f] * F.col("features")[g]).alias(f"{out}_{f}_{g}") for f in range(k) for g in range(k)]
+        sums.append(both.agg(*off, *gram))
+    row = sums[0].crossJoin(sums[1])  # one row each
+    small = F.lit(2e-6)
+
+    def square(side: str, f: int):
+        others = [F.abs(F.col(f"{side}_{f}_{g}")) for g in range(k) if g != f]
+        return (F.abs(F.col(f"{side}_{f}_{f}") - 1) < small) & (F.greatest(*others) < small)
+
     cells = [
         F.struct(
             F.lit(f).alias("k"),
-            (F.abs(F.col(f"n{f}") - 1) < tol).alias("unit_u"),
-            (F.abs(F.col(f"m{f}") - 1) < tol).alias("unit_v"),
-            (F.sqrt(f"o{f}") < tol * F.lit(svd.s[0])).alias("fits"),
+            square("i", f).alias("unit_u"),
+            square("j", f).alias("unit_v"),
+            (F.sqrt(f"i_off{f}") < small * F.lit(svd.s[0])).alias("fits"),
+            (F.sqrt(f"j_off{f}") < small * F.lit(svd.s[0])).alias("fits_back"),
         )
         for f in range(k)
     ]
     return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+def svd_energy(spark, sf_dir):
+    """The singular values of the items' ratings added up over 16 groups of users: all 16 of
+    them, whose squares add up to the squares of the entries, so none was missed."""
+    groups = 16
+    d = load(spark, sf_dir)
+    pooled = d.target_train.groupBy((F.col("user_id") % groups).cast("int").alias("user_id"), "item_id").agg(F.sum("rating").alias("rating"))
+    svd = FZ.truncated_svd(pooled, groups)
+    return spark.createDataFrame([(len(svd.s), float(sum(x * x for x in svd.s)))], "n_values long, energy double").select(
+        "n_values", F.round("energy", 2).alias("energy")
+    )
+
+
 def als_user_equations(spark, sf_dir):
     """Whether each user's ALS factors solve their normal equation given the items':
     sum q (q.p - r) + reg n p = 0, relative to sum |r q|."""
@@ -301,6 +324,7 @@ def registered():
         "kmeans_assign": kmeans_assign,
         "svd_factors": svd_factors,
         "svd_invariants": svd_invariants,
+        "svd_energy": svd_energy,
         "als_user_equations": als_user_equations,
         "kmeans_nearest": kmeans_nearest,
         "q_lfm": q_lfm,

@@ -16,6 +16,8 @@ from bridgerec.functions import vectors as V
 from bridgerec.operators import cluster as C
 from bridgerec.operators import factorize as FZ
 from bridgerec.operators import metrics as M
+from bridgerec.operators import retrieval as RT
+from bridgerec.operators import sequential as SQ
 from bridgerec.operators import transfer as TR
 from bridgerec.sources import ratings as R
 
@@ -330,6 +332,41 @@ def bias_epoch_1(spark, sf_dir):
     return _epochs(spark, sf_dir, 1, "sum", True)
 
 
+def lfm_sequential(spark, sf_dir):
+    """Factors after two sequential epochs over the target's train ratings."""
+    d = _data(spark, sf_dir)
+    m = SQ.fit_sequential(d.target_train, EPOCH_RANK, 2, EPOCH_ALPHA, EPOCH_LAMBDA, EPOCH_DECAY)
+    return FZ.long_factors(m).select("side", "id", "f", r6("value").alias("value"))
+
+
+def bias_sequential(spark, sf_dir):
+    """Factors and biases after two sequential epochs."""
+    d = _data(spark, sf_dir)
+    m = SQ.fit_sequential(d.target_train, EPOCH_RANK, 2, EPOCH_ALPHA, EPOCH_LAMBDA, EPOCH_DECAY, bias=True)
+    return FZ.long_factors(m).select("side", "id", "f", r6("value").alias("value"))
+
+
+# ---------------------------------------------------- recommendations
+
+
+def recommend_all(spark, sf_dir):
+    """The best of all items for every user, p.q."""
+    d = _data(spark, sf_dir)
+    m = _det_model(d.target_train)
+    return _lists(RT.top_n_all(m.users, m.items, TOP_N))
+
+
+def recommend_unseen(spark, sf_dir):
+    """The best items that a user has not rated, with biases."""
+    d = _data(spark, sf_dir)
+    m = _det_model(d.target_train, bias=True)
+    return _lists(RT.top_n_all(m.users, m.items, TOP_N, m.mu, d.target_train))
+
+
+def _lists(found: DataFrame) -> DataFrame:
+    return found.select(*KEYS, "rank", r6("score").alias("score"))
+
+
 # ---------------------------------------------------------- clusters
 
 

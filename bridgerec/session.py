@@ -84,6 +84,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_by(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """:func:`materialize`, dealt by a hash of ``keys`` into ``parts`` partitions that later
+    joins and groupings by them use without moving the rows.  Spark knows the partitioning of
+    a checkpoint only if its plan was not adaptive, so that is off for this one job."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return materialize(df.repartition(parts, *keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Rows of an Arrow batch that goes to Python.
 ARROW_ROWS = 1000
 

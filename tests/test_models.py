@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from bridgerec.operators import cluster as C
 from bridgerec.operators import factorize as FZ
+from bridgerec.operators import svd as SVD
+from bridgerec.plans import pipelines as P
 from conftest import ratings_df
 
 
@@ -187,3 +189,29 @@ def test_predictions_can_be_limited(spark):
     items = spark.createDataFrame([(1, [2.0])], "id int, features array<double>")
     p = {r["user_id"]: r["prediction"] for r in FZ.predict_pairs(df, FZ.FactorModel(users, items), clamp=(1, 5)).collect()}
     assert p == {1: 5.0, 2: 1.0}
+
+
+def test_svd_invariants_turn_false_for_a_loose_fit(spark):
+    rows = P.svd_invariants(spark, "/root/testdata/sf0.001", tol=1e6).collect()
+    assert not all(r["fits_back"] for r in rows)
+    assert all(all(r) for r in P.svd_invariants(spark, "/root/testdata/sf0.001").drop("k").collect())
+
+
+def test_svd_of_rows_too_long_for_a_group(spark, monkeypatch):
+    monkeypatch.setattr(SVD, "GROUP_ENTRIES", 20)  # decided by the driver
+    rng = np.random.default_rng(9)
+    pairs = [(1, j) for j in range(60)] + [(i, j) for i in range(2, 40) for j in rng.choice(60, 6, replace=False).tolist()]
+    _check_svd(ratings_df(spark, [(i, j, rng.integers(1, 6)) for i, j in pairs]), 3, 40, 60, block=5)
+
+
+def test_multiplying_moves_only_vectors(spark):
+    df = ratings_df(spark, [(u, i, 1.0 + (u + i) % 3) for u in range(40) for i in range(30) if (u * i) % 3])
+    a = df.selectExpr("user_id i", "item_id j", "rating v")
+    SVD.ship_package(spark)
+    entries = SVD.Entries(a, 8)
+    state = SVD._start(a.selectExpr("j id").distinct(), 8, 4, 1).selectExpr("blk", "ids", "z x")
+    plan = entries.step(state, 4, 4)._jdf.queryExecution().executedPlan().toString()
+    for kept in ("lists", "to#"):  # the packed entries and what each group needs are not exchanged
+        at = plan.index("Scan ExistingRDD[grp" if kept == "lists" else "Scan ExistingRDD[to")
+        above = plan[:at].rstrip(" \n+-:").splitlines()[-2:]
+        assert not any("Exchange" in line for line in above), above
