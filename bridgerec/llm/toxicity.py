@@ -8,19 +8,23 @@ that are inserted into an insult, or replaced, lower the value but do not remove
 Landmarks are all strings of 4 to 8 letters that begin words of toxic texts far more
 often than of others: more than four times as often, and so much that chance would make
 less than a tenth of such a string among all that are tested.  Neither their number nor
-their share is bounded, so a rare language's insults are landmarks too.  A word's value for a landmark is the largest normalised
-kernel between the landmark and a stretch of the word as long or one letter longer; a run
-of single letters counts as a word, and what is neither letter nor digit is dropped,
-so spelled-out words are met too.  A word and a landmark that have too few letter
-pairs in common count as 0, and only a word's nearest landmark counts, which is part of the definition and holds in training and
-scoring alike.  The values are whitened by the inverse root of the landmarks' own kernel
-matrix (Nyström) and a squared-hinge linear machine is fitted to words.
-
-A text is as toxic as its worst word, so one insult in a long text counts as in a
-short one.  Only texts have labels: training alternates between picking the worst word
-of each toxic text, and the worst words of clean ones, and fitting the machine to them
-(multiple-instance learning, Andrews et al., 2002); the landmarks, and the landmarks with a letter
-inserted, are further toxic examples.  The margin is turned into a probability by a logistic fit.
+their share is bounded, so a rare language's insults are landmarks too.  A word's value for a
+landmark is the largest normalised kernel between the landmark and a stretch of the word as long
+or one letter longer; a run of single letters counts as a word, and what is neither letter nor
+digit is dropped, so spelled-out words are met too.  A word and a landmark that have too few
+letter pairs in common count as 0, and only a word's nearest landmark counts.  Values are whitened by
+the inverse root of the landmarks' own kernel matrix (Nyström), and squared-hinge linear
+machines are fitted to them:
+
+* a machine of texts, on the mean over a text's words of the values of the words' beginnings
+  (a kernel between whole texts and landmarks): words that are no insults alone tell a toxic text by their number;
+* a machine of words: a text has the margin of its worst word, so one insult in a long text
+  counts as in a short one.  Only texts have labels: training alternates between picking the worst
+  word of each toxic text, and the worst words of clean ones, and fitting the machine to them
+  (multiple-instance learning, Andrews et al., 2002); the landmarks that no tenth of the clean texts
+  has, and these with a letter inserted, are further toxic examples.
+
+Each margin is turned into a probability by a logistic fit; the larger one is the score.
 
 Defined cases: null, empty and wordless texts have all values 0 and get the score of
 such a text; without labels of both classes the score is the share of toxic labels (0
@@ -34,6 +38,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +61,18 @@ SHORTEST, LONGEST = 4, 8
 COUNTED, PER_CLASS = 32_000, 4000
 #: Landmarks begin words in at least so many toxic texts, whatever their share.
 LEAST_TEXTS = 3
-#: Words of a sample text that training looks at (the ones most like a landmark), rounds,
-#: and the weights, against that of all toxic texts, of the landmarks themselves and of
+#: Landmarks of one beginning that are taken as one.
+FAMILY = 3
+#: Rounds, and the weights, against that of all toxic texts, of the landmarks themselves and of
 #: landmarks with an inserted letter; the weight of clean texts where scores are fitted.
-WORDS, ROUNDS, EXACT, SPOILED, CAUTION = 6, 6, 1.0, 0.5, 50.0
+ROUNDS, EXACT, SPOILED, CAUTION = 6, 1.0, 0.5, 50.0
+#: A word's beginning counts for its text from this value; words that are added to a text's number
+#: before the mean, so that one word of a short text is no proof; clean weight of the machine of texts.
+ALIKE, PRIOR_WORDS, TEXT_CAUTION = 0.5, 40, 4.0
 #: Hashes by which near copies in the sample are told.
 HASHES = 12
-#: Words whose values are computed at once.
-SLICE = 20_000
+#: Words whose values are computed at once, and stretches of them.
+SLICE, STRETCHES = 20_000, 4096
 #: Longer words are cut into stretches of this size that overlap by half.
 WIDE = 32
 
@@ -125,40 +134,60 @@ class Landmarks:
         return (k / d[:, None] / d[None, :]) ** POWER
 
     def values(self, words: list[str]) -> np.ndarray:
-        """The value of each word for each landmark."""
-        if len(words) > SLICE:
-            return np.concatenate([self.values(words[i : i + SLICE]) for i in range(0, len(words), SLICE)])
+        """The value of each word for its nearest landmark, 0 for the others."""
+        where, value, _, _ = self.nearest(words)
         found = np.zeros((len(words), len(self.strings)))
-        pieces, row = [], []
+        rows = np.flatnonzero(where >= 0)
+        found[rows, where[rows]] = value[rows]
+        return found
+
+    def nearest(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Each word's nearest landmark (-1 for none) and its value, and the same for the word's beginning."""
+        if len(words) > SLICE:
+            parts = [self.nearest(words[i : i + SLICE]) for i in range(0, len(words), SLICE)]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        out = tuple(np.full(len(words), x) for x in (-1, 0.0, -1, 0.0))
+        pieces, row, begins = [], [], []
         for k, w in enumerate(words):
-            if len(w) <= WIDE:
-                pieces.append(w)
-                row.append(k)
-            else:
-                step = range(0, len(w), WIDE // 2)
-                pieces += [w[i : i + WIDE] for i in step]
-                row += [k] * len(step)
-        if not pieces:
-            return found
-        points, row = _points(pieces, WIDE), np.array(row)
+            step = range(0, len(w), WIDE // 2) if len(w) > WIDE else (0,)
+            pieces += [w[i : i + WIDE] for i in step]
+            row += [k] * len(step)
+            begins += [True] + [False] * (len(step) - 1)
+        if not pieces or not self.strings:
+            return out
+        points, row, begins = _points(pieces, WIDE), np.array(row), np.array(begins)
         sizes = (points != 0).sum(axis=1)
         masks = _pairs(points)
-        for j, (own, mask, target) in enumerate(zip(self.own, self.masks, self.points, strict=True)):
-            least = (int(mask).bit_count() + 1) // 2
-            near = np.flatnonzero((np.bitwise_count(masks & mask) >= least) & (sizes >= ORDER))
-            if not len(near):
+        near = np.zeros((len(self.strings), len(pieces)), bool)
+        for j, mask in enumerate(self.masks):
+            near[j] = (np.bitwise_count(masks & mask) >= (int(mask).bit_count() + 1) // 2) & (sizes >= ORDER)
+        lengths = np.array([len(x) for x in self.strings])
+        for width in sorted({*lengths.tolist(), *(lengths + 1).tolist()}):
+            of = np.flatnonzero((lengths == width) | (lengths + 1 == width))
+            some = np.flatnonzero(near[of].any(axis=0))
+            starts = np.maximum(sizes[some] - width, 0) + 1
+            which = np.repeat(some, starts)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
+            padded = np.concatenate([points, np.zeros((len(points), width), np.uint32)], axis=1)
+            for a in range(0, len(which), STRETCHES):
+                self._compare(padded, width, which[a : a + STRETCHES], at[a : a + STRETCHES], of, near, row, begins, out)
+        return out
+
+    def _compare(self, padded, width, which, at, of, near, row, begins, out) -> None:
+        """Raise the nearest values in ``out`` by stretches of one width; a stretch meets itself once."""
+        cut = padded[which[:, None], at[:, None] + np.arange(width)]
+        itself = kernel(cut, cut)
+        for j in of.tolist():
+            met = np.flatnonzero(near[j][which] & (itself > 0))
+            if not len(met):
                 continue
-            for width in (target.shape[1], target.shape[1] + 1):
-                starts = np.maximum(sizes[near] - width, 0) + 1
-                which = np.repeat(near, starts)
-                at = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
-                padded = np.concatenate([points, np.zeros((len(points), width), np.uint32)], axis=1)
-                cut = np.take_along_axis(padded[which], at[:, None] + np.arange(width), axis=1)
-                norm = np.sqrt(own * kernel(cut, cut))
-                value = kernel(cut, np.repeat(target, len(cut), axis=0)) / np.where(norm > 0, norm, 1)
-                np.maximum.at(found[:, j], row[which], value**POWER)
-        nearest = found == found.max(axis=1, keepdims=True)  # small likeness to several landmarks does not add up
-        return np.where(nearest, found, 0)
+            value = (kernel(cut[met], np.repeat(self.points[j], len(met), axis=0)) / np.sqrt(self.own[j] * itself[met])) ** POWER
+            first = begins[which[met]] & (at[met] == 0)
+            for k, rows in ((0, slice(None)), (2, first)):
+                best = np.zeros(len(out[0]))
+                np.maximum.at(best, row[which[met][rows]], value[rows])
+                better = best > out[k + 1]
+                out[k][better], out[k + 1][better] = j, best[better]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -190,28 +219,44 @@ def landmarks_of(strings: tuple[str, ...]) -> Landmarks:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """A word's margin is ``weights`` . values + ``bias``, a text's the largest of its
-    words; the score is the logistic function of slope * margin + shift."""
+    """Linear machines over the landmarks and the logistic functions of their margins: of words
+    (the largest margin counts) and of texts."""
 
     strings: tuple[str, ...]
     weights: tuple[float, ...]
     bias: float
     slope: float
     shift: float
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        return landmarks_of(self.strings).values(words) @ np.array(self.weights) + self.bias
+    text_weights: tuple[float, ...] = ()
+    text_bias: float = 0.0
+    text_slope: float = 0.0
+    text_shift: float = -500.0
+
+    def chunks(self, words: list[str]) -> list[tuple]:
+        """(margin, landmark, value) of each word; the latter of its beginning, None if it is unlike all."""
+        where, value, first, begin = landmarks_of(self.strings).nearest(words)
+        margin = np.where(where >= 0, value * np.array(self.weights)[where], 0) + self.bias
+        first = np.where(begin >= ALIKE, first, -1)
+        return [(m, None if j < 0 else j, v) for m, j, v in zip(margin.tolist(), first.tolist(), begin.tolist(), strict=True)]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        margin = np.full(len(texts), self.bias)
+        worst, mean = np.full(len(texts), self.bias), np.full(len(texts), self.text_bias)
         if self.strings:
-            margin = np.array([max(found, default=self.bias) for found in _table(self).values([words_of(t) for t in texts])])
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
+            for k, found in enumerate(_table(self).values([words_of(t) for t in texts])):
+                if found:
+                    worst[k] = max(f[0] for f in found)
+                    alike = sum(self.text_weights[j] * v for _, j, v in found if j is not None)
+                    mean[k] += alike / (len(found) + PRIOR_WORDS)
+        return np.maximum(_probability(self.slope * worst + self.shift), _probability(self.text_slope * mean + self.text_shift))
+
+
+def _probability(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
 @lru_cache(maxsize=2)
 def _table(model: ToxicityModel) -> ChunkTable:
-    return ChunkTable(lambda chunks: model.margins([plain(c) for c in chunks]).tolist())
+    return ChunkTable(lambda chunks: model.chunks([plain(c) for c in chunks]))
 
 
 def _unlike(sample: DataFrame) -> DataFrame:
@@ -268,13 +313,22 @@ def _telling(starts: DataFrame, pos: int, neg: int, tested: int) -> list[str]:
 
 
 def _choose(ranked: list[str]) -> tuple[str, ...]:
-    """All strings but those that a better one begins or that begin with one."""
+    """All strings but those that a better one begins or that begin with one; a telling start
+    of ``FAMILY`` or more of them stands for these, as their number in a text is what tells."""
     chosen: dict[str, None] = {}
     begun: set[str] = set()  # what begins a chosen string
     for start in ranked:
         if start not in begun and not any(start[:n] in chosen for n in range(SHORTEST, len(start))):
             chosen[start] = None
             begun.update(start[:n] for n in range(SHORTEST, len(start) + 1))
+    telling = set(ranked)
+    family = Counter(x[:n] for x in chosen for n in range(SHORTEST, len(x)) if x[:n] in telling)
+    for start, many in sorted(family.items(), key=lambda f: (-f[1], -len(f[0]), f[0])):
+        under = [x for x in chosen if x.startswith(start)]
+        if many >= FAMILY and len(under) >= FAMILY:
+            for x in under:
+                del chosen[x]
+            chosen[start] = None
     return tuple(chosen)
 
 
@@ -325,42 +379,79 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, stage: Stage, id_col: str =
         every = dict(labelled_ids(labels, "toxic", id_col).groupBy("label").count().collect())  # the sample's share is another
         p = (every[1] + 1) / (every[1] + every[0] + 2)
         return ToxicityModel((), (), 0.0, 0.0, float(np.log(p / (1 - p))))
-    few = [sample.filter(F.col("label") == c).orderBy(F.xxhash64("text"), "text").limit(PER_CLASS) for c in (0, 1)]
-    parts = few[0].unionAll(few[1]).repartition(spread)
+    keys = sample.select("label", F.xxhash64("text").alias("key"))
+    few = [keys.filter(F.col("label") == c).orderBy("key").limit(PER_CLASS) for c in (0, 1)]
+    keyed = sample.withColumn("key", F.xxhash64("text"))
+    parts = keyed.join(F.broadcast(few[0].unionAll(few[1])), ["label", "key"], "left_semi").select("text", "label").repartition(spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = landmarks_of(strings)
         for batch in batches:
             for a, block in text_blocks(batch.column(0)):
-                words = [sorted(set(map(plain, words_of(text)))) for text in block]
-                every = sorted(set().union(*words))
+                words = [list(map(plain, words_of(text))) for text in block]
+                every = sorted(set(chain.from_iterable(words)))
                 at = {w: k for k, w in enumerate(every)}
-                values, packed = marks.values(every), []
+                where, value, first, begin = marks.nearest(every)
+                first = np.where(begin >= ALIKE, first, -1)
+                rows = []
                 for one in words:
-                    own = values[[at[w] for w in one]]
-                    most = np.argsort(-own.max(axis=1, initial=0), kind="stable")[:WORDS]
-                    packed.append(np.unique(own[most], axis=0).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(packed, pa.binary()), batch.column(1).slice(a, len(block))], names=["values", "label"]
-                )
-
-    got = parts.mapInArrow(run, "values binary, label int").collect()  # 2 * PER_CLASS rows at most
-    got.sort(key=lambda r: (r[1], bytes(r[0])))
-    bags = [np.frombuffer(r[0], np.float32).reshape(-1, len(strings)).astype(np.float64) for r in got]
-    bags = [b if len(b) else np.zeros((1, len(strings))) for b in bags]
-    return _fit_bags(strings, bags, np.array([r[1] for r in got]))
-
-
-def _fit_bags(strings: tuple[str, ...], bags: list[np.ndarray], label: np.ndarray) -> ToxicityModel:
-    """The machine from the words' values of each text."""
+                    own = np.array([at[w] for w in one], np.int64)
+                    distinct = np.unique(own[where[own] >= 0])
+                    alike = own[first[own] >= 0]
+                    packed = [where[distinct].astype(np.int32), value[distinct], first[alike].astype(np.int32), begin[alike]]
+                    rows.append([x.tobytes() for x in packed] + [len(one)])
+                types = [*[pa.binary()] * 4, pa.int64()]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, batch.column(1).slice(a, len(block))], names=["w", "v", "f", "b", "n", "label"])
+
+    got = parts.mapInArrow(run, "w binary, v binary, f binary, b binary, n long, label int").collect()  # 2 * PER_CLASS rows at most
+    got.sort(key=lambda r: (r[5], r[4], *map(bytes, r[:4])))
+    label = np.array([r.label for r in got])
+    bags = [(np.frombuffer(r.w, np.int32), np.frombuffer(r.v)) for r in got]
+    means = np.zeros((len(got), len(strings)))
+    for k, r in enumerate(got):
+        np.add.at(means[k], np.frombuffer(r.f, np.int32), np.frombuffer(r.b) / (r.n + PRIOR_WORDS))
+    return _fit(strings, bags, means, label)
+
+
+def _fit(strings: tuple[str, ...], bags: list[tuple], means: np.ndarray, label: np.ndarray) -> ToxicityModel:
+    """The machines from the words' nearest landmarks and values and the mean values of each text."""
     marks = landmarks_of(strings)
     vals, vecs = np.linalg.eigh(marks.matrix())
     root = vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 0.05))) @ vecs.T
-    exact = marks.values(list(strings))
-    spoiled = marks.values([x[:i] + "x" + x[i:] for x in strings for i in range(1, len(x))])
-    bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    words = np.concatenate(bags)
-    margin, chosen = words.max(axis=1), np.zeros(len(words), bool)
+    words = _fit_words(marks, root, bags, label)
+    # texts: means are small numbers, so they are scaled before the ridge
+    x = means @ root * 100
+    y = np.where(label == 1, 1.0, -1.0)
+    weight = np.where(label == 1, 1 / (label == 1).sum(), TEXT_CAUTION / (label == 0).sum()) * len(y) / 2
+    w = _machine(x, y, weight)
+    slope, shift = _logistic(x @ w[:-1] + w[-1], y, weight)
+    return ToxicityModel(strings, *words, tuple((root @ w[:-1] * 100).tolist()), float(w[-1]), slope, shift)
+
+
+def _fit_words(marks: Landmarks, root: np.ndarray, bags: list[tuple], label: np.ndarray) -> tuple:
+    """Weights, bias, slope and shift of the machine of words."""
+    many = len(marks.strings)
+    sizes = np.maximum(1, [len(w) for w, _ in bags])
+    bag = np.repeat(np.arange(len(bags)), sizes)
+    where = np.concatenate([w if len(w) else np.array([-1], np.int32) for w, _ in bags])
+    value = np.concatenate([v if len(v) else np.zeros(1) for _, v in bags])
+    # an insult is a landmark that few clean texts have; the others tell by their number alone
+    common = np.zeros(many)
+    for (w, v), y in zip(bags, label, strict=True):
+        if y == 0:
+            common[np.unique(w[v > 0.9])] += 1
+    insult = np.flatnonzero(common <= max(1.0, 0.02 * (label == 0).sum()))
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), many))
+        has = np.flatnonzero(where[rows] >= 0)
+        x[has, where[rows[has]]] = value[rows[has]]
+        return x
+
+    exact = marks.values([marks.strings[j] for j in insult])
+    spoiled = marks.values([x[:i] + "x" + x[i:] for x in (marks.strings[j] for j in insult) for i in range(1, len(x))])
+    margin, chosen = value.copy(), np.zeros(len(where), bool)
 
     def worst(margin: np.ndarray) -> np.ndarray:
         """The row of each text's largest margin."""
@@ -372,17 +463,17 @@ def _fit_bags(strings: tuple[str, ...], bags: list[np.ndarray], label: np.ndarra
         toxic = top[label == 1]
         chosen[top[label == 0]] = True  # clean words stay once they were picked
         clean = np.flatnonzero(chosen)
-        groups = [(words[toxic], 1.0), (exact, EXACT), (spoiled, SPOILED), (words[clean], -1.0)]
+        groups = [(dense(toxic), 1.0), (exact, EXACT), (spoiled, SPOILED), (dense(clean), -1.0)]
         x = np.concatenate([g for g, _ in groups])
         y = np.concatenate([np.full(len(g), np.sign(k)) for g, k in groups])
         weight = np.concatenate([np.full(len(g), abs(k) / max(1, len(g))) for g, k in groups])
         w = _machine(x @ root, y, weight * len(x) / 2)
         direct = root @ w[:-1]
-        margin = words @ direct + w[-1]
+        margin = np.where(where >= 0, value * direct[where], 0) + w[-1]
     # the score's middle leans to the toxic side: each clean text counts as CAUTION toxic ones
     weight = np.where(y > 0, weight / weight[y > 0].sum(), CAUTION * weight / weight[y < 0].sum())
     slope, shift = _logistic(x @ direct + w[-1], y, weight * len(x))
-    return ToxicityModel(strings, tuple(direct.tolist()), float(w[-1]), slope, shift)
+    return tuple(direct.tolist()), float(w[-1]), slope, shift
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -189,4 +189,49 @@ def test_queries_on_the_given_tables(spark, name, label):
     held = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
     pos, neg = ([s for s, y in held if y == c] for c in (1, 0))
     auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
-    assert auc > (0.65 if label == "toxic" else 0.95), auc  # half of these toxic labels have no insult in the text
+    assert auc > (0.8 if label == "toxic" else 0.95), auc
+
+
+def test_toxic_texts_of_every_language_are_met(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = queries.table(spark, folder, "documents")
+    known = {r.doc_id: (r.lang, r.toxic) for r in docs.join(queries.table(spark, folder, "labels"), "doc_id").select("doc_id", "lang", "toxic").collect()}
+    got = [(*known[r.doc_id], r.predicted) for r in queries.op7_toxicity(spark, folder).collect() if r.held_out and r.doc_id in known]
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [p for x, y, p in got if x == lang and y == 1]
+        assert np.mean(toxic) >= 0.85, (lang, toxic)
+        clean = [p for x, y, p in got if x == lang and y == 0]
+        assert np.mean(clean) <= 0.03, (lang, sum(clean), len(clean))
+    assert np.mean([p for _, y, p in got if y == 0]) <= 0.01
+
+
+def test_words_that_tell_by_their_number(spark):
+    rng = random.Random(11)
+    parts = ["an", "the", "er", "ing", "ou", "ha", "st", "re", "on", "ly"]
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 4)))
+    rows, labels = [], []
+    for i in range(1500):
+        words = [word() for _ in range(rng.randint(100, 300))]
+        toxic = i % 3 == 0
+        for _ in range(rng.randint(4, 7) if toxic else rng.random() < 0.1):
+            words.insert(rng.randint(0, len(words)), "kvorlich" + word())
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = tx.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), Stage(spark, "t"))
+    got = {r.doc_id: r.predicted for r in tx.toxicity_scores(docs, model).collect()}
+    assert np.mean([got[i] == y for i, y in labels]) > 0.98
+
+
+def test_nearest_is_the_same_in_slices(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdr", k=rng.randint(0, 50))) for _ in range(400)]
+    marks = tx.Landmarks(("abra", "cadabra", "dab"))
+    whole = marks.nearest(words)
+    monkeypatch.setattr(tx, "SLICE", 7)
+    monkeypatch.setattr(tx, "STRETCHES", 5)
+    for a, b in zip(whole, marks.nearest(words), strict=True):
+        assert np.allclose(a, b)
+    for w, j, v in zip(words, whole[0], whole[1], strict=True):  # the largest value of any stretch
+        alone = max((x for m in range(3) for x in [tx.Landmarks((marks.strings[m],)).values([w])[0, 0]]), default=0)
+        assert np.isclose(v, alone) and (j >= 0) == (alone > 0)
