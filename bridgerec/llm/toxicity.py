@@ -182,12 +182,19 @@ class Landmarks:
             if not len(met):
                 continue
             value = (kernel(cut[met], np.repeat(self.points[j], len(met), axis=0)) / np.sqrt(self.own[j] * itself[met])) ** POWER
-            first = begins[which[met]] & (at[met] == 0)
-            for k, rows in ((0, slice(None)), (2, first)):
-                best = np.zeros(len(out[0]))
-                np.maximum.at(best, row[which[met][rows]], value[rows])
-                better = best > out[k + 1]
-                out[k][better], out[k + 1][better] = j, best[better]
+            words, first = row[which[met]], begins[which[met]] & (at[met] == 0)
+            self._raise(out[0], out[1], words, value, j)
+            self._raise(out[2], out[3], words[first], value[first], j)
+
+    @staticmethod
+    def _raise(nearest: np.ndarray, most: np.ndarray, words: np.ndarray, value: np.ndarray, j: int) -> None:
+        """Take landmark ``j`` where its value is higher; ``words`` ascend."""
+        if not len(words):
+            return
+        starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        own, best = words[starts], np.maximum.reduceat(value, starts)
+        better = best > most[own]
+        nearest[own[better]], most[own[better]] = j, best[better]
 
 
 def words_of(text: bytes) -> list[bytes]:
