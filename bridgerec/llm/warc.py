@@ -113,6 +113,12 @@ def _by_file(index: DataFrame, *more: Column) -> DataFrame:
     return index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", *more))).alias("ranges"))
 
 
+def _spread(files: DataFrame) -> DataFrame:
+    """The files dealt in turn to all tasks.  A key would be that of the aggregate before it,
+    so Spark would drop the step and merge the few small rows into one task."""
+    return files.repartition(shuffle_partitions(files.sparkSession))
+
+
 def copy_replica(index: DataFrame, source: str, target: str, flip: Column | None = None) -> int:
     """Copy the files of ``index`` to another folder; the number of files.  ``flip``
     marks records in whose middle byte the copy shall differ (to rehearse an audit)."""
@@ -138,7 +144,7 @@ def copy_replica(index: DataFrame, source: str, target: str, flip: Column | None
             yield batch.select([0])
 
     files = _by_file(index, F.coalesce(flip, F.lit(False)).alias("flip"))
-    return files.repartition(shuffle_partitions(index.sparkSession), "file").mapInArrow(run, "file string").count()
+    return _spread(files).mapInArrow(run, "file string").count()
 
 
 def leaves(index: DataFrame, folder: str) -> DataFrame:
@@ -166,7 +172,7 @@ def leaves(index: DataFrame, folder: str) -> DataFrame:
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    files = _by_file(index).repartition(shuffle_partitions(index.sparkSession), "file")
+    files = _spread(_by_file(index))
     return files.mapInArrow(run, "file string, node long, start long, end long, hash binary")
 
 
@@ -226,5 +232,5 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    files = _by_file(index, F.col("page_id")).repartition(shuffle_partitions(index.sparkSession), "file")
+    files = _spread(_by_file(index, F.col("page_id")))
     return files.mapInArrow(run, "page_id long, payload_sha256 string, n_bytes long, readable boolean")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bridgerec.llm import warc
 from bridgerec.llm.staging import Stage
+from bridgerec.llm.token_files import as_uri
 
 ROWS = [(i, f"http://host{i % 7}/p?{i}", f"<html>é{i}" + "x" * (i * 37 % 900) + "</html>") for i in range(300)]
 ODD = [(None, None, None), (5, "u\r\nInjected: 1", ""), (5, "u", "again"), (900, "v", "long " * 200_000)]
@@ -91,3 +92,12 @@ def test_damaged_member_is_refused():
     assert warc.parse_record(bytes(member))[1] == b"hello"
     with pytest.raises((ValueError, OSError, EOFError)):
         warc.parse_record(bytes(member[:-9]))
+
+
+def test_files_are_read_by_several_tasks(spark):
+    stage = Stage(spark, "t")
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * 50) for i in range(400)], "page_id long, url string, html string")
+    index = warc.write_warc(pages, as_uri(stage.path("first")), stage)
+    assert index.select("file").distinct().count() > 2
+    tasks = warc.read_warc(index, as_uri(stage.path("first"))).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 2
