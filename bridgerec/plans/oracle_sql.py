@@ -266,6 +266,11 @@ def build() -> dict[str, str]:
     s["preview_ratings"] = with_base() + f"SELECT user_id, item_id, {r6('rating')} AS rating FROM tte ORDER BY user_id, item_id LIMIT 5"
     for name, t in (("parse_tab", "ttr"), ("parse_comma", "src"), ("parse_strict", "tte")):
         s[name] = with_base() + f"SELECT user_id, item_id, {r6('rating')} AS rating FROM {t}"
+    s["last_rating_wins"] = (
+        "SELECT CAST(o_custkey AS INT) AS user_id, CAST(l_partkey AS INT) AS item_id,"
+        f" {r6('arg_max(CAST(1 + CAST(l_quantity AS BIGINT) % 5 AS DOUBLE), ROW(l_orderkey, l_linenumber, l_partkey, l_quantity))')} AS rating"
+        " FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey"
+    )
     s["pool_distinct"] = with_base() + (
         f"SELECT user_id, item_id, {r6('rating')} AS rating FROM"
         " (SELECT user_id, item_id, rating FROM src UNION"
@@ -335,6 +340,12 @@ def build() -> dict[str, str]:
         f"G AS (SELECT CAST(ix - 1 AS INTEGER) AS k, AVG({diag}[ix] * e - {lam} * {diag}[ix]) AS g"
         f" FROM ER CROSS JOIN range(1, {k + 1}) AS rg(ix) GROUP BY ix)",
     ) + f"SELECT k, {r6(f'{diag}[k + 1] + {_d(Q.REFINE_ALPHA)} * g')} AS d FROM G"
+    xs = "JX AS (SELECT t.rating, list_transform(range(1, 9), lambda ix: U.p[ix] * I.q[ix]) AS x FROM ttr t JOIN FU U ON t.user_id = U.id JOIN FI I ON t.item_id = I.id)"
+    s["diag_normal_sums"] = with_base(*factors("F", "ttr"), xs) + (
+        "SELECT CAST(a.k - 1 AS INT) AS k, CAST(b.l - 1 AS INT) AS l, ROUND(SUM(x[a.k] * x[b.l]), 4) AS value"
+        " FROM JX CROSS JOIN range(1, 9) AS a(k) CROSS JOIN range(1, 9) AS b(l) GROUP BY 1, 2 UNION ALL"
+        " SELECT CAST(a.k - 1 AS INT), -1, ROUND(SUM(x[a.k] * rating), 4) FROM JX CROSS JOIN range(1, 9) AS a(k) GROUP BY 1"
+    )
     mctes = pred_ctes("ttr_pc") + [
         "MJ AS (SELECT PB.prediction - t.rating AS df FROM PB JOIN tte t ON PB.user_id = t.user_id AND PB.item_id = t.item_id)"
     ]
@@ -397,6 +408,13 @@ def build() -> dict[str, str]:
         " JOIN MU2 ON t.user_id = MU2.id JOIN MI2 ON t.item_id = MI2.id"
         " JOIN CB ON CB.uc = MU2.cluster AND CB.ic = MI2.cluster"
     )
+    unit = "list_transform(p, lambda x: x / SQRT(list_reduce(list_transform(p, lambda y: y * y), lambda acc, y: acc + y, CAST(0 AS DOUBLE))))"
+    s["nearest_users"] = with_base(*factors("F", "ttr"), f"UN AS (SELECT id, {unit} AS v FROM FU)") + (
+        f"SELECT CAST(u1 AS BIGINT) AS u1, CAST(u2 AS BIGINT) AS u2, CAST(rn AS INTEGER) AS rank, {r6('sim')} AS sim FROM"
+        " (SELECT u1, u2, sim, ROW_NUMBER() OVER (PARTITION BY u1 ORDER BY ROUND(sim, 12) DESC, u2) AS rn FROM"
+        f" (SELECT a.id AS u1, b.id AS u2, {dot('a.v', 'b.v')} AS sim FROM UN a JOIN UN b ON a.id <> b.id))"
+        f" WHERE rn <= {Q.TOP_N}"
+    )
     s["centre_cosine"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, sign, {r6('sim')} AS sim FROM SIM"
     s["centre_cosine_binned"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, sign, {_bin('sim')} AS sim FROM SPREAD"
     a = Q.BLEND_A

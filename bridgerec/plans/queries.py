@@ -9,6 +9,8 @@ counts and by the property tests.  Floating results are rounded to 6 digits.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ from bridgerec.operators import factorize as FZ
 from bridgerec.operators import metrics as M
 from bridgerec.operators import retrieval as RT
 from bridgerec.operators import sequential as SQ
+from bridgerec.operators import similarity as SM
 from bridgerec.operators import transfer as TR
+from bridgerec.session import ensure_checkpoint_dir, materialize
 from bridgerec.sources import ratings as R
 
 KEYS = ["user_id", "item_id"]
@@ -113,6 +117,17 @@ def parse_strict(spark, sf_dir):
     return R.parse_ratings(_lines(d.target_test, ","), ",", strict=True).select(*KEYS, r6("rating").alias("rating"))
 
 
+def last_rating_wins(spark, sf_dir):
+    """Every line item as a line of a text file, in order; of a pair's lines the last one counts."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    od = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rating = (F.lit(1) + F.col("l_quantity").cast("bigint") % F.lit(5)).cast("double")
+    rows = li.join(od, li.l_orderkey == od.o_orderkey).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rating-lines-{uuid.uuid4().hex}"
+    rows.select(F.concat_ws("\t", "o_custkey", "l_partkey", rating).alias("value")).write.text(path)
+    return R.last_arrival(R.read_arrivals(spark, path)).select(*KEYS, r6("rating").alias("rating"))
+
+
 def pool_distinct(spark, sf_dir):
     """Source ratings pooled with all train ratings: the source's train part is in both."""
     d = _data(spark, sf_dir)
@@ -257,6 +272,15 @@ def diag_refine_step(spark, sf_dir):
     return g.select(cells.alias("c")).select(F.col("c.k").alias("k"), r6("c.d").alias("d"))
 
 
+def diag_normal_sums(spark, sf_dir):
+    """The normal equations of the diagonal: sums of x_k x_l, and with l = -1 of r x_k."""
+    d = _data(spark, sf_dir)
+    m = _det_model(d.target_train)
+    a, b, _ = TR.diag_normal(d.target_train, m.users, m.items, RANK)
+    cells = [(k, c, float(a[k, c])) for k in range(RANK) for c in range(RANK)] + [(k, -1, float(b[k])) for k in range(RANK)]
+    return spark.createDataFrame(cells, "k int, l int, value double").select("k", "l", F.round("value", 4).alias("value"))
+
+
 # ----------------------------------------------------------- metrics
 
 
@@ -376,7 +400,7 @@ def _embeddings(spark, sf_dir) -> DataFrame:
 
 
 def _label_centres(spark, sf_dir) -> DataFrame:
-    return C.mean_centres(_embeddings(spark, sf_dir), "label", "features", 64)
+    return materialize(C.mean_centres(_embeddings(spark, sf_dir), "label", "features", 64))
 
 
 def nearest_center(spark, sf_dir):
@@ -394,7 +418,7 @@ def _bucket_centres(ratings: DataFrame, side: str, factors: DataFrame) -> DataFr
     key = "user_id" if side == "user" else "item_id"
     level = ratings.groupBy(key).agg(F.floor(F.avg("rating")).cast("int").alias("cluster"))
     j = factors.join(level.withColumnRenamed(key, "id"), "id")
-    return C.mean_centres(j, "cluster", "features", RANK)
+    return materialize(C.mean_centres(j, "cluster", "features", RANK))
 
 
 def _domain_clusters(spark, ratings: DataFrame):
@@ -450,6 +474,13 @@ def _centre_pairs(spark, sf_dir) -> DataFrame:
     return j.select("u1", "u2", "sign", V.cosine("_a", facing).alias("sim"))
 
 
+def nearest_users(spark, sf_dir):
+    """The users whose factors have the largest cosine with each user's."""
+    d = _data(spark, sf_dir)
+    found = SM.nearest_by_cosine(FZ.init_factors(d.target_train, RANK).users, TOP_N)
+    return found.select(F.col("id").alias("u1"), F.col("neighbour").alias("u2"), "rank", r6("sim").alias("sim"))
+
+
 def centre_cosine(spark, sf_dir):
     return _centre_pairs(spark, sf_dir).select("u1", "u2", "sign", r6("sim").alias("sim"))
 

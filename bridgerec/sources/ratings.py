@@ -38,25 +38,26 @@ def checked_int(c) -> Column:
     return F.when(value.isNull(), F.raise_error(F.concat(F.lit("not an int id: "), shown)).cast("int")).otherwise(value)
 
 
-def parse_ratings(lines: DataFrame, sep: str = "\t", strict: bool = False) -> DataFrame:
+def parse_ratings(lines: DataFrame, sep: str = "\t", strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rating triples of text lines (column ``value``) ``user<sep>item<sep>rating[<sep>...]``.
 
     ``strict=False`` keeps the first three fields and ignores the rest (the
     MovieLens files carry a timestamp); ``strict=True`` demands exactly three
     fields.  A bad number or a short line fails the job, as the reference's
     ``toInt``/``toDouble`` would throw; the checks are explicit and do not depend
-    on ANSI mode.
+    on ANSI mode.  Columns named in ``keep`` ride along.
     """
     parts = F.split(F.col("value"), re.escape(sep))
     n = F.size(parts)
     ok = (n == 3) if strict else (n >= 3)
     msg = "rating line must have exactly 3 fields" if strict else "rating line has fewer than 3 fields"
     checked = F.when(ok, parts).otherwise(F.raise_error(F.lit(msg)))
-    fields = lines.select(checked.alias("_f"))
+    fields = lines.select(checked.alias("_f"), *keep)
     return fields.select(
         _number(F.col("_f")[0], "int").alias("user_id"),
         _number(F.col("_f")[1], "int").alias("item_id"),
         _number(F.col("_f")[2], "double").alias("rating"),
+        *keep,
     )
 
 
@@ -65,6 +66,28 @@ def read_ratings(spark: SparkSession, path: str, sep: str = "\t", strict: bool =
     return parse_ratings(spark.read.text(path), sep, strict)
 
 
+#: Where a line stands: its file, the start of its part of the file, its place in the task that read it.
+ARRIVAL = ("_file", "_start", "_place")
+
+
+def read_arrivals(spark: SparkSession, path: str, sep: str = "\t", strict: bool = False) -> DataFrame:
+    """:func:`read_ratings` with the ``ARRIVAL`` of each line: files by name, in a file by position.
+    A part of a file is read by one task from its start to its end, so the order is the files' own
+    however they are split."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+    return parse_ratings(lines, sep, strict, ARRIVAL)
+
+
+def last_arrival(ratings: DataFrame) -> DataFrame:
+    """One row per (user, item): the rating that arrived last, as a map built in order."""
+    return ratings.groupBy(*KEYS).agg(F.max_by("rating", F.struct(*ARRIVAL)).alias("rating"))
+
+
 def dedupe_pairs(ratings: DataFrame) -> DataFrame:
     """One row per (user, item): the average of repeated ratings."""
     return ratings.groupBy(*KEYS).agg(F.avg("rating").alias("rating"))

@@ -58,3 +58,23 @@ def test_pool_distinct_drops_equal_triples_only(spark):
     b = spark.createDataFrame([(1, 1, 5.0), (1, 2, 4.0)], R.RATING_SCHEMA)
     assert R.pool(a, b).count() == 3
     assert R.pool(a, b, distinct=False).count() == 4
+
+
+def test_last_line_wins_for_any_split(spark, tmp_path):
+    want = {}
+    for f in range(3):
+        lines = []
+        for k in range(2000):
+            u, i, r = k * 7 % 40, k % 9, (k * 13 + f) % 5 + 1
+            lines.append(f"{u}\t{i}\t{r}\t0")
+            want[u, i] = float(r)
+        (tmp_path / f"part-{f}.txt").write_text("\n".join(lines) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in ("1k", "7k", "128m"):
+            spark.conf.set(key, size)
+            rows = R.last_arrival(R.read_arrivals(spark, str(tmp_path))).collect()
+            assert {(r.user_id, r.item_id): r.rating for r in rows} == want, size
+    finally:
+        spark.conf.set(key, before)

@@ -133,3 +133,20 @@ def test_reference_flags(spark):
     assert r1["n_test"] == d.target_test.count()
     r2 = P.pool_mix(d, rank=3, als_rank=3, k=4, als_iters=5, item_assign="user").first()
     assert r2["n_joined"] > 0
+
+
+def test_diagonal_is_solved_exactly(spark):
+    rng = np.random.default_rng(2)
+    u, v, true = rng.random((30, 4)), rng.random((25, 4)), np.array([4.0, 3.0, 2.0, 1.0])
+    rows = [(i, j, float((u[i] * v[j]) @ true)) for i in range(30) for j in range(25) if (i + j) % 3]
+    users, items = (
+        spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(m)], "id int, features array<double>") for m in (u, v)
+    )
+    ratings = spark.createDataFrame(rows, "user_id int, item_id int, rating double")
+    assert np.allclose(TR.diag_solve(ratings, users, items, 4, 0.0), true)
+    lam = 0.1
+    d = np.array(TR.diag_solve(ratings, users, items, 4, lam))
+    x = np.array([u[i] * v[j] for i, j, _ in rows])
+    r = np.array([r for _, _, r in rows])
+    assert np.abs(x.T @ (x @ d - r) / len(r) + lam * d).max() < 1e-9
+    assert TR.diag_solve(ratings.limit(0), users, items, 4, lam) == [0.0] * 4
