@@ -99,6 +99,14 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
+def _in_parts(s: np.ndarray, t: np.ndarray, rows: np.ndarray | None = None, others: np.ndarray | None = None) -> np.ndarray:
+    """The kernel of rows of ``s`` with rows of ``t``, ``STRETCHES`` at a time."""
+    rows = np.arange(len(s)) if rows is None else rows
+    others = rows if others is None else others
+    parts = [kernel(s[rows[a : a + STRETCHES]], t[others[a : a + STRETCHES]]) for a in range(0, len(rows), STRETCHES)]
+    return np.concatenate([np.empty(0), *parts])
+
+
 def _points(words: list[str], width: int) -> np.ndarray:
     return np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
 
@@ -169,23 +177,21 @@ class Landmarks:
             which = np.repeat(some, starts)
             at = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
             padded = np.concatenate([points, np.zeros((len(points), width), np.uint32)], axis=1)
-            for a in range(0, len(which), STRETCHES):
-                self._compare(padded, width, which[a : a + STRETCHES], at[a : a + STRETCHES], of, near, row, begins, out)
+            cut = padded[which[:, None], at[:, None] + np.arange(width)]
+            itself = _in_parts(cut, cut)  # a stretch meets itself once, whatever the number of landmarks
+            for length in (width - 1, width):
+                js = np.flatnonzero(lengths == length)
+                if not len(js):
+                    continue
+                k, met = np.nonzero(near[js][:, which] & (itself > 0))
+                targets = np.concatenate([self.points[j] for j in js.tolist()])
+                value = (_in_parts(cut, targets, met, k) / np.sqrt(np.array(self.own)[js][k] * itself[met])) ** POWER
+                for j, a, b in zip(js.tolist(), *np.searchsorted(k, [np.arange(len(js)), np.arange(1, len(js) + 1)]), strict=True):
+                    words, first = row[which[met[a:b]]], begins[which[met[a:b]]] & (at[met[a:b]] == 0)
+                    self._raise(out[0], out[1], words, value[a:b], j)
+                    self._raise(out[2], out[3], words[first], value[a:b][first], j)
         return out
 
-    def _compare(self, padded, width, which, at, of, near, row, begins, out) -> None:
-        """Raise the nearest values in ``out`` by stretches of one width; a stretch meets itself once."""
-        cut = padded[which[:, None], at[:, None] + np.arange(width)]
-        itself = kernel(cut, cut)
-        for j in of.tolist():
-            met = np.flatnonzero(near[j][which] & (itself > 0))
-            if not len(met):
-                continue
-            value = (kernel(cut[met], np.repeat(self.points[j], len(met), axis=0)) / np.sqrt(self.own[j] * itself[met])) ** POWER
-            words, first = row[which[met]], begins[which[met]] & (at[met] == 0)
-            self._raise(out[0], out[1], words, value, j)
-            self._raise(out[2], out[3], words[first], value[first], j)
-
     @staticmethod
     def _raise(nearest: np.ndarray, most: np.ndarray, words: np.ndarray, value: np.ndarray, j: int) -> None:
         """Take landmark ``j`` where its value is higher; ``words`` ascend."""
