@@ -12,10 +12,10 @@ one class from the start.  The rest is exact:
 3. In lists that still hold several components, size-banded tiles are compared
    in full: for two classes of different components, the bit count of the
    exclusive or of two hashed parity bitmaps is at most the number of shingles that
-   only one has, which bounds their overlap from above.  First the closest pair of
-   a class and another component is tried, which joins what belongs together; then
-   every pair of what is still apart.  Lists over ``TILE`` classes are split into
-   pairs of blocks that go to different tasks.
+   only one has, which bounds their overlap from above.  First only the closest
+   partner of each class in a tile is tried, twice, which joins what belongs together
+   and hands on no more pairs than rows; then every pair of what is still apart.
+   Lists over ``TILE`` classes are split into pairs of blocks that go to different tasks.
 4. What the bound leaves is verified by exact intersection of the sorted arrays.
 
 A pair inside one component needs no test, so a large group of near copies costs
@@ -48,8 +48,10 @@ from bridgerec.llm.word_hash import SPACED, mix, window_hashes, words_of
 #: Counters of the frequency sketch (32-bit; one sketch a task, summed in a tree).
 SKETCH_BITS = 18
 #: A class's parity bitmap has twice as many bits as shingles, rounded up to a power of
-#: two, and at least these; tiles compare bitmaps of a quarter of the bits, within limits.
-LEAST_BITS, TILE_BITS = 1024, (512, 4096)
+#: two, and at least these; tiles compare bitmaps of half the bits and at most ``TILE_BITS``.
+#: Half has a bit or more a shingle, which tells disjoint sets of up to 7 / 4 ``TILE_BITS``
+#: shingles apart; larger sets that share a prefix shingle are told apart by the whole bitmaps.
+LEAST_BITS, TILE_BITS = 1024, 1 << 16
 #: Classes of a list that are compared in one group.
 TILE = 2048
 
@@ -86,8 +88,18 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 def tile_bitmap(whole: bytes) -> bytes:
     """A class's bitmap folded to what tiles compare."""
-    bits = min(max(len(whole) * 2, TILE_BITS[0]), TILE_BITS[1], len(whole) * 8)
-    return folded(np.frombuffer(whole, np.uint64)[None], bits // 64).tobytes()
+    return folded(np.frombuffer(whole, np.uint64)[None], min(len(whole) * 4, TILE_BITS) // 64).tobytes()
+
+
+def tile_bitmaps(light: DataFrame) -> DataFrame:
+    """(class, small) of ``light(class, bitmap)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = pa.array([tile_bitmap(m) for m in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), small], names=["class", "small"])
+
+    return light.select("class", "bitmap").mapInArrow(run, "class long, small binary")
 
 
 def folded(maps: np.ndarray, words: int) -> np.ndarray:
@@ -100,7 +112,8 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, id, n, class, bitmap) of each row and one sketch row for each task."""
+    """(doc, id, n, class, bitmap) of each row and one sketch row for each task; a class has
+    its bitmap once in a batch."""
     schema = T.StructType(
         [
             T.StructField("doc", T.LongType()),
@@ -108,11 +121,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             T.StructField("n", T.LongType()),
             T.StructField("class", T.LongType()),
             T.StructField("bitmap", T.BinaryType()),
-            T.StructField("small", T.BinaryType()),
             T.StructField("sketch", T.BinaryType()),
         ]
     )
-    types = pa.schema([(c, pa.int64()) for c in ("doc", "id", "n", "class")] + [(c, pa.binary()) for c in ("bitmap", "small", "sketch")])
+    types = pa.schema([(c, pa.int64()) for c in ("doc", "id", "n", "class")] + [(c, pa.binary()) for c in ("bitmap", "sketch")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -121,14 +133,15 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             for s in shingle_sets(*text_bytes(batch.column(1)), n):
                 sizes.append(len(s))
                 classes.append(fingerprint(s))
-                maps.append(bitmap(s))
+                maps.append(None)
                 if classes[-1] not in seen:  # a copy adds nothing to how rare a shingle is
                     seen.add(classes[-1])
+                    maps[-1] = bitmap(s)
                     cells.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
             sketch += np.bincount(np.concatenate([np.empty(0, np.int32), *cells]), minlength=len(sketch))
             cols = [batch.column(2), batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(classes, np.uint64).view(np.int64))]
-            cols += [pa.array(maps, pa.binary()), pa.array(map(tile_bitmap, maps), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(batch.num_rows, pa.binary())], schema=types)
+            cols += [pa.array(maps, pa.binary()), pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, schema=types)
         yield pa.RecordBatch.from_pylist([{"sketch": sketch.astype("<u4").tobytes()}], schema=types)
 
     return docs.mapInArrow(run, schema)
@@ -279,7 +292,7 @@ def _verified(near: DataFrame, docs: DataFrame, members: DataFrame, stage: Stage
 def _tiles(lists: DataFrame, light: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
     """Distinct pairs of classes of different components that share a prefix shingle
     and that sizes, places and bitmaps do not rule out; with ``closest`` only the pair
-    with the fewest differing bits for a class and another component in a tile, and a row
+    with the fewest differing bits for a class in a tile, and a row
     ``(null, null, token)`` for a list where that left pairs out.
 
     ``lists(token, class, place, component)``.  If a link's first common shingle is in
@@ -299,7 +312,7 @@ def _tiles(lists: DataFrame, light: DataFrame, num: int, den: int, closest: bool
     )
     mixed = whole.filter("lo != hi").groupBy("m", "x", "y").agg(F.min(F.struct("places", "token"))["token"].alias("token"))
     mixed = mixed.select("token", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
-    rows = lists.join(mixed, "token").join(light.select("class", "small"), "class")
+    rows = lists.join(mixed, "token").join(tile_bitmaps(light), "class")
     block = F.pmod(F.xxhash64("class"), F.col("k")).cast("int")
     rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select(
@@ -340,12 +353,8 @@ def _tiles(lists: DataFrame, light: DataFrame, num: int, den: int, closest: bool
                 to = to[near]
                 if closest and len(to) > 1:
                     apart = np.bitwise_count(differing[near]).sum(axis=1, dtype=np.int64)
-                    by = np.lexsort((cls[to], apart, comp[to]))
-                    first = np.ones(len(by), bool)
-                    first[1:] = comp[to][by][1:] != comp[to][by][:-1]
-                    if not first.all():
-                        more.append(int(token[a]))
-                    to = to[by[first]]
+                    more.append(int(token[a]))
+                    to = to[np.lexsort((cls[to], apart))[:1]]
                 one = np.full(len(to), cls[row])
                 found.append(np.stack([np.minimum(one, cls[to]), np.maximum(one, cls[to])]))
                 held += len(to)
@@ -412,26 +421,28 @@ def ngram_jaccard_join(
     rows = docs.select(F.col(id_col).cast("long").alias("row"), text.alias("text"))
     sets = stage.write(_sets(rows.withColumn("doc", row_key("row", "text")), n), "sets")
     levels = _levels(sets)
-    sets = sets.filter("sketch is null").withColumn("class", F.when(F.col("n") > 0, F.col("class")))
+    sets = sets.filter("sketch is null").drop("sketch").withColumn("class", F.when(F.col("n") > 0, F.col("class")))
     lists = stage.write(_shared(_postings(rows, n, levels, num, den), num, den), "lists")
-    members = sets.filter("n > 0").groupBy("class").agg(
-        F.min("id").alias("row"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("small").alias("small")
-    )
+    members = sets.filter("n > 0").groupBy("class").agg(F.min("id").alias("row"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"))
     members = stage.write(members, "members")
     light = members.drop("row")
+    sets = stage.write(sets.drop("bitmap"), "rows")
+    stage.drop("sets")
 
     star = lists.select("class", F.explode(F.array("before", "first")).alias("to")).filter("class != to")
     star = star.select(F.least("class", "to").alias("a"), F.greatest("class", "to").alias("b")).dropDuplicates()
     links = _verified(_bounded(star, light, num, den), rows, members, stage, "star", n, num, den)
     found = connected_components(links, stage, "cc-star")
     again = None
-    for name in ("closest", "rest"):
+    for name in ("closest", "closer", "rest"):
+        if again is not None and again.isEmpty():
+            break
         found = stage.write(found, f"found-{name}")
         rows_of = lists.select("token", "class", "place")
         rows_of = rows_of if again is None else rows_of.join(again, "token", "left_semi")
         labelled = rows_of.join(found.toDF("class", "component"), "class", "left")
         labelled = labelled.withColumn("component", F.coalesce("component", "class"))
-        pairs = stage.write(_tiles(labelled, light, num, den, name == "closest"), f"pairs-{name}")
+        pairs = stage.write(_tiles(labelled, light, num, den, name != "rest"), f"pairs-{name}")
         again = pairs.filter("token is not null").select("token")
         near = _bounded(pairs.filter("token is null").select("a", "b"), light, num, den)
         links = links.unionAll(_verified(near, rows, members, stage, name, n, num, den))

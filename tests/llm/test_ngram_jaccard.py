@@ -109,9 +109,29 @@ def test_copies_in_several_batches_count_once(spark):
     shared = nj._shared(spark.createDataFrame(rows, "token long, class long, place long"), 3, 4)
     assert sorted((r.token, r["class"]) for r in shared.collect()) == sorted((t, m) for t in lists for m in set(lists[t]))
     rng = np.random.default_rng(1)
-    maps = {cls: rng.bytes(64) for cls in range(1, 9)}
+    maps = {cls: rng.bytes(128) for cls in range(1, 9)}
     maps[c] = maps[b]
-    light = spark.createDataFrame([(k, bytearray(v)) for k, v in maps.items()], "class long, small binary")
+    light = spark.createDataFrame([(k, bytearray(v)) for k, v in maps.items()], "class long, bitmap binary")
     labelled = shared.select("token", "class", "place").withColumn("component", F.col("class"))
     got = {(r.a, r.b) for r in nj._tiles(labelled, light, 3, 4, False).collect()}
     assert (b, c) in got
+
+
+@pytest.mark.parametrize("n", [300, 1000, 1900, 3900, 7500, 15000, 19000, 100000])
+def test_tiles_tell_disjoint_sets_apart(n):
+    rng = np.random.default_rng(n)
+    x, y = (np.frombuffer(nj.tile_bitmap(nj.bitmap(rng.integers(0, 1 << 63, n).astype(np.uint64))), np.uint64)[None] for _ in range(2))
+    assert not nj._may_link(x ^ y, np.array([2 * n]), 3, 4).any()
+
+
+def test_closest_hands_on_at_most_a_pair_a_row(spark):
+    members = 60
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in range(1, members + 1)]
+    light = spark.createDataFrame([(k, bytearray(nj.bitmap(s))) for k, s in enumerate(sets)], "class long, bitmap binary")
+    lists = spark.createDataFrame([(9, k, len(s) << 32, k) for k, s in enumerate(sets)], "token long, class long, place long, component long")
+    rows = nj._tiles(lists, light, 3, 4, True).collect()
+    assert 0 < sum(r.token is None for r in rows) < members
+    assert [r.token for r in rows if r.token is not None] == [9]
+    assert sum(r.token is None for r in nj._tiles(lists, light, 3, 4, False).collect()) > 10 * members
