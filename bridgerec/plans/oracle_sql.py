@@ -415,6 +415,18 @@ def build() -> dict[str, str]:
         f" (SELECT a.id AS u1, b.id AS u2, {dot('a.v', 'b.v')} AS sim FROM UN a JOIN UN b ON a.id <> b.id))"
         f" WHERE rn <= {Q.TOP_N}"
     )
+    width = "((hi + CAST(1 AS DOUBLE) - lo) / CAST(5 AS DOUBLE))"
+    at = " ".join(f"WHEN sim < lo + {k} * {width} THEN {k}" for k in range(1, 5))
+    s["user_pair_bins"] = with_base(
+        *factors("F", "ttr"),
+        f"UN AS (SELECT id, {unit} AS v FROM FU)",
+        f"UP AS (SELECT {dot('a.v', 'b.v')} AS sim FROM UN a JOIN UN b ON a.id <> b.id)",
+        "UL AS (SELECT MIN(sim) AS lo, MAX(sim) AS hi FROM UP)",
+        f"UB AS (SELECT CASE {at} ELSE 5 END AS bin, COUNT(*) AS n FROM UP CROSS JOIN UL GROUP BY 1)",
+    ) + (
+        f"SELECT CAST(k AS DOUBLE) AS bin, CAST(COALESCE(n, 0) AS BIGINT) AS n_pairs, {r6('lo')} AS sim_min, {r6('hi')} AS sim_max"
+        " FROM range(1, 6) AS r(k) CROSS JOIN UL LEFT JOIN UB ON UB.bin = k"
+    )
     s["centre_cosine"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, sign, {r6('sim')} AS sim FROM SIM"
     s["centre_cosine_binned"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, sign, {_bin('sim')} AS sim FROM SPREAD"
     a = Q.BLEND_A

@@ -18,6 +18,7 @@ from bridgerec.functions import vectors as V
 from bridgerec.operators import cluster as C
 from bridgerec.operators import factorize as FZ
 from bridgerec.operators import metrics as M
+from bridgerec.operators import pair_bins as PB
 from bridgerec.operators import retrieval as RT
 from bridgerec.operators import sequential as SQ
 from bridgerec.operators import similarity as SM
@@ -481,6 +482,13 @@ def nearest_users(spark, sf_dir):
     return found.select(F.col("id").alias("u1"), F.col("neighbour").alias("u2"), "rank", r6("sim").alias("sim"))
 
 
+def user_pair_bins(spark, sf_dir):
+    """How many pairs of different users have a cosine in each bin, and the limits of all pairs."""
+    d = _data(spark, sf_dir)
+    found = PB.cosine_pair_bins(FZ.init_factors(d.target_train, RANK).users)
+    return found.select("bin", "n_pairs", r6("sim_min").alias("sim_min"), r6("sim_max").alias("sim_max"))
+
+
 def centre_cosine(spark, sf_dir):
     return _centre_pairs(spark, sf_dir).select("u1", "u2", "sign", r6("sim").alias("sim"))
 
