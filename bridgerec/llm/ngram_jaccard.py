@@ -48,10 +48,10 @@ from bridgerec.llm.word_hash import SPACED, mix, window_hashes, words_of
 #: Counters of the frequency sketch (32-bit; one sketch a task, summed in a tree).
 SKETCH_BITS = 18
 #: A class's parity bitmap has twice as many bits as shingles, rounded up to a power of
-#: two, and at least these; tiles compare bitmaps of half the bits and at most ``TILE_BITS``.
-#: Half has a bit or more a shingle, which tells disjoint sets of up to 7 / 4 ``TILE_BITS``
-#: shingles apart; larger sets that share a prefix shingle are told apart by the whole bitmaps.
-LEAST_BITS, TILE_BITS = 1024, 1 << 16
+#: two, and at least these; tiles compare them whole up to ``TILE_BITS``, which tells disjoint
+#: sets of up to 7 / 4 ``TILE_BITS`` shingles apart; larger ones are folded to so many bits
+#: there and told apart by the whole bitmaps later.
+LEAST_BITS, TILE_BITS = 1024, 1 << 17
 #: Classes of a list that are compared in one group.
 TILE = 2048
 
@@ -88,7 +88,7 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 def tile_bitmap(whole: bytes) -> bytes:
     """A class's bitmap folded to what tiles compare."""
-    return folded(np.frombuffer(whole, np.uint64)[None], min(len(whole) * 4, TILE_BITS) // 64).tobytes()
+    return folded(np.frombuffer(whole, np.uint64)[None], min(len(whole) * 8, TILE_BITS) // 64).tobytes()
 
 
 def tile_bitmaps(light: DataFrame) -> DataFrame:
