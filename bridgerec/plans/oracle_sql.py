@@ -427,6 +427,25 @@ def build() -> dict[str, str]:
         f"SELECT CAST(k AS DOUBLE) AS bin, CAST(COALESCE(n, 0) AS BIGINT) AS n_pairs, {r6('lo')} AS sim_min, {r6('hi')} AS sim_max"
         " FROM range(1, 6) AS r(k) CROSS JOIN UL LEFT JOIN UB ON UB.bin = k"
     )
+    near = (
+        "SELECT u1, u2 FROM (SELECT u1, u2, ROW_NUMBER() OVER (PARTITION BY u1 ORDER BY ROUND(sim, 12) DESC, u2) AS rn FROM UP)"
+        f" WHERE rn <= {Q.TOP_N}"
+    )
+    k = Q.EPOCH_RANK
+    s["similarity_step"] = with_base(
+        *factors("F", "ttr"),
+        f"UN AS (SELECT id, {unit} AS v FROM FU)",
+        f"UP AS (SELECT a.id AS u1, b.id AS u2, {dot('a.v', 'b.v')} AS sim FROM UN a JOIN UN b ON a.id <> b.id)",
+        "UL AS (SELECT MIN(sim) AS lo, MAX(sim) AS hi FROM UP)",
+        f"NN AS ({near})",
+        "ED AS (SELECT u1, u2 FROM NN UNION SELECT u2, u1 FROM NN)",
+        f"SV AS (SELECT UP.u1, UP.u2, CASE WHEN ED.u1 IS NULL THEN (sim - lo) / {width} + {_d(0.5)} {at} ELSE 5 END AS s"
+        " FROM UP CROSS JOIN UL LEFT JOIN ED ON UP.u1 = ED.u1 AND UP.u2 = ED.u2)",
+        f"PQ AS (SELECT id, {det('id', k, USER_A, USER_C)} AS a, {det('id', k, ITEM_A, ITEM_C)} AS b FROM FU)",
+        f"ER AS (SELECT u1, x.a AS a, y.b AS b, s - {dot('x.a', 'y.b')} AS e FROM SV JOIN PQ x ON x.id = u1 JOIN PQ y ON y.id = u2)",
+        f"GR AS (SELECT u1 AS id, ANY_VALUE(a) AS a, [{', '.join(f'AVG(e * b[{f + 1}])' for f in range(k))}] AS g FROM ER GROUP BY u1)",
+        f"ST AS (SELECT id, list_transform(range(1, {k + 1}), lambda ix: a[ix] + {_d(Q.SIM_ALPHA)} * (g[ix] - {_d(Q.EPOCH_LAMBDA)} * a[ix])) AS p FROM GR)",
+    ) + _long("ST", "user", "p", k)
     s["centre_cosine"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, sign, {r6('sim')} AS sim FROM SIM"
     s["centre_cosine_binned"] = with_base(*_cos_ctes()) + f"SELECT u1, u2, sign, {_bin('sim')} AS sim FROM SPREAD"
     a = Q.BLEND_A

@@ -18,6 +18,7 @@ from bridgerec.functions import vectors as V
 from bridgerec.operators import cluster as C
 from bridgerec.operators import factorize as FZ
 from bridgerec.operators import metrics as M
+from bridgerec.operators import similarity_transfer as ST
 from bridgerec.operators import svd as SVD
 from bridgerec.operators import transfer as TR
 from bridgerec.session import materialize
@@ -172,6 +173,27 @@ def cluster_merge(d: R.CrossDomainData, rank=30, als_iters=FZ.ALS_ITERS, als_reg
     return _report(p, d.target_test, "joined")
 
 
+# ------------------------------------------------- similarity transfer
+
+
+def similarity_transfer(d: R.CrossDomainData, rank=100, iters=70, lam=0.0001, alpha=0.01, sim_iters=5, neighbours=10,
+                        items="fitted", item_lam=0.1, solver="als", als_iters=FZ.ALS_ITERS) -> DataFrame:
+    """Factorise the source, factorise the binned similarities of all pairs of its users, predict the target's test
+    pairs by these users' factors; RMSE over all test rows.  ``items="fitted"`` fits the target's items against the
+    transferred users; ``items="own"`` takes them from a factorisation of the target by itself, as the reference
+    does, whose factors have no common axes with the users'."""
+    ms = FZ.fit_lfm(d.source, rank, iters, lam, solver, alpha, als_iters=als_iters)
+    users = materialize(ST.similarity_factors(materialize(ms.users), rank, sim_iters, lam, neighbours))
+    if items == "fitted":
+        q = ST.fit_items(d.target_train, users, rank, item_lam)
+    elif items == "own":
+        q = FZ.fit_lfm(d.target_train, rank, iters, lam, solver, alpha, als_iters=als_iters).items
+    else:
+        raise ValueError(items)
+    p = FZ.predict_pairs(d.target_test, FZ.FactorModel(users, q, rank=rank))
+    return _report(p, d.target_test, "test")
+
+
 # ------------------------------------------------------------ Q9 demo
 
 
@@ -212,6 +234,10 @@ def q_cluster_merge(spark, sf_dir):
     return cluster_merge(load(spark, sf_dir))
 
 
+def q_similarity_transfer(spark, sf_dir):
+    return similarity_transfer(load(spark, sf_dir))
+
+
 def q_eval_demo(spark, sf_dir):
     return eval_demo(load(spark, sf_dir))
 
@@ -334,5 +360,6 @@ def registered():
         "q_diag_codebook": q_diag_codebook,
         "q_svd_transfer": q_svd_transfer,
         "q_cluster_merge": q_cluster_merge,
+        "q_similarity_transfer": q_similarity_transfer,
         "q_eval_demo": q_eval_demo,
     }

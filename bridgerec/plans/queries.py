@@ -22,6 +22,7 @@ from bridgerec.operators import pair_bins as PB
 from bridgerec.operators import retrieval as RT
 from bridgerec.operators import sequential as SQ
 from bridgerec.operators import similarity as SM
+from bridgerec.operators import similarity_transfer as ST
 from bridgerec.operators import transfer as TR
 from bridgerec.session import ensure_checkpoint_dir, materialize
 from bridgerec.sources import ratings as R
@@ -42,6 +43,7 @@ BLEND_A = 0.5
 MIX_W, MIX_SHIFT = 0.8, 1.2
 REFINE_ALPHA, REFINE_LAMBDA = 0.001, 0.1
 EPOCH_ALPHA, EPOCH_LAMBDA, EPOCH_DECAY = 0.01, 0.01, 0.9
+SIM_ALPHA = 10.0  # step of the similarity factors, at which a few neighbours show in six digits
 BUCKETS = 5  # rating-level clusters (floor of the mean rating, 1..5)
 
 
@@ -489,6 +491,15 @@ def user_pair_bins(spark, sf_dir):
     return found.select("bin", "n_pairs", r6("sim_min").alias("sim_min"), r6("sim_max").alias("sim_max"))
 
 
+def similarity_step(spark, sf_dir):
+    """One step of the users' factors towards the binned similarities of all pairs of users."""
+    d = _data(spark, sf_dir)
+    sim = ST.similarity_matrix(FZ.init_factors(d.target_train, RANK).users, TOP_N, BUCKETS)
+    start = [sim.unit.select("id", init("id", EPOCH_RANK).alias("features")) for init in (V.user_init, V.item_init)]
+    stepped = ST.half_step(sim, start[1], EPOCH_RANK, EPOCH_LAMBDA, a=start[0], alpha=SIM_ALPHA)
+    return _long(stepped.withColumn("id", F.col("id").cast("int")), "user")
+
+
 def centre_cosine(spark, sf_dir):
     return _centre_pairs(spark, sf_dir).select("u1", "u2", "sign", r6("sim").alias("sim"))
 
