@@ -117,48 +117,85 @@ def _quantize(col: str) -> str:
     return f"list_transform({col}, lambda x: FLOOR(x * CAST(20 AS DOUBLE)) / CAST(20 AS DOUBLE))"
 
 
-def epochs_sql(iters: int, step: str, bias: bool) -> str:
+def epoch_ctes(iters: int, step: str, bias: bool, name: str = "", table: str = "ttr", alpha: float = Q.EPOCH_ALPHA) -> list[str]:
+    """Gradient epochs over ``table``: the factors after epoch e are ``{name}U{e}`` and ``{name}I{e}``."""
     k = Q.EPOCH_RANK
     lam = _d(Q.EPOCH_LAMBDA)
-    ctes = factors("E", "ttr", k)
+    ctes = factors(f"{name}E", table, k)
     if bias:
-        ctes.append("MU AS (SELECT AVG(rating) AS mu FROM ttr)")
-        ctes.append("U0 AS (SELECT id, p, CAST(0 AS DOUBLE) AS b FROM EU)")
-        ctes.append("I0 AS (SELECT id, q AS p, CAST(0 AS DOUBLE) AS b FROM EI)")
+        ctes.append(f"{name}MU AS (SELECT AVG(rating) AS mu FROM {table})")
+        ctes.append(f"{name}U0 AS (SELECT id, p, CAST(0 AS DOUBLE) AS b FROM {name}EU)")
+        ctes.append(f"{name}I0 AS (SELECT id, q AS p, CAST(0 AS DOUBLE) AS b FROM {name}EI)")
     else:
-        ctes.append("U0 AS (SELECT id, p FROM EU)")
-        ctes.append("I0 AS (SELECT id, q AS p FROM EI)")
-    a = Q.EPOCH_ALPHA
+        ctes.append(f"{name}U0 AS (SELECT id, p FROM {name}EU)")
+        ctes.append(f"{name}I0 AS (SELECT id, q AS p FROM {name}EI)")
+    a = alpha
     for e in range(1, iters + 1):
         prev = e - 1
-        start = "(U.b + I.b + (SELECT mu FROM MU))" if bias else "CAST(0 AS DOUBLE)"
+        start = f"(U.b + I.b + (SELECT mu FROM {name}MU))" if bias else "CAST(0 AS DOUBLE)"
         bcols = ", U.b AS bu, I.b AS bi" if bias else ""
         ctes.append(
-            f"J{e} AS (SELECT r.user_id, r.item_id, r.rating - {dot('U.p', 'I.p', start)} AS e, U.p AS p, I.p AS q{bcols}"
-            f" FROM ttr r JOIN U{prev} U ON r.user_id = U.id JOIN I{prev} I ON r.item_id = I.id)"
+            f"{name}J{e} AS (SELECT r.user_id, r.item_id, r.rating - {dot('U.p', 'I.p', start)} AS e, U.p AS p, I.p AS q{bcols}"
+            f" FROM {table} r JOIN {name}U{prev} U ON r.user_id = U.id JOIN {name}I{prev} I ON r.item_id = I.id)"
         )
         for side, key, own, other, bcol in (("U", "user_id", "p", "q", "bu"), ("I", "item_id", "q", "p", "bi")):
             ctes.append(
-                f"G{side}{e} AS (SELECT {key} AS id, fx, SUM({other}[fx] * e - {lam} * {own}[fx]) AS g"
-                f" FROM J{e} CROSS JOIN range(1, {k + 1}) AS rg(fx) GROUP BY {key}, fx)"
+                f"{name}G{side}{e} AS (SELECT {key} AS id, fx, SUM({other}[fx] * e - {lam} * {own}[fx]) AS g"
+                f" FROM {name}J{e} CROSS JOIN range(1, {k + 1}) AS rg(fx) GROUP BY {key}, fx)"
             )
             extra = f", SUM(e - {lam} * {bcol}) AS gb" if bias else ""
-            ctes.append(f"N{side}{e} AS (SELECT {key} AS id, COUNT(*) AS n{extra} FROM J{e} GROUP BY {key})")
+            ctes.append(f"{name}N{side}{e} AS (SELECT {key} AS id, COUNT(*) AS n{extra} FROM {name}J{e} GROUP BY {key})")
             ctes.append(
-                f"L{side}{e} AS (SELECT G.id, list(G.g ORDER BY G.fx) AS g, MAX(N.n) AS n"
+                f"{name}L{side}{e} AS (SELECT G.id, list(G.g ORDER BY G.fx) AS g, MAX(N.n) AS n"
                 + (", MAX(N.gb) AS gb" if bias else "")
-                + f" FROM G{side}{e} G JOIN N{side}{e} N ON G.id = N.id GROUP BY G.id)"
+                + f" FROM {name}G{side}{e} G JOIN {name}N{side}{e} N ON G.id = N.id GROUP BY G.id)"
             )
             scale = _d(a) if step == "sum" else f"({_d(a)} / CAST(L.n AS DOUBLE))"
             newb = (
                 f", CASE WHEN L.id IS NULL THEN S.b ELSE S.b + {scale} * L.gb END AS b" if bias else ""
             )
             ctes.append(
-                f"{side}{e} AS (SELECT S.id, CASE WHEN L.id IS NULL THEN S.p ELSE "
+                f"{name}{side}{e} AS (SELECT S.id, CASE WHEN L.id IS NULL THEN S.p ELSE "
                 f"list_transform(range(1, {k + 1}), lambda ix: S.p[ix] + {scale} * L.g[ix]) END AS p{newb}"
-                f" FROM {side}{prev} S LEFT JOIN L{side}{e} L ON S.id = L.id)"
+                f" FROM {name}{side}{prev} S LEFT JOIN {name}L{side}{e} L ON S.id = L.id)"
             )
         a *= Q.EPOCH_DECAY
+    return ctes
+
+
+def report_sql(score: str, users: str, items: str) -> str:
+    """The metrics row of a program whose prediction of a test pair is ``score`` of U and I."""
+    joined = f"SELECT t.rating - {score} AS df FROM tte t JOIN {users} U ON U.id = t.user_id JOIN {items} I ON I.id = t.item_id"
+    n_test = "(SELECT COUNT(*) FROM tte)"
+    return (
+        f"SELECT {r6('SQRT(SUM(df * df) / COUNT(*))')} AS rmse, {r6(f'SUM(ABS(df)) / {n_test}')} AS mae_test_n,"
+        f" COUNT(*) AS n_joined, {n_test} AS n_test FROM ({joined})"
+    )
+
+
+def programs() -> dict[str, str]:
+    """Whole programs by gradient epochs.  A mix of weight 1 takes nothing from the cluster branch but its
+    coverage, and each pair with factors is covered, as the pooled ratings hold all train ratings."""
+    n, k, alpha = Q.PROGRAM_ITERS, Q.EPOCH_RANK, Q.PROGRAM_ALPHA
+    plain = dot("U.p", "I.p")
+    pooled = "PL AS (SELECT user_id, item_id, rating FROM src UNION SELECT user_id, item_id, rating FROM ttr)"
+    blended = (
+        f"BU AS (SELECT T.id, CASE WHEN S.id IS NULL THEN T.p ELSE list_transform(range(1, {k + 1}), lambda ix:"
+        f" {_d(1 - Q.BLEND_A)} * S.p[ix] + {_d(Q.BLEND_A)} * T.p[ix]) END AS p FROM TU{n} T LEFT JOIN SU{n} S ON S.id = T.id)"
+    )
+    return {
+        "lfm_program": with_base(*epoch_ctes(n, "mean", False, alpha=alpha)) + report_sql(plain, f"U{n}", f"I{n}"),
+        "biassvd_program": with_base(*epoch_ctes(n, "mean", True, alpha=alpha))
+        + report_sql(dot("U.p", "I.p", "(U.b + I.b + (SELECT mu FROM MU))"), f"U{n}", f"I{n}"),
+        "pool_mix_program": with_base(pooled, *epoch_ctes(n, "mean", False, "P", "PL", alpha)) + report_sql(plain, f"PU{n}", f"PI{n}"),
+        "blend_program": with_base(*epoch_ctes(n, "mean", False, "S", "src", alpha), *epoch_ctes(n, "mean", False, "T", "ttr", alpha), blended)
+        + report_sql(plain, "BU", f"TI{n}"),
+    }
+
+
+def epochs_sql(iters: int, step: str, bias: bool) -> str:
+    k = Q.EPOCH_RANK
+    ctes = epoch_ctes(iters, step, bias)
     parts = [_long(f"U{iters}", "user", "p", k), _long(f"I{iters}", "item", "p", k)]
     if bias:
         parts.append(f"SELECT 'user' AS side, id, CAST(-1 AS INTEGER) AS f, {r6('b')} AS value FROM U{iters}")
@@ -393,6 +430,7 @@ def build() -> dict[str, str]:
     s["mf_epoch_1"] = epochs_sql(1, "sum", False)
     s["mf_epoch_2"] = epochs_sql(2, "mean", False)
     s["bias_epoch_1"] = epochs_sql(1, "sum", True)
+    s.update(programs())
     s["nearest_center"] = with_base(*_emb_ctes()) + (
         "SELECT vec_id, cluster FROM (SELECT EM.vec_id, CM.cluster, ROW_NUMBER() OVER (PARTITION BY EM.vec_id ORDER BY "
         + _sqdist("EM.v", "CM.c")

@@ -21,6 +21,7 @@ from bridgerec.operators import metrics as M
 from bridgerec.operators import similarity_transfer as ST
 from bridgerec.operators import svd as SVD
 from bridgerec.operators import transfer as TR
+from bridgerec.plans import queries as Q
 from bridgerec.session import materialize
 from bridgerec.sources import ratings as R
 
@@ -242,6 +243,31 @@ def q_eval_demo(spark, sf_dir):
     return eval_demo(load(spark, sf_dir))
 
 
+def _checked(report: DataFrame) -> DataFrame:
+    return report.select(*[V.rounded(c).alias(c) for c in ("rmse", "mae_test_n")], "n_joined", "n_test")
+
+
+def _gradient() -> dict:
+    """Parameters of the checked programs: epochs from fixed factors, which DuckDB runs too."""
+    return dict(rank=Q.EPOCH_RANK, iters=Q.PROGRAM_ITERS, alpha=Q.PROGRAM_ALPHA, lam=Q.EPOCH_LAMBDA, solver="gradient")
+
+
+def lfm_program(spark, sf_dir):
+    return _checked(lfm(load(spark, sf_dir), **_gradient()))
+
+
+def biassvd_program(spark, sf_dir):
+    return _checked(biassvd(load(spark, sf_dir), **_gradient()))
+
+
+def pool_mix_program(spark, sf_dir):
+    return _checked(pool_mix(load(spark, sf_dir), als_rank=Q.EPOCH_RANK, k=Q.BUCKETS, als_iters=2, **_gradient()))
+
+
+def blend_program(spark, sf_dir):
+    return _checked(blend(load(spark, sf_dir), a=Q.BLEND_A, k=Q.BUCKETS, als_iters=2, **_gradient()))
+
+
 def als_factors(spark, sf_dir):
     d = load(spark, sf_dir)
     return FZ.long_factors(FZ.als_fit(d.target_train, 10))
@@ -353,6 +379,10 @@ def registered():
         "svd_energy": svd_energy,
         "als_user_equations": als_user_equations,
         "kmeans_nearest": kmeans_nearest,
+        "lfm_program": lfm_program,
+        "biassvd_program": biassvd_program,
+        "pool_mix_program": pool_mix_program,
+        "blend_program": blend_program,
         "q_lfm": q_lfm,
         "q_biassvd": q_biassvd,
         "q_pool_mix": q_pool_mix,

@@ -43,6 +43,7 @@ BLEND_A = 0.5
 MIX_W, MIX_SHIFT = 0.8, 1.2
 REFINE_ALPHA, REFINE_LAMBDA = 0.001, 0.1
 EPOCH_ALPHA, EPOCH_LAMBDA, EPOCH_DECAY = 0.01, 0.01, 0.9
+PROGRAM_ITERS, PROGRAM_ALPHA = 2, 0.5  # epochs and step of the checked programs
 SIM_ALPHA = 10.0  # step of the similarity factors, at which a few neighbours show in six digits
 BUCKETS = 5  # rating-level clusters (floor of the mean rating, 1..5)
 
