@@ -500,6 +500,7 @@ def build() -> dict[str, str]:
         " (SELECT user_id % 16 AS g, item_id, SUM(rating) AS v FROM ttr GROUP BY 1, 2)"
     )
     s["als_user_equations"] = with_base() + "SELECT DISTINCT user_id, true AS solved FROM ttr"
+    s["bias_als_equations"] = with_base(*bias_ctes("ttr")) + f"SELECT id AS user_id, {r6('bias')} AS bias, true AS solved FROM BU"
     s["kmeans_nearest"] = "SELECT vec_id, true AS nearest FROM embeddings"
     w, sh = Q.MIX_W, Q.MIX_SHIFT
     s["prediction_mix"] = with_base(*pred_ctes()) + (

@@ -340,13 +340,10 @@ def svd_energy(spark, sf_dir):
     )
 
 
-def als_user_equations(spark, sf_dir):
-    """Whether each user's ALS factors solve their normal equation given the items':
+def _solved(ratings: DataFrame, m: FZ.FactorModel, rank: int, reg: float) -> DataFrame:
+    """(user_id, solved): whether each user's factors solve their normal equation given the items':
     sum q (q.p - r) + reg n p = 0, relative to sum |r q|."""
-    rank, reg = 10, 0.1
-    d = load(spark, sf_dir)
-    m = FZ.als_fit(d.target_train, rank, reg=reg)
-    j = d.target_train.join(m.users.select(F.col("id").alias("user_id"), F.col("features").alias("p")), "user_id")
+    j = ratings.join(m.users.select(F.col("id").alias("user_id"), F.col("features").alias("p")), "user_id")
     j = j.join(m.items.select(F.col("id").alias("item_id"), F.col("features").alias("q")), "item_id")
     e = V.dot("p", "q") - F.col("rating")
     term = F.zip_with("q", "p", lambda q, p: q * e + F.lit(reg) * p)
@@ -358,6 +355,26 @@ def als_user_equations(spark, sf_dir):
     return g.select("user_id", (worst <= F.lit(1e-3) * F.col("w")).alias("solved"))
 
 
+def als_user_equations(spark, sf_dir):
+    """Whether each user's ALS factors solve their normal equation given the items'."""
+    rank, reg = 10, 0.1
+    d = load(spark, sf_dir)
+    return _solved(d.target_train, FZ.als_fit(d.target_train, rank, reg=reg), rank, reg)
+
+
+def bias_als_equations(spark, sf_dir):
+    """The users' biases of the biased model, and whether their factors solve the normal equation of what
+    mean and biases leave of the ratings."""
+    rank, reg = 10, 0.1
+    d = load(spark, sf_dir)
+    m = FZ.fit_biased_als(d.target_train, rank, reg=reg, bias_reg=Q.BIAS_REG)
+    biases = [t.select(F.col("id").alias(key), F.col("bias").alias(f"{key}_bias")) for t, key in ((m.users, "user_id"), (m.items, "item_id"))]
+    left = d.target_train.join(biases[0], "user_id").join(biases[1], "item_id")
+    left = left.withColumn("rating", F.col("rating") - F.lit(m.mu) - F.col("user_id_bias") - F.col("item_id_bias"))
+    solved = _solved(left.select("user_id", "item_id", "rating"), m, rank, reg)
+    return solved.join(biases[0], "user_id").select("user_id", V.rounded("user_id_bias").alias("bias"), "solved")
+
+
 def kmeans_nearest(spark, sf_dir):
     """Whether KMeans puts each vector to the nearest of its centres."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
@@ -378,6 +395,7 @@ def registered():
         "svd_invariants": svd_invariants,
         "svd_energy": svd_energy,
         "als_user_equations": als_user_equations,
+        "bias_als_equations": bias_als_equations,
         "kmeans_nearest": kmeans_nearest,
         "lfm_program": lfm_program,
         "biassvd_program": biassvd_program,
