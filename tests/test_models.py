@@ -215,3 +215,12 @@ def test_multiplying_moves_only_vectors(spark):
         at = plan.index("Scan ExistingRDD[grp" if kept == "lists" else "Scan ExistingRDD[to")
         above = plan[:at].rstrip(" \n+-:").splitlines()[-2:]
         assert not any("Exchange" in line for line in above), above
+
+
+def test_equation_check_fails_for_other_factors(spark):
+    rng = np.random.default_rng(8)
+    d = ratings_df(spark, [(u, i, float(rng.integers(1, 6))) for u in range(20) for i in range(15) if rng.random() < 0.6])
+    m = FZ.als_fit(d, 3, 10, 0.1)
+    assert [r.solved for r in P._solved(d, m, 3, 0.1).select("solved").distinct().collect()] == [True]
+    m.users = m.users.select("id", F.transform("features", lambda x: x * 1.02).alias("features"))
+    assert not any(r.solved for r in P._solved(d, m, 3, 0.1).collect())
