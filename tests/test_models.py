@@ -64,6 +64,25 @@ def test_svd_of_a_flat_spectrum_needs_several_blocks(spark):
     assert two.s == pytest.approx(one.s, rel=1e-9)
 
 
+def _size_bits(df):
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length()
+
+
+def test_size_estimates_do_not_grow_with_the_steps_of_an_svd(spark, monkeypatch):
+    seen, step = [], SVD.Entries.step
+    monkeypatch.setattr(SVD.Entries, "step", lambda self, state, m, width: seen.append(_size_bits(state)) or step(self, state, m, width))
+    rng = np.random.default_rng(2)
+    rows = [(u, i, float(rng.normal())) for u in range(60) for i in range(50)]
+    FZ.truncated_svd(ratings_df(spark, rows), 2, block=4)
+    assert len(seen) > 3 and max(seen) <= 64, seen
+
+
+def test_size_estimates_do_not_grow_with_the_gradient_epochs(spark):
+    m = FZ.fit_gradient(ratings_df(spark, _lowrank(users=10, items=8)), 2, 4, alpha=0.05)
+    assert _size_bits(m.users) <= 64 and _size_bits(m.items) <= 64
+    assert m.users.count() == 10 and m.items.count() == 8
+
+
 def test_svd_raises_instead_of_returning_less(spark):
     df = ratings_df(spark, [(1, 1, 1.0), (2, 1, 2.0), (1, 2, 2.0), (2, 2, 4.0)])  # rank 1
     assert len(FZ.truncated_svd(df, 1).s) == 1
