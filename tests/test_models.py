@@ -1,6 +1,9 @@
 """Property tests for the estimators (no SQL oracle for these)."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +226,23 @@ def test_svd_of_rows_too_long_for_a_group(spark, monkeypatch):
     _check_svd(ratings_df(spark, [(i, j, rng.integers(1, 6)) for i, j in pairs]), 3, 40, 60, block=5)
 
 
+def test_a_group_multiplies_a_bounded_number_of_entries_at_a_time():
+    rng = np.random.default_rng(3)
+    n, columns, width = 300_000, 1_000, 24
+    v, at, starts = rng.normal(size=n), rng.integers(0, columns, n).astype(np.int32), np.array([0, 200_000, 200_001, 262_144])
+    x = rng.normal(size=(columns, width))
+    data = {"at": at, "v": v, "starts": starts.astype(np.int64), "turn": np.argsort(at, kind="stable").astype(np.int64)}
+    pack = pa.table({c: pa.array([d.tobytes()], pa.binary()) for c, d in data.items()})
+    sent = pa.table({"blk": pa.array([1, 0], pa.int32()), "x": pa.array([x[400:].tobytes(), x[:400].tobytes()], pa.binary())})
+    tracemalloc.start()
+    y = SVD._product(pack, sent, width)[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = v[:, None] * x[at]
+    assert np.allclose(y, np.add.reduceat(whole, starts, axis=0))
+    assert peak < whole.nbytes  # it was twice that and more
+
+
 def test_multiplying_moves_only_vectors(spark):
     df = ratings_df(spark, [(u, i, 1.0 + (u + i) % 3) for u in range(40) for i in range(30) if (u * i) % 3])
     a = df.selectExpr("user_id i", "item_id j", "rating v")
