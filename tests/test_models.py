@@ -37,11 +37,12 @@ def test_als_sends_vectors_to_few_blocks_and_more_only_for_more_ratings(spark, m
     df, seen = ratings_df(spark, _lowrank(density=1.0)), []
     set_blocks = FZ.ALS.setNumBlocks
     monkeypatch.setattr(FZ.ALS, "setNumBlocks", lambda self, n: seen.append(n) or set_blocks(self, n))
-    for most in (FZ.BLOCK_RATINGS, 200):
+    for small, most in ((FZ.SMALL_RATINGS, FZ.BLOCK_RATINGS), (1000, FZ.BLOCK_RATINGS), (1000, 200)):
+        monkeypatch.setattr(FZ, "SMALL_RATINGS", small)
         monkeypatch.setattr(FZ, "BLOCK_RATINGS", most)
         m = FZ.als_fit(df, 2, 1, 0.1)
         assert m.users.count() == 40 and m.items.count() == 30
-    assert seen == [4, 6]  # 1200 ratings
+    assert seen == [16, 4, 6]  # 1200 ratings
 
 
 def _dense(df, res, rows, cols):
