@@ -34,20 +34,35 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return out.filter("u != v").dropDuplicates(["u", "v"])
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), u > v, are stars already: a node with an edge down has no other edge."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionAll(edges.select("v", F.lit(0)))
+    met = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+    return met.filter("down > 0 and n > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, stage: Stage, name: str = "components") -> DataFrame:
     """``(node, component)`` for every node that has an edge in ``edges(a, b)``;
     the component is its smallest node.  Self-loops, nulls and repeats are ignored."""
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = stage.write(now.filter("u != v").dropDuplicates(["u", "v"]), f"{name}-0")
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    seen = state(now)
-    for k in range(1, MAX_ROUNDS + 1):
-        now = stage.write(_stars(_stars(now, True), False), f"{name}-{k}")
-        stage.drop(f"{name}-{k - 1}")
-        if seen == (seen := state(now)):
+    for k in range(MAX_ROUNDS + 1):
+        if _settled(now):
             least = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return least.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        now = stage.write(_stars(_stars(now, True), False), f"{name}-{k + 1}")
+        stage.drop(f"{name}-{k}")
     raise RuntimeError("components did not settle")
+
+
+def merged_components(found: DataFrame, links: DataFrame, stage: Stage, name: str) -> DataFrame:
+    """``found(node, component)`` after more ``links(a, b)``, the same as :func:`connected_components` of all
+    links: only the components that the new ones join are gone through.  Both frames are read
+    repeatedly, so they should be written ones."""
+    if links.isEmpty():
+        return found
+    ends = links.join(found.toDF("a", "_a"), "a", "left").join(found.toDF("b", "_b"), "b", "left")
+    joined = connected_components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")), stage, name)
+    moved = found.join(joined.toDF("component", "_to"), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return moved.unionAll(joined.join(found, "node", "left_anti"))

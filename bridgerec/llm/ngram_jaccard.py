@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bridgerec.llm.blocks import row_blocks, text_bytes, whole_groups
-from bridgerec.llm.components import connected_components
+from bridgerec.llm.components import connected_components, merged_components
 from bridgerec.llm.staging import Stage, fresh_name, maybe_broadcast, row_key, shuffle_partitions
 from bridgerec.llm.word_hash import SPACED, mix, window_hashes, words_of
 
@@ -278,6 +278,8 @@ def _verified(near: DataFrame, docs: DataFrame, members: DataFrame, stage: Stage
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     near = stage.write(near, f"near-{name}")
+    if near.isEmpty():
+        return near
     classes = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     # ids need not be unique: the classes of the fetched texts are computed again from the texts
     wanted = members.select("class", "row").join(classes, "class").select("row").distinct()
@@ -445,8 +447,8 @@ def ngram_jaccard_join(
         pairs = stage.write(_tiles(labelled, light, num, den, name != "rest"), f"pairs-{name}")
         again = pairs.filter("token is not null").select("token")
         near = _bounded(pairs.filter("token is null").select("a", "b"), light, num, den)
-        links = links.unionAll(_verified(near, rows, members, stage, name, n, num, den))
-        found = connected_components(links, stage, f"cc-{name}")
+        links = _verified(near, rows, members, stage, name, n, num, den)
+        found = merged_components(found, links, stage, f"cc-{name}")
 
     named = sets.join(found.toDF("class", "linked"), "class", "left")
     named = named.withColumn("linked", F.coalesce("linked", "class"))
