@@ -81,21 +81,28 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """The subsequence kernel of each row of ``s`` with the same row of ``t``
     (code points; 0 pads and matches nothing)."""
     n, ls, lt = len(s), s.shape[1], t.shape[1]
-    match = (s[:, :, None] == t[:, None, :]) & (s[:, :, None] != 0)
-    # inner[a, b]: weight of common subsequences of i letters in s[:a], t[:b], counted to the ends
-    inner = np.ones((ls + 1, lt + 1, n))
-    for _ in range(ORDER - 1):
-        nxt = np.zeros((ls + 1, lt + 1, n))
-        for a in range(1, ls + 1):
+    left, right = np.ascontiguousarray(s.T), np.ascontiguousarray(t.T)
+    weight = ((left[:, None] == right[None]) & (left[:, None] != 0)) * DECAY**2
+    # inner[a, b]: weight of common subsequences of i letters in s[:a], t[:b], counted to the ends; only
+    # the cells with room for these letters before and for the others behind are computed
+    inner = None
+    for i in range(1, ORDER):
+        nxt = np.empty((ls + 1, lt + 1, n))
+        for a in range(i, ls - ORDER + i + 1):
             run = np.zeros(n)
-            for b in range(1, lt + 1):
-                run = DECAY * run + DECAY**2 * inner[a - 1, b - 1] * match[:, a - 1, b - 1]
-                nxt[a, b] = DECAY * nxt[a - 1, b] + run
+            for b in range(i, lt - ORDER + i + 1):
+                run *= DECAY
+                run += weight[a - 1, b - 1] if inner is None else inner[a - 1, b - 1] * weight[a - 1, b - 1]
+                if a == i:
+                    nxt[a, b] = run
+                else:
+                    np.multiply(nxt[a - 1, b], DECAY, out=nxt[a, b])
+                    nxt[a, b] += run
         inner = nxt
     total = np.zeros(n)
-    for a in range(1, ls + 1):
-        for b in range(1, lt + 1):
-            total += DECAY**2 * inner[a - 1, b - 1] * match[:, a - 1, b - 1]
+    for a in range(ORDER, ls + 1):
+        for b in range(ORDER, lt + 1):
+            total += inner[a - 1, b - 1] * weight[a - 1, b - 1]
     return total
 
 
@@ -136,7 +143,7 @@ class Landmarks:
         pts = _points(list(self.strings), LONGEST)
         i, j = np.triu_indices(len(pts))
         k = np.zeros((len(pts), len(pts)))
-        k[i, j] = kernel(pts[i], pts[j])
+        k[i, j] = _in_parts(pts, pts, i, j)
         k = np.maximum(k, k.T)
         d = np.sqrt(np.diag(k))
         return (k / d[:, None] / d[None, :]) ** POWER

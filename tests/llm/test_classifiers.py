@@ -235,3 +235,19 @@ def test_nearest_is_the_same_in_slices(monkeypatch):
     for w, j, v in zip(words, whole[0], whole[1], strict=True):  # the largest value of any stretch
         alone = max((x for m in range(3) for x in [tx.Landmarks((marks.strings[m],)).values([w])[0, 0]]), default=0)
         assert np.isclose(v, alone) and (j >= 0) == (alone > 0)
+
+
+def test_kernel_of_strings_with_little_room():
+    rng = random.Random(3)
+    for width in (2, 3, 4, 9):  # cells with no room for the letters before or behind are not computed
+        pairs = [tuple("".join(rng.choices("abc", k=rng.randint(1, k))) for k in (width, 6)) for _ in range(40)]
+        got = tx.kernel(tx._points([a for a, _ in pairs], width), tx._points([b for _, b in pairs], 6))
+        assert np.allclose(got, [slow_kernel(a, b) for a, b in pairs], rtol=1e-12, atol=0)
+
+
+def test_kernel_matrix_holds_a_part_of_the_pairs_at_a_time(monkeypatch):
+    most, whole = [], tx.kernel
+    monkeypatch.setattr(tx, "kernel", lambda s, t: most.append(len(s)) or whole(s, t))
+    marks = tx.Landmarks(tuple(f"{a}{b}cde" for a in "abcdefghijk" for b in "abcdefghijk"))
+    assert np.allclose(np.diag(marks.matrix()), 1)
+    assert max(most) <= tx.STRETCHES < len(marks.strings) * (len(marks.strings) + 1) // 2
