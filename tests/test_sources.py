@@ -78,3 +78,32 @@ def test_last_line_wins_for_any_split(spark, tmp_path):
             assert {(r.user_id, r.item_id): r.rating for r in rows} == want, size
     finally:
         spark.conf.set(key, before)
+
+
+def test_tasks_follow_the_lines_with_the_same_rows(spark, monkeypatch):
+    """Joins, sorts and sums of the derivation hold TASK_ROWS rows a task, not a share of the input, and no broadcast table."""
+    lines = spark.createDataFrame([(k, k % 17, float(k % 50), k % 7) for k in range(3000)], "l_orderkey long, l_partkey long, l_quantity double, l_linenumber int")
+    orders = spark.createDataFrame([(k, k % 23) for k in range(3000)], "o_orderkey long, o_custkey long")
+    plain = sorted(map(tuple, R.derive_ratings(lines, orders).collect()))
+    assert R.tasks_of(lines.count(), spark) is None
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    tasks = R.tasks_of(lines.count(), spark)
+    dealt = R.derive_ratings(lines, orders, tasks)
+    assert tasks == 30 and dealt.rdd.getNumPartitions() == 30
+    assert "Broadcast" not in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, dealt.collect())) == plain
+
+
+@pytest.mark.parametrize("query", ["last_rating_wins", "bias_sequential"])
+def test_queries_deal_their_lines_by_number(spark, monkeypatch, query):
+    from bridgerec.plans import queries as Q
+
+    if query == "last_rating_wins":
+        want = sorted(map(tuple, Q.last_rating_wins(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(R, "TASK_ROWS", 300)
+    out = getattr(Q, query)(spark, "/root/testdata/sf0.001")
+    if query == "last_rating_wins":
+        assert out.rdd.getNumPartitions() > 8
+        assert sorted(map(tuple, out.collect())) == want
+    else:
+        assert out.count() > 0
