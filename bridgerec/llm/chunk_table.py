@@ -15,7 +15,8 @@ class ChunkTable:
     """Two generations: a chunk that is met again moves to the younger one, and
     when that is full the older one goes.  Memory is bounded and frequent chunks
     stay; a chunk that was dropped is only computed again.  A worker process serves
-    many tasks, so a table that is put to use empties the one that was used before."""
+    many tasks, so a table that is put to use empties the one that was used before, and
+    tasks that use none call :meth:`leave` for what an earlier operator left."""
 
     in_use: ChunkTable | None = None
 
@@ -24,6 +25,13 @@ class ChunkTable:
         self.young: dict = {}
         self.old: dict = {}
 
+    @classmethod
+    def leave(cls) -> None:
+        """Empty the worker's table in use."""
+        if (other := cls.in_use) is not None:
+            other.young, other.old = {}, {}
+            cls.in_use = None
+
     def get(self, chunk: bytes):
         """What is known of a chunk, else None."""
         found = self.young.get(chunk)
@@ -31,9 +39,8 @@ class ChunkTable:
 
     def values(self, rows: list[list[bytes]]) -> Iterator[list]:
         """What is computed for the chunks of each row."""
-        if (other := ChunkTable.in_use) is not self:
-            if other is not None:
-                other.young, other.old = {}, {}
+        if ChunkTable.in_use is not self:
+            ChunkTable.leave()
             ChunkTable.in_use = self
         if len(self.young) > self.entries:
             self.old, self.young = self.young, {}

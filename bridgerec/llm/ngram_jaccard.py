@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bridgerec.llm.blocks import row_blocks, text_bytes, whole_groups
+from bridgerec.llm.chunk_table import ChunkTable
 from bridgerec.llm.components import connected_components, merged_components
 from bridgerec.llm.staging import Stage, fresh_name, maybe_broadcast, row_key, shuffle_partitions
 from bridgerec.llm.word_hash import SPACED, mix, window_hashes, words_of
@@ -127,6 +128,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     types = pa.schema([(c, pa.int64()) for c in ("doc", "id", "n", "class")] + [(c, pa.binary()) for c in ("bitmap", "sketch")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ChunkTable.leave()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             sizes, classes, maps, cells, seen = [], [], [], [], set()
@@ -161,6 +163,7 @@ def _postings(docs: DataFrame, n: int, levels: np.ndarray, num: int, den: int) -
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "class", "place")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ChunkTable.leave()
         for batch in batches:
             seen: set = set()
             tokens, classes, sizes = [], [], []
@@ -323,6 +326,7 @@ def _tiles(lists: DataFrame, light: DataFrame, num: int, den: int, closest: bool
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ChunkTable.leave()
         for table, cuts in whole_groups(batches, 3):
             yield from compare(table, cuts)
 

@@ -55,3 +55,27 @@ def test_frame(spark, sp):
         want.add((i, len(ids), tuple(ids), back, sha, hashlib.sha256(back.encode()).hexdigest()))
     assert {(r.doc_id, r.n_tokens, tuple(r.ids), r.decoded, r.ids_sha256, r.decoded_sha256) for r in got} == want
     assert sentencepiece_codec(docs.limit(0), MODEL).count() == 0
+
+
+def test_tasks_without_a_table_empty_the_worker_of_earlier_ones():
+    """What toxicity's tasks left in a worker is not held while n-gram Jaccard runs there."""
+    import numpy as np
+    import pyarrow as pa
+
+    from bridgerec.llm import ngram_jaccard as NJ
+    from bridgerec.llm.chunk_table import ChunkTable
+
+    class Docs:  # runs a task of the function in this process
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c d e f"]), pa.array([7])], names=["id", "text", "doc"])
+            return list(run(iter([batch])))
+
+        def select(self, *_):
+            return type("Texts", (), {"mapInArrow": lambda _, run, schema: list(run(iter([pa.RecordBatch.from_arrays([pa.array(["a b c d e f"])], names=["text"])])))})()
+
+    for task in (lambda: NJ._sets(Docs(), 5), lambda: NJ._postings(Docs(), 5, np.zeros(1 << NJ.SKETCH_BITS, np.uint8), 3, 4)):
+        table = ChunkTable(lambda chunks: [len(c) for c in chunks])
+        assert list(table.values([[b"ab", b"c"]])) == [[2, 1]] and table.young
+        task()
+        assert not table.young and ChunkTable.in_use is None
+        assert list(table.values([[b"ab", b"c"]])) == [[2, 1]]
