@@ -275,3 +275,24 @@ def test_equation_check_fails_for_other_factors(spark):
     assert [r.solved for r in P._solved(d, m, 3, 0.1).select("solved").distinct().collect()] == [True]
     m.users = m.users.select("id", F.transform("features", lambda x: x * 1.02).alias("features"))
     assert not any(r.solved for r in P._solved(d, m, 3, 0.1).collect())
+
+
+def test_only_hot_items_are_copied_in_an_epoch(spark, monkeypatch):
+    rows = [(u, 0, 1.0 + u % 5) for u in range(60)] + [(u, 1 + u % 6, 1.0 + u % 4) for u in range(60)]
+    ratings = spark.createDataFrame(rows, "user_id int, item_id int, rating double")
+
+    def factors():
+        m = FZ.fit_gradient(ratings, 3, 2, 0.05, 0.01)
+        return {(s, r.id): r.features for s, t in (("u", m.users), ("i", m.items)) for r in t.collect()}
+
+    plain = factors()
+    items = FZ.init_factors(ratings, 3).items.withColumnRenamed("id", "item_id")
+    assert FZ._salted(ratings, items, FZ.hot_items(ratings))[1].count() == 7
+    monkeypatch.setattr(FZ, "HOT_RATINGS", 20)
+    rated, copies = FZ._salted(ratings, items, FZ.hot_items(ratings))
+    assert copies.count() == FZ.SALTS + 6
+    assert rated.filter("item_id = 0").select("_salt").distinct().count() > 4
+    assert rated.join(copies, ["item_id", "_salt"]).count() == len(rows)
+    salted = factors()
+    assert plain.keys() == salted.keys()
+    assert all(abs(a - b) < 1e-12 for k in plain for a, b in zip(plain[k], salted[k], strict=True))
