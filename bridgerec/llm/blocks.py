@@ -30,10 +30,10 @@ def row_blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[i
         a = min(b, n)
 
 
-def text_blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Blocks of texts as UTF-8 bytes, each with its first row; null is an empty text."""
     data, offsets = text_bytes(column)
-    for a, b in row_blocks(offsets):
+    for a, b in row_blocks(offsets, size):
         block, start = data[offsets[a] : offsets[b]].tobytes(), int(offsets[a])
         cuts = (offsets[a : b + 1] - start).tolist()
         yield a, [block[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -14,8 +14,9 @@ file behind.  Files are reached through ``pyarrow.fs``, so the folder may be any
 shared store that it knows.
 
 Tokenizing: the tokenizer drops white space and splits on it, so the chunks
-between ASCII white space are encoded apart; a task keeps a table of the ids of
-the distinct chunks it has met.
+between ASCII white space are encoded apart; a block's distinct chunks are found by
+Arrow, a task keeps a table of the ids of those it has met, and numpy puts the ids of
+a block together.
 
 Defined cases: a null text is an empty text and holds the end id alone; null ids
 come first; rows with an equal id are all kept and ascend by text; an empty
@@ -36,6 +37,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bridgerec.llm.blocks import text_blocks
-from bridgerec.llm.chunk_table import ChunkTable
+from bridgerec.llm.chunk_table import ChunkTable, PackedTable
 from bridgerec.llm.staging import shuffle_partitions
 
 # Fixed values of the seekable zstandard layout.
@@ -66,12 +68,14 @@ MANIFEST = T.StructType(
 )
 
 
-#: Entries of a generation of the chunk table; this tokenizer is slow on new words.
-ENTRIES = 400_000
+#: Entries of the table of chunks; this tokenizer is slow on new words.
+ENTRIES = 800_000
+#: Bytes of text whose distinct chunks are looked up together.
+BLOCK = 1 << 22
 #: Words that are encoded as one text.
 JOINED = 500
-#: Letters on which the shortcuts of an encoder are tried.
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Letters and marks on which the shortcuts of an encoder are tried, and the most marks that are cut off a word.
+ALPHABET, MARKS, TAIL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?*#$&", 3
 
 
 class ChunkEncoder:
@@ -88,18 +92,24 @@ class ChunkEncoder:
         self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
         # further shortcuts, each taken only if the tokenizer shows that it changes nothing
         self.lower = self._ids(ALPHABET) == self._ids(ALPHABET.lower())
-        apart = all(self._ids(f"{c}{m}") == self._ids(c) + self._ids(m) for c in ALPHABET for m in ".,")
-        self.marks = {m.encode(): array(self.code, self._ids(m)).tobytes() for m in ".,"} if apart else {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
         self.specials = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table = ChunkTable(self._encode_new, entries=ENTRIES)
+        ends = {x[-1:] for x in self.specials}  # a special token never ends in marks that are cut off
+        marks = [m for m in MARKS if m.encode() not in ends and all(self._apart(c, m) for c in ALPHABET)]
+        several = all(self._apart("A", x + y + z) for x in marks for y in marks for z in ("", x))
+        self.marks = "".join(marks).encode() if several else b""
+        self.tails: dict[bytes, bytes] = {}
+        self.table = PackedTable(ENTRIES, f"<u{self.width}")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _apart(self, word: str, marks: str) -> bool:
+        return self._ids(word + marks) == self._ids(word) + self._ids(marks)
+
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
@@ -121,14 +131,28 @@ class ChunkEncoder:
         return have
 
     def _encode_new(self, chunks: list[bytes]) -> list[bytes]:
-        """A letter and a stop or comma that ends the chunk are never in one piece,
-        so the word before the mark is looked up or encoded by itself."""
+        """A letter and the marks that end the chunk are never in one piece, so the
+        word before the marks is looked up or encoded by itself."""
         if not self.marks:
             return self._encode(chunks)
-        stems = {c[:-1] if c[-1:] in self.marks and c[-2:-1].isalpha() else c for c in chunks}
-        have = {c: x for c in stems if (x := self.table.get(c)) is not None}
-        have.update(self._encode_words([c for c in stems if c not in have]))
-        return [have[c] if c in have else have[c[:-1]] + self.marks[c[-1:]] for c in chunks]
+        stems = list(map(self._stem, chunks))
+        cut = list({s for c, s in zip(chunks, stems, strict=True) if s is not c})
+        entry = self.table.find(self.table.packed(pa.array(cut, pa.large_binary())))
+        at = np.flatnonzero(entry >= 0)
+        first, size, pool = self.table.first[entry[at]], self.table.size[entry[at]], self.table.pool
+        have = {cut[k]: pool[a:b].tobytes() for k, a, b in zip(at.tolist(), first.tolist(), (first + size).tolist(), strict=True)}
+        have.update(self._encode_words([c for c in set(stems) if c not in have]))
+        return [have[s] if s is c else have[s] + self._tail(c[len(s) :]) for c, s in zip(chunks, stems, strict=True)]
+
+    def _stem(self, chunk: bytes) -> bytes:
+        """The chunk without its last marks, if they are few and a letter stands before them."""
+        stem = chunk.rstrip(self.marks)
+        return stem if 0 < len(chunk) - len(stem) <= TAIL and stem[-1:].isalpha() else chunk
+
+    def _tail(self, marks: bytes) -> bytes:
+        if (found := self.tails.get(marks)) is None:
+            found = self.tails[marks] = array(self.code, self._ids(marks.decode())).tobytes()
+        return found
 
     def _plain(self, text: bytes) -> bytes:
         """Lower case where that cannot touch a composition or make a special token."""
@@ -141,8 +165,36 @@ class ChunkEncoder:
         """The ids of each text as little-endian integers of ``width`` bytes."""
         if not self.by_chunk:
             return self._encode(texts)
-        rows = [self._plain(t).split() for t in texts]
-        return [b"".join(ids) for ids in self.table.values(rows)]
+        texts = list(map(self._plain, texts))
+        ends = np.cumsum([0, *map(len, texts)])
+        column = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(texts))])
+        rows = pc.ascii_split_whitespace(column)
+        chunks = rows.values.dictionary_encode()
+        first, size, pool = self._looked_up(chunks.dictionary.cast(pa.large_binary()))
+        which = chunks.indices.to_numpy()
+        many = size[which]
+        until = np.append(0, np.cumsum(many))
+        ids = pool[np.arange(until[-1]) + np.repeat(first[which] - until[:-1], many)]
+        cuts = until[rows.offsets.to_numpy()].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _looked_up(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each distinct word begin in a pool, how many they are, and the pool."""
+        ChunkTable.use(self.table)
+        keys = self.table.packed(words)
+        entry = self.table.find(keys)
+        known, new = entry >= 0, np.flatnonzero(entry < 0)
+        self.table.met[entry[known]] = True
+        # an empty word, which Arrow leaves where white space begins or ends a text, has no ids
+        pieces = self._encode_new(words.take(pa.array(new, pa.int64())).to_pylist())
+        fresh = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        pool = np.concatenate([self.table.pool, np.frombuffer(b"".join(pieces), self.table.dtype)])
+        first, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        first[known], size[known] = self.table.first[entry[known]], self.table.size[entry[known]]
+        first[new], size[new] = len(self.table.pool) + np.cumsum(fresh) - fresh, fresh
+        if len(new):
+            self.table.add(keys[:, new], first[new], fresh, pool)
+        return first, size, pool
 
 
 @lru_cache(maxsize=2)
@@ -256,7 +308,7 @@ def write_token_files(
             if writer is None and batch.num_rows:
                 writer = ShardWriter(folder, TaskContext.get().partitionId(), enc.width, level)
             ids = batch.column(0).to_pylist()
-            for a, block in text_blocks(batch.column(1)):
+            for a, block in text_blocks(batch.column(1), BLOCK):
                 for doc_id, coded in zip(ids[a : a + len(block)], enc.encode(block), strict=True):
                     writer.add(doc_id, coded + end)
         if writer is not None:

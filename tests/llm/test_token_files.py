@@ -9,6 +9,7 @@ import pytest
 import zstandard
 from tokenizers import Tokenizer
 
+from bridgerec.llm.chunk_table import PackedTable
 from bridgerec.llm.queries import vocabulary
 from bridgerec.llm.token_files import ChunkEncoder, ShardReader, read_token_files, write_token_files
 
@@ -27,6 +28,31 @@ def test_encode_is_the_librarys():
         assert got == lib.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_full_table_and_marks_change_no_ids():
+    lib = Tokenizer.from_file(FILE)
+    words = ["ab", "ab\0", "ab***", "é.", "Ab..,", "abcdefghijklmnopqrstuvw", "abcdefghijklmnopqrstuvwx", "x" * 30 + "&&", "a#1$", "!?", "don't!", "<|endoftext|>.", "ab....", "中,"]
+    texts = [" ".join(words[k % 7 :: 1 + k % 3]) + f" w{k} {'q' * k}.\n" for k in range(60)]
+    for entries in (4, 16, 1000):
+        enc = ChunkEncoder(FILE)
+        enc.table = PackedTable(entries, "<u2")
+        for block in (texts[:20], texts[20:21], texts[20:], texts, texts[::-1]):
+            for t, coded in zip(block, enc.encode([x.encode() for x in block]), strict=True):
+                assert np.frombuffer(coded, "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids, (entries, t)
+        assert len(enc.table.size) <= entries
+
+
+def test_table_is_small_and_words_before_marks_are_known():
+    enc, asked = ChunkEncoder(FILE), []
+    words = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "lmnprst"]
+    enc.encode([" ".join(words).encode()])
+    held = sum(x.nbytes for x in (enc.table.keys, enc.table.first, enc.table.size, enc.table.met, enc.table.pool))
+    assert held < 64 * len(words)  # two objects a word took more
+    enc._encode = lambda chunks: asked.extend(chunks) or [b""] * len(chunks)
+    enc._encode_words = lambda chunks: asked.extend(chunks) or {}
+    enc.encode([" ".join(f"{w}***" for w in words).encode()])
+    assert asked == []
+
+
 @pytest.fixture(scope="module")
 def written(spark, tmp_path_factory):
     folder = "file://" + str(tmp_path_factory.mktemp("tokens"))
