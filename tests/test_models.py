@@ -83,6 +83,27 @@ def _size_bits(df):
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length()
 
 
+def test_steps_of_an_svd_have_no_more_tasks_than_packed_rows(spark, monkeypatch):
+    key = "spark.sql.shuffle.partitions"
+    seen, step, before = [], SVD.Entries.step, spark.conf.get(key)
+
+    def counted(self, state, m, width):
+        out = step(self, state, m, width)
+        seen.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(SVD.Entries, "step", counted)
+    rng = np.random.default_rng(4)
+    rows = [(u, i, rng.random()) for u in range(30) for i in range(20) if rng.random() < 0.5]
+    spark.conf.set(key, "40")
+    try:
+        FZ.truncated_svd(ratings_df(spark, rows), 2, block=4)
+        assert spark.conf.get(key) == "40" and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    finally:
+        spark.conf.set(key, before)
+    assert set(seen) == {SVD.GROUPS}
+
+
 def test_size_estimates_do_not_grow_with_the_steps_of_an_svd(spark, monkeypatch):
     seen, step = [], SVD.Entries.step
     monkeypatch.setattr(SVD.Entries, "step", lambda self, state, m, width: seen.append(_size_bits(state)) or step(self, state, m, width))
