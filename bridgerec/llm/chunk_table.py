@@ -30,10 +30,11 @@ class ChunkTable:
 
     @classmethod
     def leave(cls) -> None:
-        """Empty the worker's table in use."""
+        """Empty the worker's table in use, and give back what Arrow keeps of freed batches."""
         if (other := cls.in_use) is not None:
             other.clear()
             cls.in_use = None
+        pa.default_memory_pool().release_unused()
 
     @classmethod
     def use(cls, table: ChunkTable | PackedTable) -> None:

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bridgerec.llm.blocks import row_blocks, text_bytes, whole_groups
+from bridgerec.llm.chunk_table import ChunkTable
 from bridgerec.llm.staging import Stage, fresh_name, maybe_broadcast, row_key, shuffle_partitions
 from bridgerec.llm.word_hash import SPACED, window_hashes, words_of
 
@@ -79,8 +80,9 @@ def _cells(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return grams & np.uint64(bits - 1), (grams >> np.uint64(29)) & np.uint64(bits - 1)
 
 
-def _bloom(grams: DataFrame) -> np.ndarray:
-    """A Bloom filter, packed to bytes, of ``grams(gram)``."""
+def _bloom(grams: DataFrame, stage: Stage, name: str) -> np.ndarray:
+    """A Bloom filter, packed to bytes, of ``grams(gram)``.  The tasks' filters are written, as a
+    task that both makes and merges them would run two Python workers."""
     bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * max(1, grams.count()) - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +92,10 @@ def _bloom(grams: DataFrame) -> np.ndarray:
                 np.bitwise_or.at(cells, (c >> np.uint64(3)).astype(np.int64), (1 << (c & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()])], names=["cells"])
 
-    parts = grams.mapInArrow(run, "cells binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint8))
-    return parts.treeReduce(np.bitwise_or, depth=3)
+    cells = stage.write(grams.mapInArrow(run, "cells binary"), name)
+    whole = cells.rdd.map(lambda r: np.frombuffer(r[0], np.uint8)).treeReduce(np.bitwise_or, depth=3)
+    stage.drop(name)
+    return whole
 
 
 def _held(bloom: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -111,6 +115,7 @@ def _grams(rows: DataFrame, min_words: int) -> DataFrame:
     """(gram) of every retained position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ChunkTable.leave()
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for a, b in row_blocks(offsets):
@@ -129,6 +134,7 @@ def _suffixes(rows: DataFrame, min_words: int, repeated: Broadcast, hot: Broadca
     names = ["gram", "hot", "id", "doc", "start", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ChunkTable.leave()
         for batch in batches:
             ids, docs = batch.column(0), batch.column(2)
             data, offsets = text_bytes(batch.column(1))
@@ -174,6 +180,7 @@ def _matches(suffixes: DataFrame) -> DataFrame:
         return keys, np.repeat(np.arange(len(size)), size), np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ChunkTable.leave()
         for table, _ in whole_groups(batches, 1):
             yield compare(table)
 
@@ -235,8 +242,10 @@ def repeated_passages(
     spark = docs.sparkSession
     counts = _grams(rows, min_words).groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
     counts = stage.write(counts, "grams")
-    filters = [spark.sparkContext.broadcast(_bloom(c.select("gram"))) for c in (counts, counts.filter(F.col("m") > GROUP))]
-    found = _matches(_suffixes(rows, min_words, *filters))
+    repeated = {"repeated": counts, "hot": counts.filter(F.col("m") > GROUP)}
+    filters = [spark.sparkContext.broadcast(_bloom(c.select("gram"), stage, f"cells-{k}")) for k, c in repeated.items()]
+    # written, so the texts are read once for cold and hot grams and no task runs two Python workers
+    found = _matches(stage.write(_suffixes(rows, min_words, *filters), "suffixes"))
     by_doc = found.groupBy("doc").agg(
         F.min("id").alias("id"), F.collect_list(F.struct("start", "found", "later")).alias("at")
     )
@@ -275,6 +284,7 @@ def drop_repeats(
     """``docs`` with every passage cut out of the texts where it is not the first
     occurrence.  The white space after a cut goes with it; all rows stay."""
     spans = stage.write(repeated_passages(docs, stage, min_words, id_col, text_col), "spans")
+    stage.drop("suffixes")
     key, cuts = fresh_name(docs, "doc_key"), fresh_name(docs, "doc_cuts")
     spans = maybe_broadcast(spans.filter(F.size("later") > 0), "1 + size(later)").select(
         F.col("doc").alias(key), F.col("later").alias(cuts)
@@ -284,6 +294,7 @@ def drop_repeats(
     out = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ChunkTable.leave()
         for batch in batches:
             texts, later = batch.column(at), batch.column(batch.num_columns - 1)
             hit = np.flatnonzero(~np.asarray(later.is_null()))

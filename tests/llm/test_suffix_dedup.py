@@ -71,3 +71,9 @@ def test_repeated_rows_and_ids(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.drop_repeats(docs, Stage(spark, "t")).count() == 0
+
+
+def test_texts_are_not_read_again_for_common_grams(spark):
+    docs = spark.createDataFrame(list(enumerate(corpus(5))), "doc_id long, text string")
+    found = sd.repeated_passages(docs, Stage(spark, "t"))
+    assert "text#" not in found._jdf.queryExecution().optimizedPlan().toString()
