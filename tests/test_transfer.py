@@ -150,3 +150,18 @@ def test_diagonal_is_solved_exactly(spark):
     r = np.array([r for _, _, r in rows])
     assert np.abs(x.T @ (x @ d - r) / len(r) + lam * d).max() < 1e-9
     assert TR.diag_solve(ratings.limit(0), users, items, 4, lam) == [0.0] * 4
+
+
+def test_cluster_branch_counts_in_pool_mix(spark, monkeypatch):
+    """The codebook's predictions are in the mixed rating, not only their coverage."""
+    d = _planted(spark)
+    pairs = d.target_test.select("user_id", "item_id")
+    for name, value in (("als", 3.0), ("cluster", 1.0)):
+        fixed = pairs.withColumn("prediction", F.lit(value))
+        if name == "als":
+            monkeypatch.setattr(FZ, "predict_pairs", lambda *args, fixed=fixed: fixed)
+        else:
+            monkeypatch.setattr(P, "_cluster_branch", lambda *args, fixed=fixed, **kwargs: fixed)
+    r = P.pool_mix(d, rank=2, als_iters=1).first()
+    expect = d.target_test.select(F.avg(F.abs(F.col("rating") - F.lit(0.8 * 3.0 + 0.2 * 1.0)))).first()[0]
+    assert r["mae_test_n"] == pytest.approx(expect)
