@@ -1,6 +1,8 @@
 """Property tests for the estimators (no SQL oracle for these)."""
 
+import time
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from bridgerec.operators import cluster as C
 from bridgerec.operators import factorize as FZ
 from bridgerec.operators import svd as SVD
 from bridgerec.plans import pipelines as P
+from bridgerec.session import materialize, materialize_step, release
 from conftest import ratings_df
 
 
@@ -119,6 +122,37 @@ def test_size_estimates_do_not_grow_with_the_gradient_epochs(spark):
     assert m.users.count() == 10 and m.items.count() == 8
 
 
+def test_svd_in_one_task_takes_no_jobs_a_step(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i * 3, j * 2, float(rng.integers(1, 6))) for i in range(90) for j in range(70) if rng.random() < 0.3]
+    df = ratings_df(spark, rows)
+    spread = FZ.truncated_svd(df, 5, block=8)
+    monkeypatch.setattr(SVD.Entries, "step", None)
+    here = _check_svd(df, 5, 268, 139, block=8, one_task=SVD.ONE_TASK)
+    assert here.s == pytest.approx(spread.s, rel=1e-9)
+    for a, b in ((here.U, spread.U), (here.V, spread.V)):
+        x, y = (np.array([r.features for r in t.orderBy("id").collect()]) for t in (a, b))
+        assert np.allclose(np.abs((x * y).sum(axis=0)), 1, atol=1e-6)  # up to the sign
+    with pytest.raises(ValueError, match="no convergence"):
+        FZ.truncated_svd(df, 3, block=4, max_iters=2, one_task=SVD.ONE_TASK)
+
+
+def test_steps_of_an_svd_delete_their_files(spark, monkeypatch):
+    """At most the start, a basis, a product and the next basis are kept at a time."""
+    files, step = [], SVD.Entries.step
+
+    def counted(self, state, m, width):
+        folder = Path(spark.sparkContext._jvm.java.net.URI(spark.sparkContext.getCheckpointDir()).getPath())
+        files.append({f.name for f in folder.iterdir()})
+        return step(self, state, m, width)
+
+    monkeypatch.setattr(SVD.Entries, "step", counted)
+    rng = np.random.default_rng(8)
+    rows = [(i, j, float(rng.integers(1, 6))) for i in range(80) for j in range(60) if rng.random() < 0.3]
+    FZ.truncated_svd(ratings_df(spark, rows), 3, block=4)
+    assert len(files) > 5 and all(len(later - files[0]) <= 1 for later in files[1:])
+
+
 def test_svd_raises_instead_of_returning_less(spark):
     df = ratings_df(spark, [(1, 1, 1.0), (2, 1, 2.0), (1, 2, 2.0), (2, 2, 4.0)])  # rank 1
     assert len(FZ.truncated_svd(df, 1).s) == 1
@@ -317,3 +351,38 @@ def test_only_hot_items_are_copied_in_an_epoch(spark, monkeypatch):
     salted = factors()
     assert plain.keys() == salted.keys()
     assert all(abs(a - b) < 1e-12 for k in plain for a, b in zip(plain[k], salted[k], strict=True))
+
+
+def test_als_has_tasks_for_many_cores_and_keeps_few_shuffles(spark, monkeypatch):
+    assert [FZ.als_blocks(n) for n in (14_400_000, 86_000_000, 480_000_000)] == [24, 24, 30]
+    assert 16 <= FZ.als_blocks(FZ.SMALL_RATINGS + 1) <= 24
+    seen, fit = [], FZ.ALS.fit
+    monkeypatch.setattr(FZ.ALS, "fit", lambda self, data: seen.append(self.getCheckpointInterval()) or fit(self, data))
+    FZ.als_fit(ratings_df(spark, _lowrank()), 2, 2)
+    assert seen == [1]
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle")}
+
+
+def test_shuffles_of_a_written_frame_leave_the_disks(spark):
+    df = spark.range(1000).selectExpr("id % 7 as k", "id").repartition(5, "k").groupBy("k").agg(F.sum("id").alias("s"))
+    before = _shuffle_files(spark)
+    rows = {tuple(r) for r in materialize(df).collect()}
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and rows == {tuple(r) for r in df.collect()}
+
+
+def test_released_frames_have_no_files(spark):
+    for write in (materialize, materialize_step):
+        df = write(spark.range(5))
+        folder = Path(spark._jvm.java.net.URI(df._checkpoint).getPath())
+        assert folder.exists()
+        after = write(df.selectExpr("id + 1 as id"))
+        release(df, df, spark.range(1))
+        assert not folder.exists() and after.count() == 5
